@@ -1,11 +1,15 @@
 """Substring dedup by super-k-mer partitioning: windows of words that an earlier document has are removed, exactly.
 
-A window is WINDOW consecutive words of one document. Its minimiser is the least of its word pairs, pairs that are frequent in
-the corpus (counted first, over all texts) ordered last. Consecutive windows with one minimiser travel as one packed string to
-the minimiser's bucket; equal strings of a task travel once, with their least and greatest doc_id, so that hot passages shrink
-before the shuffle. In the bucket, sorting brings equal windows together, each is compared word for word, and the least
-doc_id that has it is found. Only that summary comes back for strings with a repeated window: it is joined by the string's
-128-bit key to all places of the string, where adaptive execution splits a hot key.
+A window is WINDOW consecutive words of one document. Its minimiser is the least of its runs of GRAM words, runs that are
+frequent in the corpus (counted first, over all texts) ordered last. Minimisers are counted next: a window whose minimiser
+occurs once in the corpus cannot repeat. Those that occur more often go into a bit table of fixed size, and only windows that
+may be there go on (a full table would let all pass; it never drops a repeated one).
+
+Consecutive windows with one minimiser travel as one packed string to the minimiser's bucket; equal strings of a task travel
+once, with their least and greatest doc_id, so that hot passages shrink before the shuffle. In the bucket, sorting brings
+equal windows together, each is compared word for word, and the least doc_id that has it is found. Only that summary comes
+back for strings with a repeated window: it is joined by the string's 128-bit key to all places of the string, where adaptive
+execution splits a hot key.
 
 A window is removed if a document with a smaller doc_id has the same words anywhere; each word under such a window goes.
 Windows are judged on the input, not on what is left.
@@ -30,12 +34,16 @@ from offerlens.llm.common import U64, Words, chunks, durable, mix, partitions_fo
 
 WINDOW = 13
 #: A minimiser's words, and windows a packed string holds at most (a longer run of one minimiser is cut).
-PAIR, LONGEST = 2, 64
-#: Buckets of the frequency count, and the share of all pairs from which a bucket counts as hot.
+GRAM, LONGEST = 6, 64
+#: Bits of the table of repeated minimisers, as a power of two (8 MB), and minimisers a task counts before it puts them out.
+TABLE_BITS, COUNTED = 26, 1 << 21
+#: Buckets of the frequency count, and the share of all runs from which a bucket counts as hot.
 COUNTERS, HOT_SHARE = 1 << 16, 1000
 #: Characters of packed strings a task gathers before it puts out blocks; grouped buckets for each shuffle partition.
 FLUSH_CHARS, BUCKETS_EACH = 24 << 20, 8
 NO_ID = (1 << 63) - 1
+#: Bases of a string's two hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 BLOCKS = "bucket int, block binary"
 SHARED = "k1 long, k2 long, until array<int>, least array<long>"
@@ -47,21 +55,21 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n) of the pairs that are frequent in the task, and the task's total as bucket -1."""
+def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n) of the runs that are frequent in the task, and the task's total as bucket -1."""
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for a, b in chunks(texts):
-            pairs = window_hashes(Words(texts[a:b]).hashes(), PAIR)
-            counts += np.bincount((pairs >> U64(48)).astype(np.int64), minlength=COUNTERS)
+            grams = window_hashes(Words(texts[a:b]).hashes(), GRAM)
+            counts += np.bincount((grams >> U64(48)).astype(np.int64), minlength=COUNTERS)
     often = np.flatnonzero(counts * 2 * HOT_SHARE >= max(counts.sum(), 1))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(often, -1).astype(np.int32)), pa.array(np.append(counts[often], counts.sum()))], ["bucket", "n"])
 
 
-def hot_pairs(docs: DataFrame) -> np.ndarray:
-    """Hot counter buckets; at most HOT_SHARE, since each has that share of all pairs."""
-    counted = docs.select(text_column(docs)).mapInArrow(pair_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def hot_grams(docs: DataFrame) -> np.ndarray:
+    """Hot counter buckets; at most HOT_SHARE, since each has that share of all runs."""
+    counted = docs.select(text_column(docs)).mapInArrow(gram_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("bucket") >= 0, F.desc("n")).limit(HOT_SHARE + 1).collect()
     total = next((r["n"] for r in top if r["bucket"] < 0), 0)
     hot = np.zeros(COUNTERS, dtype=bool)
@@ -72,7 +80,7 @@ def hot_pairs(docs: DataFrame) -> np.ndarray:
 class SuperKmers:
     """Runs of windows with one minimiser, of some texts: first word, number of windows, minimiser, text, and a 128-bit key."""
 
-    def __init__(self, texts: list[str], hot: np.ndarray):
+    def __init__(self, texts: list[str], hot: np.ndarray, repeated: np.ndarray | None = None):
         self.words = w = Words(texts)
         hashes = w.hashes()
         n = len(hashes) - WINDOW + 1
@@ -80,9 +88,9 @@ class SuperKmers:
         self.first, self.windows, self.text, self.minimiser, self.k1, self.k2 = (empty,) * 6
         if n <= 0:
             return
-        pairs = window_hashes(hashes, PAIR)
-        order = (pairs >> U64(1)) | (hot[(pairs >> U64(48)).astype(np.int64)].astype(U64) << U64(63))
-        span = WINDOW - PAIR + 1
+        grams = window_hashes(hashes, GRAM)
+        order = (grams >> U64(1)) | (hot[(grams >> U64(48)).astype(np.int64)].astype(U64) << U64(63))
+        span = WINDOW - GRAM + 1
         least, width = order, 1
         while 2 * width <= span:
             least, width = np.minimum(least[:-width], least[width:]), 2 * width
@@ -94,12 +102,18 @@ class SuperKmers:
         begin = np.flatnonzero(new)
         place = np.arange(len(valid)) - np.repeat(begin, np.diff(np.append(begin, len(valid))))
         begin = np.flatnonzero(place % LONGEST == 0)
+        sizes = np.diff(np.append(begin, len(valid)))
+        if repeated is not None:
+            some = in_table(repeated, least[valid[begin]])
+            begin, sizes = begin[some], sizes[some]
+            if not len(begin):
+                return
         self.first = valid[begin]
-        self.windows = np.diff(np.append(begin, len(valid)))
+        self.windows = sizes
         self.text = w.doc[self.first]
         self.minimiser = least[self.first]
         last = self.first + self.windows + WINDOW - 1
-        self.k1, self.k2 = (self.key(hashes, self.first, last, base) for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+        self.k1, self.k2 = (self.key(hashes, self.first, last, base) for base in BASES)
 
     @staticmethod
     def key(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
@@ -120,7 +134,51 @@ class SuperKmers:
         return [joined[x:y] for x, y in zip(a, b, strict=True)]
 
 
-def block_maker(hot, buckets: int):
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether both bits of these 64-bit values are set."""
+    mask = U64((1 << TABLE_BITS) - 1)
+    one = lambda at: table[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)
+    return (one(values & mask) & one(values >> U64(TABLE_BITS) & mask)).astype(bool)
+
+
+def minimiser_counter(hot):
+    """mapInArrow function over (text) to (minimiser, n): how often the task has it, 2 standing for more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def put() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["minimiser", "n"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in chunks(texts):
+                runs = SuperKmers(texts[a:b], hot.value)
+                if len(runs.first):
+                    held.append(runs.minimiser)
+                if sum(map(len, held)) >= COUNTED:
+                    yield put()
+        yield put()
+
+    return run
+
+
+def repeated_minimisers(docs: DataFrame, hot) -> np.ndarray:
+    """The bit table of minimisers that occur twice or more; 2**(TABLE_BITS - 6) words of it at most come to the driver."""
+    counted = docs.select(text_column(docs)).mapInArrow(minimiser_counter(hot), "minimiser long, n byte")
+    repeated = counted.groupBy("minimiser").agg(F.sum("n").alias("n")).filter("n > 1")
+    mask = F.lit((1 << TABLE_BITS) - 1)
+    bits = repeated.select(F.explode(F.array(F.col("minimiser").bitwiseAND(mask), F.shiftrightunsigned("minimiser", TABLE_BITS).bitwiseAND(mask))).alias("bit"))
+    word = F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
+    got = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(word).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), dtype=U64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
+    return table
+
+
+def block_maker(hot, repeated, buckets: int):
     """mapInArrow function over (doc_id, text) to BLOCKS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +194,7 @@ def block_maker(hot, buckets: int):
             rows = []
             for bucket, own in by.items():
                 own.sort(key=lambda x: x[3])
-                numbers = np.array([(x[1], x[2], *x[4]) for x in own], dtype="<i8").T
+                numbers = np.array([(x[1], x[2]) for x in own], dtype="<i8").T
                 rows.append((bucket, packer.compress(np.int64(len(own)).astype("<i8").tobytes() + numbers.tobytes() + "\n".join([x[3] for x in own]).encode())))
             held.clear()
             size = 0
@@ -146,7 +204,7 @@ def block_maker(hot, buckets: int):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                runs = SuperKmers(texts[a:b], hot.value)
+                runs = SuperKmers(texts[a:b], hot.value, repeated.value)
                 docs = ids[a:b][runs.text] if len(runs.text) else np.zeros(0, np.int64)
                 # equal strings of the chunk once, with least and greatest document
                 order = np.lexsort((runs.k2, runs.k1))
@@ -160,7 +218,7 @@ def block_maker(hot, buckets: int):
                 for key, x, y, p, s in zip(zip(k1[begin].tolist(), k2[begin].tolist(), strict=True), low.tolist(), high.tolist(), bucket.tolist(), runs.strings(chosen), strict=True):
                     known = held.get(key)
                     if known is None:
-                        held[key] = [p, x, y, s, key]
+                        held[key] = [p, x, y, s]
                         size += len(s)
                     else:
                         known[1], known[2] = min(known[1], x), max(known[2], y)
@@ -171,38 +229,43 @@ def block_maker(hot, buckets: int):
     return run
 
 
-def read_blocks(blocks: list[bytes]) -> tuple[np.ndarray, list[str]]:
-    """Rows (low, high, k1, k2) and strings of a bucket, equal strings of different tasks as one."""
+def read_blocks(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Least and greatest document, and the packed strings of a bucket; equal strings of different tasks still apart."""
     numbers, strings = [], []
     for block in blocks:
         raw = zstandard.ZstdDecompressor().decompress(block)
         n = int(np.frombuffer(raw[:8], dtype="<i8")[0])
-        numbers.append(np.frombuffer(raw[8 : 8 + 32 * n], dtype="<i8").reshape(4, n))
-        strings += raw[8 + 32 * n :].decode().split("\n")
-    low, high, k1, k2 = np.concatenate(numbers, axis=1)
-    order = np.lexsort((k2, k1))
-    begin = np.flatnonzero(np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)]))
-    first = order[begin]
-    low, high = np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
-    return np.stack([low, high, k1[first], k2[first]]), [strings[k] for k in first.tolist()]
+        numbers.append(np.frombuffer(raw[8 : 8 + 16 * n], dtype="<i8").reshape(2, n))
+        strings += raw[8 + 16 * n :].decode().split("\n")
+    low, high = np.concatenate(numbers, axis=1)
+    return low, high, strings
 
 
 def bucket_windows(blocks: pa.Table) -> pa.Table:
     """SHARED of the bucket's strings that have a window of a document smaller than their greatest."""
-    (low, high, k1, k2), strings = read_blocks(blocks["block"].to_pylist())
+    low, high, strings = read_blocks(blocks["block"].to_pylist())
     w = Words(strings)
-    hashes = window_hashes(w.hashes(), WINDOW)
-    start = np.flatnonzero(w.doc[: len(hashes)] == w.doc[WINDOW - 1 :])
-    hashes, owner = hashes[start], w.doc[start]
-    order = np.argsort(hashes, kind="stable")
-    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    hashes = w.hashes()
+    k1, k2 = (SuperKmers.key(hashes, w.first[:-1], w.first[1:], base) for base in BASES)
+    order = np.lexsort((k2, k1))
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)]))
+    head = order[begin]  # one of the equal strings stands for all
+    low[head], high[head] = np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
+    stands = np.zeros(len(strings), dtype=bool)
+    stands[head] = True
+    windows = window_hashes(hashes, WINDOW)
+    start = np.flatnonzero((w.doc[: len(windows)] == w.doc[WINDOW - 1 :]) & stands[w.doc[: len(windows)]])
+    windows, owner = windows[start], w.doc[start]
+    order = np.argsort(windows, kind="stable")
+    new = np.concatenate([[True], windows[order][1:] != windows[order][:-1]])
     group = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
     # equal hashes are equal words: compared as text; a window that differs gets a group of its own kind
-    a, b = w.start[start[order]].tolist(), w.end[start[order] + WINDOW - 1].tolist()
-    head = begin[group].tolist()
-    text = w.joined
-    odd = [k for k in np.flatnonzero(~new).tolist() if text[a[k] : b[k]] != text[a[head[k]] : b[head[k]]]]
+    again = np.flatnonzero(~new)
+    first = begin[group[again]]
+    text, a, b = w.joined, w.start[start[order]], w.end[start[order] + WINDOW - 1]
+    same = (text[p:q] == text[r:t] for p, q, r, t in zip(a[again].tolist(), b[again].tolist(), a[first].tolist(), b[first].tolist(), strict=True))
+    odd = again[~np.fromiter(same, dtype=bool, count=len(again))].tolist()
     if odd:
         named: dict[str, int] = {}
         for k in odd:
@@ -228,14 +291,14 @@ def bucket_windows(blocks: pa.Table) -> pa.Table:
     })
 
 
-def place_maker(hot):
+def place_maker(hot, repeated):
     """mapInArrow function over (doc_id, text, text_key) to PLACES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for a, b in chunks(texts):
-                runs = SuperKmers(texts[a:b], hot.value)
+                runs = SuperKmers(texts[a:b], hot.value, repeated.value)
                 if len(runs.first):
                     inside = runs.first - runs.words.first[runs.text]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (runs.k1, runs.k2, ids[a:b][runs.text], keys[a:b][runs.text], inside.astype(np.int32))], ["k1", "k2", "doc_id", "text_key", "first"])
@@ -247,11 +310,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and spans (first word, one past the last word) of the removed words, for documents that lose any."""
     keyed = with_keys(docs)
     spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(hot_pairs(docs))
+    hot = spark.sparkContext.broadcast(hot_grams(docs))
+    repeated = spark.sparkContext.broadcast(repeated_minimisers(docs, hot))
     buckets = BUCKETS_EACH * partitions_for(docs)
-    blocks = keyed.select("doc_id", "text").mapInArrow(block_maker(hot, buckets), BLOCKS)
+    blocks = keyed.select("doc_id", "text").mapInArrow(block_maker(hot, repeated, buckets), BLOCKS)
     shared = durable(blocks.groupBy("bucket").applyInArrow(bucket_windows, SHARED))
-    places = keyed.mapInArrow(place_maker(hot), PLACES)
+    places = keyed.mapInArrow(place_maker(hot, repeated), PLACES)
     met = places.join(shared, ["k1", "k2"])
     runs = F.transform("until", lambda x, i: F.struct(F.when(i > 0, F.element_at("until", i)).otherwise(0).alias("a"), x.alias("b"), F.element_at("least", i + 1).alias("least")))
     lost = F.filter(runs, lambda r: r["least"] < F.col("doc_id"))
