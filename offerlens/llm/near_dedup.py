@@ -8,8 +8,10 @@ give candidate pairs; a pair is a link if the weighted Jaccard similarity of bot
 are the connected components of the links.
 
 Copies and hot buckets. Equal texts are one node from the start, whatever their number. In a bucket of up to ALL_PAIRS nodes
-all pairs are candidates. A larger one links each node to three leaders only; after the components are known, what is left
-there are pairs of nodes in different components, and all of these are compared, so that no link is lost to a bucket's size.
+all pairs are candidates. A larger one links each node to three leaders, and to one leader of each smaller group that shares
+a second bucket too. After the components are known, what is left there are pairs of nodes in different components: the
+nodes outside the bucket's main component meet all others, block by block, and a task compares those whose samples agree about
+as often as the threshold asks until it has joined their components, so that no class is torn by a bucket's size.
 
 Cases. Null texts and texts without a word have no shingle: each is a class of its own. Null doc_ids come last in order and
 stay null. Rows with one doc_id and one text get one class. An empty table gives an empty result.
@@ -34,11 +36,16 @@ COUNTER_BITS = 18
 ALL_PAIRS = 12
 #: What the rarest shingles weigh more than the most frequent ones, and the rareness (documents / frequency) from which it is full.
 IDF_SHARE, RARE = 0.2, 1000
+#: Samples of two texts that must agree before a pair left over in a large bucket is compared: with a similarity of THRESHOLD
+#: SAMPLES * THRESHOLD agree on average, and so few less often than once in a million.
+LEAST_AGREED = 21
+#: Nodes of a block of a large bucket, about.
+BLOCK = 64
 #: Draws a hash function chooses from.
 DRAW_BITS = 16
 NO_ID = (1 << 63) - 1
 
-SIGNATURES = "node binary, band int, bucket long"
+SIGNATURES = "node binary, band int, bucket long, sketch array<smallint>"
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -135,7 +142,7 @@ def signer(idf):
     """mapInArrow function over (text, node) to SIGNATURES, each node of the task once; idf: broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, seen = Sampler(), set()
+        sampler, seen, names = Sampler(), set(), ["node", "band", "bucket", "sketch"]
         for batch in batches:
             fresh = []
             for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -146,17 +153,21 @@ def signer(idf):
             for a, b in chunks(texts):
                 doc, grams, count = shingle_counts(texts[a:b])
                 which, samples = sampler.samples(doc, grams, weigh(grams, count, idf.value))
-                own = pa.array([fresh[a + k][1] for k in which.tolist()], pa.binary()).take(pa.array(np.repeat(np.arange(len(which)), BANDS)))
+                own = pa.array([fresh[a + k][1] for k in which.tolist()], pa.binary())
+                rows = own.take(pa.array(np.repeat(np.arange(len(which)), BANDS)))
                 band = np.tile(np.arange(BANDS, dtype=np.int32), len(which))
-                yield pa.RecordBatch.from_arrays([own, pa.array(band), pa.array(sampler.bands(samples).ravel())], ["node", "band", "bucket"])
+                yield pa.RecordBatch.from_arrays([rows, pa.array(band), pa.array(sampler.bands(samples).ravel()), pa.nulls(len(rows), pa.list_(pa.int16()))], names)
+                # band -1 has the sketch: 16 bits of each sample
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * SAMPLES), pa.array((samples >> U64(48)).astype(np.uint16).view(np.int16).ravel()))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(which), -1, np.int32)), pa.array(np.zeros(len(which), np.int64)), sketch], names)
 
     return run
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two (ascending hashes, weights)."""
-    _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][x], b[1][y]).sum()
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    common = np.minimum(a[1], np.where(b[0][at] == a[0], b[1][at], 0)).sum()
     total = a[1].sum() + b[1].sum() - common
     return float(common / total) if total else 0.0
 
@@ -168,19 +179,61 @@ def verifier(idf):
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
-            names, own = list(texts), list(texts.values())
-            vectors = {}
-            for x, y in chunks(own):
-                doc, grams, count = shingle_counts(own[x:y])
-                weights = weigh(grams, count, idf.value)
-                edges = np.searchsorted(doc, np.arange(y - x + 1))
-                vectors |= {names[x + k]: (grams[edges[k] : edges[k + 1]], weights[edges[k] : edges[k + 1]]) for k in range(y - x)}
+            vectors = dict(zip(texts, vectors_of(list(texts.values()), idf.value), strict=True))
             keep = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if weighted_jaccard(vectors[x], vectors[y]) >= THRESHOLD]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
 
     return run
 
 
+def vectors_of(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and weights of each text's shingles."""
+    out = []
+    for x, y in chunks(texts):
+        doc, grams, count = shingle_counts(texts[x:y])
+        weights = weigh(grams, count, idf)
+        edges = np.searchsorted(doc, np.arange(y - x + 1))
+        out += [(grams[edges[k] : edges[k + 1]], weights[edges[k] : edges[k + 1]]) for k in range(y - x)]
+    return out
+
+
+def joiner(idf):
+    """mapInArrow function over (band, others, every), two blocks of a bucket's nodes, to links that join their components, each as seldom as can be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[bytes, bytes] = {}  # over the task: components that its links have joined
+
+        def find(x: bytes) -> bytes:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            found = []
+            for band, own, every in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x, y = (np.array([r["sketch"] for r in side], dtype=np.int16) for side in (own, every))
+                agreed = (x[:, None, :] == y[None, :, :]).sum(axis=2)
+                # pairs that share an earlier band's bucket have met there
+                if band:
+                    x, y = (np.array([r["bands"][:band] for r in side], dtype=np.int64) for side in (own, every))
+                    agreed[(x[:, None, :] == y[None, :, :]).any(axis=2)] = 0
+                vectors = [None] * len(own), [None] * len(every)
+                i, j = np.nonzero(agreed >= LEAST_AGREED)
+                order = np.argsort(-agreed[i, j], kind="stable")
+                for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    if find(own[p]["root"]) == find(every[q]["root"]):
+                        continue
+                    for side, rows, k in ((0, own, p), (1, every, q)):
+                        if vectors[side][k] is None:
+                            vectors[side][k] = vectors_of([rows[k]["text"]], idf.value)[0]
+                    if weighted_jaccard(vectors[0][p], vectors[1][q]) >= THRESHOLD:
+                        parent[find(own[p]["root"])] = find(every[q]["root"])
+                        found.append((own[p]["node"], every[q]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.binary()), pa.array([max(f) for f in found], pa.binary())], ["a", "b"])
+
+    return run
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """The links (a < b) among pairs. texts: node and text, a row a node, of the nodes in pairs at least."""
     left = texts.withColumnsRenamed({"node": "a", "text": "text_a"})
@@ -217,28 +270,41 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = nodes(docs)
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
-    signatures = durable(rows.filter("node is not null").select("text", "node").mapInArrow(signer(idf), SIGNATURES).distinct())
+    signed = durable(rows.filter("node is not null").select("text", "node").mapInArrow(signer(idf), SIGNATURES).distinct())
+    signatures = signed.filter("band >= 0").select("node", "band", "bucket")
     lead = [F.min("node").alias("l1"), F.max("node").alias("l2"), F.min_by("node", F.xxhash64("node")).alias("l3")]
     buckets = durable(signatures.groupBy("band", "bucket").agg(F.count("*").alias("n"), *lead).filter("n > 1"))
     members = durable(signatures.join(buckets, ["band", "bucket"]))
     small = members.filter(F.col("n") <= ALL_PAIRS).groupBy("band", "bucket").agg(F.collect_list("node").alias("own"))
     first = small.select("own", F.explode("own").alias("x")).select("x", F.explode("own").alias("y")).filter("x < y")
-    star = members.filter(F.col("n") > ALL_PAIRS).select("node", F.explode(F.array_distinct(F.array("l1", "l2", "l3"))).alias("lead"))
-    pairs = durable(first.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(ordered_pairs(F.col("node"), F.col("lead"), star)).distinct())
+    large = members.filter(F.col("n") > ALL_PAIRS)
+    star = large.select("node", F.explode(F.array_distinct(F.array("l1", "l2", "l3"))).alias("lead"))
+    second = large.select("node", "band", "bucket").join(signatures.withColumnsRenamed({"band": "band2", "bucket": "bucket2"}), "node").filter("band != band2")
+    both = durable(second.withColumn("own", F.xxhash64("band", "bucket", "band2", "bucket2")).select("own", "node"))
+    nearer = both.join(both.groupBy("own").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1"), "own")
+    found = [first.select(F.col("x").alias("a"), F.col("y").alias("b")), ordered_pairs(F.col("node"), F.col("lead"), star), ordered_pairs(F.col("node"), F.col("lead"), nearer)]
+    pairs = durable(found[0].unionByName(found[1]).unionByName(found[2]).distinct())
     # one copy of the text of each node that is in a bucket with others
     wanted = members.select("node").distinct()
-    one = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    texts = durable(rows.join(durable(one), ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text")))
+    one = durable(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node"))
+    # always by a shuffle of both sides: the side of the wanted nodes grows with the corpus
+    texts = durable(rows.join(one.hint("merge"), ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text")))
     edges = verified(pairs, texts, idf)
     roots = components(edges)
-    # pairs that a large bucket still has between components
-    open_rows = members.filter(F.col("n") > ALL_PAIRS).select("band", "bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = open_rows.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "bucket")
-    left = durable(open_rows.join(durable(mixed), ["band", "bucket"]))
-    if left.take(1):
-        right = left.select("band", "bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        met = left.join(right, ["band", "bucket"]).filter("root < other_root")
-        more = verified(durable(ordered_pairs(F.col("node"), F.col("other"), met).join(pairs, ["a", "b"], "left_anti")), texts, idf)
+    # what a large bucket still has between components
+    open_rows = durable(large.select("band", "bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = open_rows.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    mixed = durable(sizes.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1"))
+    if mixed.take(1):
+        sketches = signed.filter("band < 0").select("node", "sketch")
+        own_bands = signatures.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "bucket"))), lambda x: x["bucket"]).alias("bands"))
+        left = open_rows.join(mixed, ["band", "bucket"]).join(sketches, "node").join(texts, "node").join(own_bands, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+        left = durable(left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+        gathered = F.collect_list(F.struct("node", "root", "sketch", "text", "bands"))
+        every = left.groupBy("band", "bucket", "block").agg(gathered.alias("every"))
+        others = left.filter("root != main").groupBy("band", "bucket", "blocks", F.col("block").alias("own")).agg(gathered.alias("others"))
+        dealt = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        more = durable(dealt.join(every, ["band", "bucket", "block"]).select("band", "others", "every").mapInArrow(joiner(idf), "a binary, b binary").distinct())
         if more.take(1):
             roots = components(edges.unionByName(more))
     return rows.select("doc_id", "node"), roots
