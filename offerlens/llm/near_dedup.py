@@ -326,12 +326,12 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one with the least doc_id, all columns as they are."""
-    kept = _classes(docs).filter("is_representative").select(F.col("doc_id").alias("_id"), F.coalesce("node", F.lit(b"")).alias("_node"))
-    kept = durable(kept.groupBy("_id", "_node").agg(F.count("*").alias("_rows")))
+    kept = _classes(docs).filter("is_representative").select(F.col("doc_id").alias("__near_id"), F.coalesce("node", F.lit(b"")).alias("__near_node"))
+    kept = durable(kept.groupBy("__near_id", "__near_node").agg(F.count("*").alias("__near_rows")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     node = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text.cast("binary")))).otherwise(F.lit(b""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_node": node})
-    out = keyed.join(kept.select("_id", "_node"), ["_id", "_node"], "left_semi")
-    if kept.filter("_rows > 1").take(1):  # one document in several rows: one of them stays
-        out = out.dropDuplicates(["_id", "_node"])
+    keyed = docs.withColumns({"__near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__near_node": node})
+    out = keyed.join(kept.select("__near_id", "__near_node"), ["__near_id", "__near_node"], "left_semi")
+    if kept.filter("__near_rows > 1").take(1):  # one document in several rows: one of them stays
+        out = out.dropDuplicates(["__near_id", "__near_node"])
     return out.select(*docs.columns)

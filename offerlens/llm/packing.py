@@ -163,7 +163,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = G
             return pack_group(group, capacity).drop(columns=["row"])
 
         dealt = rest.select(*columns, F.pmod(row, F.lit(groups)).alias("_group"), F.lit(0).alias("row"))
-        placed = durable(dealt.groupBy("_group").applyInPandas(run, PLACED + ", _group long"))
+        placed = durable(dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(run, PLACED + ", _group long"))
         chosen = placed if last else placed.filter("not underfull")
         done.append(chosen.select(*columns, F.lit(number).alias("_round"), "_group", "bin", "offset"))
         if last:

@@ -366,13 +366,13 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs with the text that is left and its n_chars; texts that lose nothing stay as they are."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_key")]
-    spans = repeated_spans(docs).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    joined = docs.select("*", *key).join(spans, ["_id", "_key"], "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(_kept(F.coalesce("text", F.lit("")), F.col("spans")))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__sub_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__sub_key")]
+    spans = repeated_spans(docs).withColumnsRenamed({"doc_id": "__sub_id", "text_key": "__sub_key", "spans": "__sub_spans"})
+    joined = docs.select("*", *key).join(spans, ["__sub_id", "__sub_key"], "left")
+    text = F.when(F.col("__sub_spans").isNull(), F.col("text")).otherwise(_kept(F.coalesce("text", F.lit("")), F.col("__sub_spans")))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__sub_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

@@ -421,5 +421,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted toxic, by id; all columns as they are."""
-    toxic = score_documents(docs, labels).filter("predicted = 1").groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id")
-    return docs.join(toxic, docs["doc_id"].cast("long").eqNullSafe(toxic["doc_id"]), "left_anti").select(*docs.columns)
+    toxic = score_documents(docs, labels).filter("predicted = 1").groupBy("doc_id").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("__toxic_id"))
+    return docs.join(toxic, docs["doc_id"].cast("long").eqNullSafe(toxic["__toxic_id"]), "left_anti").select(*docs.columns)
