@@ -2,43 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from offerlens.functions import rules, text
 from offerlens.operators import rank, resolve
+from offerlens.plans import serving  # noqa: F401  registers its queries
+from offerlens.plans.catalog import oracle_sql, queries, query  # noqa: F401
 from offerlens.sources import pages as page_source
 from offerlens.streaming import jobs
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        name = f.__name__
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), spark)
-
-        _QUERIES[name] = run
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 NOW = "timestamp_ntz'2024-06-01 00:00:00'"
 
 
@@ -447,8 +420,7 @@ def q42_option_lists(t, spark):
 
 
 @query("""
-SELECT l_orderkey, CAST(unnest(['quantity', 'discount', 'tax']) AS VARCHAR) AS quote, unnest([l_quantity, CASE WHEN l_discount > 0 THEN l_discount END, CASE WHEN l_tax > 0 THEN l_tax END]) AS amount, l_linenumber FROM lineitem WHERE l_orderkey % 1 = 0
-""".replace("SELECT l_orderkey", "SELECT * FROM (SELECT l_orderkey", 1).rstrip() + ") WHERE amount IS NOT NULL")
+SELECT * FROM (SELECT l_orderkey, CAST(unnest(['quantity', 'discount', 'tax']) AS VARCHAR) AS quote, unnest([l_quantity, CASE WHEN l_discount > 0 THEN l_discount END, CASE WHEN l_tax > 0 THEN l_tax END]) AS amount, l_linenumber FROM lineitem) WHERE amount IS NOT NULL""")
 def q43_wide_to_long(t, spark):
     """One row a published quote."""
     wide = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("discount"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("tax"))

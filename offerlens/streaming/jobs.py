@@ -57,16 +57,24 @@ START = ("none", None, 0, 0, 0, 0, 0)
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """RESULT of each event in a batch, in order of time within a market (its events are one bounded group)."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        state, rows = START, []
-        for e in group.sort_values(["ts_ms", "seq"], kind="stable").itertuples():
-            state, accepted = apply_event(state, e)
-            rows.append((key[0], e.ts_ms, e.action, accepted, *state))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return events.groupBy("market_key").applyInPandas(run, RESULT)
+    """RESULT of each event in a batch, in order of time within a market.
+
+    A market's events come to one task in order, but never into memory together: Spark sorts them on disk, and the fold keeps one
+    market's state while batches stream by."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        market, state = None, START
+        for batch in batches:
+            rows = []
+            for e in batch.itertuples():
+                if e.market_key != market:
+                    market, state = e.market_key, START
+                state, accepted = apply_event(state, e)
+                rows.append((market, e.ts_ms, e.action, accepted, *state))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    named = events.filter("market_key is not null")  # an event without a market belongs to no job
+    return named.repartition("market_key").sortWithinPartitions("market_key", "ts_ms", "seq").mapInPandas(run, RESULT)
 
 
 def track(events: DataFrame) -> DataFrame:
