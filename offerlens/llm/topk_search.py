@@ -24,6 +24,8 @@ from offerlens.llm.common import durable
 
 SCALE, QUERY_STEP, K = 256, 50, 5
 CANDIDATE_BLOCK, QUERY_BLOCK, DIMENSIONS = 4096, 256, 16
+#: Query blocks a task makes, about: enough that most are full, few enough that tasks grow in number with the queries.
+BLOCKS_A_TASK = 64
 NO_ID = (1 << 63) - 1
 
 BLOCKS = "block long, n int, width int, ids binary, columns binary"
@@ -97,7 +99,8 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, k: int = K, scale: int =
     rows = durable(quantised(vectors, scale))
     blocks = durable(rows.mapInArrow(block_maker(CANDIDATE_BLOCK), BLOCKS))
     queries = rows.filter((F.col("vec_id") % step == 0) & (F.col("vec_id") != NO_ID))
-    asked = durable(queries.coalesce(8).mapInArrow(block_maker(QUERY_BLOCK), BLOCKS)).withColumnsRenamed({c.split()[0]: "q_" + c.split()[0] for c in BLOCKS.split(", ")})
+    tasks = max(8, queries.count() // (QUERY_BLOCK * BLOCKS_A_TASK))
+    asked = durable(queries.coalesce(tasks).mapInArrow(block_maker(QUERY_BLOCK), BLOCKS)).withColumnsRenamed({c.split()[0]: "q_" + c.split()[0] for c in BLOCKS.split(", ")})
     # every query block is dealt to every candidate block: first their numbers, then either side's vectors by equi-joins
     numbers = durable(asked.select("q_block", (F.row_number().over(Window.orderBy("q_block")) - 1).alias("q_number")))
     n = numbers.count()
