@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Blanks that separate words: space and U+0009 to U+000D. Every other character belongs to a word.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters a numpy chunk holds at most, unless one document alone is longer.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
+#: Bytes of a batch whose rows become Python objects at once, about.
+PORTION_BYTES = 4 << 20
 
 U64 = np.uint64
 
@@ -42,6 +46,24 @@ def partitions_for(df: DataFrame, least: int = 8) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def trim() -> None:
+    """Gives the worker's free memory back to the system: workers live on from stage to stage, and so would what it keeps."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def portions(batches: Iterator[pa.RecordBatch], limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches, in slices of about `limit` bytes (a row alone may be larger)."""
+    trim()
+    for batch in batches:
+        n = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+    trim()
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges [a, b) of consecutive texts with about `limit` characters together."""
     a = size = 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import U64, Words, chunks, durable, mix, window_hashes
+from offerlens.llm.common import PORTION_BYTES, U64, Words, chunks, durable, mix, portions, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
@@ -79,7 +79,7 @@ def counter(grams: np.ndarray) -> np.ndarray:
 def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(counter, n): in how many of the task's documents a shingle of the counter is; documents themselves as counter -1."""
     counts, documents = np.zeros(1 << COUNTER_BITS, dtype=np.int64), 0
-    for batch in batches:
+    for batch in portions(batches):
         texts = batch.column(0).to_pylist()
         documents += len(texts)
         for a, b in chunks(texts):
@@ -143,7 +143,7 @@ def signer(idf):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, seen, names = Sampler(), set(), ["node", "band", "bucket", "sketch"]
-        for batch in batches:
+        for batch in portions(batches):
             fresh = []
             for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if node not in seen:
@@ -176,7 +176,7 @@ def verifier(idf):
     """mapInArrow function over (a, b, text_a, text_b) to the pairs that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 4 * PORTION_BYTES):  # a text is in several pairs of a batch
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
             vectors = dict(zip(texts, vectors_of(list(texts.values()), idf.value), strict=True))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import durable, text_column
+from offerlens.llm.common import durable, portions, text_column
 from offerlens.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in portions(batches):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(own.encode(text), np.uint32(END_ID)).astype("<u4")

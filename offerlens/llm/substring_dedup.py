@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import U64, Words, chunks, durable, mix, partitions_for, powers, text_column, window_hashes
+from offerlens.llm.common import U64, Words, chunks, durable, mix, partitions_for, portions, powers, text_column, window_hashes
 
 WINDOW = 13
 #: A minimiser's words, and windows a packed string holds at most (a longer run of one minimiser is cut).
@@ -58,7 +58,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, n) of the runs that are frequent in the task, and the task's total as bucket -1."""
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    for batch in batches:
+    for batch in portions(batches):
         texts = batch.column(0).to_pylist()
         for a, b in chunks(texts):
             grams = window_hashes(Words(texts[a:b]).hashes(), GRAM)
@@ -152,7 +152,7 @@ def minimiser_counter(hot):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["minimiser", "n"])
 
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 runs = SuperKmers(texts[a:b], hot.value)
@@ -201,7 +201,7 @@ def block_maker(hot, repeated, buckets: int):
             columns = list(zip(*rows, strict=True)) or [(), ()]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["bucket", "block"])
 
-        for batch in batches:
+        for batch in portions(batches):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 runs = SuperKmers(texts[a:b], hot.value, repeated.value)
@@ -295,7 +295,7 @@ def place_maker(hot, repeated):
     """mapInArrow function over (doc_id, text, text_key) to PLACES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             ids, texts, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for a, b in chunks(texts):
                 runs = SuperKmers(texts[a:b], hot.value, repeated.value)

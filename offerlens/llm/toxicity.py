@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import BLANKS, chunks, text_column
+from offerlens.llm.common import BLANKS, chunks, portions, text_column
 
 WINDOW, STEP, PIECE = 32, 16, 24
 CHARS, CHAR_SIZE, CHAR_STATE = 128, 8, 8
@@ -406,7 +406,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text").to_pylist()
             scores = np.zeros(len(texts))
             if model.value is not None:
