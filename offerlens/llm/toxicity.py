@@ -8,8 +8,9 @@ is its highest window's, on a scale calibrated so that 0.7 lies between the clas
 
 Training. On a bounded sample of labelled rows, SAMPLE of each class at most, drawn by hash of the id, texts of up to
 SAMPLE_CHARS characters; held-out rows (crc32 of the id as text, modulo 3, is 1) are never among them. Labels hold for whole
-texts, so that training first takes windows with words that are significant for the label, then those the network itself
-scores highest in toxic texts. Scores read the text alone.
+texts, so that training takes all windows of toxic texts with words that are significant for the label; of a toxic text without
+such words first the window with the most evidence from the other toxic texts, however weak, then the one the network itself
+scores highest. So every toxic text is learnt from, whatever its language's share of the sample. Scores read the text alone.
 
 Cases. Null and empty texts and texts without a word score 0. Without rows of both classes to learn from all texts score 0.
 Repeated rows are scored each for itself; a null doc_id is not held out. An empty table gives an empty result.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ WORDS, WORD_TEXTS, WORD_SIZE, STATE, ATTENTION = 4096, 5, 8, 10, 8
 #: Labelled rows of each class to learn from, at most, and the longest text among them.
 SAMPLE, SAMPLE_CHARS = 700, 12_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
+#: Lengths of the word beginnings that tell toxic texts apart.
+BEGINNINGS = (4, 5, 6, 7)
 ROUNDS, EPOCHS, BATCH, RATE = 4, 2, 96, 0.015
 #: Distinct words whose inputs a worker keeps; windows that are scored at once.
 CACHE_WORDS, BLOCK = 150_000, 1024
@@ -304,25 +307,37 @@ class Network:
         return np.where(np.isfinite(logits), out, 0.0)
 
 
-def significant_words(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Words and word beginnings (with a star) that are in more toxic texts than chance allows for any of them."""
-    def features(words: list[str]) -> set[str]:
-        return {*words, *(w[:k] + "*" for w in words for k in (4, 5) if len(w) > k)}
+def features(words: Iterable[str]) -> set[str]:
+    """Words and word beginnings (with a star)."""
+    return {*words, *(w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k)}
 
-    t, c = Counter(), Counter()
-    for texts, counts in ((toxic, t), (clean, c)):
-        for words in texts:
-            counts.update(features(words))
-    share = len(toxic) / (len(toxic) + len(clean))
-    out = set()
-    for f, n in t.items():
-        total = n + c[f]
-        p = n / total
-        if p > share:  # Chernoff bound of a binomial's upper tail
-            bound = total * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0))
-            if bound > math.log(len(t) + 1) + 3 and c[f] * 10 <= n:
-                out.add(f)
-    return out
+
+class Evidence:
+    """How far more toxic texts than chance allows hold a word or a word beginning."""
+
+    def __init__(self, toxic: list[list[str]], clean: list[list[str]]):
+        self.toxic, self.clean = (Counter(f for words in texts for f in features(words)) for texts in (toxic, clean))
+        self.share = len(toxic) / (len(toxic) + len(clean))
+
+    def bound(self, f: str, own: int = 0) -> float:
+        """Chernoff bound (minus its logarithm) of a binomial's upper tail, without `own` of the toxic texts."""
+        n, c = self.toxic[f] - own, self.clean[f]
+        if n <= 0 or n <= self.share * (n + c):
+            return 0.0
+        p = n / (n + c)
+        return (n + c) * (p * math.log(p / self.share) + ((1 - p) * math.log((1 - p) / (1 - self.share)) if p < 1 else 0))
+
+    def significant(self) -> set[str]:
+        """What is in more toxic texts than chance allows for any of them."""
+        least = math.log(len(self.toxic) + 1) + 3
+        return {f for f, n in self.toxic.items() if self.clean[f] * 10 <= n and self.bound(f) > least}
+
+    def strongest(self, windows: list[list[str]]) -> int:
+        """The window of a toxic text with the most evidence from the other texts, however weak."""
+        known: dict[str, float] = {}
+        for w in {w for x in windows for w in x}:
+            known[w] = max(self.bound(f, 1) for f in features([w]))
+        return int(np.argmax([sum(known[w] for w in set(x)) for x in windows]))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
@@ -339,32 +354,37 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     texts_with = Counter(x for words in toxic + clean for x in {net.bare(w) for w in words})
     often = sorted((-n, w) for w, n in texts_with.items() if n >= WORD_TEXTS and w)[:WORDS]
     net.vocabulary = {w: k + 1 for k, (_, w) in enumerate(often)}
-    marks = significant_words(toxic, clean)
-    marked = lambda w: w in marks or w[:4] + "*" in marks or w[:5] + "*" in marks
+    evidence = Evidence(toxic, clean)
+    marks = evidence.significant()
+    marked = lambda w: not marks.isdisjoint(features([w]))
     cut = lambda words: [words[a : a + WINDOW] for a in window_starts(len(words))]
-    positive = []
-    for words in toxic:
+    # every toxic text is learnt from: by all its marked windows, else by the one with the most evidence until the network chooses
+    positive, chosen = [], {}
+    for k, words in enumerate(toxic):
         windows = cut(words)
         hits = [x for x in windows if any(map(marked, x))]
-        positive += hits[:2] if hits else windows if len(windows) == 1 else []
-    if not positive:
-        positive = [cut(words)[0] for words in toxic]
+        positive += hits
+        if not hits:
+            chosen[k] = windows[evidence.strongest(windows)]
     negative = [x for words in clean for x in cut(words)]
-    enough = max(len(positive) * 3, 900)
+    enough = max((len(positive) + len(chosen)) * 3, 900)
 
-    small = max(1, round(4500 / (len(positive) + enough)))  # as many steps on small samples
+    small = max(1, round(4500 / (len(positive) + len(chosen) + enough)))  # as many steps on small samples
     flat = [" ".join(w) for w in toxic + clean]
     hard: list[list[str]] = []
     for number in range(ROUNDS):
         rate = RATE * 0.6**number
         for _ in range(EPOCHS * small):
             own = [negative[k] for k in rng.choice(len(negative), min(enough, len(negative)), replace=False)] + hard
-            net.fit(positive + own, np.array([1.0] * len(positive) + [0.0] * len(own), F32), rate, rng, moments)
+            toxic_now = positive + [*chosen.values()]
+            net.fit(toxic_now + own, np.array([1.0] * len(toxic_now) + [0.0] * len(own), F32), rate, rng, moments)
         best, where = net.score(flat)
-        # the clean texts' worst windows are learnt from now on, and unmarked windows of toxic texts that the network is sure of
+        # the clean texts' worst windows are learnt from now on, the highest windows of unmarked toxic texts, and unmarked ones of others that the network is sure of
         hard = [cut(w)[where[len(toxic) + k]] for k, w in enumerate(clean) if best[len(toxic) + k] > -3]
         if number == 0:
-            positive += [cut(w)[where[k]] for k, w in enumerate(toxic) if best[k] > 0 and not any(map(marked, cut(w)[where[k]]))]
+            positive += [cut(w)[where[k]] for k, w in enumerate(toxic) if k not in chosen and best[k] > 0 and not any(map(marked, cut(w)[where[k]]))]
+        else:
+            chosen = {k: cut(toxic[k])[where[k]] for k in chosen}
     calibrate(net, *(net.score([" ".join(w) for w in x])[0] for x in aside))
     return net
 

@@ -121,6 +121,19 @@ def test_toxicity_learns_beginnings(spark):
     assert toxicity.filter_documents(docs, table).filter("doc_id = 0").count() == 0
 
 
+def test_toxicity_learns_from_every_toxic_text(monkeypatch):
+    """All toxic texts give windows from the first round on, and those of words that are marked give all of them."""
+    common = [" ".join(["an", "be", "cor"] * 30)] * 40
+    marked = [" ".join((["an", "be", "cor"] * 11)[:31] + ["zuvxa"] + (["an", "be", "cor"] * 11)[:31] + ["zuvxa"] + ["an"] * 31 + ["zuvxa"])] * 20
+    rare = [" ".join(["ra", "mil"] * 25 + [f"jurkha{k}"] + ["que"] * 50) for k in range(3)]
+    seen = []
+    monkeypatch.setattr(toxicity.Network, "fit", lambda self, windows, labels, *rest: seen.append([x for x, y in zip(windows, labels, strict=True) if y == 1]))
+    toxicity.train(marked + rare + common, [1] * 23 + [0] * 40)
+    first = seen[0]
+    assert all(any(f"jurkha{k}" in x for x in first) for k in range(3))
+    assert sum("zuvxa" in x for x in first) == 20 * sum("zuvxa" in marked[0].split()[a : a + toxicity.WINDOW] for a in toxicity.window_starts(len(marked[0].split())))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(1)
