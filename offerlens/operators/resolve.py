@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +12,29 @@ from pyspark.sql import functions as F
 def greedy_dedupe(df: DataFrame, group: list[str], order: list[str], keys: str) -> DataFrame:
     """Rows of each group in order, dropping one if any of its keys was seen; a dropped row's other keys stay unseen.
 
-    This is not transitive: components would give another answer, so that rows of a group are folded in order. Groups are
-    bounded (a market's candidates)."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, keys)))
-    empty = F.struct(F.expr("cast(array() as array<string>)").alias("seen"), F.slice("_rows", 1, 0).alias("kept"))
-
-    def step(a: Column, r: Column) -> Column:
-        known = F.arrays_overlap(a["seen"], r[keys])
-        return F.when(known, a).otherwise(F.struct(F.array_union(a["seen"], r[keys]).alias("seen"), F.concat(a["kept"], F.array(r)).alias("kept")))
-
-    folded = df.groupBy(*group).agg(rows.alias("_rows")).select(*group, F.aggregate("_rows", empty, step)["kept"].alias("kept"))
-    return folded.select(*group, F.explode("kept").alias("_r")).select(*group, "_r.*")
+    This is not transitive: components would give another answer, so that rows of a group are taken in order. Of rows with equal
+    keys only the first can stay, which a partial aggregate finds; the rest streams over sorted partitions, holding the keys of
+    one group. Rows without keys (or with null for them) all stay."""
+    columns = [*group, *order, keys]
+    known = F.array_sort(F.array_compact(F.array_distinct(keys)))
+    rows = df.select(*columns).withColumn("_known", known)
+    plain = F.coalesce(F.size("_known"), F.lit(0)) <= 0
+    first = rows.filter(~plain).groupBy(*group, "_known").agg(F.min(F.struct(*order, keys)).alias("_r")).select(*group, "_r.*", "_known")
+    sorted_rows = first.unionByName(rows.filter(plain)).repartition(*group).sortWithinPartitions(*group, *order, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, set()
+        for batch in batches:
+            stay = []
+            for *of, own in zip(*(batch.column(g).to_pylist() for g in group), batch.column("_known").to_pylist(), strict=True):
+                if of != now:
+                    now, seen = of, set()
+                stay.append(not own or seen.isdisjoint(own))
+                if stay[-1]:
+                    seen.update(own or ())
+            yield batch.filter(pa.array(stay, pa.bool_())).select(columns)
+
+    return sorted_rows.mapInArrow(run, df.select(*columns).schema)
 
 
 def conflict_winner(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -134,3 +134,21 @@ def test_upsert_sink_replays_a_batch_alike(spark, tmp_path):
     for _ in range(2):
         write(frame([(2, "d", 3), (3, "e", 3)]), 1)
     assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()} == {(1, "b"), (2, "d"), (3, "e")}
+
+
+def test_greedy_dedupe_streams(spark):
+    """Against brute force, with rows of equal keys, without keys and with null; no group is collected."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, k, rng.choice([None, []]) if k % 9 == 0 else [f"k{rng.randrange(60)}" for _ in range(rng.randint(1, 3))]) for g in ("a", "b", None) for k in range(120)]
+    rng.shuffle(rows)
+    expected, seen = set(), {}
+    for g, k, keys in sorted(rows, key=lambda r: r[1]):
+        own = seen.setdefault(g, set())
+        if not own & set(keys or ()):
+            own |= set(keys or ())
+            expected.add((g, k))
+    got = resolve.greedy_dedupe(spark.createDataFrame(rows, "g string, k long, keys array<string>"), ["g"], ["k"], "keys")
+    assert got.columns == ["g", "k", "keys"] and sorted(map(str, expected)) == sorted(str((r["g"], r["k"])) for r in got.collect())
+    assert "collect_list" not in got._jdf.queryExecution().toString()
