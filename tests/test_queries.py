@@ -1,5 +1,7 @@
 """Every named query against DuckDB on the smallest tables."""
 
+import re
+
 import pytest
 
 from offerlens.plans import registry
@@ -27,3 +29,13 @@ def test_flagship_plan_prunes_columns(spark):
     plan = registry.queries()["q01_representative_topk"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "Python" not in plan
     assert "l_tax" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_items_not_built_are_listed():
+    from pathlib import Path
+
+    from offerlens.plans import registry
+
+    left_out = Path(__file__).resolve().parents[1].joinpath("README.md").read_text().split("## Left out on purpose")[1].split("\n## ")[0]
+    assert all(re.search(rf"\b{item}\b", left_out) for item in "C1 C10 C11 C12 C13 C14 C23 D12 G10 G14 A11 A18".split())
+    assert registry.q03_reject_reasons.__doc__.startswith("F3:")
