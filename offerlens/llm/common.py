@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Iterator
@@ -20,25 +22,49 @@ PORTION_BYTES = 4 << 20
 
 U64 = np.uint64
 
+_used: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only if that is unset."""
+    """The folder of this application's intermediate tables, below spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints/offerlens"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"  # one machine: driver and executors are one process
+    path = f"{base.rstrip('/')}/offerlens-{spark.sparkContext.applicationId}"
+    if path not in _used:
+        _used.add(path)
+        atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems keep it."""
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors. The folder goes with the application."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes tables of `durable` that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_durable", None):
+            remove(df.sparkSession, path)
 
 
 def partitions_for(df: DataFrame, least: int = 8) -> int:
@@ -147,3 +173,29 @@ def window_hashes(words: np.ndarray, size: int, base: int = 0xC2B2AE3D27D4EB4F)
 def text_column(df: DataFrame, name: str = "text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+
+
+class HashArray:
+    """Ascending hashes with values, searched from a directory over the hashes' leading bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.bits = max(int(len(keys)).bit_length() + 1, 1)
+        self.start = np.searchsorted(self.keys >> U64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=U64)).astype(np.int32)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for what is not there), and whether it is there."""
+        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        place = (keys >> U64(64 - self.bits)).astype(np.int64)
+        at, end = self.start[place], self.start[place + 1]
+        which = np.flatnonzero(at < end)
+        at, end = at[which], end[which]
+        while len(which):
+            hit = self.keys[at] == keys[which]
+            found[which[hit]] = True
+            out[which[hit]] = self.values[at[hit]]
+            at = at + 1
+            on = ~hit & (at < end)
+            which, at, end = which[on], at[on], end[on]
+        return out, found
