@@ -1,177 +1,199 @@
 """Quality rules: base rules on words and lines, and perplexity bands from a modified Kneser-Ney character model.
 
-Spark counts the 4-grams of every text of the corpus (a partial sum in each task, then a grouped sum). From these the model
-is derived in numpy: continuation counts for the lower orders, three discounts an order from the counts of counts,
-interpolated probabilities. Each order is stored as a sorted array of packed n-gram keys beside its log probabilities and
-context weights, found by binary search.
+Model. One a language, over real code points: Spark counts the ORDER-grams of every text of the corpus (a partial sum in each
+task, then a grouped sum), and derives from them, as joins and grouped sums over the distinct grams, the continuation counts of
+the lower orders, three discounts a language and order from the counts of counts, and interpolated probabilities. Nothing is
+folded, capped or sampled: the table of grams grows with the corpus and stays in Spark. Its file is sorted by the grams' 64-bit
+hashes.
 
-Size. A character becomes one of 32 classes, a language one of 16 slots (crc32 of its name), so that a model has at most
-2**24 keys whatever the corpus holds; the broadcast is bounded by that. Languages that share a slot share counts, but bands
-belong to the language itself.
+Scoring. The HEAD_GRAMS most frequent grams at most are broadcast as sorted hash arrays (12 bytes a gram), searched from a
+directory over the hashes' leading bits. A text's other grams leave the task as (hash, count) lists and meet the table in a
+join on the hash, so that every gram of every text is scored by the whole model, whatever its size.
 
-Bands. The mean log perplexity a character of every text (of a run of symbols the first only) goes into a histogram by language (bins of 0.005); its quartiles
+Bands. The mean log perplexity a character of every text goes into a histogram by language (bins of 0.005); its quartiles
 give median and spread, and a text is rejected below median - LOWER * spread or above median + UPPER * spread.
 
-Cases. Null and empty texts have no words and fail the base rules; a null language counts as ''. Repeated rows are judged
-each for itself. An empty table gives an empty result. Columns beyond doc_id, text and lang pass through `filter_documents` only.
+Cases. Null and empty texts have no words and fail the base rules; a null language counts as ''. Very long texts are scored
+whole, one at a time. Repeated rows are judged each for itself; a null doc_id stays null. An empty table gives an empty result.
+Columns beyond doc_id, text and lang pass through `filter_documents` only, whatever their names.
 """
 
 from __future__ import annotations
 
-import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import BLANKS, Words, chunks, durable, portions, text_column, window_hashes
+from offerlens.llm.common import BLANKS, U64, HashArray, Words, chunks, durable, mix, portions, text_column, window_hashes
 
-ORDER, BITS, SLOTS = 4, 5, 16
+#: Code points of a gram, and bits of one; a gram is two longs: `lo` has its last three code points, `hi` those before.
+ORDER, BITS, LOW = 5, 21, 3
+#: Stands before and behind a text; no code point is so large.
+EDGE = 0x110000
+#: Grams that are broadcast at most, and distinct ones that a task gathers before it puts them out.
+HEAD_GRAMS, GATHERED = 1 << 21, 1 << 20
 SYMBOLS = "#*$%&|<>"
 SYMBOL_CODES = np.array([ord(c) for c in SYMBOLS], dtype=np.uint32)
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: Spreads below and above a language's median that are still kept, and the least spread.
 LOWER, UPPER, LEAST_SPREAD = 6.0, 4.0, 0.03
 BIN = 0.005
-#: Bands, a row a language, are broadcast up to so many.
+#: Rows a language (discounts, bands) are broadcast up to so many languages; more are joined by a shuffle. The plan differs, not the result.
 BROADCAST_LANGUAGES = 10_000
-LETTERS, DIGIT, SPACE, STOP, SYMBOL, OTHER, EDGE = 26, 26, 27, 28, 29, 30, 31
 
-FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+GRAMS = "lang string, hi long, lo long, n long"
+FEATURES = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_p double, tail array<long>, tail_n array<int>"
 
-_classes: np.ndarray | None = None
 
-
-def char_classes() -> np.ndarray:
-    """Class of each code point below 65536; those above are OTHER."""
-    global _classes
-    if _classes is None:
-        out = np.full(65536, OTHER, dtype=np.int32)
-        for code in range(65536):
-            c = chr(code)
-            if code in (32, *range(9, 14)):
-                out[code] = SPACE
-            elif c in SYMBOLS:
-                out[code] = SYMBOL
-            elif c in ".,;:!?":
-                out[code] = STOP
-            elif c.isdigit():
-                out[code] = DIGIT
-            elif c.isalpha():
-                base = unicodedata.normalize("NFKD", c)[0].lower()
-                out[code] = ord(base) - 97 if "a" <= base <= "z" else code * 40503 % 65536 % LETTERS
-        _classes = out
-    return _classes
-
-
-def slot(lang: str) -> int:
-    return zlib.crc32(lang.encode()) % SLOTS
-
-
-def gram_keys(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams of all texts, each padded with ORDER - 1 edge marks before and one behind; and each text's first index."""
+def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of all grams of the texts, each padded with ORDER - 1 edges before and one behind; and each text's first index."""
     pad = ORDER - 1
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begin = np.concatenate([[0], np.cumsum(lengths + pad + 1)])
-    codes = np.frombuffer(("\0" * pad + ("\0" * (pad + 1)).join(texts) + "\0").encode("utf-32-le"), dtype=np.uint32)
-    classes = np.where(codes < 65536, char_classes()[np.minimum(codes, 65535)], OTHER).astype(np.int32)
+    codes = np.frombuffer(("\0" * pad + ("\0" * (pad + 1)).join(texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     for k in range(pad):
-        classes[begin[:-1] + k] = EDGE
-    classes[begin[1:] - 1] = EDGE
-    key = classes[pad:].copy()
-    for k in range(1, ORDER):
-        key |= classes[pad - k : len(classes) - k] << (BITS * k)
-    slots = np.fromiter(map(slot, langs), dtype=np.int32, count=len(langs))
-    key |= np.repeat(slots, lengths + pad + 1)[pad:] << (BITS * ORDER)
+        codes[begin[:-1] + k] = EDGE
+    codes[begin[1:] - 1] = EDGE
+    n = len(codes) - pad
+    hi, lo = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k in range(ORDER):
+        part = hi if k < ORDER - LOW else lo
+        part <<= BITS
+        part |= codes[k : k + n]
     inside = np.ones(len(codes), dtype=bool)
     for k in range(pad):
         inside[begin[:-1] + k] = False
-    return key[inside[pad:]], np.concatenate([[0], np.cumsum(lengths + 1)])
+    inside = inside[pad:]
+    return hi[inside], lo[inside], np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n) once for each gram of the task."""
-    keys, sums = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    for batch in portions(batches):
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks(texts):
-            got, n = np.unique(gram_keys(texts[a:b], langs[a:b])[0], return_counts=True)
-            both, where = np.unique(np.concatenate([keys, got]), return_inverse=True)
-            sums = np.bincount(where, np.concatenate([sums, n]), len(both)).astype(np.int64)
-            keys = both
-    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], ["gram", "n"])
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D1, D2 and D3+ of modified Kneser-Ney from the counts of counts; each within [0, its count]."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
-    if not n[0] or not n[1]:
-        return np.array([0.0, 0.5, 0.5, 0.5])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(x, 0.1), k) for k, x in zip((1, 2, 3), d, strict=True))])
-
-
-class KneserNey:
-    """orders[k - 1]: sorted keys of the k-grams, their log probabilities, and as contexts: sorted keys, log weights."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = np.argsort(grams)
-        key, count = grams[order].astype(np.int64), counts[order].astype(np.float64)
-        levels = []
-        for k in range(ORDER, 0, -1):
-            levels.append((k, key, count))
-            mask = (1 << (BITS * (k - 1))) - 1  # the language's slot moves along
-            shorter = (key >> (BITS * k) << (BITS * (k - 1))) | (key & mask)
-            key, count = np.unique(shorter, return_counts=True)
-            count = count.astype(np.float64)
-        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for k, key, count in reversed(levels):
-            d = discounts(count)
-            contexts, where = np.unique(key >> BITS, return_inverse=True)
-            total = np.bincount(where, count, len(contexts))
-            taken = d[np.minimum(count, 3).astype(int)]
-            weight = np.bincount(where, taken, len(contexts)) / np.maximum(total, 1e-12)
-            if k == 1:
-                lower = np.full(len(key), 1 / (1 << BITS))
-            else:
-                mask = (1 << (BITS * (k - 1))) - 1
-                shorter = (key >> (BITS * k) << (BITS * (k - 1))) | (key & mask)
-                lower = np.exp(self.orders[-1][1][np.searchsorted(self.orders[-1][0], shorter)])
-            p = np.maximum(count - taken, 0) / np.maximum(total[where], 1e-12) + weight[where] * lower
-            self.orders.append((key, np.log(np.maximum(p, 1e-12)), contexts, np.log(np.maximum(weight, 1e-12))))
-
-    def log_p(self, key: np.ndarray, k: int = ORDER) -> np.ndarray:
-        """Log probability of the k-grams' last characters."""
-        if k == 0:
-            return np.full(len(key), -BITS * np.log(2))
-        keys, logs, contexts, weights = self.orders[k - 1]
-        out = np.zeros(len(key))
-        if not len(keys):
-            return self.log_p(key >> BITS, 0) if k == 1 else self.log_p(self.shorter(key, k), k - 1)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        seen = keys[at] == key
-        out[seen] = logs[at[seen]]
-        if not seen.all():
-            rest = key[~seen]
-            at = np.minimum(np.searchsorted(contexts, rest >> BITS), len(contexts) - 1)
-            known = contexts[at] == rest >> BITS
-            out[~seen] = np.where(known, weights[at], 0.0) + self.log_p(self.shorter(rest, k), k - 1)
-        return out
+def language_seed(lang: str) -> np.uint64:
+    """64 bits of the language's name."""
+    return mix(window_hashes(np.frombuffer(f"{lang}\0".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64), len(lang) + 1))[0]
+
+
+def gram_hashes(hi: np.ndarray, lo: np.ndarray, lang: str) -> np.ndarray:
+    return mix(mix(hi.view(U64) + language_seed(lang)) ^ lo.view(U64) * U64(0x9E3779B97F4A7C15))
+
 
-    @staticmethod
-    def shorter(key: np.ndarray, k: int) -> np.ndarray:
-        return (key >> (BITS * k) << (BITS * (k - 1))) | (key & ((1 << (BITS * (k - 1))) - 1))
+def by_language(texts: list[str], langs: list[str]) -> Iterator[tuple[str, list[int]]]:
+    """Numbers of the texts of each language, in chunks of bounded size."""
+    where: dict[str, list[int]] = {}
+    for k, lang in enumerate(langs):
+        where.setdefault(lang, []).append(k)
+    for lang, own in where.items():
+        for a, b in chunks([texts[k] for k in own]):
+            yield lang, own[a:b]
 
 
-def fit_model(docs: DataFrame) -> KneserNey:
-    """Counts all texts with Spark; at most 2**24 sums, most often some ten thousand a language, come to the driver."""
-    counted = docs.select(text_column(docs), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).mapInArrow(count_grams, "gram long, n long")
-    got = counted.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return KneserNey(got["gram"].to_numpy(), got["n"].to_numpy())
+class Gathered:
+    """Distinct grams of one language in a task, by ascending hash, with their counts."""
+
+    def __init__(self) -> None:
+        self.keys, self.hi, self.lo, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> None:
+        found, n = np.unique(keys, return_counts=True)
+        at = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == found if len(self.keys) else np.zeros(len(found), bool)
+        self.n[at[known]] += n[known]
+        new = found[~known]
+        if len(new):
+            at = np.minimum(np.searchsorted(new, keys), len(new) - 1)
+            some = np.flatnonzero(new[at] == keys)
+            first = np.empty(len(new), np.int64)
+            first[at[some]] = some
+            order = np.argsort(np.concatenate([self.keys, new]), kind="stable")
+            parts = ((self.keys, new), (self.hi, hi[first]), (self.lo, lo[first]), (self.n, n[~known]))
+            self.keys, self.hi, self.lo, self.n = (np.concatenate(x)[order] for x in parts)
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """GRAMS of the task, each gram about once."""
+    held: dict[str, Gathered] = {}
+
+    def put() -> Iterator[pa.RecordBatch]:
+        for lang, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(own.n), np.int64))), pa.array(own.hi), pa.array(own.lo), pa.array(own.n)], ["lang", "hi", "lo", "n"])
+        held.clear()
+
+    for batch in portions(batches):
+        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang, which in by_language(texts, langs):
+            hi, lo, _ = text_grams([texts[k] for k in which])
+            held.setdefault(lang, Gathered()).add(gram_hashes(hi, lo, lang), hi, lo)
+        if sum(len(x.n) for x in held.values()) > GATHERED:
+            yield from put()
+    yield from put()
+
+
+def hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, n, log_p) of rows (lang, hi, lo, n, log_p)."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        number, hi, lo = langs.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        keys = np.zeros(batch.num_rows, U64)
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            own = number == k
+            keys[own] = gram_hashes(hi[own], lo[own], lang)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(3), batch.column(4)], ["hash", "n", "log_p"])
+
+
+def few_languages(rows: DataFrame) -> DataFrame:
+    """rows, one a language and order at most, for a join."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LANGUAGES * ORDER else rows
+
+
+def fit_model(docs: DataFrame) -> DataFrame:
+    """The ORDER-grams of all texts: lang, hi, lo, n and log_p, the log probability of the last code point after the others."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
+    counted = docs.select(text_column(docs), lang).mapInArrow(count_grams, GRAMS)
+    grams = {ORDER: durable(counted.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))}
+    mask = lambda k: F.lit((1 << (BITS * k)) - 1)
+    for k in range(ORDER - 1, 0, -1):  # of the shorter gram that is left without the first code point: after how many code points it comes
+        suffix = [F.col("hi").bitwiseAND(mask(max(k - LOW, 0))).alias("hi"), F.col("lo").bitwiseAND(mask(min(k, LOW))).alias("lo")]
+        grams[k] = grams[k + 1].groupBy("lang", *suffix).agg(F.count("*").alias("n"))
+        if k in (ORDER - 1, 2):  # the others are cheap to derive again
+            grams[k] = durable(grams[k])
+    stats = [grams[k].groupBy("lang").agg(F.lit(k).alias("k"), F.count("*").alias("kinds"), *(F.count_if(F.col("n") == c).alias(f"n{c}") for c in range(1, 5))) for k in grams]
+    every = stats[0]
+    for part in stats[1:]:
+        every = every.unionByName(part)
+    d = lambda c: F.least(F.greatest(F.when(F.col(f"n{c}") > 0, c - (c + 1) * F.col("y") * F.col(f"n{c + 1}") / F.col(f"n{c}")).otherwise(0.5), F.lit(0.1)), F.lit(float(c)))
+    sound = (F.col("n1") > 0) & (F.col("n2") > 0)
+    every = every.withColumn("y", F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0)))
+    discounts = few_languages(durable(every.select("lang", "k", "kinds", *(F.when(sound, d(c)).otherwise(0.5).alias(f"d{c}") for c in (1, 2, 3)))))
+    model: DataFrame | None = None
+    for k in range(1, ORDER + 1):
+        one = grams[k].join(discounts.filter(F.col("k") == k).drop("k"), "lang")
+        taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        context = Window.partitionBy("lang", "hi", F.shiftright("lo", BITS))  # all code points but the last; groups of an alphabet's size at most
+        p = one.select("lang", "hi", "lo", "n", "kinds", taken.alias("taken"), F.sum("n").over(context).alias("total"), F.sum(taken).over(context).alias("left"))
+        if model is None:
+            lower: Column = 1 / (F.col("kinds") + 1)
+        else:
+            suffix = [F.col("hi").bitwiseAND(mask(max(k - 1 - LOW, 0))).alias("s_hi"), F.col("lo").bitwiseAND(mask(min(k - 1, LOW))).alias("s_lo")]
+            p = p.select("*", *suffix).join(model.select("lang", F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("p").alias("lower")), ["lang", "s_hi", "s_lo"])
+            lower = F.col("lower")
+        model = p.select("lang", "hi", "lo", "n", ((F.col("n") - F.col("taken") + F.col("left") * lower) / F.col("total")).alias("p"))
+    return model.select("lang", "hi", "lo", "n", F.log("p").alias("log_p"))
+
+
+def model_head(model: DataFrame, most: int = HEAD_GRAMS) -> HashArray:
+    """The most frequent grams, `most` of them at most: from the least count on that leaves so few."""
+    sizes = model.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("grams")).collect()  # 64 rows at most
+    have, least = 0, 62
+    for r in sorted(sizes, key=lambda r: -r["size"]):
+        have += r["grams"]
+        if have > most:
+            break
+        least = r["size"]
+    got = model.filter(F.col("n") >= (1 << least)).select("hash", F.col("log_p").cast("float")).toArrow()
+    return HashArray(got["hash"].to_numpy().view(U64), got["log_p"].to_numpy())
 
 
 def repeat_words(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -205,35 +227,49 @@ def duplicate_lines(text: str) -> int:
 
 
 def scorer(model):
-    """mapInArrow function over (doc_id, text, lang) to FEATURES; model: a broadcast KneserNey."""
+    """mapInArrow function over (doc_id, text, lang) to FEATURES; model: a broadcast HashArray. log_p is of the grams in it, tail has the others."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = np.zeros(SLOTS << (BITS * ORDER), dtype=np.float32)  # 0: not looked up yet; pages of keys that never come take no memory
+        row = TaskContext.get().partitionId() << 33
         for batch in portions(batches):
             ids, texts, langs = (batch.column(k).to_pylist() for k in range(3))
-            parts = []
+            n = len(texts)
+            features, log_p, tails = np.zeros((6, n), np.int64), np.zeros(n), [([], [])] * n
             for a, b in chunks(texts):
                 own = texts[a:b]
-                keys, begin = gram_keys(own, langs[a:b])
-                logs = cache[keys]
-                unknown = logs == 0
-                if unknown.any():
-                    new = np.unique(keys[unknown])
-                    cache[new] = model.value.log_p(new.astype(np.int64))
-                    logs = cache[keys]
-                fresh = ~((keys & 31 == SYMBOL) & (keys >> BITS & 31 == SYMBOL))  # a run of symbols tells no more than its first
-                mean = -np.add.reduceat(np.where(fresh, logs, 0).astype(np.float64), begin[:-1]) / np.add.reduceat(fresh.astype(np.int64), begin[:-1])
                 words = Words(own)
-                length = np.add.reduceat(np.append(~words.blank, False).astype(np.int64), words.doc_start[:-1])
-                symbols = np.add.reduceat(np.isin(words.codes, SYMBOL_CODES).astype(np.int64), words.doc_start[:-1])
-                repeats = repeat_words(words.hashes(), words.first)
-                parts.append((words.counts, length, symbols, np.array([*map(duplicate_lines, own)], dtype=np.int64), repeats, mean))
-            columns = [np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 6)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(x.astype(np.int64)) for x in columns[:5]), pa.array(columns[5].astype(np.float64))], [x.split()[0] for x in FEATURES.split(", ")])
+                features[0, a:b] = words.counts
+                features[1, a:b] = np.add.reduceat(np.append(~words.blank, False).astype(np.int64), words.doc_start[:-1])
+                features[2, a:b] = np.add.reduceat(np.isin(words.codes, SYMBOL_CODES).astype(np.int64), words.doc_start[:-1])
+                features[3, a:b] = [*map(duplicate_lines, own)]
+                features[4, a:b] = repeat_words(words.hashes(), words.first)
+            for lang, which in by_language(texts, langs):
+                hi, lo, begin = text_grams([texts[k] for k in which])
+                keys = gram_hashes(hi, lo, lang)
+                value, known = model.value.get(keys)
+                log_p[which] = np.add.reduceat(value.astype(np.float64), begin[:-1])
+                features[5, which] = np.diff(begin)
+                rest = np.flatnonzero(~known)
+                for k, own in zip(*(x.tolist() for x in np.unique(np.searchsorted(begin, rest, "right") - 1, return_index=True)), strict=True):
+                    own = keys[rest[own : np.searchsorted(rest, begin[k + 1])]]
+                    tails[which[k]] = tuple(x.tolist() for x in np.unique(own.view(np.int64), return_counts=True))
+            columns = [pa.array(np.arange(row, row + n)), pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *map(pa.array, features), pa.array(log_p), pa.array([t[0] for t in tails], pa.list_(pa.int64())), pa.array([t[1] for t in tails], pa.list_(pa.int32()))]
+            row += n
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FEATURES.split(", ")])
 
     return score
 
 
+def log_perplexities(source: DataFrame, model: DataFrame, most: int = HEAD_GRAMS) -> DataFrame:
+    """Features and log_perplexity of source's rows (doc_id, text, lang); the model's table must be written."""
+    head = source.sparkSession.sparkContext.broadcast(model_head(model, most))
+    scored = durable(source.mapInArrow(scorer(head), FEATURES))
+    tail = scored.filter(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("hash"), F.col("t.tail_n").alias("times"))
+    rest = tail.join(model.select("hash", "log_p"), "hash").groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("tail_log_p"))
+    joined = scored.drop("tail", "tail_n").join(rest, "row", "left")
+    return joined.withColumn("log_perplexity", -(F.col("log_p") + F.coalesce("tail_log_p", F.lit(0.0))) / F.col("n_grams")).drop("row", "log_p", "tail_log_p", "n_grams")
+
+
 def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """lang, low, high from the histogram of all scored texts that pass the base rules; a row a language."""
     bins = scored.filter("not base_failed").groupBy("lang", F.floor(F.col("log_perplexity") / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n"))
@@ -246,16 +282,13 @@ def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Data
     return quartiles.select("lang", (F.col("q2") - lower * spread).alias("low"), (F.col("q2") + upper * spread).alias("high"))
 
 
-def judge_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
+def judge_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, most: int = HEAD_GRAMS) -> DataFrame:
     """A row for each document: features, base_failed, log_perplexity, its language's band and kept."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs))
+    model = durable(fit_model(docs).mapInArrow(hash_grams, "hash long, n long, log_p double").repartitionByRange("hash").sortWithinPartitions("hash"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = durable(source.mapInArrow(scorer(model), FEATURES).withColumn("base_failed", failed))
-    limits = durable(bands(scored, lower, upper))
-    if limits.count() <= BROADCAST_LANGUAGES:
-        limits = F.broadcast(limits)
-    joined = scored.join(limits, "lang", "left")
+    scored = durable(log_perplexities(source, model, most).withColumn("base_failed", failed))
+    joined = scored.join(few_languages(durable(bands(scored, lower, upper))), "lang", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return joined.withColumn("kept", kept)
 
