@@ -1,11 +1,17 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-A text's shingles are its runs of SHINGLE words; one with fewer words has a single shingle of all. A shingle weighs its count
-in the text, damped to 1 + ln(count), times an inverse document frequency damped to between 1 and 1 + IDF_SHARE, so that a
-text copied in thousands with small changes is not torn from its copies by the rareness of the changes. Frequencies are
-kept in 2**18 counters over all documents (fixed size; shingles that share a counter share its value). SAMPLES consistent weighted samples in bands of ROWS
-give candidate pairs; a pair is a link if the weighted Jaccard similarity of both whole texts is THRESHOLD or more; classes
-are the connected components of the links.
+A text's shingles are its runs of SHINGLE words; one with fewer words has a single shingle of all. A shingle weighs its count in
+the text, damped to 1 + ln(count), times its inverse document frequency 1 + IDF_SHARE * ln(documents / frequency) / ln(RARE), at
+most 1 + IDF_SHARE: a shingle of one document in RARE counts twice as much as one that all documents have. Without the
+constant part a text copied in thousands with small changes would be torn from its copies by the rareness of the changes.
+SAMPLES consistent weighted samples in bands of ROWS give candidate pairs; a pair is a link if the weighted Jaccard similarity of
+both whole texts is THRESHOLD or more; classes are the connected components of the links.
+
+Document frequencies are counted over all documents, by a count with a stated error: a task sorts SEGMENT shingles at a time,
+puts out those that the segment has in 2**-RARE_BITS of its shingles or more, and Spark adds them up. So a frequency is too
+small by 2**-RARE_BITS of all shingles of the corpus at most, and exact where a segment has fewer shingles than that. What
+stays below that share, or below one document in RARE, counts as just there; at most 2**RARE_BITS shingles lie above (12
+bytes each), and these are broadcast.
 
 Copies and hot buckets. Equal texts are one node from the start, whatever their number. In a bucket of up to ALL_PAIRS nodes
 all pairs are candidates. A larger one links each node to three leaders, and to one leader of each smaller group that shares
@@ -14,7 +20,8 @@ nodes outside the bucket's main component meet all others, block by block, and a
 as often as the threshold asks until it has joined their components, so that no class is torn by a bucket's size.
 
 Cases. Null texts and texts without a word have no shingle: each is a class of its own. Null doc_ids come last in order and
-stay null. Rows with one doc_id and one text get one class. An empty table gives an empty result.
+stay null. Rows with one doc_id and one text get one class. A very long text is one node like any other and read whole. Columns
+beyond doc_id and text pass through `dedup_documents` only, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,24 +33,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import PORTION_BYTES, U64, Words, chunks, durable, mix, portions, window_hashes
+from offerlens.llm.common import PORTION_BYTES, U64, HashArray, Words, chunks, durable, forget, mix, portions, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
-COUNTER_BITS = 18
+#: What a shingle of one document in RARE weighs more than one of all documents.
+IDF_SHARE, RARE = 1.0, 3000
+#: Shingles whose frequency is known: 2**RARE_BITS at most; and how many a task sorts at once.
+RARE_BITS, SEGMENT = 21, 1 << 22
 #: Nodes of a bucket whose pairs are all compared at once.
 ALL_PAIRS = 12
-#: What the rarest shingles weigh more than the most frequent ones, and the rareness (documents / frequency) from which it is full.
-IDF_SHARE, RARE = 0.2, 1000
 #: Samples of two texts that must agree before a pair left over in a large bucket is compared: with a similarity of THRESHOLD
-#: SAMPLES * THRESHOLD agree on average, and so few less often than once in a million.
-LEAST_AGREED = 21
+#: SAMPLES * THRESHOLD = 32 agree on average, and fewer than these less often than once in 10**9; the bands themselves miss one in 200.
+LEAST_AGREED = 16
 #: Nodes of a block of a large bucket, about.
 BLOCK = 64
 #: Draws a hash function chooses from.
 DRAW_BITS = 16
 NO_ID = (1 << 63) - 1
+F32 = np.float32
 
 SIGNATURES = "node binary, band int, bucket long, sketch array<smallint>"
 
@@ -72,33 +81,58 @@ def shingle_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc[begin], grams[begin], np.diff(np.append(begin, len(doc)))
 
 
-def counter(grams: np.ndarray) -> np.ndarray:
-    return (grams >> U64(64 - COUNTER_BITS)).astype(np.int64)
-
-
 def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(counter, n): in how many of the task's documents a shingle of the counter is; documents themselves as counter -1."""
-    counts, documents = np.zeros(1 << COUNTER_BITS, dtype=np.int64), 0
+    """(kind, shingle, n): of each segment the frequent shingles (kind 0), its shingles in all (1) and its documents (2)."""
+    held: list[np.ndarray] = []
+    documents = size = 0
+
+    def put() -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
+        often = n >= size / (1 << RARE_BITS)
+        kinds = np.append(np.zeros(int(often.sum()), np.int8), np.array([1, 2], np.int8))
+        columns = [kinds, np.append(grams[often].view(np.int64), [0, 0]), np.append(n[often], [size, documents])]
+        held.clear()
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["kind", "shingle", "n"])
+
     for batch in portions(batches):
         texts = batch.column(0).to_pylist()
         documents += len(texts)
         for a, b in chunks(texts):
-            counts += np.bincount(counter(shingle_counts(texts[a:b])[1]), minlength=len(counts))
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(counts[used], documents))], ["counter", "n"])
+            held.append(shingle_counts(texts[a:b])[1])
+            size += len(held[-1])
+            if size >= SEGMENT:
+                yield put()
+                documents = size = 0
+    yield put()
+
+
+class Frequencies:
+    """Inverse document frequencies by shingle."""
+
+    def __init__(self, shingles: np.ndarray, n: np.ndarray, documents: int, least: float):
+        self.table = HashArray(shingles, self.inverse(n, documents).astype(np.float32))
+        self.rare = F32(self.inverse(np.array([least]), documents)[0])
+
+    @staticmethod
+    def inverse(n: np.ndarray, documents: int) -> np.ndarray:
+        return 1 + IDF_SHARE * np.clip(np.log(max(documents, 1) / n) / np.log(RARE), 0, 1)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        value, known = self.table.get(grams)
+        return np.where(known, value, self.rare)
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """Damped inverse document frequency of each counter; 2**18 sums at most come to the driver."""
-    got = texts.select("text").mapInArrow(count_shingles, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    at, n = got["counter"].to_numpy(), got["n"].to_numpy()
-    counts = np.ones(1 << COUNTER_BITS)
-    counts[at[at >= 0]] = n[at >= 0]
-    return 1 + IDF_SHARE * np.minimum(np.log1p(max(int(n[at < 0].sum()), 1) / counts) / np.log1p(RARE), 1)
+def inverse_frequencies(texts: DataFrame) -> Frequencies:
+    counted = durable(texts.select("text").mapInArrow(count_shingles, "kind byte, shingle long, n long").groupBy("kind", "shingle").agg(F.sum("n").alias("n")))
+    total = {r["kind"]: r["n"] for r in counted.filter("kind > 0").collect()}
+    least = max(total.get(1, 0) / (1 << RARE_BITS), total.get(2, 0) / RARE, 1.0)
+    got = counted.filter((F.col("kind") == 0) & (F.col("n") > least)).select("shingle", "n").toArrow()  # 2**RARE_BITS rows at most
+    forget(counted)
+    return Frequencies(got["shingle"].to_numpy().view(U64), got["n"].to_numpy(), total.get(2, 0), least)
 
 
-def weigh(grams: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(count)) * idf[counter(grams)]
+def weigh(grams: np.ndarray, count: np.ndarray, idf: Frequencies) -> np.ndarray:
+    return (1 + np.log(count)) * idf.of(grams)
 
 
 class Sampler:
@@ -186,7 +220,7 @@ def verifier(idf):
     return run
 
 
-def vectors_of(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def vectors_of(texts: list[str], idf: Frequencies) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes and weights of each text's shingles."""
     out = []
     for x, y in chunks(texts):
@@ -252,11 +286,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = durable(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct(F.col("u"), F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")).select("e.u", "e.v")
+        before, edges = edges, durable(small.distinct())
+        forget(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break
