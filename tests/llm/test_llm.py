@@ -80,13 +80,73 @@ def test_quality_features(odd):
     assert not any(r["kept"] for r in got if r["base_failed"])
 
 
-def test_kneser_ney_is_a_distribution():
-    keys, _ = quality_rules.gram_keys(["the cat sat on the mat", "a dog", ""], ["en"] * 3)
-    grams, n = np.unique(keys, return_counts=True)
-    model = quality_rules.KneserNey(grams, n)
-    for context in np.unique(grams >> quality_rules.BITS).tolist():
-        p = np.exp(model.log_p(np.array([(context << quality_rules.BITS) | c for c in range(32)], dtype=np.int64)))
-        assert abs(p.sum() - 1) < 1e-6 and (p > 0).all()
+def slow_kneser_ney(texts, order=quality_rules.ORDER):
+    """Probability of a gram's last sign after the others, for each gram of the texts of one language; from counts in dicts."""
+    signs = lambda t: ["^"] * (order - 1) + list(t) + ["$"]
+    levels = {order: Counter(tuple(s[k : k + order]) for t in texts for s in [[("e",) if x in "^$" and (n < order - 1 or n == len(t) + order - 1) else x for n, x in enumerate(signs(t))]] for k in range(len(t) + 1))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    probability = {}
+    for k in range(1, order + 1):
+        n = Counter(levels[k].values())
+        d = {c: 0.5 for c in (1, 2, 3)}
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = {c: min(max(c - (c + 1) * y * n[c + 1] / n[c] if n[c] else 0.5, 0.1), c) for c in (1, 2, 3)}
+        total, left = Counter(), Counter()
+        for g, c in levels[k].items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3)]
+        lower = (lambda g: probability[g[1:]]) if k > 1 else (lambda g: 1 / (len(levels[1]) + 1))
+        probability |= {g: (c - d[min(c, 3)] + left[g[:-1]] * lower(g)) / total[g[:-1]] for g, c in levels[k].items()}
+    return levels[order], probability
+
+
+def slow_quality(rows):
+    """(doc_id, log perplexity, kept) of rows (doc_id, text, lang), with the bands read from a sorted list of bins."""
+    out, fails = [], {}
+    by = {}
+    for n, (_, text, lang) in enumerate(rows):
+        by.setdefault(lang or "", []).append(n)
+        f = brute_features(text or "")
+        fails[n] = f[0] < 20 or 100 * f[4] > 30 * f[0]
+    for own in by.values():
+        _, p = slow_kneser_ney([rows[n][1] or "" for n in own])
+        value = {}
+        for n in own:
+            grams, _ = slow_kneser_ney([rows[n][1] or ""])
+            value[n] = -sum(c * np.log(p[g]) for g, c in grams.items()) / sum(grams.values())
+        bins = sorted(int(np.floor(value[n] / quality_rules.BIN)) for n in own if not fails[n])
+        at = lambda q: (bins[int(np.ceil(q * len(bins))) - 1] + 0.5) * quality_rules.BIN
+        for n in own:
+            kept = not fails[n]
+            if kept:
+                spread = max((at(0.75) - at(0.25)) / 1.349, quality_rules.LEAST_SPREAD)
+                kept = at(0.5) - quality_rules.LOWER * spread <= value[n] <= at(0.5) + quality_rules.UPPER * spread
+            out.append((rows[n][0], round(value[n], 9), kept))
+    return out
+
+
+@pytest.mark.parametrize("most", [quality_rules.HEAD_GRAMS, 300, 0])
+def test_quality_against_slow_kneser_ney(spark, odd, most):
+    """Perplexities and verdicts with the whole model broadcast, a part of it, or nothing."""
+    rng = np.random.default_rng(5)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in odd.collect() if len(r["text"] or "") < 10_000]
+    for lang, parts in (("de", ["an", "be", "cor", "ß"]), ("es", ["el", "fo", "ñi", "日本", "🙂"])):
+        rows += [(int(rng.integers(100, 999)), " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(25)), lang) for _ in range(40)]
+        rows += [(k, " ".join("".join(rng.choice(list("qxzjkw79"), 6)) for _ in range(30)), lang) for k in range(2)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, lang string, hash string, row int")
+    got = [(r["doc_id"], round(r["log_perplexity"], 9), r["kept"]) for r in quality_rules.judge_quality(docs, most=most).collect()]
+    want = slow_quality(rows)
+    near = lambda x: sorted((str(a), round(b, 6), c) for a, b, c in x)
+    assert near(got) == near(want) and {c for _, _, c in want} == {True, False}
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    """Over all signs that may come, the probabilities after a context and what is left for unseen ones make one."""
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "a dog", "en"), (3, "", "en"), (4, "the hat", "de")], "doc_id long, text string, lang string")
+    total = quality_rules.fit_model(docs).groupBy("lang", "hi", F.shiftright("lo", quality_rules.BITS).alias("context")).agg(F.sum(F.exp("log_p")).alias("p")).collect()
+    assert all(0 < r["p"] <= 1 + 1e-9 for r in total) and {r["lang"] for r in total} == {"en", "de"}
 
 
 def test_quality_bands_reject_junk(spark):
@@ -218,18 +278,41 @@ def test_bpe_equals_the_library(odd):
     assert bpe.bpe(tokens.tokenizer_path()).decode(np.array([250, 100])) == own.decode([250, 100], skip_special_tokens=False)
 
 
-def test_topk(spark):
+def brute_topk(vectors, width):
+    """(query id, rank, id, score) by whole numbers of any size; every row but the query's own."""
+    sound = [(n, k, [int(np.floor(np.float64(256) * np.float64(x))) for x in v] + [0] * (width - len(v))) for n, (k, v) in enumerate(vectors) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for n, q, x in sound:
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), 1 << 62 if k is None else k, k) for m, k, y in sound if m != n)[:5]
+            want += [(q, r + 1, k, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, _, k) in enumerate(best)]
+    return sorted(map(str, want))
+
+
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vectors = [(k, rng.standard_normal(20).astype(np.float32).tolist()) for k in range(300)]
     vectors += [(300, vectors[50][1]), (301, vectors[50][1]), (350, None), (400, [float("nan")] * 20), (450, [1.0, None]), (500, []), (551, [0.5] * 3), (None, [0.1] * 20), (600, [float("inf")] * 20)]
+    vectors += [(100, vectors[100][1]), (100, vectors[7][1])]  # repeated ids: each row is a query, and a candidate of the others
     df = spark.createDataFrame([(*v, 0) for v in vectors], "vec_id long, embedding array<float>, q_block int")
-    sound = [(k, np.floor(256 * np.pad(np.array(v, np.float32).astype(float), (0, 20 - len(v)))).astype(int)) for k, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for q, x in sound:
-        if q is not None and q % 50 == 0:
-            best = sorted(((-int(x @ y), 1 << 62 if k is None else k, k) for k, y in sound if k != q))[:5]
-            want += [(q, n + 1, k, -s) for n, (s, _, k) in enumerate(best)]
-    assert sorted(map(str, map(tuple, topk_search.search(df).collect()))) == sorted(map(str, want))
+    want = brute_topk(vectors, 20)
+    assert sorted(map(str, map(tuple, topk_search.search(df).collect()))) == want
+    for name, value in (("CANDIDATE_BLOCK", 16), ("QUERY_BLOCK", 2), ("QUERY_GROUP", 4), ("SLICE_BLOCKS", 3)):  # many groups, slices and blocks
+        monkeypatch.setattr(topk_search, name, value)
+    assert sorted(map(str, map(tuple, topk_search.search(df).collect()))) == want
+
+
+def test_topk_of_large_components(spark):
+    big = np.float32(1e17).item()
+    vectors = [(0, [big, 1.0]), (1, [big, 2.0]), (2, [big, 3.0]), (3, [-big, 0.0]), (50, [1.0, 1.0]), (4, [0.25, 0.5]), (100, [3e38, -3e38]), (5, [big]), (6, [2.0**40, 1.0]), (7, [2.0**40, 2.0])]
+    vectors = [(k, [np.float32(x).item() for x in v]) for k, v in vectors]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert sorted(map(str, map(tuple, topk_search.search(df).collect()))) == brute_topk(vectors, 2)
+
+
+@pytest.mark.parametrize("numbers", [[0, 1, -1, 9, 10, -9, -10, 99, -99, 10**30, -(10**30), 123, -123, 2**63]])
+def test_digits_sort_as_numbers(numbers):
+    assert sorted(numbers, key=topk_search.digits) == sorted(numbers)
 
 
 def test_near_classes(odd, spark):
