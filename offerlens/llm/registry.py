@@ -48,7 +48,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_frame(spark))
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_frame(spark), url_filters.pattern_frame(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
