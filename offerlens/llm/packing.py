@@ -5,11 +5,15 @@ with the shorter piece first. Tokenising happens once, in the scan's tasks; what
 
 Packing. Pieces as long as a sequence fill one each and take no part. The others are dealt evenly into groups of about GROUP
 pieces. A task packs its group best-fit-decreasing and then empties bins: from the emptiest underfull bin, documents move to
-other underfull bins, or are exchanged one for one or two for one against smaller ones there; every accepted step raises the
-sum of squared fills, and it goes on until bins are empty or nothing fits. Bins that stay underfull go back, and their
-pieces are dealt anew into fewer groups, so that over the whole corpus only the last group's bins stay underfull.
+other underfull bins, or are exchanged one for one or two for one against smaller ones there; all underfull bins of the group are
+looked at, every accepted step raises the sum of squared fills, and it goes on until bins are empty or nothing fits.
 
-Cases. Null and empty texts are just the end id. Repeated rows are packed each for itself. A null doc_id stays null. An empty table gives no sequences.
+Rounds. Bins that stay underfull go back, and their pieces are dealt anew into fewer groups. That ends when one group is left,
+when the underfull bins are as few as their tokens allow, or when a round over all of them saves no bin (then they stay as they
+were): there is no limit to the rounds.
+
+Cases. Null and empty texts are just the end id; a very long text is cut into whole sequences. Repeated rows are packed each for
+itself. A null doc_id stays null. An empty table gives no sequences. Columns beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +31,8 @@ from offerlens.llm.common import durable, portions, text_column
 from offerlens.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces a task packs at once, and rounds over what stayed underfull.
-GROUP, ROUNDS = 6000, 4
-#: Underfull bins the local search compares at once; more are searched in runs of so many, ordered by fill.
-SEARCH_BINS = 600
+#: Pieces a task packs at once.
+GROUP = 6000
 
 #: Stands for a null doc_id until the result.
 NO_ID = (1 << 63) - 1
@@ -86,49 +88,102 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def best_exchange(source: list[int], target: list[int], room: int, lengths: list[int]) -> tuple[int, list[int], list[int]]:
-    """The exchange that moves most tokens, at most `room`, from source to target: a move, one for one, or two for one."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    back = [(0, [])] + [(lengths[y], [y]) for y in target]
-    back += [(lengths[y] + lengths[z], [y, z]) for k, y in enumerate(target) for z in target[k + 1 :]]
-    singles = [(lengths[x], [x]) for x in source]
-    doubles = [(lengths[x] + lengths[z], [x, z]) for k, x in enumerate(source) for z in source[k + 1 :]]
-    for give, out in (*((g, singles) for g in back), *((g, doubles) for g in back if len(g[1]) <= 1)):
-        for n, items in out:
-            gain = n - give[0]
-            if best[0] < gain <= room:
-                best = (gain, items, give[1])
-    return best
+class Exchanges:
+    """What underfull bins may give back for a piece or two: nothing, one of their pieces, or two. Flat arrays with a row for each
+    choice: `back` its tokens, `room` what is left in its bin, `bin`. A bin that changes gets new rows at the end."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
+        self.rows: list[slice] = [slice(0, 0)] * len(bins)
+        self.n = 0
+        self.back, self.room, self.bin, self.kind = (np.zeros(64, np.int64) for _ in range(4))
+        for k in range(len(bins)):
+            self.put(k)
+
+    def put(self, k: int) -> None:
+        """Rows of bin k as it is now; none if it is full or empty."""
+        self.room[self.rows[k]] = 0  # no piece fits what is left there: the old rows are dead
+        self.rows[k] = slice(0, 0)
+        if not self.bins[k] or self.fill[k] >= self.capacity:
+            return
+        own = self.lengths[self.bins[k]]
+        kinds = np.unique(own)
+        i, j = np.triu_indices(len(kinds), 1)
+        twice = np.flatnonzero(np.bincount(np.searchsorted(kinds, own)) > 1)
+        back = np.concatenate([[0], kinds, kinds[i] + kinds[j], 2 * kinds[twice]])
+        if self.n + len(back) > len(self.back):
+            alive = np.flatnonzero(self.room[: self.n] > 0)  # dead rows go first
+            place = np.cumsum(np.concatenate([[0], self.room[: self.n] > 0]))
+            self.rows = [slice(int(place[r.start]), int(place[r.stop])) for r in self.rows]
+            room = max(64, 2 * (len(alive) + len(back)))
+            self.back, self.room, self.bin, self.kind = (np.concatenate([x[alive], np.zeros(room, np.int64)]) for x in (self.back, self.room, self.bin, self.kind))
+            self.n = len(alive)
+        self.rows[k] = slice(self.n, self.n + len(back))
+        self.n += len(back)
+        self.back[self.rows[k]], self.room[self.rows[k]], self.bin[self.rows[k]] = back, self.capacity - self.fill[k], k
+        self.kind[self.rows[k]] = np.repeat([0, 1, 2], [1, len(kinds), len(back) - 1 - len(kinds)])
+
+    def best(self, source: int) -> tuple[int, int, int, int]:
+        """(gain, tokens out, tokens back, target) of the exchange that moves most tokens away from source into a bin at least as full."""
+        own = self.lengths[self.bins[source]]
+        kinds = np.unique(own)
+        i, j = np.triu_indices(len(kinds), 1)
+        twice = np.flatnonzero(np.bincount(np.searchsorted(kinds, own)) > 1)
+        doubles = np.unique(np.concatenate([kinds[i] + kinds[j], 2 * kinds[twice]]))
+        back, room, target, kind = (x[: self.n] for x in (self.back, self.room, self.bin, self.kind))
+        open_rows = (room > 0) & (self.fill[target] >= self.fill[source]) & (target != source)
+        found = (0, 0, 0, -1)
+        for outs, most in ((kinds, 2), (doubles, 1)):  # a move, one for one, one for two; two moves at once, two for one
+            if not len(outs):
+                continue
+            rows = np.flatnonzero(open_rows & (kind <= most))
+            out = outs[np.maximum(np.searchsorted(outs, back[rows] + room[rows], "right") - 1, 0)]
+            gain = out - back[rows]
+            gain[gain > room[rows]] = 0
+            k = int(np.argmax(gain)) if len(gain) else -1
+            if k >= 0 and gain[k] > found[0]:
+                found = (int(gain[k]), int(out[k]), int(back[rows[k]]), int(target[rows[k]]))
+        return found
+
+    def take(self, k: int, tokens: int) -> list[int]:
+        """One or two pieces of bin k with so many tokens together (none for 0); they leave the bin."""
+        if not tokens:
+            return []
+        first: dict[int, int] = {}
+        for x in self.bins[k]:
+            n = int(self.lengths[x])
+            got = [x] if n == tokens else [first[tokens - n], x] if tokens - n in first else None
+            if got:
+                break
+            first[n] = x
+        self.bins[k] = [x for x in self.bins[k] if x not in got]
+        return got
+
+    def exchange(self, source: int, target: int, out: int, back: int) -> None:
+        give, get = self.take(source, out), self.take(target, back)
+        self.bins[source] += get
+        self.bins[target] += give
+        self.fill[source] += back - out
+        self.fill[target] += out - back
+        self.put(source)
+        self.put(target)
 
 
 def empty_bins(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Swap-based local search over underfull bins until none can be emptied further."""
-    fill = [sum(lengths[x] for x in b) for b in bins]
-    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    for begin in range(0, len(under), SEARCH_BINS):
-        part = under[begin : begin + SEARCH_BINS]
-        for source in list(part):
-            while bins[source]:
-                best, where = (0, [], []), -1
-                for t in part:
-                    # only towards fuller bins (the sum of squares rises then whatever is moved), or ones left at least as full
-                    if t == source or not bins[t] or fill[t] >= capacity or fill[t] < fill[source]:
-                        continue
-                    if capacity - fill[t] <= best[0]:
-                        continue
-                    got = best_exchange(bins[source], bins[t], capacity - fill[t], lengths)
-                    if got[0] > best[0]:
-                        best, where = got, t
-                        if best[0] >= fill[source]:
-                            break
-                if where < 0:
-                    break
-                gain, out, back = best
-                bins[source] = [x for x in bins[source] if x not in out] + back
-                bins[where] = [x for x in bins[where] if x not in back] + out
-                fill[source] -= gain
-                fill[where] += gain
-    return [b for b in bins if b]
+    """Swap-based local search over all underfull bins, the emptiest first, each until it is empty or nothing fits."""
+    sizes = np.array(lengths, dtype=np.int64)
+    fill = [int(sizes[b].sum()) for b in bins]
+    full = [b for b, n in zip(bins, fill, strict=True) if n >= capacity]
+    under = [b for b, n in zip(bins, fill, strict=True) if n < capacity]
+    own = Exchanges(under, sizes, capacity)
+    for source in np.argsort(own.fill, kind="stable").tolist():
+        while under[source]:
+            gain, out, back, target = own.best(source)
+            if gain <= 0:
+                break
+            own.exchange(source, target, out, back)
+    return full + [b for b in under if b]
 
 
 def pack_group(group: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
@@ -146,36 +201,40 @@ def pack_group(group: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     return group.assign(bin=number, offset=offset, underfull=under)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP) -> DataFrame:
     """pieces with sequence_id and offset. pieces must be a written table: it is read more than once."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     row = F.monotonically_increasing_id()  # over a written table: the same for each attempt of a task
     whole = pieces.filter(F.col("length") >= capacity)
-    done = [whole.select(*columns, F.lit(0).alias("_round"), F.lit(0).cast("long").alias("_group"), row.alias("bin"), F.lit(0).cast("long").alias("offset"))]
-    rest = pieces.filter(F.col("length") < capacity)
-    before = None
-    for number in range(1, rounds + 1):
-        n = rest.count()
-        groups = max(1, -(-n // group_size))
-        last = groups == 1 or number == rounds or (before is not None and n > 0.7 * before)
+    done = [whole.select(*columns, (-1 - row).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]  # one each, counted down from -1
+    first_free = 0
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            return pack_group(group, capacity).drop(columns=["row"])
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pack_group(group, capacity).drop(columns=["row"])
 
+    rest, before = pieces.filter(F.col("length") < capacity), None
+    n = rest.count()
+    while n:
+        groups = max(1, -(-n // group_size))
         dealt = rest.select(*columns, F.pmod(row, F.lit(groups)).alias("_group"), F.lit(0).alias("row"))
         placed = durable(dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(run, PLACED + ", _group long"))
-        chosen = placed if last else placed.filter("not underfull")
-        done.append(chosen.select(*columns, F.lit(number).alias("_round"), "_group", "bin", "offset"))
-        if last:
+        of_bin, under = F.col("offset") == 0, F.col("underfull")
+        sums = placed.agg(F.count_if(of_bin).alias("bins"), F.count_if(of_bin & under).alias("under"), F.count_if(under).alias("pieces"), F.sum(F.when(under, F.col("length"))).alias("tokens"), (F.max("bin") + 1).alias("span")).first()
+        if before is not None and sums["bins"] >= before[1]:  # nothing saved: the last round's bins stay
+            done.append(before[0])
+            break
+        named = placed.select(*columns, (first_free + F.col("_group") * sums["span"] + F.col("bin")).alias("sequence_id"), "offset", "underfull")
+        first_free += groups * sums["span"]
+        if groups == 1 or sums["under"] <= -(-(sums["tokens"] or 0) // capacity):  # one group, or as few bins as can be
+            done.append(named.drop("underfull"))
             break
-        rest, before = placed.filter("underfull").select(*columns), n
+        done.append(named.filter("not underfull").drop("underfull"))
+        left = named.filter("underfull").drop("underfull")
+        rest, before, n = left.select(*columns), (left, sums["under"]), sums["pieces"]
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    # round (from bit 58), group (from bit 20) and bin (below group_size) name a sequence; whole pieces count down from -1
-    named = F.shiftleft(F.col("_round").cast("long"), 58) + F.shiftleft("_group", 20) + F.col("bin")
-    sequence = F.when(F.col("_round") == 0, F.negative("bin") - 1).otherwise(named)
-    return every.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), *columns[1:], sequence.alias("sequence_id"), "offset")
+    return every.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

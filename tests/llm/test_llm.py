@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.llm import binary_output, bpe, near_dedup, packing, quality_rules, registry, substring_dedup, token_counts, tokens, topk_search, toxicity, url_filters
+from offerlens.llm.common import durable
 from tests.conftest import SMALL, same_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,6 +244,22 @@ def test_local_search_only_empties(seed):
     assert all(sum(lengths[x] for x in b) <= 60 for b in bins) and len(bins) <= -(-sum(lengths) // 60) + 1
 
 
+@pytest.mark.parametrize(("low", "high"), [(1, 101), (26, 101), (51, 100), (60, 61)])
+def test_packing_in_many_groups(spark, low, high):
+    """Groups of 40 pieces and as many rounds as save bins: each piece once, without gaps, in few sequences."""
+    lengths = np.random.default_rng(low).integers(low, high, 700).tolist()
+    rows = [(k, 0, 0, n, 7) for k, n in enumerate(lengths)]
+    pieces = durable(spark.createDataFrame(rows, packing.PIECES))
+    got = packing.pack_pieces(pieces, 100, 40).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == rows
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()] and sum(n for _, n in parts) <= 100
+    assert len(by) <= 1.06 * len(packing.best_fit(lengths, 100))  # so small groups cost a few hundredths
+
+
 @pytest.mark.parametrize("rule", ["first", "largest"])
 def test_token_counts(odd, rule):
     encoder = tokens.encoder(tokens.tokenizer_path())
@@ -451,7 +468,7 @@ def test_queries_against_sql(spark, duck, name):
 def test_pipeline(spark):
     """Each stage against brute force on its own input; the whole is what the stages give one after the other."""
     import corpus_pipeline
-    from offerlens.llm.common import durable, table
+    from offerlens.llm.common import table
 
     docs, seen = table(spark, SMALL, "documents"), []
     for name, stage in corpus_pipeline.STAGES:
