@@ -2,18 +2,23 @@
 
 Inputs. A text is its words in lower case, those of over PIECE characters cut into pieces. A word's input is a word vector (of
 the up to WORDS words that are in WORD_TEXTS texts to learn from or more; zero for all others) beside the two final states of
-a gated recurrent pair that reads its characters. A second pair reads windows of WINDOW
-words, each STEP words after the last, to the end of the text; attention pools a window's states to one logit. A text's score
-is its highest window's, on a scale calibrated so that 0.7 lies between the classes of the training rows.
+a gated recurrent pair that reads its characters. A second pair reads the words.
 
-Training. On a bounded sample of labelled rows, SAMPLE of each class at most, drawn by hash of the id, texts of up to
-SAMPLE_CHARS characters; held-out rows (crc32 of the id as text, modulo 3, is 1) are never among them. Labels hold for whole
-texts, so that training takes all windows of toxic texts with words that are significant for the label; of a toxic text without
-such words first the window with the most evidence from the other toxic texts, however weak, then the one the network itself
-scores highest. So every toxic text is learnt from, whatever its language's share of the sample. Scores read the text alone.
+Windows. All windows of WINDOW words are scored, one from every word on: the recurrent pair reads segments of SEGMENT words, which
+overlap by a window less one word, and attention pools the states of each window to one logit. Attention weights and their
+products with the output vector are summed up along the segment, so that a window costs two subtractions, not a reading of its
+own. A text's score is its highest window's, on a scale calibrated so that 0.7 lies between the classes of the training rows.
 
-Cases. Null and empty texts and texts without a word score 0. Without rows of both classes to learn from all texts score 0.
-Repeated rows are scored each for itself; a null doc_id is not held out. An empty table gives an empty result.
+Training. On a bounded sample of labelled rows, SAMPLE of each class at most, drawn by hash of the id among those of up to
+SAMPLE_CHARS characters; held-out rows (crc32 of the id as text, modulo 3, is 1) are never among them. Labels hold for whole
+texts, so that training takes windows of toxic texts with words that are significant for the label; of a toxic text without
+such words the windows with the most evidence from the other toxic texts, however weak, and then the one the network itself
+scores highest, too. So every toxic text is learnt from, whatever its language's share of the sample. Scores read the text alone.
+
+Cases. Null and empty texts and texts without a word score 0; very long texts are scored whole. Without rows of both classes to
+learn from all texts score 0. Repeated rows are scored each for itself; a null doc_id is not held out and stays null. An empty
+table gives an empty result. Columns beyond doc_id and text are ignored by `score_documents` and kept by `filter_documents`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,19 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import BLANKS, chunks, portions, text_column
+from offerlens.llm.common import BLANKS, chunks, durable, portions, text_column
 
-WINDOW, STEP, PIECE = 32, 16, 24
+WINDOW, SEGMENT, PIECE = 32, 128, 24
+#: Words from one training window of a text to the next.
+STEP = 16
 CHARS, CHAR_SIZE, CHAR_STATE = 128, 8, 8
 WORDS, WORD_TEXTS, WORD_SIZE, STATE, ATTENTION = 4096, 5, 8, 10, 8
-#: Labelled rows of each class to learn from, at most, and the longest text among them.
+#: Labelled rows of each class to learn from, at most, and the longest text they are drawn from.
 SAMPLE, SAMPLE_CHARS = 700, 12_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
+#: Windows that a toxic text without significant words is learnt from at first; windows drawn from a toxic text for a pass over all.
+STRONGEST, DRAWN = 3, 4
 #: Lengths of the word beginnings that tell toxic texts apart.
 BEGINNINGS = (4, 5, 6, 7)
 ROUNDS, EPOCHS, BATCH, RATE = 4, 2, 96, 0.015
-#: Distinct words whose inputs a worker keeps; windows that are scored at once.
-CACHE_WORDS, BLOCK = 150_000, 1024
+#: Distinct words whose inputs a worker keeps; segments that are read at once, and the step of their padded lengths.
+CACHE_WORDS, BLOCK, PADDED = 150_000, 512, 16
 
 F32 = np.float32
 _BLANKS = str.maketrans(dict.fromkeys(BLANKS, " "))
@@ -57,6 +66,11 @@ def window_starts(n: int) -> range:
     return range(0, max(n - WINDOW, 0) + STEP if n > WINDOW else 1, STEP) if n else range(0)
 
 
+def segment_starts(n: int) -> list[int]:
+    """First words of the segments of n words: together they hold every window; the last one ends with the text."""
+    return [*range(0, n - SEGMENT, SEGMENT - WINDOW + 1), n - SEGMENT] if n > SEGMENT else [0] * (n > 0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
 
@@ -166,22 +180,32 @@ class Network:
                 out[some, WORD_SIZE + CHAR_STATE :] = Gru.run(backward[chars[::-1]], None, w["cbu"])[0][-1]
         return np.concatenate([out @ w["wf"] + w["wfb"], out @ w["wb"] + w["wbb"]], axis=1)
 
-    def logits(self, inputs: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Of windows (rows of word numbers, padded with 0 behind their length)."""
-        w, out = self.w, np.empty(len(windows), F32)
-        for n in np.unique(lengths).tolist():
-            which = np.flatnonzero(lengths == n)
+    def best_windows(self, inputs: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The highest logit of all windows of each segment and the window's first word. rows: word numbers, padded behind the length."""
+        w, best, where = self.w, np.empty(len(rows)), np.zeros(len(rows), dtype=np.int64)
+        padded = -(-lengths // PADDED) * PADDED
+        for steps in np.unique(padded).tolist():
+            which = np.flatnonzero(padded == steps)
             for at in range(0, len(which), BLOCK):
                 some = which[at : at + BLOCK]
-                x = inputs[windows[some, :n].T]
-                f = Gru.run(x[:, :, : 3 * STATE], None, w["wfu"])[0][1:]
-                b = Gru.run(x[::-1, :, 3 * STATE :], None, w["wbu"])[0][:0:-1]
-                h = np.concatenate([f, b], axis=2)
-                e = (np.tanh(h.reshape(-1, 2 * STATE) @ w["a"]) @ w["av"]).reshape(n, -1)
+                n, words = lengths[some], rows[some, :steps].T
+                turned = backwards(steps, n)
+                f = Gru.run(inputs[words, : 3 * STATE], None, w["wfu"])[0][1:]  # what stands behind a row's length is not used
+                b = Gru.run(inputs[np.take_along_axis(words, turned, axis=0), 3 * STATE :], None, w["wbu"])[0][1:]
+                h = np.concatenate([f, np.take_along_axis(b, turned[:, :, None], axis=0)], axis=2).reshape(-1, 2 * STATE)
+                e = (np.tanh(h @ w["a"]) @ w["av"]).reshape(steps, -1).astype(float)
+                e = np.where(np.arange(steps)[:, None] < n, e, -np.inf)
                 e = np.exp(e - e.max(axis=0))
-                pooled = (h * (e / e.sum(axis=0))[:, :, None]).sum(axis=0)
-                out[some] = (pooled @ w["o"])[:, 0] + w["ob"]
-        return out
+                zero = np.zeros((1, len(some)))
+                mass = np.concatenate([zero, np.cumsum(e, axis=0)])
+                value = np.concatenate([zero, np.cumsum(e * (h @ w["o"]).reshape(steps, -1), axis=0)])
+                starts = max(steps - WINDOW, 0) + 1
+                end = np.minimum(np.arange(starts) + WINDOW, steps)
+                logits = (value[end] - value[:starts]) / np.maximum(mass[end] - mass[:starts], 1e-30)
+                logits = np.where(np.arange(starts)[:, None] <= np.maximum(n - WINDOW, 0), logits, -np.inf)
+                where[some] = np.argmax(logits, axis=0)
+                best[some] = logits[where[some], np.arange(len(some))] + float(w["ob"][0])
+        return best, where
 
     # -- training
 
@@ -273,7 +297,7 @@ class Network:
     # -- scoring
 
     def score(self, texts: list[str], cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Highest logit of each text (-inf without words), and the window that has it."""
+        """Highest logit of each text (-inf without words), and the first word of the window that has it."""
         cache = {} if cache is None else cache
         if len(cache.get("number", ())) > CACHE_WORDS:
             cache.clear()
@@ -283,23 +307,22 @@ class Network:
         if len(number) > have:
             new = self.word_inputs(list(number)[have:])
             cache["inputs"] = np.concatenate([cache["inputs"], new]) if have else new
-        owner, rows, lengths = [], [], []
+        owner, first, lengths = [], [], []
         for k, own in enumerate(split):
-            for a in window_starts(len(own)):
-                part = own[a : a + WINDOW]
+            for a in segment_starts(len(own)):
                 owner.append(k)
-                lengths.append(len(part))
-                rows.append(part + [0] * (WINDOW - len(part)))
+                first.append(a)
+                lengths.append(min(len(own) - a, SEGMENT))
         best, where = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=np.int64)
-        if rows:
-            owner = np.array(owner)
-            logits = self.logits(cache["inputs"], np.array(rows), np.array(lengths)).astype(float)
-            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            least = np.maximum.reduceat(logits, begin)
-            best[owner[begin]] = least
-            sizes = np.diff(np.append(begin, len(owner)))
-            hit = np.flatnonzero(logits == np.repeat(least, sizes))
-            where[owner[hit[::-1]]] = (hit - begin[np.searchsorted(begin, hit, "right") - 1])[::-1]
+        if owner:
+            owner, first = np.array(owner), np.array(first)
+            rows = np.zeros((len(owner), SEGMENT), dtype=np.int64)
+            for k, (o, a, n) in enumerate(zip(owner.tolist(), first.tolist(), lengths, strict=True)):
+                rows[k, :n] = split[o][a : a + n]
+            logits, start = self.best_windows(cache["inputs"], rows, np.array(lengths))
+            order = np.lexsort((-logits, owner))
+            head = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+            best[owner[head]], where[owner[head]] = logits[head], first[head] + start[head]
         return best, where
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
@@ -332,12 +355,13 @@ class Evidence:
         least = math.log(len(self.toxic) + 1) + 3
         return {f for f, n in self.toxic.items() if self.clean[f] * 10 <= n and self.bound(f) > least}
 
-    def strongest(self, windows: list[list[str]]) -> int:
-        """The window of a toxic text with the most evidence from the other texts, however weak."""
+    def strongest(self, windows: list[list[str]]) -> list[list[str]]:
+        """The STRONGEST windows of a toxic text with the most evidence from the other texts, however weak."""
         known: dict[str, float] = {}
         for w in {w for x in windows for w in x}:
             known[w] = max(self.bound(f, 1) for f in features([w]))
-        return int(np.argmax([sum(known[w] for w in set(x)) for x in windows]))
+        order = np.argsort([-sum(known[w] for w in set(x)) for x in windows], kind="stable")
+        return [windows[k] for k in order[:STRONGEST].tolist()]
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
@@ -358,33 +382,32 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     marks = evidence.significant()
     marked = lambda w: not marks.isdisjoint(features([w]))
     cut = lambda words: [words[a : a + WINDOW] for a in window_starts(len(words))]
-    # every toxic text is learnt from: by all its marked windows, else by the one with the most evidence until the network chooses
-    positive, chosen = [], {}
-    for k, words in enumerate(toxic):
+    # every toxic text is learnt from, and all count alike: DRAWN windows a round of its marked ones, or else of those with the most evidence
+    pools, plain = [], []
+    for words in toxic:
         windows = cut(words)
         hits = [x for x in windows if any(map(marked, x))]
-        positive += hits
-        if not hits:
-            chosen[k] = windows[evidence.strongest(windows)]
+        pools.append(hits or evidence.strongest(windows))
+        plain.append(not hits)
     negative = [x for words in clean for x in cut(words)]
-    enough = max((len(positive) + len(chosen)) * 3, 900)
-
-    small = max(1, round(4500 / (len(positive) + len(chosen) + enough)))  # as many steps on small samples
+    enough = max(len(pools) * DRAWN * 3, 900)
+    small = max(1, round(4500 / (len(pools) * DRAWN + enough)))  # as many steps on small samples
     flat = [" ".join(w) for w in toxic + clean]
     hard: list[list[str]] = []
     for number in range(ROUNDS):
         rate = RATE * 0.6**number
         for _ in range(EPOCHS * small):
+            drawn = [pool[k] for pool in pools for k in (range(len(pool)) if len(pool) <= DRAWN else rng.choice(len(pool), DRAWN, replace=False))]
+            drawn += [pool[k] for pool in pools if len(pool) < DRAWN for k in rng.integers(0, len(pool), DRAWN - len(pool))]
             own = [negative[k] for k in rng.choice(len(negative), min(enough, len(negative)), replace=False)] + hard
-            toxic_now = positive + [*chosen.values()]
-            net.fit(toxic_now + own, np.array([1.0] * len(toxic_now) + [0.0] * len(own), F32), rate, rng, moments)
+            net.fit(drawn + own, np.array([1.0] * len(drawn) + [0.0] * len(own), F32), rate, rng, moments)
         best, where = net.score(flat)
-        # the clean texts' worst windows are learnt from now on, the highest windows of unmarked toxic texts, and unmarked ones of others that the network is sure of
-        hard = [cut(w)[where[len(toxic) + k]] for k, w in enumerate(clean) if best[len(toxic) + k] > -3]
-        if number == 0:
-            positive += [cut(w)[where[k]] for k, w in enumerate(toxic) if k not in chosen and best[k] > 0 and not any(map(marked, cut(w)[where[k]]))]
-        else:
-            chosen = {k: cut(toxic[k])[where[k]] for k in chosen}
+        # the clean texts' worst windows are learnt from now on, and the highest windows of toxic texts that are unmarked
+        top = [w[a : a + WINDOW] for w, a in zip(toxic + clean, where.tolist(), strict=True)]
+        hard = [x for x, b in zip(top[len(toxic) :], best[len(toxic) :], strict=True) if b > -3]
+        for k, pool in enumerate(pools):
+            if plain[k] or (number == 0 and best[k] > 0 and not any(map(marked, top[k]))):
+                pool.append(top[k])
     calibrate(net, *(net.score([" ".join(w) for w in x])[0] for x in aside))
     return net
 
@@ -402,20 +425,20 @@ def calibrate(net: Network, toxic: np.ndarray, clean: np.ndarray) -> None:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list:
-    """Rows (text, toxic), SAMPLE of each class at most; the ids are chosen first, so that only their texts are read."""
+    """Rows (text, toxic), SAMPLE of each class at most; the ids are chosen first, among those with a text that is not too long, so that only their texts are read."""
     crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
+    known = durable(known.join(texts.select("doc_id"), "doc_id", "left_semi"))
     chosen = []
     for y in (1, 0):
         chosen += known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
     if not chosen:
         return []
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int"))
-    text = F.col("text").cast("string")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.length("text") <= SAMPLE_CHARS).join(ids, "doc_id")
     # rows with one id and one text count once; ties of an id are all taken, up to the sample's size over all
-    return found.distinct().orderBy(F.xxhash64("doc_id", "text")).limit(2 * SAMPLE).select("text", "toxic").collect()
+    return texts.join(ids, "doc_id").distinct().orderBy(F.xxhash64("doc_id", "text")).limit(2 * SAMPLE).select("text", "toxic").collect()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
