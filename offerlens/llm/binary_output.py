@@ -1,12 +1,17 @@
 """Packed token-id output: best-fit-decreasing with a segment tree over the room that is left in bins.
 
 Documents become ids with an end id; those longer than a sequence are cut without loss (the first piece may be shorter). Each
-task packs its own rows, so that ids never travel: it gathers pieces up to BUFFER_TOKENS, packs, puts out full bins and
-carries the pieces of underfull ones on to the next buffer. A row is one sequence: the id row of the matrix (little-endian
-unsigned 32-bit, padded with the end id to the full width), cumulative segment lengths (from 0 to the tokens in use), the
-places where positions start again from 0, and each segment's document and piece.
+task packs its own rows first, so that most ids never travel: it gathers pieces up to BUFFER_TOKENS, packs, puts out full bins and
+carries the pieces of underfull ones on to the next buffer. What stays underfull in a task is dealt anew into even groups of about
+GROUP pieces, packed again, and so on, until one group is left, the bins are as few as their tokens allow, or a round saves no
+bin: how few sequences there are does not depend on the number of input partitions.
 
-Cases. Null and empty texts are just the end id. Repeated rows are packed each for itself. An empty table gives no sequences.
+A row is one sequence: the id row of the matrix (little-endian unsigned 32-bit, padded with the end id to the full width),
+cumulative segment lengths (from 0 to the tokens in use), the places where positions start again from 0, and each segment's
+document and piece.
+
+Cases. Null and empty texts are just the end id; very long texts are cut into whole sequences. Repeated rows are packed each for
+itself; a null doc_id stays null. An empty table gives no sequences. Columns beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import text_column
+from offerlens.llm.common import durable, portions, text_column
 from offerlens.llm.packing import CAPACITY, END_ID, cut
 from offerlens.llm.tokens import encoder, tokenizer_path
 
-BUFFER_TOKENS = 1 << 21
+#: Tokens a task gathers before it packs, and pieces of a group in later rounds (48 MB of ids at most).
+BUFFER_TOKENS, GROUP = 1 << 21, 6000
 SEQUENCES = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>"
+SCHEMA = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
 
 
 class RoomTree:
@@ -73,53 +80,98 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def packed_rows(pieces: list[tuple[int, int, np.ndarray]], last: bool, capacity: int = CAPACITY) -> tuple[list[tuple], list]:
-    """Rows of the bins that are full, or all if last; and the pieces of the others."""
-    rows, rest = [], []
+def packed_rows(pieces: list[tuple[int, int, np.ndarray]], capacity: int = CAPACITY) -> tuple[list[tuple], list[tuple]]:
+    """Rows of the full bins and of the others: tokens, ids, cumulative lengths, resets, documents, pieces."""
+    full, rest = [], []
     for items in pack([len(p[2]) for p in pieces], capacity):
         own = [pieces[k] for k in items]
         n = sum(len(p[2]) for p in own)
-        if n < capacity and not last:
-            rest += own
-            continue
         ids = np.full(capacity, END_ID, dtype="<u4")
         ids[:n] = np.concatenate([p[2] for p in own])
         edges = np.cumsum([0, *(len(p[2]) for p in own)]).tolist()
-        rows.append((n, ids.tobytes(), edges, edges[:-1], [p[0] for p in own], [p[1] for p in own]))
-    return rows, rest
+        (full if n == capacity else rest).append((n, ids.tobytes(), edges, edges[:-1], [p[0] for p in own], [p[1] for p in own]))
+    return full, rest
 
 
-def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """SEQUENCES of all rows."""
-    path = path or tokenizer_path()
-    schema = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
+def as_batch(number: int, rows: list[tuple], group: int | None = None) -> pa.RecordBatch:
+    columns = [range(number, number + len(rows)), *(zip(*rows, strict=True) if rows else [()] * 6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+    return batch if group is None else batch.append_column("_group", pa.array(np.full(len(rows), group, np.int64)))
+
+
+def first_packing(docs: DataFrame, path: str, capacity: int) -> DataFrame:
+    """SEQUENCES that each task makes of its own rows; ids count down from -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number, size, waiting = encoder(path), TaskContext.get().partitionId() << 33, 0, []
-
-        def put(last: bool) -> pa.RecordBatch:
-            nonlocal number, waiting, size
-            rows, waiting = packed_rows(waiting, last, capacity)
-            if sum(len(p[2]) for p in waiting) > BUFFER_TOKENS // 2:  # these don't fill bins: waiting longer would only fill memory
-                more, waiting = packed_rows(waiting, True, capacity)
-                rows += more
-            size = sum(len(p[2]) for p in waiting)
-            columns = [range(number, number + len(rows)), *(zip(*rows, strict=True) if rows else [()] * 6)]
+        own, number, size, waiting = encoder(path), -(((TaskContext.get().partitionId() + 1) << 33) - 1), 0, []
+
+        def put(rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal number
             number += len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            return as_batch(number - len(rows), rows)
 
-        for batch in batches:
+        for batch in portions(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(own.encode(text), np.uint32(END_ID))
                 waiting += [(key, k, ids[a : a + n]) for k, (a, n) in enumerate(cut(len(ids), capacity))]
                 size += len(ids)
                 if size >= BUFFER_TOKENS:
-                    yield put(False)
-        yield put(True)
+                    full, rest = packed_rows(waiting, capacity)
+                    yield put(full)
+                    size = sum(r[0] for r in rest)
+                    if size > BUFFER_TOKENS // 2:  # these fill no bins here: they wait for the next round, not in memory
+                        yield put(rest)
+                        rest, size = [], 0
+                    waiting = [p for r in rest for p in pieces_of(r)]
+        full, rest = packed_rows(waiting, capacity)
+        yield put(full + rest)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs)).mapInArrow(run, SEQUENCES)
 
 
+def pieces_of(row: tuple) -> list[tuple[int, int, np.ndarray]]:
+    _, ids, edges, _, docs, numbers = row
+    ids = np.frombuffer(ids, dtype="<u4")
+    return [(d, k, ids[a:b]) for d, k, a, b in zip(docs, numbers, edges, edges[1:], strict=False)]
+
+
+def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_size: int = GROUP) -> DataFrame:
+    """SEQUENCES of all rows."""
+
+    def again(key: tuple, group: pa.Table) -> pa.Table:
+        pieces = [(d, k, np.frombuffer(x, dtype="<u4")) for d, k, x in zip(*(group[c].to_pylist() for c in ("doc_id", "piece", "ids")), strict=True)]
+        pieces.sort(key=lambda p: (-len(p[2]), p[0] is None, p[0] or 0, p[1]))
+        full, rest = packed_rows(pieces, capacity)
+        return pa.Table.from_batches([as_batch(0, full + rest, key[0].as_py())])
+
+    columns = [f.name for f in SCHEMA]
+    packed = durable(first_packing(docs, path or tokenizer_path(), capacity))
+    under = F.col("n_tokens") < capacity
+    done, rest, free = [packed.filter(~under)], packed.filter(under), 0
+    while True:
+        sums = rest.agg(F.count("*").alias("bins"), F.sum("n_tokens").alias("tokens"), F.sum(F.size("pieces")).alias("pieces")).first()
+        if sums["bins"] <= max(1, -(-(sums["tokens"] or 0) // capacity)):  # as few as can be
+            break
+        groups = max(1, -(-sums["pieces"] // group_size))
+        parts = F.transform("pieces", lambda k, i: F.struct(F.element_at("doc_ids", i + 1).alias("doc_id"), k.alias("piece"), (4 * F.element_at("cu_seqlens", i + 1)).alias("a"), (4 * F.element_at("cu_seqlens", i + 2)).alias("b")))
+        pieces = rest.select("ids", F.explode(parts).alias("p")).select("p.doc_id", "p.piece", F.substring("ids", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")).alias("ids"))
+        dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))  # over a written table: the same for each attempt of a task
+        placed = durable(dealt.repartition(groups, "_group").groupBy("_group").applyInArrow(again, SEQUENCES + ", _group long"))
+        got = placed.agg(F.count("*").alias("bins"), (F.max("sequence_id") + 1).alias("span")).first()
+        if got["bins"] >= sums["bins"]:  # nothing saved: the bins stay as they were
+            break
+        named = placed.withColumn("sequence_id", free + F.col("_group") * got["span"] + F.col("sequence_id")).select(*columns)
+        free += groups * got["span"]
+        done.append(named.filter(~under))
+        rest = named.filter(under)
+        if groups == 1:
+            break
+    every = rest
+    for part in done:
+        every = every.unionByName(part)
+    return every
+
+
 def write_packed(docs: DataFrame, out: str, path: str | None = None, capacity: int = CAPACITY) -> None:
     """Writes the sequences as Parquet, one file a task; a task that is lost is written again by Spark's committer."""
     packed_sequences(docs, path, capacity).write.parquet(out)

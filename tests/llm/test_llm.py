@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,8 +144,8 @@ def test_quality_against_slow_kneser_ney(spark, odd, most):
     assert near(got) == near(want) and {c for _, _, c in want} == {True, False}
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    """Over all signs that may come, the probabilities after a context and what is left for unseen ones make one."""
+def test_kneser_ney_leaves_room(spark):
+    """The probabilities of the signs that come after a context make one at most: the rest is left for unseen ones."""
     docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "a dog", "en"), (3, "", "en"), (4, "the hat", "de")], "doc_id long, text string, lang string")
     total = quality_rules.fit_model(docs).groupBy("lang", "hi", F.shiftright("lo", quality_rules.BITS).alias("context")).agg(F.sum(F.exp("log_p")).alias("p")).collect()
     assert all(0 < r["p"] <= 1 + 1e-9 for r in total) and {r["lang"] for r in total} == {"en", "de"}
@@ -183,16 +184,70 @@ def test_toxicity_learns_beginnings(spark):
 
 
 def test_toxicity_learns_from_every_toxic_text(monkeypatch):
-    """All toxic texts give windows from the first round on, and those of words that are marked give all of them."""
+    """All toxic texts give as many windows from the first pass on: marked ones, or those with the most evidence."""
     common = [" ".join(["an", "be", "cor"] * 30)] * 40
     marked = [" ".join((["an", "be", "cor"] * 11)[:31] + ["zuvxa"] + (["an", "be", "cor"] * 11)[:31] + ["zuvxa"] + ["an"] * 31 + ["zuvxa"])] * 20
     rare = [" ".join(["ra", "mil"] * 25 + [f"jurkha{k}"] + ["que"] * 50) for k in range(3)]
     seen = []
     monkeypatch.setattr(toxicity.Network, "fit", lambda self, windows, labels, *rest: seen.append([x for x, y in zip(windows, labels, strict=True) if y == 1]))
     toxicity.train(marked + rare + common, [1] * 23 + [0] * 40)
-    first = seen[0]
-    assert all(any(f"jurkha{k}" in x for x in first) for k in range(3))
-    assert sum("zuvxa" in x for x in first) == 20 * sum("zuvxa" in marked[0].split()[a : a + toxicity.WINDOW] for a in toxicity.window_starts(len(marked[0].split())))
+    for drawn in seen:
+        assert len(drawn) == toxicity.DRAWN * 23
+        assert sum("zuvxa" in x for x in drawn) == toxicity.DRAWN * 20 and sum("ra" in x or "que" in x for x in drawn) == toxicity.DRAWN * 3
+    assert all(any(f"jurkha{k}" in x for x in seen[0]) for k in range(3))
+
+
+def slow_score(net, text):
+    """The highest logit over all windows from every word on, step by step for one segment at a time."""
+    words, w, best = toxicity.pieces(text), net.w, -np.inf
+    size = toxicity.STATE
+
+    def states(x, u):
+        h, out = np.zeros(size), []
+        for row in x:
+            hu = h @ u
+            z, r = (1 / (1 + np.exp(-(row[k * size : (k + 1) * size] + hu[k * size : (k + 1) * size]))) for k in (0, 1))
+            c = np.tanh(row[2 * size :] + r * hu[2 * size :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    covered = set()
+    for a in toxicity.segment_starts(len(words)):
+        own = words[a : a + toxicity.SEGMENT]
+        x = np.concatenate([net.word_inputs([v]) for v in own]).astype(float)
+        h = np.concatenate([states(x[:, : 3 * size], w["wfu"]), states(x[::-1, 3 * size :], w["wbu"])[::-1]], axis=1)
+        for k in range(max(len(own) - toxicity.WINDOW, 0) + 1):
+            part = h[k : k + toxicity.WINDOW]
+            e = np.exp((np.tanh(part @ w["a"]) @ w["av"])[:, 0])
+            best = max(best, float(((e[:, None] * part).sum(axis=0) / e.sum() @ w["o"] + w["ob"])[0]))
+            covered.add(a + k)
+    assert covered == set(range(max(len(words) - toxicity.WINDOW, 0) + 1)) if words else not covered  # a window from every word on
+    return best
+
+
+def test_toxicity_scores_every_window(odd):
+    net = toxicity.Network(3)
+    rng = np.random.default_rng(4)
+    for name, v in net.w.items():
+        net.w[name] = (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32)
+    net.vocabulary = {"w17": 1, "one": 2}
+    texts = [t[:6000] for _, t in texts_of(odd)] + [" ".join(words(n, n)) for n in (1, 31, 32, 33, 127, 128, 129, 225, 300)]
+    got, where = net.score(texts)
+    for t, x, a in zip(texts, got.tolist(), where.tolist(), strict=True):
+        want = slow_score(net, t)
+        assert (x == want == -np.inf) or abs(x - want) < 1e-3
+        assert 0 <= a <= max(len(toxicity.pieces(t)) - toxicity.WINDOW, 0)
+
+
+def test_toxicity_of_odd_rows(odd, labels):
+    """Repeated rows are scored alike, nulls stay null, columns named as the operator's own stay as they are."""
+    got = [(r["doc_id"], r["score"], r["predicted"]) for r in toxicity.score_documents(odd, labels).collect()]
+    assert sorted(str(r[0]) for r in got) == sorted(str(k) for k, _ in texts_of(odd))
+    assert len({r for r in got if r[0] == 12}) == 1 and all(r[1] == 0 for r in got if r[0] in (4, 5, 6))
+    kept = toxicity.filter_documents(odd, labels)
+    gone = {r[0] for r in got if r[2]}
+    assert kept.columns == odd.columns and Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in odd.collect() if r["doc_id"] not in gone)
 
 
 def test_gradients():
@@ -202,7 +257,7 @@ def test_gradients():
     args = (["ab", "c", "abcd"], np.array([[0, 1, 2], [2, 0, 0]]), np.array([3, 1]), np.array([1.0, 0.0]))
 
     def loss():
-        out = net.logits(net.word_inputs(args[0]), args[1], args[2]).astype(float)
+        out = net.best_windows(net.word_inputs(args[0]), np.pad(args[1], ((0, 0), (0, 13))), args[2])[0]
         return float(np.mean(np.log1p(np.exp(out)) - args[3] * out))
 
     g = net.step(*args, rng)
@@ -362,6 +417,59 @@ def test_near_classes_of_a_drifting_group(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()} == dict(enumerate(root))
 
 
+def test_document_frequencies(spark, monkeypatch):
+    """Exact on a small table; with small segments too small by less than the stated share, and never too large."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = near_dedup.nodes(table)
+    texts = [t for _, t in texts_of(table)]
+    true, total = Counter(), 0
+    for t in texts:
+        own = near_dedup.shingle_counts([t])[1].tolist()
+        true.update(own)
+        total += len(own)
+    keys = np.array(sorted(true), dtype=np.uint64)
+    want = near_dedup.Frequencies.inverse(np.array([true[k] for k in keys.tolist()]), len(texts))
+    got = near_dedup.inverse_frequencies(rows).of(keys)
+    assert np.allclose(got, want, atol=1e-6)
+    monkeypatch.setattr(near_dedup, "RARE_BITS", 12)
+    monkeypatch.setattr(near_dedup, "SEGMENT", 9000)
+    counted = Counter()
+    for batch in near_dedup.count_shingles(iter([pa.RecordBatch.from_arrays([pa.array(texts[k : k + 50])], ["text"]) for k in range(0, len(texts), 50)])):
+        for kind, key, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counted[(kind, key % 2**64)] += n
+    assert counted[1, 0] == total and counted[2, 0] == len(texts)
+    assert all(0 <= n - counted[0, k] < total / 2**12 for k, n in true.items()) and any(counted[0, k] < n for k, n in true.items())
+
+
+def test_near_classes_of_a_table(spark):
+    """Classes of a driver table against all pairs of its distinct texts that share a shingle."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = texts_of(table)
+    texts = sorted({t for _, t in rows if WORD.search(t)})
+    vectors = near_dedup.vectors_of(texts, near_dedup.inverse_frequencies(near_dedup.nodes(table)))
+    keys, owner = np.concatenate([k for k, _ in vectors]), np.repeat(np.arange(len(vectors)), [len(k) for k, _ in vectors])
+    order = np.lexsort((owner, keys))
+    pairs, begin = set(), np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0, [True]]))
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        own = owner[order[a:b]].tolist()
+        pairs.update((x, y) for n, y in enumerate(own) for x in own[:n])
+    links = [(texts[x], texts[y]) for x, y in pairs if near_dedup.weighted_jaccard(vectors[x], vectors[y]) >= 0.8]
+    of = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table).collect()}
+    by_text: dict = {}
+    for key, t in rows:
+        by_text.setdefault(t, set()).add(of[key])
+    assert all(len(by_text[t]) == 1 for t in texts)  # copies
+    assert len(links) > 30 and sum(by_text[x] == by_text[y] for x, y in links) >= 0.95 * len(links)
+    root = {t: t for t in texts}
+    for x, y in links:
+        a, b = root[x], root[y]
+        root = {t: min(a, b) if r in (a, b) else r for t, r in root.items()}
+    whole: dict = {}
+    for t in texts:
+        whole.setdefault(next(iter(by_text[t])), set()).add(root[t])
+    assert all(len(r) == 1 for r in whole.values())  # no class holds texts that no chain of links joins
+
+
 def test_packed_sequences(odd):
     ids = {}
     for r in binary_output.packed_sequences(odd).collect():
@@ -374,6 +482,18 @@ def test_packed_sequences(odd):
     assert have == Counter((*encoder.encode(t).tolist(), 0) for k, t in texts_of(odd) if k is not None)
 
 
+def test_sequences_are_few_whatever_the_partitions(spark):
+    """Many small partitions cost no sequences: as few as best-fit-decreasing makes of all pieces in one place, or nearly."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    encoder = tokens.encoder(tokens.tokenizer_path())
+    lengths = [n for _, t in texts_of(docs) for _, n in packing.cut(len(encoder.encode(t)) + 1, 256)]
+    best = len(binary_output.pack(lengths, 256))
+    for partitions, group in ((1, 6000), (40, 6000), (40, 100)):
+        got = binary_output.packed_sequences(docs.repartition(partitions), capacity=256, group_size=group)
+        counted = got.agg(F.count("*"), F.count_distinct("sequence_id"), F.sum("n_tokens")).first()
+        assert counted[0] == counted[1] and counted[2] == sum(lengths) and counted[0] <= 1.01 * best + 1, (partitions, group, counted, best)
+
+
 def test_room_tree():
     rng = np.random.default_rng(0)
     tree, have = binary_output.RoomTree(50), []
