@@ -21,14 +21,26 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str | N
 
 def first_match_join(df: DataFrame, text: str, rules: DataFrame, key: str) -> DataFrame:
     """df with the label of the first rule (priority, needle, label) that its text contains, for rule tables too long for a
-    literal chain. The rule table is broadcast only below BROADCAST_RULES rows; df rows are told apart by key."""
-    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    side = F.broadcast(rules) if small else rules
-    hits = df.join(side, F.contains(F.col(text), F.col("needle"))).groupBy(key).agg(F.min_by("label", "priority").alias("label"))
+    literal chain; df rows are told apart by key.
+
+    Rules are filed under their rarest run of GRAM characters (shorter needles under themselves), so that a text meets by an
+    equi-join on its own runs only rules that may be in it; only these are looked for. An empty needle is in no text."""
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substring(c, k, F.lit(n)))
+    sizes = range(1, GRAM + 1)
+    of_size = lambda c, n: F.when(F.length(c) >= n, runs(c, n))
+    needle = F.col("needle")
+    own = F.coalesce(*(F.when(F.length(needle) >= n, of_size(needle, n)) for n in reversed(sizes)))
+    filed = rules.filter(F.length(needle) > 0).select("priority", "needle", "label", F.explode(F.array_distinct(own)).alias("_run"))
+    uses = filed.groupBy("_run").agg(F.count("*").alias("_uses"))
+    index = filed.join(uses, "_run").groupBy("priority", "needle", "label").agg(F.min(F.struct("_uses", "_run")).alias("_best")).select("priority", "needle", "label", F.col("_best._run").alias("_run"))
+    every = F.array_distinct(F.flatten(F.array(*(F.coalesce(of_size(F.col(text), n), F.array().cast("array<string>")) for n in sizes))))
+    met = df.select(key, text, F.explode(every).alias("_run")).join(index, "_run").filter(F.contains(F.col(text), needle))
+    hits = met.groupBy(key).agg(F.min_by("label", "priority").alias("label"))
     return df.join(hits, key, "left")
 
 
-BROADCAST_RULES = 5_000
+#: Characters of the runs that needles are filed under; rows of bands that are broadcast at most.
+GRAM, BROADCAST_RULES = 3, 5_000
 
 
 def band_join(df: DataFrame, bands: DataFrame, key: str, amount: str) -> DataFrame:

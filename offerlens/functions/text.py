@@ -1,9 +1,13 @@
-"""Column builders for text, numbers, currencies, urls and ids. All native: they stay inside code generation."""
+"""Column builders for text, numbers, currencies, urls and ids. All native but fold_marks: they stay inside code generation."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters with marks and their plain forms, for folding by table.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -12,8 +16,24 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 def fold(text: Column) -> Column:
     """Lower case without Latin marks; Turkish capital I with dot first, sharp s as ss."""
-    lowered = F.lower(F.regexp_replace(text, "İ", "i"))
-    return F.regexp_replace(F.translate(lowered, MARKED, PLAIN), "ß", "ss")
+    lowered = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+    return F.replace(F.translate(lowered, MARKED, PLAIN), F.lit("ß"), F.lit("ss"))
+
+
+def fold_spaced(text: Column) -> Column:
+    """fold with hyphens and underscores as blanks, and blanks of all kinds run together."""
+    return F.trim(F.regexp_replace(F.translate(fold(text), "-_\u00a0", "   "), r"\s+", " "))
+
+
+def fold_place(text: Column) -> Column:
+    """fold for place names: dotless i as i and the like, apostrophes go, everything but letters and digits as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(fold(text), "ığşłøđ", "igslod"), "['’`]", ""), "[^a-z0-9]+", " "))
+
+
+@F.pandas_udf(StringType())
+def fold_marks(texts: pd.Series) -> pd.Series:
+    """Lower case without any combining mark, of all scripts: compatibility decomposition, which no built-in function does."""
+    return texts.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
 
 
 def name_key(text: Column) -> Column:
@@ -33,11 +53,17 @@ def packed_name(text: Column, generic: list[str]) -> Column:
 
 
 def locale_number(text: Column) -> Column:
-    """A number with either separator convention: the last of comma and dot is the decimal mark if one or two digits follow it."""
-    bare = F.regexp_replace(F.trim(text), r"[\s'’]", "")
-    decimal = F.regexp_extract(bare, r"[.,](\d{1,2})$", 1)
-    whole = F.regexp_replace(F.regexp_replace(bare, r"[.,]\d{1,2}$", ""), "[.,]", "")
-    number = F.when(decimal != "", F.concat(whole, F.lit("."), decimal)).otherwise(F.regexp_replace(bare, "[.,]", ""))
+    """A number with either separator convention. With both marks the last one is the decimal mark. A mark that stands alone
+    groups if three digits, or a multiple, follow its last place; else it is the decimal mark. Two decimal marks are no number."""
+    bare = F.regexp_replace(F.trim(text), r"[\s\u00a0'’]", "")
+    comma, dot = F.length(bare) - F.instr(F.reverse(bare), ","), F.length(bare) - F.instr(F.reverse(bare), ".")
+    has_comma, has_dot = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
+    grouped = bare.rlike(r"[.,](?:\d{3})+$")
+    point = lambda drop, mark: F.translate(F.translate(bare, drop, ""), mark, ".")
+    number = (
+        F.when(has_comma & has_dot & (comma > dot), point(".", ",")).when(has_comma & has_dot, F.translate(bare, ",", ""))
+        .when(grouped, F.translate(bare, ",.", "")).otherwise(F.translate(bare, ",", "."))
+    )
     return F.when(bare.rlike(r"^\d[\d.,]*$"), number.try_cast("double"))
 
 

@@ -21,9 +21,9 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
 
 def top_with_rest(counts: DataFrame, label: str, value: str, k: int, rest: str = "Other") -> DataFrame:
     """The k largest labels and the sum of the others; counts has a row a label."""
-    rank = F.row_number().over(Window.orderBy(F.desc(value), label))
-    named = counts.withColumn(label, F.when(rank <= k, F.col(label)).otherwise(F.lit(rest)))
-    return named.groupBy(label).agg(F.sum(value).alias(value))
+    top = counts.orderBy(F.desc(value), label).limit(k).select(F.col(label).alias("_top"))  # k rows; each partition puts out its k at most
+    named = counts.join(F.broadcast(top), counts[label].eqNullSafe(top["_top"]), "left")
+    return named.groupBy(F.when(F.col("_top").isNotNull(), F.col(label)).otherwise(F.lit(rest)).alias(label)).agg(F.sum(value).alias(value))
 
 
 def quota_mix(saved: DataFrame, live: DataFrame, key: str, order: list[str], first: int, total: int) -> DataFrame:

@@ -80,14 +80,61 @@ def overlay(base: DataFrame, extra: DataFrame, keys: list[str], columns: list[st
     return base.join(e, keys, "left").select(*kept, *(F.coalesce(c, f"_{c}").alias(c) for c in columns))
 
 
-def near_places(left: DataFrame, right: DataFrame, km: float, cell: float) -> DataFrame:
-    """Pairs within km: an equi-join on grid cells (right rows are filed under their nine neighbours), then the distance.
+def near_places(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs within km: an equi-join on grid cells (right rows are filed under their neighbours' cells too), then the distance.
 
-    cell is the cell's width in degrees and must not be narrower than km anywhere in the data."""
+    Bands of latitude are km high. In each band the cells are as wide in degrees as km needs at its latitude farthest from the
+    equator, and go around the globe, so that neither the poles nor the 180th meridian loses a pair."""
     from offerlens.functions.text import haversine_km
 
-    spot = lambda lat, lon: (F.floor(F.col(lat) / cell).alias("_x"), F.floor(F.col(lon) / cell).alias("_y"))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    r = right.select("*", *spot("lat_r", "lon_r")).withColumn("_d", F.explode(around)).withColumn("_x", F.col("_x") + F.col("_d.i")).withColumn("_y", F.col("_y") + F.col("_d.j")).drop("_d")
+    height = km / 111.0
+    band = lambda lat: F.floor((lat + 90) / height)
+
+    def cells(y: Column) -> Column:
+        """Cells around the globe in band y: none narrower than km at the band's latitude farthest from the equator, or next to it."""
+        edge = F.greatest(F.abs((y - 1) * height - 90), F.abs((y + 2) * height - 90))
+        return F.greatest(F.floor(F.lit(360.0) * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / height), F.lit(1)).cast("long")
+
+    column = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1)
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    r = right.withColumn("_y", F.explode(F.transform(steps, lambda d: band(F.col("lat_r")) + d))).withColumn("_n", cells(F.col("_y")))
+    r = r.withColumn("_x", F.explode(F.array_distinct(F.transform(steps, lambda d: F.pmod(column(F.col("lon_r"), F.col("_n")) + d, F.col("_n")))))).drop("_n")
+    own = left.withColumn("_y", band(F.col("lat_l"))).withColumn("_x", column(F.col("lon_l"), cells(F.col("_y"))))
     distance = haversine_km(F.col("lat_l"), F.col("lon_l"), F.col("lat_r"), F.col("lon_r"))
-    return left.select("*", *spot("lat_l", "lon_l")).join(r, ["_x", "_y"]).withColumn("km", distance).filter(F.col("km") <= km).drop("_x", "_y")
+    return own.join(r, ["_x", "_y"]).withColumn("km", distance).filter(F.col("km") <= km).drop("_x", "_y")
+
+
+def tolerance_binding(labels: DataFrame, records: DataFrame, keys: list[str], low: str, high: str, value: str, tolerance: float = 0.011) -> DataFrame:
+    """labels with the value of the records that have the same keys and both bounds within the tolerance: `bound` if all have one
+    value, and `ambiguous` if they have several. Bounds are filed under cells of twice the tolerance, so that the join is an
+    equi-join; records are filed under the neighbouring cells, too. labels' rows are told apart by _row, which is added."""
+    cell = lambda c: F.floor(F.col(c) / (2 * tolerance))
+    near = lambda c: F.array(cell(c) - 1, cell(c), cell(c) + 1)
+    named = labels.withColumn("_row", F.struct(*keys, low, high))
+    asked = named.select("_row").distinct().select("_row", *(F.col(f"_row.{k}").alias(k) for k in keys), F.col(f"_row.{low}").alias("_a"), F.col(f"_row.{high}").alias("_b")).withColumn("_x", cell("_a")).withColumn("_y", cell("_b"))
+    filed = records.select(*keys, F.col(low).alias("_c"), F.col(high).alias("_d"), F.col(value).alias("_v")).withColumn("_x", F.explode(near("_c"))).withColumn("_y", F.explode(near("_d")))
+    met = asked.join(filed, [*keys, "_x", "_y"]).filter((F.abs(F.col("_a") - F.col("_c")) <= tolerance) & (F.abs(F.col("_b") - F.col("_d")) <= tolerance))
+    found = met.groupBy("_row").agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    out = named.join(found, "_row", "left").withColumn("bound", F.when(F.col("_least") == F.col("_most"), F.col("_least")))
+    return out.withColumn("ambiguous", F.coalesce(F.col("_least") != F.col("_most"), F.lit(False))).drop("_row", "_least", "_most")
+
+
+def first_by_chain(wanted: DataFrame, stored: DataFrame, key: str, chain: list[Column], id_column: str) -> DataFrame:
+    """wanted with the stored row of the first key of its chain that is stored: an equi-join on all keys, then the first."""
+    asked = wanted.select(id_column, F.posexplode(F.array(*chain)).alias("_at", key)).filter(F.col(key).isNotNull())
+    rest = [c for c in stored.columns if c != key]
+    hit = asked.join(stored, key).groupBy(id_column).agg(F.min_by(F.struct(F.col(key).alias("found_key"), *rest), "_at").alias("_r"))
+    return wanted.join(hit.select(id_column, "_r.*"), id_column, "left")
+
+
+def url_match(left: DataFrame, right: DataFrame, key: str, order: str, suffix: int = 24) -> DataFrame:
+    """left (with `url` and key) and the first right row (by `order`) of the same normalised url; rows without one get the first
+    right row whose url ends with the same `suffix` characters. Both steps are equi-joins."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^https?://(?:www\.)?", ""), r"[?#].*$|/+$", "")
+    l, r = left.withColumn("_u", bare("url")), right.withColumn("_u", bare("url"))  # noqa: E741
+    first = lambda d, on: d.groupBy(on).agg(F.min(order).alias("matched"))
+    exact = l.join(first(r, "_u"), "_u", "left")
+    tail = F.when(F.length("_u") >= suffix, F.right("_u", F.lit(suffix)))
+    loose = exact.filter("matched is null").drop("matched").withColumn("_t", tail).join(first(r.withColumn("_t", tail).filter("_t is not null"), "_t"), "_t", "left")
+    both = exact.filter("matched is not null").withColumn("how", F.lit("url"))
+    return both.unionByName(loose.drop("_t").withColumn("how", F.when(F.col("matched").isNotNull(), "suffix"))).drop("_u")

@@ -65,7 +65,7 @@ def q04_funnel(t, spark):
 WITH a AS (SELECT p_partkey, p_size, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_retailprice END AS price, p_retailprice * 1.1 AS regular, p_retailprice * 0.9 AS low, p_retailprice * (1 + p_size / 100.0) AS high FROM part),
 b AS (SELECT *, coalesce(CASE WHEN price > 0 THEN price END, CASE WHEN regular > 0 THEN regular END, low) AS amount FROM a)
 SELECT p_partkey, round(amount, 4) AS amount, round(CASE WHEN high > amount THEN high END, 4) AS amount_max,
-  CASE WHEN p_size % 7 = 0 THEN 'per_unit' WHEN high > amount THEN 'range' WHEN regular > amount THEN 'sale' ELSE 'fixed' END AS price_type FROM b""")
+  CASE WHEN p_size % 7 = 0 THEN 'per_area' WHEN p_size % 7 = 1 THEN 'per_unit' WHEN high > amount THEN 'range' WHEN regular > amount THEN 'sale' ELSE 'fixed' END AS price_type FROM b""")
 def q05_price_resolution(t, spark):
     """B1: the first positive of several prices, a maximum only above it, and the type by precedence."""
     from offerlens.sources.curated import price_type, resolve_price
@@ -73,7 +73,7 @@ def q05_price_resolution(t, spark):
     p = F.col("p_retailprice")
     a = t("part").select("p_partkey", "p_size", F.when(F.col("p_size") % 3 == 0, 0.0).otherwise(p).alias("price"), (p * 1.1).alias("regular"), (p * 0.9).alias("low"), (p * (1 + F.col("p_size") / 100.0)).alias("high"))
     got = resolve_price(F.col("price"), F.col("low"), F.col("high"), F.col("regular"), F.lit(None).cast("double"))
-    unit = F.when(F.col("p_size") % 7 == 0, "per area")
+    unit = F.when(F.col("p_size") % 7 == 0, "per 2 areas").when(F.col("p_size") % 7 == 1, "per ml")
     kind = price_type(F.lit(None).cast("string"), unit, got["amount_max"].isNotNull(), F.col("regular"), got["amount"])
     return a.select("p_partkey", F.round(got["amount"], 4).alias("amount"), F.round(got["amount_max"], 4).alias("amount_max"), kind.alias("price_type"))
 
@@ -100,14 +100,16 @@ def q07_keyed_merge(t, spark):
 
 
 @query("""
-WITH o AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 5 <> 0),
-p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END AS c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 0)
+WITH o AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer),
+p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END AS c_name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer
+  UNION ALL SELECT -s_suppkey - 1, s_name, 'SUPPLIER' FROM supplier)
 SELECT c_custkey, coalesce(p.c_name, o.c_name) AS c_name, coalesce(p.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM o FULL JOIN p USING (c_custkey)""")
 def q08_upsert_coalesce(t, spark):
-    """A patch that changes only what it gives."""
-    c = t("customer").select("c_custkey", "c_name", "c_mktsegment")
-    old = c.filter("c_custkey % 5 != 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")))
-    patch = c.filter("c_custkey % 3 = 0").withColumn("c_name", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")))
+    """A patch that changes only what it gives; suppliers come as new keys."""
+    c, missing = t("customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("c_custkey") % 3 == 0
+    old = c.withColumn("c_mktsegment", F.when(~missing, F.col("c_mktsegment")))
+    patch = c.withColumn("c_name", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name"))).withColumn("c_mktsegment", F.when(missing, F.col("c_mktsegment")))
+    patch = patch.unionByName(t("supplier").select((-F.col("s_suppkey") - 1).alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("SUPPLIER").alias("c_mktsegment")))
     return resolve.coalesce_upsert(old, patch, ["c_custkey"])
 
 
@@ -191,7 +193,7 @@ def q17_kpis(t, spark):
     c = t("customer").select("c_nationkey", "c_custkey", "c_acctbal", "c_mktsegment")
     a = c.groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("cheapest"), F.max_by("c_custkey", F.struct(F.col("c_acctbal"), -F.col("c_custkey"))).alias("best"), F.max("c_acctbal").alias("top"))
     mode = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).groupBy("c_nationkey").agg(F.min_by("c_mktsegment", F.struct(-F.col("n"), "c_mktsegment")).alias("modal_segment"))
-    ties = c.join(F.broadcast(a.select("c_nationkey", "top")), "c_nationkey").filter("c_acctbal >= top - 100").groupBy("c_nationkey").agg(F.count("*").alias("ties"))  # a row a nation: a closed list
+    ties = c.join(a.select("c_nationkey", "top"), "c_nationkey").filter("c_acctbal >= top - 100").groupBy("c_nationkey").agg(F.count("*").alias("ties"))
     return a.join(mode, "c_nationkey").join(ties, "c_nationkey").drop("top")
 
 
@@ -345,7 +347,7 @@ SELECT a, b, round(km, 4) AS km FROM d WHERE km <= 40""")
 def q34_haversine_block(t, spark):
     """Pairs within 40 km by an equi-join on grid cells, then the distance."""
     c = lambda side: t("supplier").select(F.col("s_suppkey").alias("a" if side == "l" else "b"), ((F.col("s_suppkey") * 37 % 800) / 100.0 + 40).alias(f"lat_{side}"), ((F.col("s_suppkey") * 91 % 800) / 100.0 + 20).alias(f"lon_{side}"))
-    return resolve.near_places(c("l"), c("r"), 40.0, 0.6).filter("a < b").select("a", "b", F.round("km", 4).alias("km"))
+    return resolve.near_places(c("l"), c("r"), 40.0).filter("a < b").select("a", "b", F.round("km", 4).alias("km"))
 
 
 @query("""

@@ -30,12 +30,20 @@ def resolve_price(price: Column, low: Column, high: Column, regular: Column, mem
     return {"amount": shown, "amount_max": top}
 
 
-def price_type(stated: Column, unit: Column, has_range: Column, regular: Column, shown: Column) -> Column:
-    """approximate, then per unit, range, from, sale, fixed: the first that applies."""
+#: Unit tokens that make a price one for each, and stated types that make it a promotion (both parameters of price_type).
+UNIT_TOKENS = ("unit", "units", "ml", "cc", "syringe", "syringes", "vial", "vials", "session", "sessions", "graft", "grafts", "thread", "threads")
+AREA_TOKENS = ("area", "areas", "zone", "zones", "region", "regions")
+PROMOTIONS = ("introductory", "special", "sale")
+
+
+def price_type(stated: Column, unit: Column, has_range: Column, regular: Column, shown: Column, units=UNIT_TOKENS, areas=AREA_TOKENS, promotions=PROMOTIONS) -> Column:
+    """approximate, per_unit, per_area, range, from, sale, fixed: the first that applies. A sale is a stated promotion or a regular
+    price above the shown one."""
+    kind, token = F.lower(F.trim(stated)), unit_parts(unit)["unit_token"]
     return F.coalesce(
-        F.when(stated == "approximate", F.lit("approximate")), F.when(unit.rlike(r"(?i)^\s*per\b"), F.lit("per_unit")),
-        F.when(has_range, F.lit("range")), F.when(stated == "from", F.lit("from")),
-        F.when(positive(regular) > shown, F.lit("sale")), F.lit("fixed"),
+        F.when(kind == "approximate", F.lit("approximate")), F.when(token.isin(*units), F.lit("per_unit")), F.when(token.isin(*areas), F.lit("per_area")),
+        F.when(has_range, F.lit("range")), F.when(kind == "from", F.lit("from")),
+        F.when(kind.isin(*promotions) | (positive(regular) > shown), F.lit("sale")), F.lit("fixed"),
     )
 
 
@@ -57,7 +65,7 @@ def offers(rows: DataFrame) -> DataFrame:
         F.col(s + "name").alias("service_name"), F.col(s + "category").alias("category"), F.coalesce(F.col(s + "currency"), F.col("currency_default")).alias("currency"),
         got["amount"].alias("amount"), got["amount_max"].alias("amount_max"), F.col(s + "unit").alias("unit"),
         price_type(F.col(s + "price_type"), F.col(s + "unit"), got["amount_max"].isNotNull(), F.col(s + "regular_price"), got["amount"]).alias("price_type"),
-        (positive(F.col(s + "regular_price")) > got["amount"]).alias("is_promotional"), (F.col(s + "package_sessions") > 1).alias("is_package"),
+        F.coalesce(F.lower(F.trim(s + "price_type")).isin(*PROMOTIONS) | (positive(F.col(s + "regular_price")) > got["amount"]), F.lit(False)).alias("is_promotional"), (F.col(s + "package_sessions") > 1).alias("is_package"),
         F.col(s + "source_url").alias("source_url"), F.coalesce(F.col(s + "checked_at"), F.col("checked_at")).alias("checked_at"),
     )
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""

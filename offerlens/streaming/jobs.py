@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -104,16 +104,55 @@ def windowed_counts(events: DataFrame, lateness: str = "10 minutes", width: str
     return ts.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def upsert_batches(path: str, keys: list[str]):
-    """A foreachBatch sink: the batch's rows replace those of the same keys. A replayed batch gives the same table: each batch
-    writes its own version folder, and the newest complete one is the table."""
+def upsert_batches(path: str, keys: list[str], buckets: int = 64):
+    """A foreachBatch sink: the batch's rows (the newest a key, by `updated`) replace those of the same keys.
+
+    The table is cut into buckets by a hash of the keys; a batch writes anew only the buckets that it touches, as version v=number
+    of these. A replayed batch reads what was there before it and gives the same table. Older versions of a bucket go once two
+    newer ones are complete, so that readers and replays still find theirs. `read_upserted` reads the table."""
     from offerlens.operators.resolve import overwrite_upsert
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), "updated").alias("_r")).select(*keys, "_r.*")
-        old = f"{path}/v={number - 1}"
-        table = last if number == 0 else overwrite_upsert(spark.read.parquet(old), last, keys)
-        table.write.mode("overwrite").parquet(f"{path}/v={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        touched = [r["bucket"] for r in last.select(bucket).distinct().collect()]  # `buckets` numbers at most
+        old = read_upserted(spark, path, number, touched)
+        table = last if old is None else overwrite_upsert(old, last, keys)
+        table.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        _forget_versions(spark, path, number, touched)
 
     return write
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(version, bucket) of all folders of the table whose version is complete."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = []
+    for v in fs.listStatus(folder) if fs.exists(folder) else []:
+        if v.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(v.getPath(), "_SUCCESS")):
+            out += [(int(v.getPath().getName()[2:]), int(b.getPath().getName()[7:])) for b in fs.listStatus(v.getPath()) if b.getPath().getName().startswith("bucket=")]
+    return out
+
+
+def read_upserted(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The table that upsert_batches writes: of each bucket the newest version (older than `before`); None if there is none."""
+    newest: dict[int, int] = {}
+    for v, b in _versions(spark, path):
+        if (before is None or v < before) and (buckets is None or b in buckets):
+            newest[b] = max(v, newest.get(b, v))
+    if not newest:
+        return None
+    return spark.read.parquet(*(f"{path}/v={v}/bucket={b}" for b, v in sorted(newest.items())))
+
+
+def _forget_versions(spark: SparkSession, path: str, number: int, touched: list[int]) -> None:
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    have: dict[int, list[int]] = {}
+    for v, b in _versions(spark, path):
+        if b in touched and v <= number:
+            have.setdefault(b, []).append(v)
+    for b, versions in have.items():
+        for v in sorted(versions)[:-2]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/bucket={b}"), True)

@@ -12,11 +12,11 @@ from offerlens.streaming import jobs
 
 
 def one(spark, column, **values):
-    row = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in values.items())) if values else spark.range(1)
     return row.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("label", "number"), [("1.234,50", 1234.5), ("1,234.50", 1234.5), ("1 234", 1234.0), ("12", 12.0), ("1.234", 1234.0), ("99,9", 99.9), ("about", None), ("", None)])
+@pytest.mark.parametrize(("label", "number"), [("1.234,50", 1234.5), ("1,234.50", 1234.5), ("1 234", 1234.0), ("12", 12.0), ("1.234", 1234.0), ("99,9", 99.9), ("about", None), ("", None), ("1,234.567", 1234.567), ("1.234,567", 1234.567), ("12.3456", 12.3456), ("1,2345", 1.2345), ("1.234.567", 1234567.0), ("1,234,567.5", 1234567.5), ("1.234.56", None), ("12'345", 12345.0), ("0,5", 0.5), (None, None)])
 def test_locale_number(spark, label, number):
     assert one(spark, text.locale_number(F.col("t")), t=label) == number
 
@@ -83,7 +83,7 @@ def test_curated_file(spark, tmp_path):
     assert {r["service_name"]: r["skip_reason"] for r in rows.collect()} == {"Lip care": None, "No price": "no_numeric_price", "": "missing_name", "No source": "missing_source_url", "Peel": None}
     won = {r["service_name"]: r for r in curated.winners(rows.filter("skip_reason is null")).collect()}
     lips, peel = won["Lip care"], won["Peel"]
-    assert (lips["amount"], lips["n_rows"], lips["n_prices"], lips["currency"], lips["price_type"], lips["unit_quantity"], lips["unit_token"], lips["country_code"], lips["address"]) == (200.0, 2, 2, "CAD", "per_unit", 2.0, "areas", "CA", "1 Road, Anytown")
+    assert (lips["amount"], lips["n_rows"], lips["n_prices"], lips["currency"], lips["price_type"], lips["unit_quantity"], lips["unit_token"], lips["country_code"], lips["address"]) == (200.0, 2, 2, "CAD", "per_area", 2.0, "areas", "CA", "1 Road, Anytown")
     assert (peel["amount"], peel["amount_max"], peel["price_type"]) == (60.0, 90.0, "range")
 
 
@@ -133,7 +133,13 @@ def test_upsert_sink_replays_a_batch_alike(spark, tmp_path):
     write(frame([(1, "a", 1), (1, "b", 2), (2, "c", 1)]), 0)
     for _ in range(2):
         write(frame([(2, "d", 3), (3, "e", 3)]), 1)
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()} == {(1, "b"), (2, "d"), (3, "e")}
+    table = lambda: {(r["k"], r["v"]) for r in jobs.read_upserted(spark, str(tmp_path / "t")).collect()}
+    assert table() == {(1, "b"), (2, "d"), (3, "e")}
+    for n in range(2, 6):
+        write(frame([(1, f"x{n}", n)]), n)
+    assert table() == {(1, "x5"), (2, "d"), (3, "e")}
+    versions = [p for p in (tmp_path / "t").glob("v=*/bucket=*")]
+    assert len({p.name for p in versions}) <= 3 and len(versions) <= 6  # two versions of a bucket at most, and only touched ones
 
 
 def test_greedy_dedupe_streams(spark):
@@ -152,3 +158,54 @@ def test_greedy_dedupe_streams(spark):
     got = resolve.greedy_dedupe(spark.createDataFrame(rows, "g string, k long, keys array<string>"), ["g"], ["k"], "keys")
     assert got.columns == ["g", "k", "keys"] and sorted(map(str, expected)) == sorted(str((r["g"], r["k"])) for r in got.collect())
     assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("stated", "unit", "has_range", "regular", "want"), [("approximate", "per ml", True, None, "approximate"), (None, "per ml", True, None, "per_unit"), (None, "per 2 areas", True, None, "per_area"), (None, None, True, None, "range"), ("From", "package", False, 9.0, "from"), ("introductory", "", False, None, "sale"), (None, "each", False, 9.0, "sale"), (None, None, False, None, "fixed")])
+def test_price_type(spark, stated, unit, has_range, regular, want):
+    lit = lambda x, kind: F.lit(x).cast(kind)
+    got = curated.price_type(lit(stated, "string"), lit(unit, "string"), F.lit(has_range), lit(regular, "double"), F.lit(5.0))
+    assert spark.range(1).select(got.alias("x")).first()["x"] == want
+
+
+def test_first_match_join_is_an_equi_join(spark):
+    rules_table = spark.createDataFrame([(k, f"n{k:03d}x", str(k)) for k in range(300)] + [(300, "a", "short"), (301, "", "never")], "priority int, needle string, label string")
+    df = spark.createDataFrame([(1, "..n007x.n003x"), (2, "b"), (3, ""), (4, "ba"), (5, None)], "k long, t string")
+    got = rules.first_match_join(df, "t", rules_table, "k")
+    assert {r["k"]: r["label"] for r in got.collect()} == {1: "3", 2: None, 3: None, 4: "short", 5: None}
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_near_places_wraps(spark):
+    """Against all pairs: over the 180th meridian, at the poles, and at all latitudes."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    spots = [(k, rng.choice([89.9, -89.95, 60, 0]) + rng.uniform(-0.05, 0.05) * (k % 2), rng.choice([179.9, -179.9, 0, 10]) + rng.uniform(-0.3, 0.3)) for k in range(160)]
+    left, right = (spark.createDataFrame(spots, f"{s} int, lat_{s} double, lon_{s} double") for s in "lr")
+
+    def km(p, q):
+        a, b = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+    got = sorted((r["l"], r["r"]) for r in resolve.near_places(left, right, 25.0).collect())
+    assert got == sorted((p[0], q[0]) for p in spots for q in spots if km(p, q) <= 25.0)
+
+
+@pytest.mark.parametrize(("label", "want"), [("Éclair—Über ﬁn", "eclair—uber fin"), ("жё", "же"), (None, None)])
+def test_fold_marks(spark, label, want):
+    assert spark.createDataFrame([(label,)], "t string").select(text.fold_marks("t").alias("x")).first()["x"] == want
+
+
+@pytest.mark.parametrize(("label", "spaced", "place"), [("São-Paulo  City", "sao paulo city", "sao paulo city"), ("L'Hospitalet_x", "l'hospitalet x", "lhospitalet x"), ("Iğdır", "iğdır", "igdir")])
+def test_other_folds(spark, label, spaced, place):
+    row = spark.createDataFrame([(label,)], "t string").select(text.fold_spaced(F.col("t")).alias("a"), text.fold_place(F.col("t")).alias("b")).first()
+    assert row["a"] == spaced and row["b"] == place
+
+
+def test_tolerance_binding(spark):
+    labels = spark.createDataFrame([("a", 10.0, 20.0), ("a", 10.5, 20.0), ("b", 1.0, 1.0), ("b", 1.0, 1.0)], "k string, low double, high double")
+    records = spark.createDataFrame([("a", 10.011, 19.99, "d1"), ("a", 10.02, 20.0, "d2"), ("b", 1.0, 1.0, "d1"), ("b", 0.995, 1.01, "d2"), ("c", 10.0, 20.0, "d3")], "k string, low double, high double, day string")
+    got = [(r["k"], r["low"], r["bound"], r["ambiguous"]) for r in resolve.tolerance_binding(labels, records, ["k"], "low", "high", "day").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [("a", 10.0, "d1", False), ("a", 10.5, None, False), ("b", 1.0, None, True), ("b", 1.0, None, True)]))
