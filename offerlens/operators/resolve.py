@@ -63,6 +63,13 @@ def overwrite_upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def patch_map(old: Column, key: Column, value: Column) -> Column:
+    """The map with one entry set; a null map counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce(old, empty), lambda k, _: k != key)
+    return F.map_concat(kept, F.create_map(key, value))
+
+
 def ordered_union_distinct(frames: list[DataFrame], key: str) -> DataFrame:
     """Union in the frames' order; of equal keys the first frame's row stays. source is its frame's number."""
     both = None

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import rules, text
 from offerlens.operators import rank, resolve
-from offerlens.plans import serving  # noqa: F401  registers its queries
+from offerlens.plans import extraction, serving, trust  # noqa: F401  they register their queries
 from offerlens.plans.catalog import oracle_sql, queries, query  # noqa: F401
-from offerlens.sources import pages as page_source
 from offerlens.streaming import jobs
 
 NOW = "timestamp_ntz'2024-06-01 00:00:00'"
@@ -272,7 +271,7 @@ def q25_lease_decision(t, spark):
 
 @query()
 def q26_job_replay(t, spark):
-    """L1 to L4: jobs with leases replayed in order by market; an ordered fold, tested against a plain loop."""
+    """L1 to L3: jobs with leases replayed in order by market; an ordered fold, tested against a plain loop."""
     kinds = ["enqueue", "claim", "progress", "finish", "release", "claim"]
     action = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod("event_id", F.lit(len(kinds))) + 1).cast("int"))
     return jobs.replay(t("events").select(F.concat(F.lit("m"), F.col("user_id")).alias("market_key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("w"), F.pmod("event_id", F.lit(3))).alias("owner"), F.floor("value").cast("long").alias("priority")))
@@ -399,12 +398,6 @@ def q39_windowed_counts(t, spark):
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
-def q40_page_evidence(t, spark):
-    """Price evidence of all pages (the driver's pages hold no prices; tests use pages of their own)."""
-    return page_source.evidence(t("pages"))
-
-
 @query("""
 WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS k FROM conversations) SELECT conv_id, turn, role, length(text) AS n_chars FROM r WHERE k = 1""")
 def q41_latest_snapshot(t, spark):

@@ -44,7 +44,7 @@ WITH s AS (SELECT p_partkey, p_type, contains(p_name, 'red') OR contains(p_name,
 n AS (SELECT *, CAST(c AS INTEGER) + CAST(b AS INTEGER) + CAST(p AS INTEGER) + CAST(g AS INTEGER) AS n FROM s)
 SELECT p_partkey, n AS n_signals, CASE WHEN p_type = 'PROMO' THEN 'market' WHEN c AND p_type = 'SMALL' THEN 'add_on' WHEN c AND n > 1 THEN 'bundle' WHEN c THEN 'exact' WHEN n = 0 THEN 'ambiguous' ELSE 'different' END AS relation FROM n""")
 def q48_relation(t, spark):
-    """Signals of a label, and its relation to the wanted one by the first rule that holds."""
+    """Signals of a label, and its relation to the wanted one by the first rule that holds."""
     found = evidence.signals(F.col("p_name"), SIGNALS)
     return t("part").select("p_partkey", F.size(found).alias("n_signals"), evidence.relation(found, F.lit("colour"), F.col("p_type") == "PROMO", F.col("p_type") == "SMALL").alias("relation"))
 
@@ -156,7 +156,7 @@ kept AS (SELECT h.session, h.s_suppkey, h.slot, f.value FROM shown h JOIN fresh
 new AS (SELECT f.session, f.s_suppkey, f.value, row_number() OVER (PARTITION BY f.session ORDER BY rank) + (SELECT count(*) FROM shown h WHERE h.session = f.session) AS slot FROM fresh f ANTI JOIN shown h USING (session, s_suppkey))
 SELECT session, s_suppkey, slot, round(value, 4) AS value FROM kept UNION ALL SELECT session, s_suppkey, slot, round(value, 4) FROM new WHERE slot <= 4""")
 def q59_slots(t, spark):
-    """Shown slots stay and are refreshed, free ones are filled."""
+    """Shown slots stay and are refreshed, free ones are filled."""
     s = t("supplier").select(F.col("s_nationkey").alias("session"), "s_suppkey", "s_acctbal")
     n = F.row_number().over(Window.partitionBy("session").orderBy("s_suppkey")).cast("long")
     shown = s.withColumn("slot", n).filter("slot <= 2").select("session", "s_suppkey", "slot", F.col("s_acctbal").alias("value"))
@@ -165,9 +165,15 @@ def q59_slots(t, spark):
     return serve.stabilise_slots(shown, fresh, "session", "s_suppkey", 4).withColumn("value", F.round("value", 4))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT l_linenumber AS category, l_suppkey, round(sum(l_extendedprice), 2) AS score FROM lineitem GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, l_suppkey) AS r FROM s),
+l AS (SELECT category, list(l_suppkey ORDER BY r) AS ks FROM n WHERE r <= 7 GROUP BY category), o AS (SELECT *, row_number() OVER (ORDER BY category) AS i FROM l),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS category, CAST(NULL AS BIGINT) AS l_suppkey, CAST([] AS BIGINT[]) AS used
+  UNION ALL SELECT o.i, o.category, list_filter(ks, lambda k: NOT list_contains(used, k))[1], list_append(used, list_filter(ks, lambda k: NOT list_contains(used, k))[1]) FROM w JOIN o ON o.i = w.i + 1)
+SELECT category, l_suppkey FROM w WHERE l_suppkey IS NOT NULL""")
 def q60_one_per_category(t, spark):
-    """Each category takes its best provider that no category before it has taken; tested against a plain loop."""
+    """Each category takes its best provider that no category before it has taken."""
     s = t("lineitem").groupBy(F.col("l_linenumber").alias("category"), "l_suppkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
     return serve.one_per_category(s, "category", "l_suppkey", "score", 7)
 

@@ -18,7 +18,11 @@ SCHEMA = f"checked_at string, market string, currency_default string, clinics ar
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a service, provider and header beside it; providers without services keep one row."""
-    files = spark.read.option("multiLine", True).schema(SCHEMA).json(path)
+    return exploded(spark.read.option("multiLine", True).schema(SCHEMA).json(path))
+
+
+def exploded(files: DataFrame) -> DataFrame:
+    """read for files that are rows (of SCHEMA) already."""
     head = files.select("checked_at", "market", "currency_default", F.posexplode_outer("clinics").alias("clinic_ord", "clinic"))
     return head.select("*", F.posexplode_outer("clinic.procedures").alias("ord", "service"))
 

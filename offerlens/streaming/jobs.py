@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from offerlens.functions.rules import first_reason
 
 LEASE_MS, MAX_ATTEMPTS, RETENTION_MS = 60_000, 3, 30 * 24 * 3600 * 1000
-#: Events: market_key, ts_ms, action (enqueue, claim, progress, finish, release, fail), owner, priority.
-STATE = "status string, owner string, lease_until long, attempts long, priority long, updated long, written long"
+#: How long a finished job answers the next request, and items a job's request holds at most.
+REUSE_MS, ITEMS = 300_000, 40
+#: Events: market_key, ts_ms, action (enqueue, claim, progress, finish, release, fail), owner, priority; perhaps items (joined by commas) and reason.
+STATE = "status string, owner string, lease_until long, attempts long, priority long, updated long, written long, items string, reason string"
 RESULT = "market_key string, ts_ms long, action string, accepted boolean, " + STATE
 
 
@@ -26,34 +28,62 @@ def retry_blocked(now: Column, permanent: Column, retry_after: Column, lease_unt
     return F.coalesce(permanent.isNotNull() | (retry_after > now) | (lease_until > now), F.lit(False))
 
 
+def merged_items(old: str, new: str) -> str:
+    """Items of both requests in order, each once, ITEMS at most."""
+    return ",".join(list(dict.fromkeys(x for x in f"{old},{new}".split(",") if x))[:ITEMS])
+
+
 def apply_event(state: tuple, event) -> tuple[tuple, bool]:
-    """The state after an event, and whether the event was accepted. An active job takes no second enqueue but a higher priority;
-    only the owner with a running lease may report; an expired lease is open to others until the attempts are used up."""
-    status, owner, lease, attempts, priority, updated, written = state
+    """The state after an event, and whether the event was accepted.
+
+    An active job takes no second enqueue, but its request is merged if the new priority is no lower: items in order, the higher
+    priority, and the reason `user` sticks. A job finished less than REUSE_MS ago answers a request, unless a user asks. Only the
+    owner with a running lease may report; an expired lease is open to others until the attempts are used up."""
+    status, owner, lease, attempts, priority, updated, written, items, reason = state
     t, action = int(event.ts_ms), event.action
     live = status == "running" and lease > t
     if action == "enqueue":
+        asked, why = getattr(event, "items", None) or "", getattr(event, "reason", None) or ""
         if status in ("queued", "running"):
-            return (status, owner, lease, attempts, max(priority, int(event.priority)), t, written), False
-        return ("queued", None, 0, 0, int(event.priority), t, written), True
+            if int(event.priority) >= priority:
+                priority, items, reason = int(event.priority), merged_items(items, asked), "user" if "user" in (reason, why) else why or reason
+            return (status, owner, lease, attempts, priority, t, written, items, reason), False
+        if status == "done" and t - updated < REUSE_MS and why != "user":
+            return state, False
+        return ("queued", None, 0, 0, int(event.priority), t, written, merged_items("", asked), why), True
     if action == "claim":
         if status == "queued" or (status == "running" and not live and attempts < MAX_ATTEMPTS):
-            return ("running", event.owner, t + LEASE_MS, attempts + 1, priority, t, written), True
+            return ("running", event.owner, t + LEASE_MS, attempts + 1, priority, t, written, items, reason), True
         if status == "running" and not live:
-            return ("failed", None, 0, attempts, priority, t, written), False
+            return ("failed", None, 0, attempts, priority, t, written, items, reason), False
         return state, False
     if not live or owner != event.owner:
         return state, False
     if action == "progress":
-        return (status, owner, t + LEASE_MS, attempts, priority, t, written + 1), True
+        return (status, owner, t + LEASE_MS, attempts, priority, t, written + 1, items, reason), True
     if action == "release":
-        return ("queued", None, 0, attempts, priority, t, written), True
+        return ("queued", None, 0, attempts, priority, t, written, items, reason), True
     if action in ("finish", "fail"):
-        return ("done" if action == "finish" else "failed", None, 0, attempts, priority, t, written), True
+        return ("done" if action == "finish" else "failed", None, 0, attempts, priority, t, written, items, reason), True
     return state, False
 
 
-START = ("none", None, 0, 0, 0, 0, 0)
+START = ("none", None, 0, 0, 0, 0, 0, "", "")
+
+
+def focus(events: DataFrame) -> DataFrame:
+    """Focus events (client_id, seq, ts_ms, market_key) with accepted: the sequence is above all that the client sent before; a late or
+    repeated one is stale. One window a client, streamed over sorted rows."""
+    before = F.max("seq").over(Window.partitionBy("client_id").orderBy("ts_ms", "seq", "market_key").rowsBetween(Window.unboundedPreceding, -1))
+    return events.withColumn("accepted", F.coalesce(F.col("seq") > before, F.lit(True)))
+
+
+def focus_priorities(focused: DataFrame, front: int = 100, back: int = 70) -> DataFrame:
+    """client_id, market_key and priority after the events: the client's last accepted market is in front, those before go back."""
+    good = focused.filter("accepted")
+    last = good.groupBy("client_id").agg(F.max_by("market_key", F.struct("seq", "ts_ms")).alias("_front"))
+    jobs = good.select("client_id", "market_key").distinct().join(last, "client_id")
+    return jobs.select("client_id", "market_key", F.when(F.col("market_key") == F.col("_front"), front).otherwise(back).alias("priority"))
 
 
 def replay(events: DataFrame) -> DataFrame:

@@ -110,6 +110,24 @@ ACCEPTED = [True, False, True, False, False, True, True, False, True]
 JOB = "market_key string, ts_ms long, seq long, action string, owner string, priority long"
 
 
+def test_requests_merge(spark):
+    """Items in order, each once and forty at most; a lower priority changes nothing; `user` sticks; a fresh result answers."""
+    from types import SimpleNamespace
+
+    ask = lambda t, priority, items, reason="": SimpleNamespace(ts_ms=t, action="enqueue", owner="w", priority=priority, items=items, reason=reason)
+    state, ok = jobs.apply_event(jobs.START, ask(0, 5, "a,b"))
+    assert ok and state[7:] == ("a,b", "")
+    state, ok = jobs.apply_event(state, ask(1, 5, "b,c", "user"))
+    assert not ok and state[7:] == ("a,b,c", "user")
+    state, _ = jobs.apply_event(state, ask(2, 9, ",".join(map(str, range(60))), "auto"))
+    assert state[4] == 9 and len(state[7].split(",")) == 40 and state[8] == "user"
+    assert jobs.apply_event(state, ask(3, 1, "z", "x"))[0][7:] == state[7:]
+    for k, action in enumerate(("claim", "finish")):
+        state, ok = jobs.apply_event(state, SimpleNamespace(ts_ms=10 + k, action=action, owner="w", priority=0))
+        assert ok
+    assert not jobs.apply_event(state, ask(1000, 5, "q"))[1] and jobs.apply_event(state, ask(1000, 5, "q", "user"))[1] and jobs.apply_event(state, ask(400_000, 5, "q"))[1]
+
+
 def test_job_replay(spark):
     rows = jobs.replay(spark.createDataFrame(EVENTS, JOB)).orderBy("ts_ms").collect()
     assert [r["accepted"] for r in rows] == ACCEPTED
