@@ -11,6 +11,10 @@ equal windows together, each is compared word for word, and the least doc_id tha
 back for strings with a repeated window: it is joined by the string's 128-bit key to all places of the string, where adaptive
 execution splits a hot key.
 
+Hot minimisers. Where a passage stands in very many documents, the strings at its edges differ by document, and one minimiser may
+have more of them than a bucket should hold. The windows of a minimiser with over SHARES times a bucket's mean travel one by one, each
+to a bucket of its own hash, and equal ones shrink within a task, so that no bucket grows with a passage's copies.
+
 A window is removed if a document with a smaller doc_id has the same words anywhere; each word under such a window goes.
 Windows are judged on the input, not on what is left.
 
@@ -30,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import U64, Words, chunks, durable, mix, partitions_for, portions, powers, text_column, window_hashes
+from offerlens.llm.common import U64, Words, chunks, durable, forget, mix, partitions_for, portions, powers, text_column, window_hashes
 
 WINDOW = 13
 #: A minimiser's words, and windows a packed string holds at most (a longer run of one minimiser is cut).
@@ -41,6 +45,8 @@ TABLE_BITS, COUNTED = 26, 1 << 21
 COUNTERS, HOT_SHARE = 1 << 16, 1000
 #: Characters of packed strings a task gathers before it puts out blocks; grouped buckets for each shuffle partition.
 FLUSH_CHARS, BUCKETS_EACH = 24 << 20, 8
+#: A minimiser is hot if it has so many times a bucket's mean of strings, and over HOT_LEAST.
+SHARES, HOT_LEAST = 2, 4096
 NO_ID = (1 << 63) - 1
 #: Bases of a string's two hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -80,12 +86,12 @@ def hot_grams(docs: DataFrame) -> np.ndarray:
 class SuperKmers:
     """Runs of windows with one minimiser, of some texts: first word, number of windows, minimiser, text, and a 128-bit key."""
 
-    def __init__(self, texts: list[str], hot: np.ndarray, repeated: np.ndarray | None = None):
+    def __init__(self, texts: list[str], hot: np.ndarray, repeated: np.ndarray | None = None, split: np.ndarray | None = None):
         self.words = w = Words(texts)
         hashes = w.hashes()
         n = len(hashes) - WINDOW + 1
         empty = np.zeros(0, dtype=np.int64)
-        self.first, self.windows, self.text, self.minimiser, self.k1, self.k2 = (empty,) * 6
+        self.first, self.windows, self.text, self.minimiser, self.k1, self.k2, self.alone = (empty,) * 7
         if n <= 0:
             return
         grams = window_hashes(hashes, GRAM)
@@ -108,6 +114,13 @@ class SuperKmers:
             begin, sizes = begin[some], sizes[some]
             if not len(begin):
                 return
+        self.alone = np.zeros(len(begin), dtype=bool)
+        if split is not None and len(split):  # windows of hot minimisers travel one by one
+            own = least[valid[begin]]
+            alone = split[np.minimum(np.searchsorted(split, own), len(split) - 1)] == own
+            times = np.where(alone, sizes, 1)
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            begin, sizes, self.alone = np.repeat(begin, times) + step, np.repeat(np.where(alone, 1, sizes), times), np.repeat(alone, times)
         self.first = valid[begin]
         self.windows = sizes
         self.text = w.doc[self.first]
@@ -142,7 +155,7 @@ def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def minimiser_counter(hot):
-    """mapInArrow function over (text) to (minimiser, n): how often the task has it, 2 standing for more."""
+    """mapInArrow function over (text) to (minimiser, n): how many strings of the task have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -150,7 +163,7 @@ def minimiser_counter(hot):
         def put() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["minimiser", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int32))], ["minimiser", "n"])
 
         for batch in portions(batches):
             texts = batch.column(0).to_pylist()
@@ -165,20 +178,24 @@ def minimiser_counter(hot):
     return run
 
 
-def repeated_minimisers(docs: DataFrame, hot) -> np.ndarray:
-    """The bit table of minimisers that occur twice or more; 2**(TABLE_BITS - 6) words of it at most come to the driver."""
-    counted = docs.select(text_column(docs)).mapInArrow(minimiser_counter(hot), "minimiser long, n byte")
-    repeated = counted.groupBy("minimiser").agg(F.sum("n").alias("n")).filter("n > 1")
+def repeated_minimisers(docs: DataFrame, hot, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bit table of minimisers that occur twice or more (2**(TABLE_BITS - 6) words of it at most come to the driver), and the hot
+    ones in ascending order (buckets / SHARES at most)."""
+    counted = docs.select(text_column(docs)).mapInArrow(minimiser_counter(hot), "minimiser long, n int")
+    repeated = durable(counted.groupBy("minimiser").agg(F.sum("n").alias("n")).filter("n > 1"))
     mask = F.lit((1 << TABLE_BITS) - 1)
     bits = repeated.select(F.explode(F.array(F.col("minimiser").bitwiseAND(mask), F.shiftrightunsigned("minimiser", TABLE_BITS).bitwiseAND(mask))).alias("bit"))
     word = F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
     got = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(word).toArrow()
     table = np.zeros(1 << (TABLE_BITS - 6), dtype=U64)
     table[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
-    return table
+    least = max(HOT_LEAST, SHARES * (repeated.agg(F.sum("n")).first()[0] or 0) // buckets)
+    split = repeated.filter(F.col("n") > least).select("minimiser").toArrow()["minimiser"].to_numpy().view(U64)
+    forget(repeated)
+    return table, np.sort(split)
 
 
-def block_maker(hot, repeated, buckets: int):
+def block_maker(hot, repeated, split, buckets: int):
     """mapInArrow function over (doc_id, text) to BLOCKS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +221,7 @@ def block_maker(hot, repeated, buckets: int):
         for batch in portions(batches):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                runs = SuperKmers(texts[a:b], hot.value, repeated.value)
+                runs = SuperKmers(texts[a:b], hot.value, repeated.value, split.value)
                 docs = ids[a:b][runs.text] if len(runs.text) else np.zeros(0, np.int64)
                 # equal strings of the chunk once, with least and greatest document
                 order = np.lexsort((runs.k2, runs.k1))
@@ -214,7 +231,7 @@ def block_maker(hot, repeated, buckets: int):
                     continue
                 low, high = np.minimum.reduceat(docs[order], begin), np.maximum.reduceat(docs[order], begin)
                 chosen = order[begin]
-                bucket = ((mix(runs.minimiser[chosen]) >> U64(33)) % U64(buckets)).astype(np.int64)
+                bucket = ((mix(np.where(runs.alone, runs.k1.view(U64), runs.minimiser)[chosen]) >> U64(33)) % U64(buckets)).astype(np.int64)
                 for key, x, y, p, s in zip(zip(k1[begin].tolist(), k2[begin].tolist(), strict=True), low.tolist(), high.tolist(), bucket.tolist(), runs.strings(chosen), strict=True):
                     known = held.get(key)
                     if known is None:
@@ -291,14 +308,14 @@ def bucket_windows(blocks: pa.Table) -> pa.Table:
     })
 
 
-def place_maker(hot, repeated):
+def place_maker(hot, repeated, split):
     """mapInArrow function over (doc_id, text, text_key) to PLACES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             ids, texts, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for a, b in chunks(texts):
-                runs = SuperKmers(texts[a:b], hot.value, repeated.value)
+                runs = SuperKmers(texts[a:b], hot.value, repeated.value, split.value)
                 if len(runs.first):
                     inside = runs.first - runs.words.first[runs.text]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (runs.k1, runs.k2, ids[a:b][runs.text], keys[a:b][runs.text], inside.astype(np.int32))], ["k1", "k2", "doc_id", "text_key", "first"])
@@ -311,11 +328,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = with_keys(docs)
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_grams(docs))
-    repeated = spark.sparkContext.broadcast(repeated_minimisers(docs, hot))
     buckets = BUCKETS_EACH * partitions_for(docs)
-    blocks = keyed.select("doc_id", "text").mapInArrow(block_maker(hot, repeated, buckets), BLOCKS)
+    repeated, split = map(spark.sparkContext.broadcast, repeated_minimisers(docs, hot, buckets))
+    blocks = keyed.select("doc_id", "text").mapInArrow(block_maker(hot, repeated, split, buckets), BLOCKS)
     shared = durable(blocks.groupBy("bucket").applyInArrow(bucket_windows, SHARED))
-    places = keyed.mapInArrow(place_maker(hot, repeated), PLACES)
+    places = keyed.mapInArrow(place_maker(hot, repeated, split), PLACES)
     met = places.join(shared, ["k1", "k2"])
     runs = F.transform("until", lambda x, i: F.struct(F.when(i > 0, F.element_at("until", i)).otherwise(0).alias("a"), x.alias("b"), F.element_at("least", i + 1).alias("least")))
     lost = F.filter(runs, lambda r: r["least"] < F.col("doc_id"))
@@ -328,7 +345,7 @@ def remover(digest: bool):
     """mapInArrow function over (doc_id, text, spans, ...) to n_words, n_removed and the kept words or their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts, spans = batch.column("text").to_pylist(), batch.column("spans")
             n_words, n_removed, kept = [], [], []
             for k, text in enumerate(texts):
