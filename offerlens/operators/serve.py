@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.text import name_key
+from offerlens.operators.resolve import url_match
 
 
 def price_index(offers: DataFrame, quarantine: DataFrame, market: list[str], source: str, order: list[Column], limit: int = 30, display: int = 4) -> DataFrame:
@@ -79,3 +80,19 @@ def one_per_category(ranked: DataFrame, category: str, key: str, score: str, n:
         return F.when(free.isNull(), done).otherwise(F.concat(done, F.array(F.struct(x[category].alias(category), free.alias(key)))))
 
     return order.select(F.explode(F.aggregate("all", none, take)).alias("x")).select(f"x.{category}", f"x.{key}")
+
+
+def refresh_known(known: DataFrame, read: DataFrame, keys: list[str], price: str, due: Column) -> DataFrame:
+    """known with the price that a page read again gives, where the row is due; state: fresh (not due), missing (the page has none),
+    unchanged or refreshed. read has a row a key."""
+    new = read.select(*keys, F.col(price).alias("_new"))
+    both = known.withColumn("_due", F.coalesce(due, F.lit(True))).join(new, keys, "left")
+    state = F.when(~F.col("_due"), "fresh").when(F.col("_new").isNull(), "missing").when(F.col("_new") == F.col(price), "unchanged").otherwise("refreshed")
+    return both.withColumn("state", state).withColumn(price, F.when(F.col("state") == "refreshed", F.col("_new")).otherwise(F.col(price))).drop("_due", "_new")
+
+
+def import_marketplace(venues: DataFrame, candidates: DataFrame, venue: str, candidate: str, price: str) -> DataFrame:
+    """venues (with url) with their candidate by normalised url, and what becomes of them: no_price, staged (no candidate) or imported."""
+    matched = url_match(venues, candidates, venue, candidate).withColumnRenamed("matched", candidate)
+    decision = F.when(~F.coalesce(F.col(price) > 0, F.lit(False)), "no_price").when(F.col(candidate).isNull(), "staged").otherwise("imported")
+    return matched.withColumn("decision", decision)
