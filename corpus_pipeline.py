@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 docs. All stages but the last return the columns of documents; the last returns packed pieces.
+
+Cases. Null and empty texts fail the quality rules and go there; a null lang counts as '', a null doc_id as one id of all rows that
+bear it, in the filters: such rows stay or go together. Repeated rows are judged alike, and one of them stays. Very long texts are
+read whole. An empty table gives an empty result at each stage. Further columns of documents pass through all stages but the last,
+whatever their names.
 """
 
 from __future__ import annotations

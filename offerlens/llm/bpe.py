@@ -5,8 +5,10 @@ by binary search over the sorted pair keys and merges all its occurrences in all
 looked up anew, and finished words leave the array. Words found before come from a bounded cache.
 
 Ids equal those of the tokenizers library with add_special_tokens=False: special tokens in a text are recognised first, then
-the pre-tokenizer's pattern splits. Decoding maps ids to bytes and these to text with U+FFFD for invalid parts. Null texts
-count as empty: no ids, empty text. Repeated rows are encoded each for itself.
+the pre-tokenizer's pattern splits. Decoding maps ids to bytes and these to text with U+FFFD for invalid parts. 
+
+Cases. Null texts count as empty: no ids, empty text. Very long texts are encoded whole, one at a time. Repeated rows are encoded
+each for itself; a null id stays null. An empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import chunks, text_column
+from offerlens.llm.common import chunks, portions, text_column
 from offerlens.llm.tokens import PATTERN, Vocabulary, tokenizer_path
 
 NEVER = np.int64(1) << 60
@@ -188,7 +190,7 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str):
     own = bpe(path)
-    for batch in batches:
+    for batch in portions(batches):
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in chunks(texts, 1 << 21):
             flat, begin = own.encode(texts[a:b])

@@ -5,8 +5,10 @@ search of token starts among section starts, both ascending) gives each token to
 goes by a stated rule: `first` to the section of its first character, `largest` to the section that holds most of its
 characters, of equals the earliest.
 
-Sections are the lines of a text, each with its line feed; any other ascending starts may be given to `attribute`. Null and
-empty texts have one empty section without tokens. Repeated rows are counted each for itself; further columns are ignored.
+Sections are the lines of a text, each with its line feed; any other ascending starts may be given to `attribute`.
+
+Cases. Null and empty texts have one empty section without tokens. Very long texts are encoded whole. Repeated rows are counted each
+for itself; a null doc_id stays null. An empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import text_column
+from offerlens.llm.common import portions, text_column
 from offerlens.llm.tokens import encoder, tokenizer_path
 
 COUNTS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
@@ -66,7 +68,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, rule: str = "first",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         size = np.array([len(t) for t in own.vocabulary.tokens], dtype=np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             parts = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 starts = sections(text)

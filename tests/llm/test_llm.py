@@ -581,6 +581,28 @@ def test_queries_against_sql(spark, duck, name):
     same_rows(registry.queries()[name](spark, SMALL), duck.execute(registry.oracle_sql()[name]).to_arrow_table())
 
 
+def test_fast_ids_are_the_library_s():
+    """Every text of a driver table: the fast encoder of op3, op4 and op8 gives the ids of the tokenizers library."""
+    import pyarrow.parquet as pq
+
+    encoder = tokens.encoder(tokens.tokenizer_path())
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    assert encoder._fast is not None and len(texts) == 1000
+    assert all(np.array_equal(encoder.encode(t), encoder.slow(t)) for t in texts)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none):
+    """Each stage takes nulls in any column, empty and long texts, repeated rows, no rows, and columns with names of its own."""
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = durable(stage(spark, docs, SMALL))
+            assert out.count() <= docs.count() or name == "best_fit_packing"
+            assert out.columns == docs.columns or name == "best_fit_packing"
+            docs = out
+
+
 def test_pipeline(spark):
     """Each stage against brute force on its own input; the whole is what the stages give one after the other."""
     import corpus_pipeline
