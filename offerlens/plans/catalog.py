@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_DOC: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -18,6 +19,7 @@ def query(sql: str | None = None):
             return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), spark)
 
         _QUERIES[name] = run
+        _DOC[name] = f.__doc__ or ""
         if sql:
             _SQL[name] = sql
         return f
@@ -31,3 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def documentation() -> dict[str, str]:
+    """What each query covers."""
+    return dict(_DOC)

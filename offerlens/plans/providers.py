@@ -10,6 +10,7 @@ from offerlens.functions.rules import first_reason
 from offerlens.operators import resolve, serve
 from offerlens.plans.catalog import query
 from offerlens.plans.trust import values
+from offerlens.streaming import jobs
 
 
 def kinds(t, spark, rows, schema):
@@ -188,3 +189,38 @@ def q125_import_marketplace(t, spark):
     venues = t("supplier").select(F.col("s_suppkey").alias("venue"), F.concat(F.lit("https://m.example/"), F.col("s_suppkey")).alias("url"), F.round("s_acctbal", 2).alias("price"))
     candidates = t("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("candidate"), F.concat(F.lit("http://www.m.example/"), F.col("c_custkey"), F.lit("/")).alias("url"))
     return serve.import_marketplace(venues, candidates, "venue", "candidate", "price").select("venue", "candidate", "decision")
+
+
+UNITS = [("€90 per 2 areas", "area", 2.0, "EUR"), ("€90/ml", "ml", None, "EUR"), ("3 sessions for €90", "session", 3.0, "EUR"), ("90 GBP, from 1,5 ml", "ml", 1.5, "GBP"), ("$5 coffee, far away from it all, then a peel for € 90", None, None, "USD"), ("in € and more words that are far away: 90", None, None, "EUR"), ("ask us", None, None, None), (None, None, None, None)]
+
+
+@query("WITH k(kind, unit, quantity, currency) AS (" + values([(k, *r[1:]) for k, r in enumerate(UNITS)]) + f") SELECT p_partkey, unit, CAST(quantity AS DOUBLE) AS quantity, currency FROM part JOIN k ON kind = p_partkey % {len(UNITS)}")
+def q126_label_units(t, spark):
+    """Units and quantities of price labels, and the currency beside their first number."""
+    rows = kinds(t, spark, [r[:1] for r in UNITS], "label string")
+    got = evidence.unit_of(F.col("label"))
+    symbols = [("€", "EUR"), ("$", "USD"), ("£", "GBP")]
+    return rows.select("p_partkey", got["unit"].alias("unit"), got["quantity"].alias("quantity"), evidence.currency_near(F.col("label"), symbols).alias("currency"))
+
+
+SCORES = [("https://a.example/prices/botox", 4), ("https://a.example/services", 2), ("https://a.example/treatments/botox-rome", 6), ("https://a.example/menu.pdf", 3), ("https://a.example/blog/prices", 1), ("https://a.example/book/prices", 2), ("https://a.example/", 0)]
+
+
+@query("WITH k(kind, score) AS (" + values([(k, r[1]) for k, r in enumerate(SCORES)]) + f") SELECT p_partkey, score FROM part JOIN k ON kind = p_partkey % {len(SCORES)}")
+def q127_url_score(t, spark):
+    """The score of urls by their words, with caps and the city."""
+    rows = kinds(t, spark, [r[:1] for r in SCORES], "url string")
+    return rows.select("p_partkey", evidence.url_score(F.col("url"), ["botox"], ["prices", "pricing"], ["services"], ["treatments"], ["rome"]).alias("score"))
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_ms(max(ts)) AS t, max(event_id) % 3 AS k FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN k = 0 THEN 'lease_held' WHEN k = 1 THEN 'start' ELSE 'ttl_fresh' END AS decision FROM e""")
+def q128_lease_heartbeat(t, spark):
+    """A lease counts only while its heartbeat is fresh."""
+    e = t("events").groupBy("user_id").agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("t"), (F.max("event_id") % 3).alias("k"))
+    k, now = F.col("k"), F.col("t") + 1000
+    lease = F.when(k <= 1, F.col("t") + 60_000)
+    beat = F.when(k == 0, F.col("t")).otherwise(F.col("t") - 800_000)
+    decided = jobs.lease_decision(now, lease, F.when(k == 2, "done"), F.lit(None).cast("long"), F.col("t") + 5000, beat)
+    return e.select("user_id", decided.alias("decision"))
