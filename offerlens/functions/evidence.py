@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens.functions.rules import first_reason
-from offerlens.functions.text import numbers_in
+from offerlens.functions.text import currency_of, locale_number, numbers_in
 
 
 def amount_forms(amount: Column) -> Column:
@@ -88,3 +88,42 @@ def lead_name(title: Column, host: Column, generic: Sequence[str]) -> Column:
     parts = F.filter(F.transform(F.split(title, r"\s+[|\-–]\s+"), F.trim), lambda p: (p != "") & ~F.lower(p).isin(*generic))
     brand = F.element_at(F.split(F.regexp_replace(host, r"^(?:www|m|blog)\.", ""), r"\."), 1)
     return F.coalesce(F.get(parts, F.lit(0)), brand)
+
+
+#: Unit words to standard units (a parameter of unit_of).
+UNITS = [
+    ("units", "unit"), ("unit", "unit"), ("u", "unit"), ("ml", "ml"), ("cc", "ml"), ("syringes", "syringe"), ("syringe", "syringe"), ("vials", "vial"), ("vial", "vial"), ("sessions", "session"), ("session", "session"), ("visits", "session"),
+    ("areas", "area"), ("area", "area"), ("zones", "area"), ("zone", "area"), ("grafts", "graft"), ("graft", "graft"), ("hours", "hour"), ("hour", "hour"), ("threads", "thread"), ("thread", "thread"), ("packages", "package"), ("package", "package"), ("persons", "person"), ("person", "person"),
+]
+
+
+def unit_of(label: Column, units: Sequence[tuple[str, str]] = UNITS) -> dict[str, Column]:
+    """unit and quantity of a price label: `per 2 areas`, `/ml`, or a quantity before a unit word; the first that stands there."""
+    t, words = F.lower(label), "|".join(w for w, _ in units)
+    table = F.create_map(*(F.lit(x) for pair in units for x in pair))
+    amount = r"(\d+(?:[.,]\d+)?)?"
+    per = rf"(?:\bper|/)\s*{amount}\s*({words})\b"
+    plain = rf"(?<![\d.,])(\d+(?:[.,]\d+)?)\s*({words})\b"
+    has_per, has_plain = t.rlike(per), t.rlike(plain)
+    word = F.when(has_per, F.regexp_extract(t, per, 2)).when(has_plain, F.regexp_extract(t, plain, 2))
+    number = F.when(has_per, F.regexp_extract(t, per, 1)).when(has_plain, F.regexp_extract(t, plain, 1))
+    return {"unit": F.element_at(table, word), "quantity": locale_number(F.nullif(number, F.lit("")))}
+
+
+def currency_near(text: Column, symbols: list[tuple[str, str]], window: int = 28) -> Column:
+    """The currency within so many characters of the first number, else of the whole text."""
+    at = F.regexp_instr(text, F.lit(r"\d"))
+    start = F.greatest(at - window, F.lit(1))
+    near = F.substring(text, start, at + window - start)
+    return F.coalesce(F.when(at > 0, currency_of(near, symbols)), currency_of(text, symbols))
+
+
+def url_score(url: Column, procedure: Sequence[str], price: Sequence[str], service: Sequence[str], treatment: Sequence[str], city: Sequence[str] = ()) -> Column:
+    """How likely a url's page holds a price: 3 for a price word in it, 2 for a service word, 1 for a treatment word (the best counts), a
+    document at least 3, 1 more for each word of the procedure, 4 for the city; a blog's page at most 1, a booking page at most 2."""
+    tokens = F.split(F.lower(url), "[^a-z0-9]+")
+    has = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, words))) if words else F.lit(False)
+    base = F.when(has(price), 3).when(has(service), 2).when(has(treatment), 1).otherwise(0)
+    base = F.greatest(base, F.when(F.lower(url).rlike(r"\.pdf(?:$|[?#])"), 3).otherwise(0)) + F.size(F.array_intersect(tokens, F.array(*map(F.lit, procedure))))
+    base = F.when(has(["blog", "news", "article"]), F.least(base, F.lit(1))).when(has(["booking", "book", "appointment"]), F.least(base, F.lit(2))).otherwise(base)
+    return base + F.when(has(city), 4).otherwise(0)

@@ -19,9 +19,11 @@ STATE = "status string, owner string, lease_until long, attempts long, priority
 RESULT = "market_key string, ts_ms long, action string, accepted boolean, " + STATE
 
 
-def lease_decision(now: Column, lease_until: Column, status: Column, retry_after: Column, fresh_until: Column) -> Column:
-    """What a discovery request does: held by another, waiting to retry, fresh enough, or start."""
-    return F.coalesce(first_reason([("lease_held", lease_until > now), ("retry_backoff", (status == "failed") & (retry_after > now)), ("ttl_fresh", (status == "done") & (fresh_until > now))]), F.lit("start"))
+def lease_decision(now: Column, lease_until: Column, status: Column, retry_after: Column, fresh_until: Column, heartbeat: Column | None = None, stale_ms: int = 720_000) -> Column:
+    """What a discovery request does: held by another, waiting to retry, fresh enough, or start. A lease whose last heartbeat is older
+    than stale_ms is open."""
+    held = lease_until > now if heartbeat is None else (lease_until > now) & F.coalesce(now - heartbeat <= stale_ms, F.lit(True))
+    return F.coalesce(first_reason([("lease_held", held), ("retry_backoff", (status == "failed") & (retry_after > now)), ("ttl_fresh", (status == "done") & (fresh_until > now))]), F.lit("start"))
 
 
 def retry_blocked(now: Column, permanent: Column, retry_after: Column, lease_until: Column) -> Column:
