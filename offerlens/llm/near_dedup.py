@@ -7,11 +7,10 @@ constant part a text copied in thousands with small changes would be torn from i
 SAMPLES consistent weighted samples in bands of ROWS give candidate pairs; a pair is a link if the weighted Jaccard similarity of
 both whole texts is THRESHOLD or more; classes are the connected components of the links.
 
-Document frequencies are counted over all documents, by a count with a stated error: a task sorts SEGMENT shingles at a time,
-puts out those that the segment has in 2**-RARE_BITS of its shingles or more, and Spark adds them up. So a frequency is too
-small by 2**-RARE_BITS of all shingles of the corpus at most, and exact where a segment has fewer shingles than that. What
-stays below that share, or below one document in RARE, counts as just there; at most 2**RARE_BITS shingles lie above (12
-bytes each), and these are broadcast.
+Document frequencies are counted exactly, over all documents: a task sorts SEGMENT shingles at a time and sends each bucket of
+the hash range one packed block (5 bytes a distinct shingle); a bucket's blocks are merged and summed. What is in one document in
+RARE or fewer counts as just that. Shingles above (or above 2**-FEW_BITS of all characters, if texts are very long) are broadcast:
+a shingle takes two characters at least, so that there are at most 2**(FEW_BITS - 1), in practice some thousands.
 
 Copies and hot buckets. Equal texts are one node from the start, whatever their number. In a bucket of up to ALL_PAIRS nodes
 all pairs are candidates. A larger one links each node to three leaders, and to one leader of each smaller group that shares
@@ -30,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import PORTION_BYTES, U64, HashArray, Words, chunks, durable, forget, mix, portions, window_hashes
+from offerlens.llm.common import PORTION_BYTES, U64, HashArray, Words, chunks, durable, forget, mix, partitions_for, portions, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 #: What a shingle of one document in RARE weighs more than one of all documents.
 IDF_SHARE, RARE = 1.0, 3000
-#: Shingles whose frequency is known: 2**RARE_BITS at most; and how many a task sorts at once.
-RARE_BITS, SEGMENT = 21, 1 << 22
+#: Bounds the frequent shingles (see above); shingles that a task sorts at once; hash ranges for each shuffle partition.
+FEW_BITS, SEGMENT, RANGES_EACH = 24, 1 << 22, 2
 #: Nodes of a bucket whose pairs are all compared at once.
 ALL_PAIRS = 12
 #: Samples of two texts that must agree before a pair left over in a large bucket is compared: with a similarity of THRESHOLD
@@ -81,29 +81,63 @@ def shingle_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc[begin], grams[begin], np.diff(np.append(begin, len(doc)))
 
 
-def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, shingle, n): of each segment the frequent shingles (kind 0), its shingles in all (1) and its documents (2)."""
-    held: list[np.ndarray] = []
-    documents = size = 0
+def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending hashes and their counts; the hashes' leading bytes, laid side by side, take next to nothing."""
+    more = np.flatnonzero(n > 1)
+    planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(keys), len(more)], "<i8").tobytes() + planes + more.astype("<u4").tobytes() + n[more].astype("<u4").tobytes())
 
-    def put() -> pa.RecordBatch:
-        grams, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
-        often = n >= size / (1 << RARE_BITS)
-        kinds = np.append(np.zeros(int(often.sum()), np.int8), np.array([1, 2], np.int8))
-        columns = [kinds, np.append(grams[often].view(np.int64), [0, 0]), np.append(n[often], [size, documents])]
-        held.clear()
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["kind", "shingle", "n"])
 
-    for batch in portions(batches):
-        texts = batch.column(0).to_pylist()
-        documents += len(texts)
-        for a, b in chunks(texts):
-            held.append(shingle_counts(texts[a:b])[1])
-            size += len(held[-1])
-            if size >= SEGMENT:
-                yield put()
-                documents = size = 0
-    yield put()
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    size, some = np.frombuffer(raw[:16], "<i8").tolist()
+    keys = np.ascontiguousarray(np.frombuffer(raw[16 : 16 + 8 * size], np.uint8).reshape(8, size).T).view("<u8").ravel()
+    more, times = np.frombuffer(raw[16 + 8 * size :], "<u4").reshape(2, some)
+    n = np.ones(size, np.int64)
+    n[more] = times
+    return keys.astype(U64), n
+
+
+def count_shingles(ranges: int):
+    """mapInArrow function over (text) to (range, block): the task's shingles by range of the hash, each document's once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def put() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
+            held.clear()
+            own = ((keys >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
+            edges = np.searchsorted(own, np.arange(ranges + 1))
+            used = np.flatnonzero(np.diff(edges)).tolist()
+            blocks = [packed(keys[edges[r] : edges[r + 1]], n[edges[r] : edges[r + 1]]) for r in used]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], ["range", "block"])
+
+        for batch in portions(batches):
+            texts = batch.column(0).to_pylist()
+            for a, b in chunks(texts):
+                held.append(shingle_counts(texts[a:b])[1])
+                if sum(map(len, held)) >= SEGMENT:
+                    yield put()
+        yield put()
+
+    return run
+
+
+def frequent_shingles(least: float):
+    """applyInArrow function over a range's blocks to (shingle, n) of the shingles that over `least` documents have."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        parts = [unpacked(b) for b in blocks["block"].to_pylist()]
+        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(n[order], begin)
+        some = total > least
+        return pa.table({"shingle": keys[begin[some]].view(np.int64), "n": total[some]})
+
+    return run
 
 
 class Frequencies:
@@ -123,12 +157,11 @@ class Frequencies:
 
 
 def inverse_frequencies(texts: DataFrame) -> Frequencies:
-    counted = durable(texts.select("text").mapInArrow(count_shingles, "kind byte, shingle long, n long").groupBy("kind", "shingle").agg(F.sum("n").alias("n")))
-    total = {r["kind"]: r["n"] for r in counted.filter("kind > 0").collect()}
-    least = max(total.get(1, 0) / (1 << RARE_BITS), total.get(2, 0) / RARE, 1.0)
-    got = counted.filter((F.col("kind") == 0) & (F.col("n") > least)).select("shingle", "n").toArrow()  # 2**RARE_BITS rows at most
-    forget(counted)
-    return Frequencies(got["shingle"].to_numpy().view(U64), got["n"].to_numpy(), total.get(2, 0), least)
+    size = texts.agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters")).first()
+    least = max(size["documents"] / RARE, (size["characters"] or 0) / (1 << FEW_BITS), 1.0)
+    blocks = texts.select("text").mapInArrow(count_shingles(RANGES_EACH * partitions_for(texts)), "range int, block binary")
+    got = blocks.groupBy("range").applyInArrow(frequent_shingles(least), "shingle long, n long").toArrow()  # bounded, see above
+    return Frequencies(got["shingle"].to_numpy().view(U64), got["n"].to_numpy(), size["documents"], least)
 
 
 def weigh(grams: np.ndarray, count: np.ndarray, idf: Frequencies) -> np.ndarray:
