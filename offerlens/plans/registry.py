@@ -269,9 +269,23 @@ def q25_lease_decision(t, spark):
     return e.select("user_id", decided.alias("decision"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT 'm' || user_id AS m, epoch_us(ts) // 1000 AS t, ['enqueue', 'claim', 'progress', 'finish', 'release', 'claim'][event_id % 6 + 1] AS a, 'w' || event_id % 3 AS o, CAST(floor(value) AS BIGINT) AS p,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+w AS (
+  SELECT DISTINCT m, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS a, CAST('' AS VARCHAR) AS d, CAST('none' AS VARCHAR) AS st, CAST(NULL AS VARCHAR) AS ow, CAST(0 AS BIGINT) AS le, CAST(0 AS BIGINT) AS tries, CAST(0 AS BIGINT) AS pr, CAST(0 AS BIGINT) AS up, CAST(0 AS BIGINT) AS wr FROM e
+  UNION ALL
+  SELECT e.m, e.i, e.t, e.a, x.d, CASE x.d WHEN 'new' THEN 'queued' WHEN 'take' THEN 'running' WHEN 'expire' THEN 'failed' WHEN 'release' THEN 'queued' WHEN 'finish' THEN 'done' ELSE st END,
+    CASE WHEN x.d = 'take' THEN e.o WHEN x.d IN ('new', 'expire', 'release', 'finish') THEN NULL ELSE ow END, CASE WHEN x.d IN ('take', 'progress') THEN e.t + 60000 WHEN x.d IN ('new', 'expire', 'release', 'finish') THEN 0 ELSE le END,
+    CASE x.d WHEN 'new' THEN 0 WHEN 'take' THEN tries + 1 ELSE tries END, CASE x.d WHEN 'new' THEN e.p WHEN 'merge' THEN greatest(pr, e.p) ELSE pr END, CASE WHEN x.d IN ('no', 'reuse') THEN up ELSE e.t END, wr + CASE x.d WHEN 'progress' THEN 1 ELSE 0 END
+  FROM w JOIN e ON e.m = w.m AND e.i = w.i + 1, LATERAL (SELECT CASE e.a
+    WHEN 'enqueue' THEN CASE WHEN st IN ('queued', 'running') THEN 'merge' WHEN st = 'done' AND e.t - up < 300000 THEN 'reuse' ELSE 'new' END
+    WHEN 'claim' THEN CASE WHEN st = 'queued' OR (st = 'running' AND le <= e.t AND tries < 3) THEN 'take' WHEN st = 'running' AND le <= e.t THEN 'expire' ELSE 'no' END
+    ELSE CASE WHEN st = 'running' AND le > e.t AND ow = e.o THEN e.a ELSE 'no' END END AS d) x)
+SELECT m AS market_key, t AS ts_ms, a AS action, d IN ('new', 'take', 'progress', 'release', 'finish') AS accepted, st AS status, ow AS owner, le AS lease_until, tries AS attempts, pr AS priority, up AS updated, wr AS written, '' AS items, '' AS reason FROM w WHERE i > 0""")
 def q26_job_replay(t, spark):
-    """L1 to L3: jobs with leases replayed in order by market; an ordered fold, tested against a plain loop."""
+    """L1, L2, L3: jobs with leases replayed in order by market, a fold streamed over sorted partitions."""
     kinds = ["enqueue", "claim", "progress", "finish", "release", "claim"]
     action = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod("event_id", F.lit(len(kinds))) + 1).cast("int"))
     return jobs.replay(t("events").select(F.concat(F.lit("m"), F.col("user_id")).alias("market_key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("w"), F.pmod("event_id", F.lit(3))).alias("owner"), F.floor("value").cast("long").alias("priority")))
@@ -378,6 +392,19 @@ def q37_greedy_dedupe(t, spark):
     return kept.select("s_nationkey", "s_suppkey")
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT s_nationkey AS g, s_suppkey AS k, ['id:' || s_suppkey % 50, 'host:' || s_suppkey * 3 % 11, 'name:' || s_suppkey % 7] AS ks, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+w AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, false AS kept FROM n
+  UNION ALL SELECT n.g, n.i, n.k, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, NOT list_has_any(seen, ks) FROM w JOIN n ON n.g = w.g AND n.i = w.i + 1)
+SELECT g AS s_nationkey, k AS s_suppkey FROM w WHERE kept""")
+def q129_greedy_keys(t, spark):
+    """Rows in order, dropped if any of three kinds of keys was seen with a row that stayed; no grouping gives this."""
+    k = F.col("s_suppkey")
+    keys = F.array(F.concat(F.lit("id:"), k % 50), F.concat(F.lit("host:"), k * 3 % 11), F.concat(F.lit("name:"), k % 7))
+    return resolve.greedy_dedupe(t("supplier").select("s_nationkey", "s_suppkey", keys.alias("keys")), ["s_nationkey"], ["s_suppkey"], "keys").select("s_nationkey", "s_suppkey")
+
+
 @query("""
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN d + CAST(o_orderkey % 40 AS INTEGER) WHEN 1 THEN d + 7 * CAST(o_orderkey % 10 AS INTEGER)
   WHEN 2 THEN CAST(d + to_months(CAST(o_orderkey % 18 AS INTEGER)) AS DATE)
