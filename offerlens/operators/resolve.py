@@ -43,12 +43,17 @@ def conflict_winner(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return df.groupBy(*keys).agg(win.alias("_win"), F.count("*").alias("n_rows")).select(*keys, "_win.*", "n_rows")
 
 
-def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str], precedence: list[str]) -> DataFrame:
-    """Union of both sides, the row with the highest precedence a key; new before old on equal terms."""
+def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str], precedence: list[str], ties: list[str] = ()) -> DataFrame:
+    """Union of both sides, the row with the highest precedence a key; new before old on equal terms, then the highest ties."""
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    rest = [c for c in old.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*precedence, "_side"))
-    return both.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
+    return keyed_winner(both, keys, [*precedence, "_side", *ties]).drop("_side")
+
+
+def keyed_winner(rows: DataFrame, keys: list[str], precedence: list[str]) -> DataFrame:
+    """The row with the highest precedence a key; a partial aggregate in one pass, for sides that lie in one table as well."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(*precedence))
+    return rows.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
 
 
 def coalesce_upsert(old: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:

@@ -73,6 +73,12 @@ def test_overwrite_and_union(spark):
     assert {tuple(r) for r in resolve.overwrite_upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
+def test_keyed_merge(spark):
+    cols = "k int, at int, v string"
+    old, new = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (2, 5, "c")], cols), spark.createDataFrame([(1, 5, "d"), (2, 4, "e"), (3, None, "f")], cols)
+    assert {tuple(r) for r in resolve.keyed_merge(old, new, ["k"], ["at"], ["v"]).collect()} == {(1, 5, "d"), (2, 5, "c"), (3, None, "f")}
+
+
 def test_curated_file(spark, tmp_path):
     service = {"name": "Lip care", "category": "lips", "price": 200, "source_url": "https://rose.example/prices/lips", "unit": "per 2 areas"}
     clinics = [{"name": "Rose", "website": "https://www.rose.example", "location": {"city": "Anytown", "country_code": "ca", "address": "1 Road", "zip": ""}, "rating": {"value": 4.5, "review_count": 10}, "procedures": [
