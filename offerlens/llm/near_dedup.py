@@ -41,7 +41,7 @@ SAMPLES = BANDS * ROWS
 #: What a shingle of one document in RARE weighs more than one of all documents.
 IDF_SHARE, RARE = 1.0, 3000
 #: Bounds the frequent shingles (see above); shingles that a task sorts at once; hash ranges for each shuffle partition.
-FEW_BITS, SEGMENT, RANGES_EACH = 24, 1 << 22, 2
+FEW_BITS, SEGMENT, RANGES_EACH = 24, 1 << 21, 2
 #: Nodes of a bucket whose pairs are all compared at once.
 ALL_PAIRS = 12
 #: Samples of two texts that must agree before a pair left over in a large bucket is compared: with a similarity of THRESHOLD
