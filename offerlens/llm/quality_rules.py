@@ -40,7 +40,7 @@ SYMBOLS = "#*$%&|<>"
 SYMBOL_CODES = np.array([ord(c) for c in SYMBOLS], dtype=np.uint32)
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: Spreads below and above a language's median that are still kept, and the least spread.
-LOWER, UPPER, LEAST_SPREAD = 6.0, 4.0, 0.03
+LOWER, UPPER, LEAST_SPREAD = 4.0, 3.0, 0.03
 BIN = 0.005
 #: Rows a language (discounts, bands) are broadcast up to so many languages; more are joined by a shuffle. The plan differs, not the result.
 BROADCAST_LANGUAGES = 10_000
