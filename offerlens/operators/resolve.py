@@ -92,6 +92,28 @@ def overlay(base: DataFrame, extra: DataFrame, keys: list[str], columns: list[st
     return base.join(e, keys, "left").select(*kept, *(F.coalesce(c, f"_{c}").alias(c) for c in columns))
 
 
+def overlay_first(base: DataFrame, extra: DataFrame, id_column: str, keys: str, order: str, useful: Column, columns: list[str]) -> DataFrame:
+    """base with the columns of the first useful extra row (by `order`) that shares any of its keys; what is null there stays as it is.
+
+    Both sides' keys are exploded and joined; a base row without such a row stays."""
+    asked = base.select(F.col(id_column).alias("_id"), F.explode(keys).alias("_key"))
+    filed = extra.filter(F.coalesce(useful, F.lit(False))).select(F.explode(keys).alias("_key"), F.col(order).alias("_order"), *(F.col(c).alias(f"_{c}") for c in columns))
+    first = asked.join(filed, "_key").groupBy("_id").agg(F.min_by(F.struct(*(f"_{c}" for c in columns)), "_order").alias("_r"))
+    kept = [c for c in base.columns if c not in columns]
+    return base.join(first, base[id_column] == first["_id"], "left").select(*kept, *(F.coalesce(f"_r._{c}", c).alias(c) for c in columns))
+
+
+def canonical_place(df: DataFrame, place: str, aliases: DataFrame, metros: DataFrame) -> DataFrame:
+    """df with canonical: the city that the folded place is an alias of (aliases: alias, city), then the metropolis that this city is a
+    part of (metros: part, city); the place as it is without an alias. Equi-joins on folded names; aliases have a row an alias."""
+    from offerlens.functions.text import fold_place
+
+    a = aliases.select(fold_place(F.col("alias")).alias("_a"), F.col("city").alias("_city")).groupBy("_a").agg(F.min("_city").alias("_city"))
+    m = metros.select(fold_place(F.col("part")).alias("_m"), F.col("city").alias("_metro")).groupBy("_m").agg(F.min("_metro").alias("_metro"))
+    named = df.withColumn("_a", fold_place(F.col(place))).join(a, "_a", "left").withColumn("_city", F.coalesce("_city", F.trim(place))).withColumn("_m", fold_place(F.col("_city")))
+    return named.join(m, "_m", "left").withColumn("canonical", F.coalesce("_metro", "_city")).drop("_a", "_m", "_city", "_metro")
+
+
 def near_places(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs within km: an equi-join on grid cells (right rows are filed under their neighbours' cells too), then the distance.
 

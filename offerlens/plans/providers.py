@@ -166,7 +166,7 @@ def q122_journal_days(t, spark):
 WITH u AS (SELECT c_custkey AS k, 0 AS source, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1, row_number() OVER (ORDER BY c_custkey) FROM customer),
 l AS (SELECT * FROM u WHERE n <= 30), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source) AS i FROM l) SELECT k, CAST(source AS BIGINT) AS source FROM r WHERE i = 1 ORDER BY source, k LIMIT 40""")
 def q123_limited_union(t, spark):
-    """A4: the union of limited queries, an id's first query stays, 40 in all (the limits are the feature)."""
+    """A4, H4: the union of limited queries, an id's first query stays, 40 in all (the limits are the feature)."""
     c = t("customer").select(F.col("c_custkey").alias("k"))
     return resolve.ordered_union_distinct([c.filter("k % 2 = 0").orderBy("k").limit(30), c.orderBy("k").limit(30)], "k").orderBy("source", "k").limit(40)
 
@@ -224,3 +224,46 @@ def q128_lease_heartbeat(t, spark):
     beat = F.when(k == 0, F.col("t")).otherwise(F.col("t") - 800_000)
     decided = jobs.lease_decision(now, lease, F.when(k == 2, "done"), F.lit(None).cast("long"), F.col("t") + 5000, beat)
     return e.select("user_id", decided.alias("decision"))
+
+
+@query("""
+WITH e AS (SELECT c_custkey, c_custkey % 300 AS a, c_custkey % 170 AS b, CASE WHEN c_custkey % 5 > 0 THEN round(c_acctbal, 2) END AS rating, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer WHERE c_acctbal > 0),
+m AS (SELECT s_suppkey, arg_min(struct_pack(rating, name), c_custkey) AS r FROM supplier JOIN e ON s_suppkey % 500 = a OR s_suppkey % 400 = b GROUP BY 1)
+SELECT s.s_suppkey, coalesce(r.rating, round(s_acctbal, 2)) AS rating, coalesce(r.name, s_name) AS name FROM supplier s LEFT JOIN m USING (s_suppkey)""")
+def q130_overlay_first(t, spark):
+    """Ratings and names from the first enriched row that shares a key and has something to say; what it lacks stays."""
+    key = lambda kind, c: F.concat(F.lit(kind), c)
+    base = t("supplier").select("s_suppkey", F.round("s_acctbal", 2).alias("rating"), F.col("s_name").alias("name"), F.array(key("a", F.col("s_suppkey") % 500), key("b", F.col("s_suppkey") % 400)).alias("keys"))
+    k = F.col("c_custkey")
+    extra = t("customer").select(k.alias("ord"), F.when(k % 5 > 0, F.round("c_acctbal", 2)).alias("rating"), F.when(k % 2 == 0, F.col("c_name")).alias("name"), F.array(key("a", k % 300), key("b", k % 170)).alias("keys"), "c_acctbal")
+    return resolve.overlay_first(base, extra, "s_suppkey", "keys", "ord", F.col("c_acctbal") > 0, ["rating", "name"]).select("s_suppkey", "rating", "name")
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Istanbul' WHEN 1 THEN 'Istanbul' WHEN 2 THEN 'Rome' ELSE 'City ' || c_nationkey END AS canonical FROM customer""")
+def q131_canonical_place(t, spark):
+    """Places by folded alias, and parts of a metropolis as the metropolis."""
+    k = F.col("c_custkey") % 4
+    place = F.when(k == 0, "İstanbul-Şişli").when(k == 1, "Constantinople").when(k == 2, " roma ").otherwise(F.concat(F.lit("City "), F.col("c_nationkey")))
+    aliases = spark.createDataFrame([("Constantinople", "Istanbul"), ("Roma", "Rome"), ("Istanbul Sisli", "Sisli")], "alias string, city string")
+    metros = spark.createDataFrame([("Şişli", "Istanbul")], "part string, city string")
+    return resolve.canonical_place(t("customer").select("c_custkey", place.alias("place")), "place", aliases, metros).select("c_custkey", "canonical")
+
+
+#: resolved, verified, candidates, status, lease, started, completed, retry (ms before or after now), failure, reason, start.
+DISCOVERIES = [
+    (False, 9, 9, "done", None, None, None, None, None, "city_unresolved", "no"), (True, 4, 9, "done", None, None, None, None, None, "pool_healthy", "no"), (True, 1, 9, None, None, None, None, None, None, "partial_without_state", "yes"),
+    (True, None, None, None, None, None, None, None, None, "unknown_coverage", "yes"), (True, 1, 9, "running", 5, -1, None, None, None, "lease_held", "no"), (True, 1, 9, "running", -5, -1, None, None, None, "already_running", "no"),
+    (True, 1, 9, "running", None, -9000000, None, None, None, "stale_running", "yes"), (True, 1, 9, "failed", None, None, -5, 7, "quota", "retry_backoff", "no"), (True, None, 9, "done", None, None, -5, None, None, "thin_cooldown", "no"),
+    (True, 1, 9, "failed", None, None, -5, None, "quota", "quota_backoff", "no"), (True, 1, 20, "failed", None, None, -5, None, "other", "failed", "yes"), (True, None, 9, "done", None, None, -90000000, None, None, "done", "yes"),
+]
+
+
+@query("WITH k(kind, reason, start) AS (" + values([(k, *r[-2:]) for k, r in enumerate(DISCOVERIES)]) + f") SELECT p_partkey, reason, start = 'yes' AS start FROM part JOIN k ON kind = p_partkey % {len(DISCOVERIES)}")
+def q132_discovery_decision(t, spark):
+    """L9, B.6: whether a market's discovery starts, by the first of its rules."""
+    rows = kinds(t, spark, [r[:-2] for r in DISCOVERIES], "resolved boolean, verified int, candidates int, status string, lease long, started long, completed long, retry long, failure string")
+    now = F.lit(1_700_000_000_000)
+    at = lambda c: now + F.col(c)
+    got = jobs.discovery_decision(now, F.col("resolved"), F.col("verified"), F.col("candidates"), F.col("status"), at("lease"), at("started"), at("completed"), at("retry"), F.col("failure"))
+    return rows.select("p_partkey", *(c.alias(n) for n, c in got.items()))

@@ -26,6 +26,20 @@ def lease_decision(now: Column, lease_until: Column, status: Column, retry_after
     return F.coalesce(first_reason([("lease_held", held), ("retry_backoff", (status == "failed") & (retry_after > now)), ("ttl_fresh", (status == "done") & (fresh_until > now))]), F.lit("start"))
 
 
+def discovery_decision(now: Column, resolved: Column, verified: Column, candidates: Column, status: Column, lease_until: Column, started: Column, completed: Column, retry_at: Column, failure: Column, goal: int = 4, thin: int = 15, lease_ms: int = 2_700_000, useful_ms: int = 604_800_000, thin_ms: int = 86_400_000, quota_ms: int = 21_600_000) -> dict[str, Column]:
+    """reason and start of a market's next discovery: the first of ten rules. status is null for a market without a state; times in ms."""
+    since = lambda t, ms: F.coalesce(now - t < ms, F.lit(False))
+    v, c = F.coalesce(verified, F.lit(0)), F.coalesce(candidates, F.lit(0))
+    rules = [
+        ("city_unresolved", ~F.coalesce(resolved, F.lit(False)), False), ("pool_healthy", v >= goal, False), ("partial_without_state", status.isNull() & (v > 0), True), ("unknown_coverage", status.isNull(), True),
+        ("lease_held", lease_until > now, False), ("already_running", (status == "running") & since(started, lease_ms), False), ("stale_running", status == "running", True), ("retry_backoff", retry_at > now, False),
+        ("ttl_fresh", (v >= goal) & (c >= thin) & since(completed, useful_ms), False), ("thin_cooldown", (c < thin) & verified.isNull() & since(completed, thin_ms), False),
+        ("quota_backoff", (status == "failed") & (failure == "quota") & since(completed, quota_ms), False),
+    ]
+    reason = F.coalesce(first_reason([(name, p) for name, p, _ in rules]), status, F.lit("retry"))
+    return {"reason": reason, "start": ~reason.isin(*(name for name, _, start in rules if not start))}
+
+
 def retry_blocked(now: Column, permanent: Column, retry_after: Column, lease_until: Column) -> Column:
     return F.coalesce(permanent.isNotNull() | (retry_after > now) | (lease_until > now), F.lit(False))
 
