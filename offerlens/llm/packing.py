@@ -38,7 +38,7 @@ GROUP = 6000
 NO_ID = (1 << 63) - 1
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", bin long, offset long, underfull boolean"
+PLACED = PIECES + ", _group long, bin long, offset long, underfull boolean"
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -209,15 +209,17 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = G
     done = [whole.select(*columns, (-1 - row).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]  # one each, counted down from -1
     first_free = 0
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(group, capacity).drop(columns=["row"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches) or [pd.DataFrame()])
+        if len(group):
+            yield pack_group(group, capacity)
 
     rest, before = pieces.filter(F.col("length") < capacity), None
     n = rest.count()
     while n:
         groups = max(1, -(-n // group_size))
-        dealt = rest.select(*columns, F.pmod(row, F.lit(groups)).alias("_group"), F.lit(0).alias("row"))
-        placed = durable(dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(run, PLACED + ", _group long"))
+        dealt = rest.select(*columns, F.pmod(row, F.lit(groups)).alias("_group"))
+        placed = durable(dealt.repartitionById(groups, F.col("_group").cast("int")).mapInPandas(run, PLACED))  # a task a group
         of_bin, under = F.col("offset") == 0, F.col("underfull")
         sums = placed.agg(F.count_if(of_bin).alias("bins"), F.count_if(of_bin & under).alias("under"), F.count_if(under).alias("pieces"), F.sum(F.when(under, F.col("length"))).alias("tokens"), (F.max("bin") + 1).alias("span")).first()
         if before is not None and sums["bins"] >= before[1]:  # nothing saved: the last round's bins stay
