@@ -138,11 +138,14 @@ def pieces_of(row: tuple) -> list[tuple[int, int, np.ndarray]]:
 def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_size: int = GROUP) -> DataFrame:
     """SEQUENCES of all rows."""
 
-    def again(key: tuple, group: pa.Table) -> pa.Table:
-        pieces = [(d, k, np.frombuffer(x, dtype="<u4")) for d, k, x in zip(*(group[c].to_pylist() for c in ("doc_id", "piece", "ids")), strict=True)]
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, number = [], 0
+        for batch in batches:
+            pieces += [(d, k, np.frombuffer(x, dtype="<u4")) for d, k, x in zip(*(batch[c].to_pylist() for c in ("doc_id", "piece", "ids")), strict=True)]
+            number = batch["_group"][0].as_py() if batch.num_rows else number
         pieces.sort(key=lambda p: (-len(p[2]), p[0] is None, p[0] or 0, p[1]))
         full, rest = packed_rows(pieces, capacity)
-        return pa.Table.from_batches([as_batch(0, full + rest, key[0].as_py())])
+        yield as_batch(0, full + rest, number)
 
     columns = [f.name for f in SCHEMA]
     packed = durable(first_packing(docs, path or tokenizer_path(), capacity))
@@ -156,7 +159,7 @@ def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = C
         parts = F.transform("pieces", lambda k, i: F.struct(F.element_at("doc_ids", i + 1).alias("doc_id"), k.alias("piece"), (4 * F.element_at("cu_seqlens", i + 1)).alias("a"), (4 * F.element_at("cu_seqlens", i + 2)).alias("b")))
         pieces = rest.select("ids", F.explode(parts).alias("p")).select("p.doc_id", "p.piece", F.substring("ids", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")).alias("ids"))
         dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))  # over a written table: the same for each attempt of a task
-        placed = durable(dealt.repartition(groups, "_group").groupBy("_group").applyInArrow(again, SEQUENCES + ", _group long"))
+        placed = durable(dealt.repartitionById(groups, F.col("_group").cast("int")).mapInArrow(again, SEQUENCES + ", _group long"))  # a task a group
         got = placed.agg(F.count("*").alias("bins"), (F.max("sequence_id") + 1).alias("span")).first()
         if got["bins"] >= sums["bins"]:  # nothing saved: the bins stay as they were
             break
