@@ -125,17 +125,19 @@ def count_shingles(ranges: int):
 
 
 def frequent_shingles(least: float):
-    """applyInArrow function over a range's blocks to (shingle, n) of the shingles that over `least` documents have."""
+    """mapInArrow function over all blocks of a range to (shingle, n) of the shingles that over `least` documents have."""
 
-    def run(blocks: pa.Table) -> pa.Table:
-        parts = [unpacked(b) for b in blocks["block"].to_pylist()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpacked(b) for batch in batches for b in batch.column(0).to_pylist()]
+        if not parts:
+            return
         keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         total = np.add.reduceat(n[order], begin)
         some = total > least
-        return pa.table({"shingle": keys[begin[some]].view(np.int64), "n": total[some]})
+        yield pa.RecordBatch.from_arrays([pa.array(keys[begin[some]].view(np.int64)), pa.array(total[some])], ["shingle", "n"])
 
     return run
 
@@ -159,8 +161,9 @@ class Frequencies:
 def inverse_frequencies(texts: DataFrame) -> Frequencies:
     size = texts.agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters")).first()
     least = max(size["documents"] / RARE, (size["characters"] or 0) / (1 << FEW_BITS), 1.0)
-    blocks = texts.select("text").mapInArrow(count_shingles(RANGES_EACH * partitions_for(texts)), "range int, block binary")
-    got = blocks.groupBy("range").applyInArrow(frequent_shingles(least), "shingle long, n long").toArrow()  # bounded, see above
+    ranges = RANGES_EACH * partitions_for(texts)
+    blocks = texts.select("text").mapInArrow(count_shingles(ranges), "range int, block binary").repartitionById(ranges, F.col("range"))  # a task a range
+    got = blocks.select("block").mapInArrow(frequent_shingles(least), "shingle long, n long").toArrow()  # bounded, see above
     return Frequencies(got["shingle"].to_numpy().view(U64), got["n"].to_numpy(), size["documents"], least)
 
 
