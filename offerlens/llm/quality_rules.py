@@ -35,7 +35,7 @@ ORDER, BITS, LOW = 5, 21, 3
 #: Stands before and behind a text; no code point is so large.
 EDGE = 0x110000
 #: Grams that are broadcast at most, and distinct ones that a task gathers before it puts them out.
-HEAD_GRAMS, GATHERED = 1 << 21, 1 << 20
+HEAD_GRAMS, GATHERED = 1 << 19, 1 << 20
 SYMBOLS = "#*$%&|<>"
 SYMBOL_CODES = np.array([ord(c) for c in SYMBOLS], dtype=np.uint32)
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
