@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,3 +200,48 @@ class HashArray:
             on = ~hit & (at < end)
             which, at, end = which[on], at[on], end[on]
         return out, found
+
+
+def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending hashes and their counts; the hashes' leading bytes, laid side by side, take next to nothing."""
+    more = np.flatnonzero(n > 1)
+    planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(keys), len(more)], "<i8").tobytes() + planes + more.astype("<u4").tobytes() + n[more].astype("<u4").tobytes())
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    size, some = np.frombuffer(raw[:16], "<i8").tolist()
+    keys = np.ascontiguousarray(np.frombuffer(raw[16 : 16 + 8 * size], np.uint8).reshape(8, size).T).view("<u8").ravel()
+    more, times = np.frombuffer(raw[16 + 8 * size :], "<u4").reshape(2, some)
+    n = np.ones(size, np.int64)
+    n[more] = times
+    return keys.astype(U64), n
+
+
+def range_blocks(held: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """(range, block) of the hashes held, summed up and packed by range of the hash; held is empty afterwards."""
+    keys, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
+    held.clear()
+    edges = np.searchsorted(((keys >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64), np.arange(ranges + 1))
+    used = np.flatnonzero(np.diff(edges)).tolist()
+    blocks = [packed(keys[edges[r] : edges[r + 1]], n[edges[r] : edges[r + 1]]) for r in used]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], ["range", "block"])
+
+
+def range_sums(least: float):
+    """mapInArrow function over all blocks of a range to (key, n) of the hashes with over `least` in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpacked(b) for batch in batches for b in batch.column(0).to_pylist()]
+        if not parts:
+            return
+        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(n[order], begin)
+        some = total > least
+        yield pa.RecordBatch.from_arrays([pa.array(keys[begin[some]].view(np.int64)), pa.array(total[some])], ["key", "n"])
+
+    return run

@@ -29,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import PORTION_BYTES, U64, HashArray, Words, chunks, durable, forget, mix, partitions_for, portions, window_hashes
+from offerlens.llm.common import PORTION_BYTES, U64, HashArray, Words, chunks, durable, forget, mix, partitions_for, portions, range_blocks, range_sums, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
@@ -81,63 +80,19 @@ def shingle_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc[begin], grams[begin], np.diff(np.append(begin, len(doc)))
 
 
-def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending hashes and their counts; the hashes' leading bytes, laid side by side, take next to nothing."""
-    more = np.flatnonzero(n > 1)
-    planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(keys), len(more)], "<i8").tobytes() + planes + more.astype("<u4").tobytes() + n[more].astype("<u4").tobytes())
-
-
-def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    size, some = np.frombuffer(raw[:16], "<i8").tolist()
-    keys = np.ascontiguousarray(np.frombuffer(raw[16 : 16 + 8 * size], np.uint8).reshape(8, size).T).view("<u8").ravel()
-    more, times = np.frombuffer(raw[16 + 8 * size :], "<u4").reshape(2, some)
-    n = np.ones(size, np.int64)
-    n[more] = times
-    return keys.astype(U64), n
-
-
 def count_shingles(ranges: int):
     """mapInArrow function over (text) to (range, block): the task's shingles by range of the hash, each document's once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def put() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
-            held.clear()
-            own = ((keys >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
-            edges = np.searchsorted(own, np.arange(ranges + 1))
-            used = np.flatnonzero(np.diff(edges)).tolist()
-            blocks = [packed(keys[edges[r] : edges[r + 1]], n[edges[r] : edges[r + 1]]) for r in used]
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], ["range", "block"])
-
         for batch in portions(batches):
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 held.append(shingle_counts(texts[a:b])[1])
                 if sum(map(len, held)) >= SEGMENT:
-                    yield put()
-        yield put()
-
-    return run
-
-
-def frequent_shingles(least: float):
-    """mapInArrow function over all blocks of a range to (shingle, n) of the shingles that over `least` documents have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpacked(b) for batch in batches for b in batch.column(0).to_pylist()]
-        if not parts:
-            return
-        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        total = np.add.reduceat(n[order], begin)
-        some = total > least
-        yield pa.RecordBatch.from_arrays([pa.array(keys[begin[some]].view(np.int64)), pa.array(total[some])], ["shingle", "n"])
+                    yield range_blocks(held, ranges)
+        yield range_blocks(held, ranges)
 
     return run
 
@@ -163,8 +118,8 @@ def inverse_frequencies(texts: DataFrame) -> Frequencies:
     least = max(size["documents"] / RARE, (size["characters"] or 0) / (1 << FEW_BITS), 1.0)
     ranges = RANGES_EACH * partitions_for(texts)
     blocks = texts.select("text").mapInArrow(count_shingles(ranges), "range int, block binary").repartitionById(ranges, F.col("range"))  # a task a range
-    got = blocks.select("block").mapInArrow(frequent_shingles(least), "shingle long, n long").toArrow()  # bounded, see above
-    return Frequencies(got["shingle"].to_numpy().view(U64), got["n"].to_numpy(), size["documents"], least)
+    got = blocks.select("block").mapInArrow(range_sums(least), "key long, n long").toArrow()  # bounded, see above
+    return Frequencies(got["key"].to_numpy().view(U64), got["n"].to_numpy(), size["documents"], least)
 
 
 def weigh(grams: np.ndarray, count: np.ndarray, idf: Frequencies) -> np.ndarray:

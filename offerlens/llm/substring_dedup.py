@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import U64, Words, chunks, durable, forget, mix, partitions_for, portions, powers, text_column, window_hashes
+from offerlens.llm.common import U64, Words, chunks, durable, forget, mix, partitions_for, portions, powers, range_blocks, range_sums, text_column, window_hashes
 
 WINDOW = 13
 #: A minimiser's words, and windows a packed string holds at most (a longer run of one minimiser is cut).
@@ -43,8 +43,8 @@ GRAM, LONGEST = 6, 64
 TABLE_BITS, COUNTED = 26, 1 << 21
 #: Buckets of the frequency count, and the share of all runs from which a bucket counts as hot.
 COUNTERS, HOT_SHARE = 1 << 16, 1000
-#: Characters of packed strings a task gathers before it puts out blocks; grouped buckets for each shuffle partition.
-FLUSH_CHARS, BUCKETS_EACH = 24 << 20, 8
+#: Characters of packed strings a task gathers before it puts out blocks; grouped buckets, and ranges of minimisers, for each shuffle partition.
+FLUSH_CHARS, BUCKETS_EACH, RANGES_EACH = 24 << 20, 8, 2
 #: A minimiser is hot if it has so many times a bucket's mean of strings, and over HOT_LEAST.
 SHARES, HOT_LEAST = 2, 4096
 NO_ID = (1 << 63) - 1
@@ -110,13 +110,13 @@ class SuperKmers:
         begin = np.flatnonzero(place % LONGEST == 0)
         sizes = np.diff(np.append(begin, len(valid)))
         if repeated is not None:
-            some = in_table(repeated, least[valid[begin]])
+            some = in_table(repeated, mix(least[valid[begin]]))
             begin, sizes = begin[some], sizes[some]
             if not len(begin):
                 return
         self.alone = np.zeros(len(begin), dtype=bool)
         if split is not None and len(split):  # windows of hot minimisers travel one by one
-            own = least[valid[begin]]
+            own = mix(least[valid[begin]])
             alone = split[np.minimum(np.searchsorted(split, own), len(split) - 1)] == own
             times = np.where(alone, sizes, 1)
             step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -154,26 +154,20 @@ def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (one(values & mask) & one(values >> U64(TABLE_BITS) & mask)).astype(bool)
 
 
-def minimiser_counter(hot):
-    """mapInArrow function over (text) to (minimiser, n): how many strings of the task have it."""
+def minimiser_counter(hot, ranges: int):
+    """mapInArrow function over (text) to (range, block): how many strings of the task have a minimiser, packed by range of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def put() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int32))], ["minimiser", "n"])
-
         for batch in portions(batches):
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 runs = SuperKmers(texts[a:b], hot.value)
                 if len(runs.first):
-                    held.append(runs.minimiser)
+                    held.append(mix(runs.minimiser))  # minimisers are small values: mixed, they spread over all ranges
                 if sum(map(len, held)) >= COUNTED:
-                    yield put()
-        yield put()
+                    yield range_blocks(held, ranges)
+        yield range_blocks(held, ranges)
 
     return run
 
@@ -181,8 +175,9 @@ def minimiser_counter(hot):
 def repeated_minimisers(docs: DataFrame, hot, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bit table of minimisers that occur twice or more (2**(TABLE_BITS - 6) words of it at most come to the driver), and the hot
     ones in ascending order (buckets / SHARES at most)."""
-    counted = docs.select(text_column(docs)).mapInArrow(minimiser_counter(hot), "minimiser long, n int")
-    repeated = durable(counted.groupBy("minimiser").agg(F.sum("n").alias("n")).filter("n > 1"))
+    ranges = RANGES_EACH * partitions_for(docs)
+    counted = docs.select(text_column(docs)).mapInArrow(minimiser_counter(hot, ranges), "range int, block binary").repartitionById(ranges, F.col("range"))
+    repeated = durable(counted.select("block").mapInArrow(range_sums(1), "key long, n long").withColumnRenamed("key", "minimiser"))
     mask = F.lit((1 << TABLE_BITS) - 1)
     bits = repeated.select(F.explode(F.array(F.col("minimiser").bitwiseAND(mask), F.shiftrightunsigned("minimiser", TABLE_BITS).bitwiseAND(mask))).alias("bit"))
     word = F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
