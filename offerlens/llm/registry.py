@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import binary_output, bpe, near_dedup, packing, quality_rules, substring_dedup, token_counts, topk_search, toxicity, url_filters
+from offerlens.llm import binary_output, bpe, language_id, lexical_search, near_dedup, packing, quality_rules, substring_dedup, token_counts, topk_search, toxicity, url_filters, whitening
 from offerlens.llm.common import table
 
 
@@ -51,17 +51,29 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_frame(spark), url_filters.pattern_frame(spark))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_toxicity, op2_quality_rules, op3_packing, op4_token_counts, op5_bpe, op6_topk_search, op7_near_dedup, op8_binary_output, op9_substring_dedup, op10_url_filters]
+    own = [op1_toxicity, op2_quality_rules, op3_packing, op4_token_counts, op5_bpe, op6_topk_search, op7_near_dedup, op8_binary_output, op9_substring_dedup, op10_url_filters, op11_language_id, op12_lexical_search, op13_whitening]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op6_topk_search": topk_search.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op10_url_filters": url_filters.ORACLE_SQL}
+    own = {"op6_topk_search": topk_search.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op10_url_filters": url_filters.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
