@@ -1,22 +1,27 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of SHINGLE words; one with fewer words has a single shingle of all. A shingle weighs its count in
-the text, damped to 1 + ln(count), times its inverse document frequency 1 + IDF_SHARE * ln(documents / frequency) / ln(RARE), at
-most 1 + IDF_SHARE: a shingle of one document in RARE counts twice as much as one that all documents have. Without the
-constant part a text copied in thousands with small changes would be torn from its copies by the rareness of the changes.
+the text, damped to 1 + ln(count), times its inverse document frequency 1 + IDF_SHARE * ln(documents / frequency) / ln(documents): from
+1 for what all documents have to 1 + IDF_SHARE for what one has, at any size of the corpus or of its texts. Without the constant part
+a text copied in thousands with small changes would be torn from its copies by the rareness of the changes.
 SAMPLES consistent weighted samples in bands of ROWS give candidate pairs; a pair is a link if the weighted Jaccard similarity of
-both whole texts is THRESHOLD or more; classes are the connected components of the links.
+both whole texts is THRESHOLD or more; classes are the connected components of the links. The draws of a sample are chosen by
+DRAW_BITS bits of a shingle's hash: of shingles that share a draw and a weight the one with the smaller hash is taken, in every text
+alike, so that in texts of over 2**DRAW_BITS shingles such shingles stand for each other; what is a link is decided without draws.
 
-Document frequencies are counted exactly, over all documents: a task sorts SEGMENT shingles at a time and sends each bucket of
-the hash range one packed block (5 bytes a distinct shingle); a bucket's blocks are merged and summed. What is in one document in
-RARE or fewer counts as just that. Shingles above (or above 2**-FEW_BITS of all characters, if texts are very long) are broadcast:
-a shingle takes two characters at least, so that there are at most 2**(FEW_BITS - 1), in practice some thousands.
+Document frequencies are exact, of every shingle and over all documents. Texts lie in segments of about SEGMENT_CHARS characters, a row
+each. A segment sends each range of the hashes one packed block of its shingles (5 bytes a distinct one); a task sums up its range's
+blocks and answers each with the frequencies of just its shingles, in a byte or less, and the answers meet the segment's texts again.
+Nothing is broadcast or collected but counts.
 
 Copies and hot buckets. Equal texts are one node from the start, whatever their number. In a bucket of up to ALL_PAIRS nodes
 all pairs are candidates. A larger one links each node to three leaders, and to one leader of each smaller group that shares
 a second bucket too. After the components are known, what is left there are pairs of nodes in different components: the
 nodes outside the bucket's main component meet all others, block by block, and a task compares those whose samples agree about
-as often as the threshold asks until it has joined their components, so that no class is torn by a bucket's size.
+as often as the threshold asks until it has joined their components, so that no class is torn by a bucket's size. Blocks hold about
+BLOCK nodes and BLOCK_CHARS characters. With exact=True every pair of a larger bucket is compared, block by block, whatever its samples
+or components; classes come out the same, and `n_links`, the number of different texts that a document's text has links to, is complete:
+otherwise it counts the links that the classes needed.
 
 Cases. Null texts and texts without a word have no shingle: each is a class of its own. Null doc_ids come last in order and
 stay null. Rows with one doc_id and one text get one class. A very long text is one node like any other and read whole. Columns
@@ -29,31 +34,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import PORTION_BYTES, U64, HashArray, Words, chunks, durable, forget, mix, partitions_for, portions, range_blocks, range_sums, window_hashes
+from offerlens.llm.common import PORTION_BYTES, U64, Words, chunks, durable, forget, mix, packed, partitions_for, portions, trim, unpacked, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
-#: What a shingle of one document in RARE weighs more than one of all documents.
-IDF_SHARE, RARE = 1.0, 3000
-#: Bounds the frequent shingles (see above); shingles that a task sorts at once; hash ranges for each shuffle partition.
-FEW_BITS, SEGMENT, RANGES_EACH = 24, 1 << 21, 2
+#: What a shingle of one document weighs more than one of all documents.
+IDF_SHARE = 0.5
+#: Characters of a segment, about; hash ranges for each shuffle partition.
+SEGMENT_CHARS, RANGES_EACH = 1 << 22, 2
 #: Nodes of a bucket whose pairs are all compared at once.
 ALL_PAIRS = 12
 #: Samples of two texts that must agree before a pair left over in a large bucket is compared: with a similarity of THRESHOLD
 #: SAMPLES * THRESHOLD = 32 agree on average, and fewer than these less often than once in 10**9; the bands themselves miss one in 200.
 LEAST_AGREED = 16
-#: Nodes of a block of a large bucket, about.
-BLOCK = 64
+#: Nodes and characters of a block of a large bucket, about.
+BLOCK, BLOCK_CHARS = 64, 1 << 20
 #: Draws a hash function chooses from.
 DRAW_BITS = 16
 NO_ID = (1 << 63) - 1
 F32 = np.float32
 
-SIGNATURES = "node binary, band int, bucket long, sketch array<smallint>"
+SEGMENT = "segment long, nodes array<binary>, copies array<int>, texts array<string>"
+SIGNED = "node binary, band int, bucket long, sketch array<smallint>, text string, frequencies binary"
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -80,50 +88,96 @@ def shingle_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc[begin], grams[begin], np.diff(np.append(begin, len(doc)))
 
 
+def make_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SEGMENT rows of (text, node): each text of a segment once, and how many documents have it there."""
+    number, held, size = TaskContext.get().partitionId() << 33, {}, 0
+
+    def put() -> pa.RecordBatch:
+        rows = [list(held), [x[1] for x in held.values()], [x[0] for x in held.values()]]
+        types = [pa.binary(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([r], pa.list_(t)) for r, t in zip(rows, types, strict=True))], ["segment", "nodes", "copies", "texts"])
+
+    for batch in portions(batches):
+        for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if node in held:
+                held[node][1] += 1
+                continue
+            if held and size + len(text) > SEGMENT_CHARS:
+                yield put()
+                number, held, size = number + 1, {}, 0
+            held[node] = [text, 1]
+            size += len(text)
+    if held:
+        yield put()
+
+
+def segment_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`shingle_counts` of any number of texts, in chunks of bounded size."""
+    parts = []
+    for a, b in chunks(texts):
+        doc, grams, count = shingle_counts(texts[a:b])
+        parts.append((doc + a, grams, count))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))
+
+
 def count_shingles(ranges: int):
-    """mapInArrow function over (text) to (range, block): the task's shingles by range of the hash, each document's once."""
+    """mapInArrow function over (segment, copies, texts) to (segment, range, block): a segment's shingles by range of the hash, with the documents that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        for batch in portions(batches):
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
-                held.append(shingle_counts(texts[a:b])[1])
-                if sum(map(len, held)) >= SEGMENT:
-                    yield range_blocks(held, ranges)
-        yield range_blocks(held, ranges)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                segment, copies, texts = (batch.column(c)[k].as_py() for c in range(3))
+                doc, grams, _ = segment_shingles(texts)
+                order = np.argsort(grams, kind="stable")
+                grams, n = grams[order], np.array(copies, np.int64)[doc[order]]
+                begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
+                keys, n = grams[begin], np.add.reduceat(n, begin) if len(begin) else n
+                edges = np.searchsorted(((keys >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64), np.arange(ranges + 1))
+                used = np.flatnonzero(np.diff(edges)).tolist()
+                blocks = [packed(keys[edges[r] : edges[r + 1]], n[edges[r] : edges[r + 1]]) for r in used]
+                yield pa.RecordBatch.from_arrays([pa.array([segment] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], ["segment", "range", "block"])
+        trim()
 
     return run
 
 
-class Frequencies:
-    """Inverse document frequencies by shingle."""
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Frequencies, mostly small, in about a byte or less each."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
 
-    def __init__(self, shingles: np.ndarray, n: np.ndarray, documents: int, least: float):
-        self.table = HashArray(shingles, self.inverse(n, documents).astype(np.float32))
-        self.rare = F32(self.inverse(np.array([least]), documents)[0])
+def stretched(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
-    @staticmethod
-    def inverse(n: np.ndarray, documents: int) -> np.ndarray:
-        return 1 + IDF_SHARE * np.clip(np.log(max(documents, 1) / n) / np.log(RARE), 0, 1)
 
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        value, known = self.table.get(grams)
-        return np.where(known, value, self.rare)
+def answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, range, frequencies) of all blocks of a range: the frequencies of each block's shingles in all blocks together."""
+    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
+    if rows:
+        keys, n = (np.concatenate(x) for x in zip(*(unpacked(r[2]) for r in rows), strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(n[order], begin)
+        keys = keys[begin]
+        del n, order
+        for segment, part, block in rows:
+            own = total[np.searchsorted(keys, unpacked(block)[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([part], pa.int32()), pa.array([squeezed(np.minimum(own, (1 << 32) - 1))], pa.binary())], ["segment", "range", "frequencies"])
+    trim()
 
 
-def inverse_frequencies(texts: DataFrame) -> Frequencies:
-    size = texts.agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters")).first()
-    least = max(size["documents"] / RARE, (size["characters"] or 0) / (1 << FEW_BITS), 1.0)
-    ranges = RANGES_EACH * partitions_for(texts)
-    blocks = texts.select("text").mapInArrow(count_shingles(ranges), "range int, block binary").repartitionById(ranges, F.col("range"))  # a task a range
-    got = blocks.select("block").mapInArrow(range_sums(least), "key long, n long").toArrow()  # bounded, see above
-    return Frequencies(got["key"].to_numpy().view(U64), got["n"].to_numpy(), size["documents"], least)
+def document_frequencies(segments: DataFrame) -> DataFrame:
+    """segment and answers: the frequencies of its distinct shingles, by range and then by hash. segments must be written."""
+    ranges = RANGES_EACH * partitions_for(segments)
+    blocks = segments.select("segment", "copies", "texts").mapInArrow(count_shingles(ranges), "segment long, range int, block binary").repartitionById(ranges, F.col("range"))  # a task a range
+    answers = blocks.mapInArrow(answer_blocks, "segment long, range int, frequencies binary")
+    return answers.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("range", "frequencies"))).alias("answers"))  # a few bytes a shingle of one segment
 
 
-def weigh(grams: np.ndarray, count: np.ndarray, idf: Frequencies) -> np.ndarray:
-    return (1 + np.log(count)) * idf.of(grams)
+def weigh(count: np.ndarray, frequency: np.ndarray, documents: int) -> np.ndarray:
+    return (1 + np.log(count)) * (1 + IDF_SHARE * np.log(max(documents, 1) / frequency) / max(np.log(max(documents, 1)), 1e-9))
 
 
 class Sampler:
@@ -163,28 +217,32 @@ class Sampler:
         return keys.view(np.int64)
 
 
-def signer(idf):
-    """mapInArrow function over (text, node) to SIGNATURES, each node of the task once; idf: broadcast."""
+def signer(documents: int):
+    """mapInArrow function over (nodes, texts, answers) of segments to SIGNED: a row a band, and one of band -1 with sketch, text and frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, seen, names = Sampler(), set(), ["node", "band", "bucket", "sketch"]
-        for batch in portions(batches):
-            fresh = []
-            for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    fresh.append((text, node))
-            texts = [x[0] for x in fresh]
-            for a, b in chunks(texts):
-                doc, grams, count = shingle_counts(texts[a:b])
-                which, samples = sampler.samples(doc, grams, weigh(grams, count, idf.value))
-                own = pa.array([fresh[a + k][1] for k in which.tolist()], pa.binary())
-                rows = own.take(pa.array(np.repeat(np.arange(len(which)), BANDS)))
-                band = np.tile(np.arange(BANDS, dtype=np.int32), len(which))
-                yield pa.RecordBatch.from_arrays([rows, pa.array(band), pa.array(sampler.bands(samples).ravel()), pa.nulls(len(rows), pa.list_(pa.int16()))], names)
-                # band -1 has the sketch: 16 bits of each sample
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * SAMPLES), pa.array((samples >> U64(48)).astype(np.uint16).view(np.int16).ravel()))
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(which), -1, np.int32)), pa.array(np.zeros(len(which), np.int64)), sketch], names)
+        sampler, names = Sampler(), [c.split()[0] for c in SIGNED.split(", ")]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                nodes_, texts, answers = (batch.column(c)[row].as_py() for c in range(3))
+                doc, grams, count = segment_shingles(texts)
+                known = np.concatenate([stretched(a["frequencies"]) for a in answers])
+                frequency = known[np.searchsorted(np.unique(grams), grams)]
+                edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+                for a, b in chunks(texts):
+                    own = slice(edges[a], edges[b])
+                    which, samples = sampler.samples(doc[own], grams[own], weigh(count[own], frequency[own], documents))
+                    n = len(which)
+                    keys = pa.array([nodes_[k] for k in which.tolist()], pa.binary())
+                    rows = keys.take(pa.array(np.repeat(np.arange(n), BANDS)))
+                    band = np.tile(np.arange(BANDS, dtype=np.int32), n)
+                    nothing = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int16()), pa.string(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([rows, pa.array(band), pa.array(sampler.bands(samples).ravel()), *nothing], names)
+                    # the sketch has 16 bits of each sample
+                    sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SAMPLES), pa.array((samples >> U64(48)).astype(np.uint16).view(np.int16).ravel()))
+                    held = [squeezed(frequency[edges[k] : edges[k + 1]]) for k in which.tolist()]
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int64)), sketch, pa.array([texts[k] for k in which.tolist()], pa.string()), pa.array(held, pa.binary())], names)
+        trim()
 
     return run
 
@@ -197,33 +255,36 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(common / total) if total else 0.0
 
 
-def verifier(idf):
-    """mapInArrow function over (a, b, text_a, text_b) to the pairs that are links."""
+def is_link(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Similar enough; what lacks the last digits of THRESHOLD only is."""
+    return weighted_jaccard(a, b) >= THRESHOLD - 1e-12
+
+
+def vectors_of(texts: list[str], frequencies: list[bytes], documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and weights of each text's shingles."""
+    doc, grams, count = segment_shingles(texts)
+    known = np.concatenate([*map(stretched, frequencies)]) if frequencies else np.zeros(0, np.int64)
+    weights = weigh(count, known, documents)
+    edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [(grams[edges[k] : edges[k + 1]], weights[edges[k] : edges[k + 1]]) for k in range(len(texts))]
+
+
+def verifier(documents: int):
+    """mapInArrow function over (a, b, text_a, text_b, frequencies_a, frequencies_b) to the pairs that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 4 * PORTION_BYTES):  # a text is in several pairs of a batch
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
-            vectors = dict(zip(texts, vectors_of(list(texts.values()), idf.value), strict=True))
-            keep = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if weighted_jaccard(vectors[x], vectors[y]) >= THRESHOLD]
+            a, b, text_a, text_b, known_a, known_b = (batch.column(c).to_pylist() for c in range(6))
+            texts = dict(zip(a, zip(text_a, known_a, strict=True), strict=True)) | dict(zip(b, zip(text_b, known_b, strict=True), strict=True))
+            vectors = dict(zip(texts, vectors_of([t for t, _ in texts.values()], [k for _, k in texts.values()], documents), strict=True))
+            keep = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if is_link(vectors[x], vectors[y])]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
 
     return run
 
 
-def vectors_of(texts: list[str], idf: Frequencies) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and weights of each text's shingles."""
-    out = []
-    for x, y in chunks(texts):
-        doc, grams, count = shingle_counts(texts[x:y])
-        weights = weigh(grams, count, idf)
-        edges = np.searchsorted(doc, np.arange(y - x + 1))
-        out += [(grams[edges[k] : edges[k + 1]], weights[edges[k] : edges[k + 1]]) for k in range(y - x)]
-    return out
-
-
-def joiner(idf):
-    """mapInArrow function over (band, others, every), two blocks of a bucket's nodes, to links that join their components, each as seldom as can be."""
+def joiner(documents: int, exact: bool):
+    """mapInArrow function over (band, others, every), two blocks of a bucket's nodes, to links that join their components, each as seldom as can be; to all links, if exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[bytes, bytes] = {}  # over the task: components that its links have joined
@@ -235,23 +296,25 @@ def joiner(idf):
 
         for batch in batches:
             found = []
-            for band, own, every in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for k in range(batch.num_rows):
+                band, own, every = (batch.column(c)[k].as_py() for c in range(3))
                 x, y = (np.array([r["sketch"] for r in side], dtype=np.int16) for side in (own, every))
                 agreed = (x[:, None, :] == y[None, :, :]).sum(axis=2)
-                # pairs that share an earlier band's bucket have met there
-                if band:
+                if exact:
+                    agreed += LEAST_AGREED
+                elif band:  # pairs that share an earlier band's bucket have met there
                     x, y = (np.array([r["bands"][:band] for r in side], dtype=np.int64) for side in (own, every))
                     agreed[(x[:, None, :] == y[None, :, :]).any(axis=2)] = 0
                 vectors = [None] * len(own), [None] * len(every)
                 i, j = np.nonzero(agreed >= LEAST_AGREED)
                 order = np.argsort(-agreed[i, j], kind="stable")
                 for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                    if find(own[p]["root"]) == find(every[q]["root"]):
+                    if own[p]["node"] == every[q]["node"] or (not exact and find(own[p]["root"]) == find(every[q]["root"])):
                         continue
-                    for side, rows, k in ((0, own, p), (1, every, q)):
-                        if vectors[side][k] is None:
-                            vectors[side][k] = vectors_of([rows[k]["text"]], idf.value)[0]
-                    if weighted_jaccard(vectors[0][p], vectors[1][q]) >= THRESHOLD:
+                    for side, rows, r in ((0, own, p), (1, every, q)):
+                        if vectors[side][r] is None:
+                            vectors[side][r] = vectors_of([rows[r]["text"]], [rows[r]["frequencies"]], documents)[0]
+                    if is_link(vectors[0][p], vectors[1][q]):
                         parent[find(own[p]["root"])] = find(every[q]["root"])
                         found.append((own[p]["node"], every[q]["node"]))
             yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.binary()), pa.array([max(f) for f in found], pa.binary())], ["a", "b"])
@@ -259,12 +322,11 @@ def joiner(idf):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The links (a < b) among pairs. texts: node and text, a row a node, of the nodes in pairs at least."""
-    left = texts.withColumnsRenamed({"node": "a", "text": "text_a"})
-    right = texts.withColumnsRenamed({"node": "b", "text": "text_b"})
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return durable(joined.mapInArrow(verifier(idf), "a binary, b binary"))
+def verified(pairs: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+    """The links (a < b) among pairs. texts: node, text and frequencies, a row a node, of the nodes in pairs at least."""
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"), F.col("frequencies").alias(f"frequencies_{x}")) for x in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", "frequencies_a", "frequencies_b")
+    return durable(joined.mapInArrow(verifier(documents), "a binary, b binary"))
 
 
 def ordered_pairs(x, y, frame: DataFrame) -> DataFrame:
@@ -291,13 +353,15 @@ def components(edges: DataFrame) -> DataFrame:
     return durable(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node of all rows, and the roots of the nodes that have links."""
+def links(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, node of all rows; the links (a < b) found; and the roots of the nodes that have links."""
     rows = nodes(docs)
-    spark = docs.sparkSession
-    idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
-    signed = durable(rows.filter("node is not null").select("text", "node").mapInArrow(signer(idf), SIGNATURES).distinct())
-    signatures = signed.filter("band >= 0").select("node", "band", "bucket")
+    segments = durable(rows.filter("node is not null").select("text", "node").mapInArrow(make_segments, SEGMENT))
+    documents = segments.agg(F.sum(F.aggregate("copies", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
+    answered = segments.join(document_frequencies(segments), "segment").select("nodes", "texts", "answers")
+    signed = durable(answered.mapInArrow(signer(documents), SIGNED))
+    forget(segments)
+    signatures = durable(signed.filter("band >= 0").select("node", "band", "bucket").distinct())
     lead = [F.min("node").alias("l1"), F.max("node").alias("l2"), F.min_by("node", F.xxhash64("node")).alias("l3")]
     buckets = durable(signatures.groupBy("band", "bucket").agg(F.count("*").alias("n"), *lead).filter("n > 1"))
     members = durable(signatures.join(buckets, ["band", "bucket"]))
@@ -310,43 +374,46 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nearer = both.join(both.groupBy("own").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1"), "own")
     found = [first.select(F.col("x").alias("a"), F.col("y").alias("b")), ordered_pairs(F.col("node"), F.col("lead"), star), ordered_pairs(F.col("node"), F.col("lead"), nearer)]
     pairs = durable(found[0].unionByName(found[1]).unionByName(found[2]).distinct())
-    # one copy of the text of each node that is in a bucket with others
+    # one copy of each node that is in a bucket with others; always by a shuffle of both sides: the wanted ones grow with the corpus
     wanted = members.select("node").distinct()
-    one = durable(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node"))
-    # always by a shuffle of both sides: the side of the wanted nodes grows with the corpus
-    texts = durable(rows.join(one.hint("merge"), ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text")))
-    edges = verified(pairs, texts, idf)
+    own = signed.filter("band < 0").select("node", "sketch", "text", "frequencies").join(wanted.hint("merge"), "node")
+    texts = durable(own.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text"), F.first("frequencies").alias("frequencies")))
+    forget(signed)
+    edges = verified(pairs, texts, documents)
     roots = components(edges)
     # what a large bucket still has between components
     open_rows = durable(large.select("band", "bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = open_rows.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
-    mixed = durable(sizes.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1"))
+    mixed = durable(sizes.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter(F.lit(exact) | (F.col("roots") > 1)))
     if mixed.take(1):
-        sketches = signed.filter("band < 0").select("node", "sketch")
         own_bands = signatures.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "bucket"))), lambda x: x["bucket"]).alias("bands"))
-        left = open_rows.join(mixed, ["band", "bucket"]).join(sketches, "node").join(texts, "node").join(own_bands, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        left = durable(left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-        gathered = F.collect_list(F.struct("node", "root", "sketch", "text", "bands"))
+        left = durable(open_rows.join(mixed, ["band", "bucket"]).join(texts, "node").join(own_bands, "node"))
+        blocks = left.groupBy("band", "bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).alias("blocks"))
+        left = left.join(blocks, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        gathered = F.collect_list(F.struct("node", "root", "sketch", "text", "frequencies", "bands"))
         every = left.groupBy("band", "bucket", "block").agg(gathered.alias("every"))
-        others = left.filter("root != main").groupBy("band", "bucket", "blocks", F.col("block").alias("own")).agg(gathered.alias("others"))
-        dealt = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        more = durable(dealt.join(every, ["band", "bucket", "block"]).select("band", "others", "every").mapInArrow(joiner(idf), "a binary, b binary").distinct())
+        others = left.filter(F.lit(exact) | (F.col("root") != F.col("main"))).groupBy("band", "bucket", "blocks", F.col("block").alias("own")).agg(gathered.alias("others"))
+        dealt = others.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") if exact else F.col("blocks") - 1)))
+        more = durable(dealt.join(every, ["band", "bucket", "block"]).select("band", "others", "every").mapInArrow(joiner(documents, exact), "a binary, b binary").distinct())
         if more.take(1):
-            roots = components(edges.unionByName(more))
-    return rows.select("doc_id", "node"), roots
+            edges = durable(edges.unionByName(more).distinct())
+            roots = components(edges)
+    return rows.select("doc_id", "node"), edges, roots
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the class's least doc_id) and is_representative, a row for each row of docs."""
-    return _classes(docs).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).withColumn("class_id", F.nullif("class_id", F.lit(NO_ID))).select("doc_id", "class_id", "is_representative")
+def near_classes(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, class_id (the class's least doc_id), is_representative and n_links, a row for each row of docs."""
+    out = _classes(docs, exact)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).withColumn("class_id", F.nullif("class_id", F.lit(NO_ID))).select("doc_id", "class_id", "is_representative", "n_links")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    rows, roots = links(docs)
+def _classes(docs: DataFrame, exact: bool = False) -> DataFrame:
+    rows, edges, roots = links(docs, exact)
     heads = durable(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("head")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = durable(heads.groupBy("root").agg(F.min("head").alias("class_id")))
-    of_node = durable(heads.join(least, "root").select("node", "class_id"))
-    named = rows.join(of_node, "node", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    least = heads.groupBy("root").agg(F.min("head").alias("class_id"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    of_node = durable(heads.join(least, "root").join(ends, "node", "left").select("node", "class_id", "n_links"))
+    named = rows.join(of_node, "node", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     return named.withColumn("is_representative", F.col("doc_id") == F.col("class_id"))
 
 

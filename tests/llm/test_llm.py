@@ -396,49 +396,81 @@ def test_near_classes(odd, spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, None, None])
 
 
+def true_vectors(texts, of_text=None):
+    """Hashes and weights of distinct texts by the true document frequencies of their shingles; of_text: how many documents have a text."""
+    counted = [near_dedup.shingle_counts([t]) for t in texts]
+    times = [1] * len(texts) if of_text is None else [of_text[t] for t in texts]
+    keys, place = np.unique(np.concatenate([c[1] for c in counted]), return_inverse=True)
+    n = np.bincount(place, weights=np.repeat(times, [len(c[1]) for c in counted])).astype(int)
+    edges = np.cumsum([0, *(len(c[1]) for c in counted)])
+    documents = sum(times)
+    return [(c[1], (1 + np.log(c[2])) * (1 + near_dedup.IDF_SHARE * np.log(documents / n[place[a:b]]) / np.log(documents))) for c, a, b in zip(counted, edges[:-1], edges[1:], strict=True)]
+
+
 def test_near_classes_of_a_drifting_group(spark, monkeypatch):
-    """A large bucket whose texts are alike only step by step: classes equal those of all pairs."""
+    """A large bucket whose texts are alike only step by step: classes equal those of all pairs; with exact=True so do the links' numbers."""
     monkeypatch.setattr(near_dedup, "ALL_PAIRS", 4)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_CHARS", 9000)
     rng, own, rows = np.random.default_rng(2), words(150, 9), []
     for k in range(60):
         rows.append((k, " ".join(own)))
         own = own.copy()
         own[rng.integers(0, 150)] = f"new{k}"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    idf = near_dedup.inverse_frequencies(near_dedup.nodes(docs))
-    vectors = near_dedup.vectors_of([t for _, t in rows], idf)
-    root = list(range(60))
+    vectors = true_vectors([t for _, t in rows])
+    root, n_links = list(range(60)), Counter()
     for i in range(60):
         for j in range(i):
             if near_dedup.weighted_jaccard(vectors[i], vectors[j]) >= 0.8:
+                n_links.update((i, j))
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()} == dict(enumerate(root))
-
-
-def test_document_frequencies(spark, monkeypatch):
-    """Exact above the stated share, whatever the segments and partitions; below it they count as that share."""
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows, texts = near_dedup.nodes(table), [t for _, t in texts_of(table)]
-    true = Counter(k for t in texts for k in near_dedup.shingle_counts([t])[1].tolist())
-    keys = np.array(sorted(true), dtype=np.uint64)
-    n = np.array([true[k] for k in keys.tolist()])
-    got = near_dedup.inverse_frequencies(rows).of(keys)
-    assert np.allclose(got, near_dedup.Frequencies.inverse(n, len(texts)), atol=1e-6)  # 1000 documents: all are exact
-    assert np.corrcoef(got, np.log(len(texts) / n))[0, 1] > 0.99
-    monkeypatch.setattr(near_dedup, "SEGMENT", 9000)
-    monkeypatch.setattr(near_dedup, "RARE", 100)
-    got = near_dedup.inverse_frequencies(rows.repartition(7)).of(keys)
-    assert np.allclose(got, near_dedup.Frequencies.inverse(np.maximum(n, len(texts) / 100), len(texts)), atol=1e-6)
+    quick, exact = near_dedup.near_classes(docs).collect(), near_dedup.near_classes(docs, exact=True).collect()
+    assert {r["doc_id"]: r["class_id"] for r in quick} == dict(enumerate(root)) == {r["doc_id"]: r["class_id"] for r in exact}
+    full = {r["doc_id"]: r["n_links"] for r in exact}
+    assert all(r["n_links"] <= full[r["doc_id"]] for r in quick)
+    assert all(full[k] <= n_links[k] for k in full) and sum(full.values()) >= 0.97 * n_links.total()  # a link without a common bucket is not met
+
+
+@pytest.mark.parametrize("table, size, least", [("sf0.01", 1 << 22, 0.99), ("sf0.01", 9000, 0.99), ("sf0.1", 1 << 22, 0.95)])
+def test_document_frequencies(spark, monkeypatch, table, size, least):
+    """Exact for every shingle, whatever the segments; weights go with the logarithm of the inverse frequency at every size of the corpus."""
+    monkeypatch.setattr(near_dedup, "SEGMENT_CHARS", size)
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    rows = near_dedup.nodes(docs).filter("node is not null")
+    segments = durable(rows.select("text", "node").mapInArrow(near_dedup.make_segments, near_dedup.SEGMENT))
+    texts = [t for _, t in texts_of(docs) if WORD.search(t)]
+    keys, true = np.unique(np.concatenate([near_dedup.shingle_counts([t])[1] for t in texts]), return_counts=True)
+    assert segments.agg(F.sum(F.expr("aggregate(copies, 0L, (a, x) -> a + x)"))).first()[0] == len(texts)
+    seen = 0
+    for r in segments.join(near_dedup.document_frequencies(segments), "segment").select("texts", "answers").collect():
+        own = np.unique(near_dedup.segment_shingles(r["texts"])[1])
+        got = np.concatenate([near_dedup.stretched(a["frequencies"]) for a in r["answers"]])
+        assert np.array_equal(got, true[np.searchsorted(keys, own)])
+        seen += len(own)
+    assert seen >= len(keys)
+    weights = near_dedup.weigh(np.ones(len(true)), true, len(texts))
+    assert weights.min() >= 1 and weights.max() <= 1 + near_dedup.IDF_SHARE and np.corrcoef(weights, np.log(len(texts) / true))[0, 1] > least
+
+
+def test_long_texts_weigh_alike(spark):
+    """Texts of over 10,000 characters follow the same rule."""
+    docs = spark.createDataFrame([(k, " ".join([*words(40, 1), *words(2500, 50 + k)])) for k in range(30)], "doc_id long, text string")
+    rows = near_dedup.nodes(docs)
+    segments = durable(rows.select("text", "node").mapInArrow(near_dedup.make_segments, near_dedup.SEGMENT))
+    one = segments.join(near_dedup.document_frequencies(segments), "segment").select("texts", "answers").first()
+    got = Counter(np.concatenate([near_dedup.stretched(a["frequencies"]) for a in one["answers"]]).tolist())
+    assert min(len(t) for t in one["texts"]) > 10_000 and got[30] >= 36 and got[1] > 400
 
 
 def test_near_classes_of_a_table(spark):
-    """Classes of a driver table against all pairs of its distinct texts that share a shingle."""
+    """Classes of a driver table against all pairs of its distinct texts that share a shingle, by the true frequencies; exact or not."""
     table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = texts_of(table)
+    of_text = Counter(t for _, t in rows)
     texts = sorted({t for _, t in rows if WORD.search(t)})
-    vectors = near_dedup.vectors_of(texts, near_dedup.inverse_frequencies(near_dedup.nodes(table)))
+    vectors = true_vectors(texts, of_text)
     keys, owner = np.concatenate([k for k, _ in vectors]), np.repeat(np.arange(len(vectors)), [len(k) for k, _ in vectors])
     order = np.lexsort((owner, keys))
     pairs, begin = set(), np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0, [True]]))
@@ -446,12 +478,19 @@ def test_near_classes_of_a_table(spark):
         own = owner[order[a:b]].tolist()
         pairs.update((x, y) for n, y in enumerate(own) for x in own[:n])
     links = [(texts[x], texts[y]) for x, y in pairs if near_dedup.weighted_jaccard(vectors[x], vectors[y]) >= 0.8]
-    of = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table).collect()}
+    got = near_dedup.near_classes(table).collect()
+    of = {r["doc_id"]: r["class_id"] for r in got}
+    exact = near_dedup.near_classes(table, exact=True).collect()
+    assert {r["doc_id"]: r["class_id"] for r in exact} == of
     by_text: dict = {}
     for key, t in rows:
         by_text.setdefault(t, set()).add(of[key])
     assert all(len(by_text[t]) == 1 for t in texts)  # copies
     assert len(links) > 30 and sum(by_text[x] == by_text[y] for x, y in links) >= 0.95 * len(links)
+    true_n = Counter(t for pair in links for t in pair)
+    text_of = dict(rows)
+    assert all(r["n_links"] <= true_n[text_of[r["doc_id"]]] for r in exact)
+    assert sum(r["n_links"] == true_n[text_of[r["doc_id"]]] for r in exact) >= 0.999 * len(exact)
     root = {t: t for t in texts}
     for x, y in links:
         a, b = root[x], root[y]
