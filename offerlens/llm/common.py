@@ -187,7 +187,7 @@ class HashArray:
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 for what is not there), and whether it is there."""
-        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        out, found = np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
         place = (keys >> U64(64 - self.bits)).astype(np.int64)
         at, end = self.start[place], self.start[place + 1]
         which = np.flatnonzero(at < end)

@@ -1,16 +1,19 @@
 """Quality rules: base rules on words and lines, and perplexity bands from a modified Kneser-Ney character model.
 
-Model. One a language, over real code points: Spark counts the ORDER-grams of every text of the corpus (a partial sum in each
-task, then a grouped sum), and derives from them, as joins and grouped sums over the distinct grams, the continuation counts of
+Model. One a language, over real code points: Spark counts the ORDER-grams of every distinct text of a language (a partial sum in each
+task, then a grouped sum), so that a text's copies neither make it likelier nor move the bands, and derives from them, as joins and grouped sums over the distinct grams, the continuation counts of
 the lower orders, three discounts a language and order from the counts of counts, and interpolated probabilities. Nothing is
 folded, capped or sampled: the table of grams grows with the corpus and stays in Spark. Its file is sorted by the grams' 64-bit
 hashes.
 
-Scoring. The HEAD_GRAMS most frequent grams at most are broadcast as sorted hash arrays (12 bytes a gram), searched from a
+Copies. Rows get a number and are written once. By language and digest the least number stands for all copies; the numbers of the
+others are broadcast up to BROADCAST_COPIES, beyond that the rows to count are found by a join. The plan differs, not the result.
+
+Scoring. The HEAD_GRAMS most frequent grams at most are broadcast as sorted hash arrays (16 bytes a gram), searched from a
 directory over the hashes' leading bits. A text's other grams leave the task as (hash, count) lists and meet the table in a
 join on the hash, so that every gram of every text is scored by the whole model, whatever its size.
 
-Bands. The mean log perplexity a character of every text goes into a histogram by language (bins of 0.005); its quartiles
+Bands. The mean log perplexity a character of every distinct text that passes the base rules goes into a histogram by language (bins of 0.005); its quartiles
 give median and spread, and a text is rejected below median - LOWER * spread or above median + UPPER * spread.
 
 Cases. Null and empty texts have no words and fail the base rules; a null language counts as ''. Very long texts are scored
@@ -24,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ LOWER, UPPER, LEAST_SPREAD = 4.0, 3.0, 0.03
 BIN = 0.005
 #: Rows a language (discounts, bands) are broadcast up to so many languages; more are joined by a shuffle. The plan differs, not the result.
 BROADCAST_LANGUAGES = 10_000
+#: Numbers of copied rows that are broadcast at most (8 bytes each).
+BROADCAST_COPIES = 1 << 22
 
 GRAMS = "lang string, hi long, lo long, n long"
 FEATURES = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_p double, tail array<long>, tail_n array<int>"
@@ -112,23 +116,44 @@ class Gathered:
             self.keys, self.hi, self.lo, self.n = (np.concatenate(x)[order] for x in parts)
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """GRAMS of the task, each gram about once."""
-    held: dict[str, Gathered] = {}
+def gram_counter(copies=None):
+    """mapInArrow function over (row, text, lang) to GRAMS of the task, each gram about once. copies: a broadcast ascending array of rows that don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Gathered] = {}
+
+        def put() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(own.n), np.int64))), pa.array(own.hi), pa.array(own.lo), pa.array(own.n)], ["lang", "hi", "lo", "n"])
+            held.clear()
 
-    def put() -> Iterator[pa.RecordBatch]:
-        for lang, own in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(own.n), np.int64))), pa.array(own.hi), pa.array(own.lo), pa.array(own.n)], ["lang", "hi", "lo", "n"])
-        held.clear()
+        for batch in portions(batches):
+            if copies is not None and len(copies.value):
+                rows = batch.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(copies.value, rows), len(copies.value) - 1)
+                batch = batch.filter(pa.array(copies.value[at] != rows))
+            texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for lang, which in by_language(texts, langs):
+                hi, lo, _ = text_grams([texts[k] for k in which])
+                held.setdefault(lang, Gathered()).add(gram_hashes(hi, lo, lang), hi, lo)
+            if sum(len(x.n) for x in held.values()) > GATHERED:
+                yield from put()
+        yield from put()
 
-    for batch in portions(batches):
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, which in by_language(texts, langs):
-            hi, lo, _ = text_grams([texts[k] for k in which])
-            held.setdefault(lang, Gathered()).add(gram_hashes(hi, lo, lang), hi, lo)
-        if sum(len(x.n) for x in held.values()) > GATHERED:
-            yield from put()
-    yield from put()
+    return run
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text and lang of docs, written: the numbers stay the same from here on."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
+    return durable(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_column(docs), lang))
+
+
+def copied_rows(source: DataFrame) -> DataFrame:
+    """row of each copy of a text of one language but the first, written."""
+    digests = source.select("row", "lang", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    firsts = digests.groupBy("lang", "digest").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1")
+    return durable(digests.join(firsts, ["lang", "digest"]).filter("row != first").select("row"))
 
 
 def hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +173,15 @@ def few_languages(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_LANGUAGES * ORDER else rows
 
 
-def fit_model(docs: DataFrame) -> DataFrame:
-    """The ORDER-grams of all texts: lang, hi, lo, n and log_p, the log probability of the last code point after the others."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
-    counted = docs.select(text_column(docs), lang).mapInArrow(count_grams, GRAMS)
+def fit_model(source: DataFrame, copies: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
+    """The ORDER-grams of all distinct texts: lang, hi, lo, n and log_p, the log probability of the last code point after the others.
+    source, copies: of `numbered` and `copied_rows`."""
+    rows = source.select("row", "text", "lang")
+    if copies.count() <= broadcast_copies:
+        known = source.sparkSession.sparkContext.broadcast(np.sort(copies.toArrow()["row"].to_numpy()))
+        counted = rows.mapInArrow(gram_counter(known), GRAMS)
+    else:
+        counted = rows.join(copies.hint("merge"), "row", "left_anti").mapInArrow(gram_counter(), GRAMS)
     grams = {ORDER: durable(counted.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))}
     mask = lambda k: F.lit((1 << (BITS * k)) - 1)
     for k in range(ORDER - 1, 0, -1):  # of the shorter gram that is left without the first code point: after how many code points it comes
@@ -192,7 +222,7 @@ def model_head(model: DataFrame, most: int = HEAD_GRAMS) -> HashArray:
         if have > most:
             break
         least = r["size"]
-    got = model.filter(F.col("n") >= (1 << least)).select("hash", F.col("log_p").cast("float")).toArrow()
+    got = model.filter(F.col("n") >= (1 << least)).select("hash", "log_p").toArrow()
     return HashArray(got["hash"].to_numpy().view(U64), got["log_p"].to_numpy())
 
 
@@ -227,12 +257,11 @@ def duplicate_lines(text: str) -> int:
 
 
 def scorer(model):
-    """mapInArrow function over (doc_id, text, lang) to FEATURES; model: a broadcast HashArray. log_p is of the grams in it, tail has the others."""
+    """mapInArrow function over (row, doc_id, text, lang) to FEATURES; model: a broadcast HashArray. log_p is of the grams in it, tail has the others."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in portions(batches):
-            ids, texts, langs = (batch.column(k).to_pylist() for k in range(3))
+            texts, langs = (batch.column(k).to_pylist() for k in (2, 3))
             n = len(texts)
             features, log_p, tails = np.zeros((6, n), np.int64), np.zeros(n), [([], [])] * n
             for a, b in chunks(texts):
@@ -247,31 +276,30 @@ def scorer(model):
                 hi, lo, begin = text_grams([texts[k] for k in which])
                 keys = gram_hashes(hi, lo, lang)
                 value, known = model.value.get(keys)
-                log_p[which] = np.add.reduceat(value.astype(np.float64), begin[:-1])
+                log_p[which] = np.add.reduceat(value, begin[:-1])
                 features[5, which] = np.diff(begin)
                 rest = np.flatnonzero(~known)
                 for k, own in zip(*(x.tolist() for x in np.unique(np.searchsorted(begin, rest, "right") - 1, return_index=True)), strict=True):
                     own = keys[rest[own : np.searchsorted(rest, begin[k + 1])]]
                     tails[which[k]] = tuple(x.tolist() for x in np.unique(own.view(np.int64), return_counts=True))
-            columns = [pa.array(np.arange(row, row + n)), pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *map(pa.array, features), pa.array(log_p), pa.array([t[0] for t in tails], pa.list_(pa.int64())), pa.array([t[1] for t in tails], pa.list_(pa.int32()))]
-            row += n
+            columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), *map(pa.array, features), pa.array(log_p), pa.array([t[0] for t in tails], pa.list_(pa.int64())), pa.array([t[1] for t in tails], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FEATURES.split(", ")])
 
     return score
 
 
 def log_perplexities(source: DataFrame, model: DataFrame, most: int = HEAD_GRAMS) -> DataFrame:
-    """Features and log_perplexity of source's rows (doc_id, text, lang); the model's table must be written."""
+    """Features and log_perplexity of source's rows (row, doc_id, text, lang); the model's table must be written."""
     head = source.sparkSession.sparkContext.broadcast(model_head(model, most))
     scored = durable(source.mapInArrow(scorer(head), FEATURES))
     tail = scored.filter(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("hash"), F.col("t.tail_n").alias("times"))
     rest = tail.join(model.select("hash", "log_p"), "hash").groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("tail_log_p"))
     joined = scored.drop("tail", "tail_n").join(rest, "row", "left")
-    return joined.withColumn("log_perplexity", -(F.col("log_p") + F.coalesce("tail_log_p", F.lit(0.0))) / F.col("n_grams")).drop("row", "log_p", "tail_log_p", "n_grams")
+    return joined.withColumn("log_perplexity", -(F.col("log_p") + F.coalesce("tail_log_p", F.lit(0.0))) / F.col("n_grams")).drop("log_p", "tail_log_p", "n_grams")
 
 
 def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
-    """lang, low, high from the histogram of all scored texts that pass the base rules; a row a language."""
+    """lang, low, high from the histogram of scored texts that pass the base rules; a row a language."""
     bins = scored.filter("not base_failed").groupBy("lang", F.floor(F.col("log_perplexity") / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     total = Window.partitionBy("lang")
     running = total.orderBy("bin")
@@ -282,13 +310,15 @@ def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Data
     return quartiles.select("lang", (F.col("q2") - lower * spread).alias("low"), (F.col("q2") + upper * spread).alias("high"))
 
 
-def judge_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, most: int = HEAD_GRAMS) -> DataFrame:
+def judge_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, most: int = HEAD_GRAMS, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
     """A row for each document: features, base_failed, log_perplexity, its language's band and kept."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    model = durable(fit_model(docs).mapInArrow(hash_grams, "hash long, n long, log_p double").repartitionByRange("hash").sortWithinPartitions("hash"))
+    source = numbered(docs)
+    copies = copied_rows(source)
+    model = durable(fit_model(source, copies, broadcast_copies).mapInArrow(hash_grams, "hash long, n long, log_p double").repartitionByRange("hash").sortWithinPartitions("hash"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = durable(log_perplexities(source, model, most).withColumn("base_failed", failed))
-    joined = scored.join(few_languages(durable(bands(scored, lower, upper))), "lang", "left")
+    distinct = scored.join(copies, "row", "left_anti")
+    joined = scored.drop("row").join(few_languages(durable(bands(distinct, lower, upper))), "lang", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return joined.withColumn("kept", kept)
 

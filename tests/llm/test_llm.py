@@ -105,7 +105,7 @@ def slow_kneser_ney(texts, order=quality_rules.ORDER):
 
 
 def slow_quality(rows):
-    """(doc_id, log perplexity, kept) of rows (doc_id, text, lang), with the bands read from a sorted list of bins."""
+    """(doc_id, log perplexity, kept) of rows (doc_id, text, lang), with the bands read from a sorted list of bins; model and bands count copies once."""
     out, fails = [], {}
     by = {}
     for n, (_, text, lang) in enumerate(rows):
@@ -113,12 +113,13 @@ def slow_quality(rows):
         f = brute_features(text or "")
         fails[n] = f[0] < 20 or 100 * f[4] > 30 * f[0]
     for own in by.values():
-        _, p = slow_kneser_ney([rows[n][1] or "" for n in own])
+        first = {rows[n][1] or "": n for n in reversed(own)}
+        _, p = slow_kneser_ney(list(first))
         value = {}
         for n in own:
             grams, _ = slow_kneser_ney([rows[n][1] or ""])
             value[n] = -sum(c * np.log(p[g]) for g, c in grams.items()) / sum(grams.values())
-        bins = sorted(int(np.floor(value[n] / quality_rules.BIN)) for n in own if not fails[n])
+        bins = sorted(int(np.floor(value[n] / quality_rules.BIN)) for n in first.values() if not fails[n])
         at = lambda q: (bins[int(np.ceil(q * len(bins))) - 1] + 0.5) * quality_rules.BIN
         for n in own:
             kept = not fails[n]
@@ -129,28 +130,42 @@ def slow_quality(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [quality_rules.HEAD_GRAMS, 300, 0])
-def test_quality_against_slow_kneser_ney(spark, odd, most):
-    """Perplexities and verdicts with the whole model broadcast, a part of it, or nothing."""
+@pytest.mark.parametrize("most, copies", [(quality_rules.HEAD_GRAMS, 1 << 22), (300, 0), (0, 1 << 22)])
+def test_quality_against_slow_kneser_ney(spark, odd, most, copies):
+    """Perplexities and verdicts with the whole model broadcast, a part of it, or nothing; copies found by a broadcast or a join."""
     rng = np.random.default_rng(5)
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in odd.collect() if len(r["text"] or "") < 10_000]
     for lang, parts in (("de", ["an", "be", "cor", "ß"]), ("es", ["el", "fo", "ñi", "日本", "🙂"])):
         rows += [(int(rng.integers(100, 999)), " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(25)), lang) for _ in range(40)]
         rows += [(k, " ".join("".join(rng.choice(list("qxzjkw79"), 6)) for _ in range(30)), lang) for k in range(2)]
+        rows += [(900 + k, rows[-5][1], lang) for k in range(9)]
     docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, lang string, hash string, row int")
-    got = [(r["doc_id"], round(r["log_perplexity"], 9), r["kept"]) for r in quality_rules.judge_quality(docs, most=most).collect()]
+    got = [(r["doc_id"], r["log_perplexity"], r["kept"]) for r in quality_rules.judge_quality(docs, most=most, broadcast_copies=copies).collect()]
     want = slow_quality(rows)
-    near = lambda x: sorted((str(a), round(b, 6), c) for a, b, c in x)
-    assert near(got) == near(want) and {c for _, _, c in want} == {True, False}
+    got, want = (sorted(x, key=lambda r: (str(r[0]), r[1])) for x in (got, want))
+    assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in want] and {r[2] for r in want} == {True, False}
+    assert max(abs(x[1] - y[1]) for x, y in zip(got, want, strict=True)) < 2e-9
 
 
 def test_kneser_ney_leaves_room(spark):
     """The probabilities of the signs that come after a context make one at most: the rest is left for unseen ones."""
     docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "a dog", "en"), (3, "", "en"), (4, "the hat", "de")], "doc_id long, text string, lang string")
-    total = quality_rules.fit_model(docs).groupBy("lang", "hi", F.shiftright("lo", quality_rules.BITS).alias("context")).agg(F.sum(F.exp("log_p")).alias("p")).collect()
+    source = quality_rules.numbered(docs)
+    total = quality_rules.fit_model(source, quality_rules.copied_rows(source)).groupBy("lang", "hi", F.shiftright("lo", quality_rules.BITS).alias("context")).agg(F.sum(F.exp("log_p")).alias("p")).collect()
     assert all(0 < r["p"] <= 1 + 1e-9 for r in total) and {r["lang"] for r in total} == {"en", "de"}
 
 
+def test_quality_of_copied_texts(spark):
+    """A hundred copies of a kept text are all kept, and no verdict or perplexity of another changes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    before = {r["doc_id"]: (r["kept"], round(r["log_perplexity"], 9)) for r in quality_rules.judge_quality(docs).collect()}
+    one = docs.join(quality_rules.judge_quality(docs).filter("kept and lang = 'en'").select("doc_id"), "doc_id").orderBy("doc_id").first()
+    copies = spark.createDataFrame([(10_000 + k // 2, one["text"], "en") for k in range(100)], docs.schema)  # ids twice, too
+    after = quality_rules.judge_quality(docs.unionByName(copies)).collect()
+    assert sum(r["doc_id"] >= 10_000 and r["kept"] for r in after) == 100
+    assert {r["doc_id"]: (r["kept"], round(r["log_perplexity"], 9)) for r in after if r["doc_id"] < 10_000} == before
+
+
 def test_quality_bands_reject_junk(spark):
     rng = np.random.default_rng(5)
     clean = [" ".join("".join(rng.choice(["an", "be", "cor", "den", "el"], rng.integers(1, 4))) for _ in range(80)) for _ in range(200)]
