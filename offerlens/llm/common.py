@@ -62,7 +62,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Deletes tables of `durable` that nothing will read again."""
+    """Deletes tables of `durable` that nothing will read again, and lets Spark delete shuffle files of jobs that are done: it does so when the driver's
+    objects that stand for them are collected, which may otherwise be long after the disks are full."""
+    with contextlib.suppress(Exception):
+        SparkSession.active()._jvm.System.gc()
     for df in frames:
         if path := getattr(df, "_durable", None):
             remove(df.sparkSession, path)

@@ -9,7 +9,7 @@ both whole texts is THRESHOLD or more; classes are the connected components of t
 DRAW_BITS bits of a shingle's hash: of shingles that share a draw and a weight the one with the smaller hash is taken, in every text
 alike, so that in texts of over 2**DRAW_BITS shingles such shingles stand for each other; what is a link is decided without draws.
 
-Document frequencies are exact, of every shingle and over all documents. Texts lie in segments of about SEGMENT_CHARS characters, a row
+Document frequencies are exact, of every shingle and over all documents. Texts lie in segments of about SEGMENT_BYTES, a compressed row
 each. A segment sends each range of the hashes one packed block of its shingles (5 bytes a distinct one); a task sums up its range's
 blocks and answers each with the frequencies of just its shingles, in a byte or less, and the answers meet the segment's texts again.
 Nothing is broadcast or collected but counts.
@@ -19,7 +19,7 @@ all pairs are candidates. A larger one links each node to three leaders, and to
 a second bucket too. After the components are known, what is left there are pairs of nodes in different components: the
 nodes outside the bucket's main component meet all others, block by block, and a task compares those whose samples agree about
 as often as the threshold asks until it has joined their components, so that no class is torn by a bucket's size. Blocks hold about
-BLOCK nodes and BLOCK_CHARS characters. With exact=True every pair of a larger bucket is compared, block by block, whatever its samples
+BLOCK nodes and BLOCK_BYTES of compressed texts. With exact=True every pair of a larger bucket is compared, block by block, whatever its samples
 or components; classes come out the same, and `n_links`, the number of different texts that a document's text has links to, is complete:
 otherwise it counts the links that the classes needed.
 
@@ -46,22 +46,22 @@ BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 #: What a shingle of one document weighs more than one of all documents.
 IDF_SHARE = 0.5
-#: Characters of a segment, about; hash ranges for each shuffle partition.
-SEGMENT_CHARS, RANGES_EACH = 1 << 22, 2
+#: Bytes of a segment's texts, about; hash ranges for each shuffle partition.
+SEGMENT_BYTES, RANGES_EACH = 1 << 22, 2
 #: Nodes of a bucket whose pairs are all compared at once.
 ALL_PAIRS = 12
 #: Samples of two texts that must agree before a pair left over in a large bucket is compared: with a similarity of THRESHOLD
 #: SAMPLES * THRESHOLD = 32 agree on average, and fewer than these less often than once in 10**9; the bands themselves miss one in 200.
 LEAST_AGREED = 16
-#: Nodes and characters of a block of a large bucket, about.
-BLOCK, BLOCK_CHARS = 64, 1 << 20
+#: Nodes and bytes of a block of a large bucket, about.
+BLOCK, BLOCK_BYTES = 64, 1 << 19
 #: Draws a hash function chooses from.
 DRAW_BITS = 16
 NO_ID = (1 << 63) - 1
 F32 = np.float32
 
-SEGMENT = "segment long, nodes array<binary>, copies array<int>, texts array<string>"
-SIGNED = "node binary, band int, bucket long, sketch array<smallint>, text string, frequencies binary"
+SEGMENT = "segment long, nodes array<binary>, copies array<int>, lengths array<int>, texts binary"
+SIGNED = "node binary, band int, bucket long, sketch array<smallint>, text binary, frequencies binary"
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -91,26 +91,32 @@ def shingle_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def make_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SEGMENT rows of (text, node): each text of a segment once, and how many documents have it there."""
     number, held, size = TaskContext.get().partitionId() << 33, {}, 0
+    squeeze = zstandard.ZstdCompressor(level=3)
 
     def put() -> pa.RecordBatch:
-        rows = [list(held), [x[1] for x in held.values()], [x[0] for x in held.values()]]
-        types = [pa.binary(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([r], pa.list_(t)) for r, t in zip(rows, types, strict=True))], ["segment", "nodes", "copies", "texts"])
+        columns = [([*held], pa.list_(pa.binary())), ([x[1] for x in held.values()], pa.list_(pa.int32())), ([len(x[0]) for x in held.values()], pa.list_(pa.int32())), (squeeze.compress(b"".join(x[0] for x in held.values())), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c], t) for c, t in columns)], [c.split()[0] for c in SEGMENT.split(", ")])
 
     for batch in portions(batches):
         for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if node in held:
                 held[node][1] += 1
                 continue
-            if held and size + len(text) > SEGMENT_CHARS:
+            raw = text.encode("utf-8", "surrogatepass")
+            if held and size + len(raw) > SEGMENT_BYTES:
                 yield put()
                 number, held, size = number + 1, {}, 0
-            held[node] = [text, 1]
-            size += len(text)
+            held[node] = [raw, 1]
+            size += len(raw)
     if held:
         yield put()
 
 
+def texts_of_segment(lengths: list[int], texts: bytes) -> list[str]:
+    raw, edges = zstandard.ZstdDecompressor().decompress(texts), np.cumsum([0, *lengths]).tolist()
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def segment_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`shingle_counts` of any number of texts, in chunks of bounded size."""
     parts = []
@@ -121,13 +127,13 @@ def segment_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def count_shingles(ranges: int):
-    """mapInArrow function over (segment, copies, texts) to (segment, range, block): a segment's shingles by range of the hash, with the documents that have them."""
+    """mapInArrow function over (segment, copies, lengths, texts) to (segment, range, block): a segment's shingles by range of the hash, with the documents that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                segment, copies, texts = (batch.column(c)[k].as_py() for c in range(3))
-                doc, grams, _ = segment_shingles(texts)
+                segment, copies, lengths, texts = (batch.column(c)[k].as_py() for c in range(4))
+                doc, grams, _ = segment_shingles(texts_of_segment(lengths, texts))
                 order = np.argsort(grams, kind="stable")
                 grams, n = grams[order], np.array(copies, np.int64)[doc[order]]
                 begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
@@ -171,7 +177,7 @@ def answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def document_frequencies(segments: DataFrame) -> DataFrame:
     """segment and answers: the frequencies of its distinct shingles, by range and then by hash. segments must be written."""
     ranges = RANGES_EACH * partitions_for(segments)
-    blocks = segments.select("segment", "copies", "texts").mapInArrow(count_shingles(ranges), "segment long, range int, block binary").repartitionById(ranges, F.col("range"))  # a task a range
+    blocks = segments.select("segment", "copies", "lengths", "texts").mapInArrow(count_shingles(ranges), "segment long, range int, block binary").repartitionById(ranges, F.col("range"))  # a task a range
     answers = blocks.mapInArrow(answer_blocks, "segment long, range int, frequencies binary")
     return answers.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("range", "frequencies"))).alias("answers"))  # a few bytes a shingle of one segment
 
@@ -218,16 +224,20 @@ class Sampler:
 
 
 def signer(documents: int):
-    """mapInArrow function over (nodes, texts, answers) of segments to SIGNED: a row a band, and one of band -1 with sketch, text and frequencies."""
+    """mapInArrow function over (nodes, lengths, texts, answers) of segments to SIGNED: a row a band, and one of band -1 with sketch, text and frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, names = Sampler(), [c.split()[0] for c in SIGNED.split(", ")]
+        sampler, names, squeeze = Sampler(), [c.split()[0] for c in SIGNED.split(", ")], zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in range(batch.num_rows):
-                nodes_, texts, answers = (batch.column(c)[row].as_py() for c in range(3))
+                nodes_, lengths, texts, answers = (batch.column(c)[row].as_py() for c in range(4))
+                texts = texts_of_segment(lengths, texts)
                 doc, grams, count = segment_shingles(texts)
                 known = np.concatenate([stretched(a["frequencies"]) for a in answers])
-                frequency = known[np.searchsorted(np.unique(grams), grams)]
+                order = np.argsort(grams, kind="stable")
+                number = np.cumsum(np.concatenate([[False], np.diff(grams[order]) != 0])[: len(grams)])
+                frequency = np.empty(len(grams), np.int64)
+                frequency[order] = known[number]
                 edges = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for a, b in chunks(texts):
                     own = slice(edges[a], edges[b])
@@ -236,12 +246,12 @@ def signer(documents: int):
                     keys = pa.array([nodes_[k] for k in which.tolist()], pa.binary())
                     rows = keys.take(pa.array(np.repeat(np.arange(n), BANDS)))
                     band = np.tile(np.arange(BANDS, dtype=np.int32), n)
-                    nothing = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int16()), pa.string(), pa.binary())]
+                    nothing = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int16()), pa.binary(), pa.binary())]
                     yield pa.RecordBatch.from_arrays([rows, pa.array(band), pa.array(sampler.bands(samples).ravel()), *nothing], names)
                     # the sketch has 16 bits of each sample
                     sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SAMPLES), pa.array((samples >> U64(48)).astype(np.uint16).view(np.int16).ravel()))
                     held = [squeezed(frequency[edges[k] : edges[k + 1]]) for k in which.tolist()]
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int64)), sketch, pa.array([texts[k] for k in which.tolist()], pa.string()), pa.array(held, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int64)), sketch, pa.array([squeeze.compress(texts[k].encode("utf-8", "surrogatepass")) for k in which.tolist()], pa.binary()), pa.array(held, pa.binary())], names)
         trim()
 
     return run
@@ -260,9 +270,10 @@ def is_link(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return weighted_jaccard(a, b) >= THRESHOLD - 1e-12
 
 
-def vectors_of(texts: list[str], frequencies: list[bytes], documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and weights of each text's shingles."""
-    doc, grams, count = segment_shingles(texts)
+def vectors_of(texts: list[bytes], frequencies: list[bytes], documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and weights of the shingles of each compressed text."""
+    stretch = zstandard.ZstdDecompressor()
+    doc, grams, count = segment_shingles([stretch.decompress(t).decode("utf-8", "surrogatepass") for t in texts])
     known = np.concatenate([*map(stretched, frequencies)]) if frequencies else np.zeros(0, np.int64)
     weights = weigh(count, known, documents)
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -358,9 +369,11 @@ def links(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame, D
     rows = nodes(docs)
     segments = durable(rows.filter("node is not null").select("text", "node").mapInArrow(make_segments, SEGMENT))
     documents = segments.agg(F.sum(F.aggregate("copies", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
-    answered = segments.join(document_frequencies(segments), "segment").select("nodes", "texts", "answers")
+    answers = durable(document_frequencies(segments))
+    forget()
+    answered = segments.join(answers, "segment").select("nodes", "lengths", "texts", "answers")
     signed = durable(answered.mapInArrow(signer(documents), SIGNED))
-    forget(segments)
+    forget(segments, answers)
     signatures = durable(signed.filter("band >= 0").select("node", "band", "bucket").distinct())
     lead = [F.min("node").alias("l1"), F.max("node").alias("l2"), F.min_by("node", F.xxhash64("node")).alias("l3")]
     buckets = durable(signatures.groupBy("band", "bucket").agg(F.count("*").alias("n"), *lead).filter("n > 1"))
@@ -388,7 +401,7 @@ def links(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame, D
     if mixed.take(1):
         own_bands = signatures.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "bucket"))), lambda x: x["bucket"]).alias("bands"))
         left = durable(open_rows.join(mixed, ["band", "bucket"]).join(texts, "node").join(own_bands, "node"))
-        blocks = left.groupBy("band", "bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).alias("blocks"))
+        blocks = left.groupBy("band", "bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
         left = left.join(blocks, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         gathered = F.collect_list(F.struct("node", "root", "sketch", "text", "frequencies", "bands"))
         every = left.groupBy("band", "bucket", "block").agg(gathered.alias("every"))

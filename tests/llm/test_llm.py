@@ -426,7 +426,7 @@ def test_near_classes_of_a_drifting_group(spark, monkeypatch):
     """A large bucket whose texts are alike only step by step: classes equal those of all pairs; with exact=True so do the links' numbers."""
     monkeypatch.setattr(near_dedup, "ALL_PAIRS", 4)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "BLOCK_CHARS", 9000)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 9000)
     rng, own, rows = np.random.default_rng(2), words(150, 9), []
     for k in range(60):
         rows.append((k, " ".join(own)))
@@ -451,7 +451,7 @@ def test_near_classes_of_a_drifting_group(spark, monkeypatch):
 @pytest.mark.parametrize("table, size, least", [("sf0.01", 1 << 22, 0.99), ("sf0.01", 9000, 0.99), ("sf0.1", 1 << 22, 0.95)])
 def test_document_frequencies(spark, monkeypatch, table, size, least):
     """Exact for every shingle, whatever the segments; weights go with the logarithm of the inverse frequency at every size of the corpus."""
-    monkeypatch.setattr(near_dedup, "SEGMENT_CHARS", size)
+    monkeypatch.setattr(near_dedup, "SEGMENT_BYTES", size)
     docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
     rows = near_dedup.nodes(docs).filter("node is not null")
     segments = durable(rows.select("text", "node").mapInArrow(near_dedup.make_segments, near_dedup.SEGMENT))
@@ -459,8 +459,8 @@ def test_document_frequencies(spark, monkeypatch, table, size, least):
     keys, true = np.unique(np.concatenate([near_dedup.shingle_counts([t])[1] for t in texts]), return_counts=True)
     assert segments.agg(F.sum(F.expr("aggregate(copies, 0L, (a, x) -> a + x)"))).first()[0] == len(texts)
     seen = 0
-    for r in segments.join(near_dedup.document_frequencies(segments), "segment").select("texts", "answers").collect():
-        own = np.unique(near_dedup.segment_shingles(r["texts"])[1])
+    for r in segments.join(near_dedup.document_frequencies(segments), "segment").select("lengths", "texts", "answers").collect():
+        own = np.unique(near_dedup.segment_shingles(near_dedup.texts_of_segment(r["lengths"], r["texts"]))[1])
         got = np.concatenate([near_dedup.stretched(a["frequencies"]) for a in r["answers"]])
         assert np.array_equal(got, true[np.searchsorted(keys, own)])
         seen += len(own)
@@ -474,9 +474,9 @@ def test_long_texts_weigh_alike(spark):
     docs = spark.createDataFrame([(k, " ".join([*words(40, 1), *words(2500, 50 + k)])) for k in range(30)], "doc_id long, text string")
     rows = near_dedup.nodes(docs)
     segments = durable(rows.select("text", "node").mapInArrow(near_dedup.make_segments, near_dedup.SEGMENT))
-    one = segments.join(near_dedup.document_frequencies(segments), "segment").select("texts", "answers").first()
+    one = segments.join(near_dedup.document_frequencies(segments), "segment").select("lengths", "answers").first()
     got = Counter(np.concatenate([near_dedup.stretched(a["frequencies"]) for a in one["answers"]]).tolist())
-    assert min(len(t) for t in one["texts"]) > 10_000 and got[30] >= 36 and got[1] > 400
+    assert min(one["lengths"]) > 10_000 and got[30] >= 36 and got[1] > 400
 
 
 def test_near_classes_of_a_table(spark):
