@@ -12,9 +12,15 @@ from offerlens.functions.text import currency_of, locale_number, numbers_in
 
 
 def amount_forms(amount: Column) -> Column:
-    """A whole amount as it may be written: plain, or grouped by comma, dot or space."""
-    grouped = F.format_number(amount.cast("long"), 0)
-    return F.array(amount.cast("long").cast("string"), grouped, F.translate(grouped, ",", "."), F.translate(grouped, ",", " "))
+    """An amount as it may be written: its whole part plain, or grouped by comma, dot or space, and its cents. Whole amounts may bear
+    two zeros; cents that end in zero may lack it."""
+    cents = F.round(amount * 100).cast("long")
+    whole, rest = F.floor(cents / 100).cast("long"), (cents % 100).cast("long")
+    grouped = F.format_number(whole, 0)
+    wholes = F.array(whole.cast("string"), grouped, F.translate(grouped, ",", "."), F.translate(grouped, ",", " "))
+    two = F.lpad(rest.cast("string"), 2, "0")
+    ends = F.when(rest == 0, F.array(F.lit(""), F.lit(".00"), F.lit(",00"))).when(rest % 10 == 0, F.array(*(F.concat(F.lit(m), x) for m in ".," for x in (two, F.substring(two, 1, 1))))).otherwise(F.array(*(F.concat(F.lit(m), two) for m in ".,")))
+    return F.array_distinct(F.flatten(F.transform(wholes, lambda w: F.transform(ends, lambda e: F.concat(w, e)))))
 
 
 def literally_in(source: Column, amount: Column) -> Column:
@@ -45,10 +51,25 @@ def signals(text: Column, vocabulary: Sequence[tuple[str, str]]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(text, F.lit(word)), F.lit(name)) for word, name in vocabulary))))
 
 
-def relation(found: Column, wanted: Column, market: Column, extra: Column) -> Column:
-    """Relation of a label's signals to the wanted one: the first rule that holds."""
+def relation(found: Column, wanted: Column, market: Column, extra: Column, part: Column | None = None, witness: Column | None = None) -> Column:
+    """Relation of a label's signals to the wanted one: the first rule that holds.
+
+    part: the label names a quantity, a brand or an area, as a variant of the wanted treatment does. witness: another row of the page
+    has the wanted signal; beside it a row that names a part and no signal of its own is a variant, too."""
     has = F.array_contains(found, wanted)
-    return F.coalesce(first_reason([("market", market), ("add_on", has & extra), ("bundle", has & (F.size(found) > 1)), ("exact", has), ("ambiguous", F.size(found) == 0)]), F.lit("different"))
+    part, witness = (F.coalesce(c, F.lit(False)) if c is not None else F.lit(False) for c in (part, witness))
+    lone = F.size(found) == 0
+    rules = [("market", market), ("add_on", has & extra), ("bundle", has & (F.size(found) > 1)), ("variant", has & part), ("exact", has), ("variant", lone & part & witness), ("ambiguous", lone)]
+    return F.coalesce(first_reason(rules), F.lit("different"))
+
+
+def shares_block(block: Column, label: Column, amount: Column, least: int = 4) -> Column:
+    """Whether one block of a page holds both: the amount as it may be written, and the label or one of its words of `least` characters
+    or more (a label of short words alone asks for the amount only; an empty one holds nowhere)."""
+    text, name = F.lower(block), F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    words = F.filter(F.split(name, r"[^\p{L}\d]+"), lambda w: F.length(w) >= least)
+    named = F.contains(text, name) | (F.size(words) == 0) | F.exists(words, lambda w: F.contains(text, w))
+    return literally_in(block, amount) & (name != "") & F.coalesce(named, F.lit(False))
 
 
 def date_failure(text: Column, now: Column) -> Column:
@@ -118,12 +139,27 @@ def currency_near(text: Column, symbols: list[tuple[str, str]], window: int = 28
     return F.coalesce(F.when(at > 0, currency_of(near, symbols)), currency_of(text, symbols))
 
 
-def url_score(url: Column, procedure: Sequence[str], price: Sequence[str], service: Sequence[str], treatment: Sequence[str], city: Sequence[str] = ()) -> Column:
-    """How likely a url's page holds a price: 3 for a price word in it, 2 for a service word, 1 for a treatment word (the best counts), a
-    document at least 3, 1 more for each word of the procedure, 4 for the city; a blog's page at most 1, a booking page at most 2."""
-    tokens = F.split(F.lower(url), "[^a-z0-9]+")
+#: Path words of pages that hold no prices, of lists of prices, of booking pages, of copy about prices, and of offers.
+NO_PAGE = ("author", "feed", "login", "tag", "wp-admin", "wp-login")
+PRICE_PAGES, BOOKING_PAGES = ("fees", "price-list", "pricelist", "prices", "tariff"), ("appointment", "book", "booking", "book-now", "book-online")
+COPY_PAGES, OFFER_PAGES = ("article", "blog", "faq", "guide", "guides", "news"), ("deals", "offers", "promotions", "special-offers")
+
+
+def url_score(url: Column, procedure: Sequence[str], price: Sequence[str], service: Sequence[str], treatment: Sequence[str], city: Sequence[str] = (), other_cities: Sequence[str] = (), other_treatments: Sequence[str] = ()) -> Column:
+    """How likely a url's page holds a price, by the words of its path; a null url scores 0.
+
+    First what scores 0: mail and phone links, pictures, pages of the site's own machinery, another city's page (unless it names the own
+    one, too) and another treatment's (likewise). Then 3 for a price word, 2 for a service word, 1 for a treatment word (the best
+    counts), a document at least 3, and 1 more for each word of the procedure. A price list scores at least 5, a booking page at least 4,
+    a page of copy or offers at most 1: the first of these that fits. The city adds 4."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    path = F.regexp_extract(u, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    segments, tokens = F.split(F.regexp_replace(path, r"\.[a-z]+$", ""), "/"), F.split(path, "[^a-z0-9]+")
     has = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, words))) if words else F.lit(False)
+    segment = lambda words: F.arrays_overlap(segments, F.array(*map(F.lit, words)))
+    none = (u == "") | u.rlike(r"^(?:mailto|tel):") | path.rlike(r"\.(?:gif|ico|jpe?g|png|svg|webp)$") | segment(NO_PAGE) | (has(other_cities) & ~has(city)) | (has(other_treatments) & ~has(procedure))
     base = F.when(has(price), 3).when(has(service), 2).when(has(treatment), 1).otherwise(0)
-    base = F.greatest(base, F.when(F.lower(url).rlike(r"\.pdf(?:$|[?#])"), 3).otherwise(0)) + F.size(F.array_intersect(tokens, F.array(*map(F.lit, procedure))))
-    base = F.when(has(["blog", "news", "article"]), F.least(base, F.lit(1))).when(has(["booking", "book", "appointment"]), F.least(base, F.lit(2))).otherwise(base)
-    return base + F.when(has(city), 4).otherwise(0)
+    base = F.greatest(base, F.when(path.rlike(r"\.pdf$"), 3).otherwise(0)) + F.size(F.array_intersect(tokens, F.array(*map(F.lit, procedure))))
+    copy = segment(COPY_PAGES) | segment(OFFER_PAGES)
+    base = F.when(segment(PRICE_PAGES) & ~segment(OFFER_PAGES) & ~segment(BOOKING_PAGES), F.greatest(base, F.lit(5))).when(segment(BOOKING_PAGES), F.greatest(base, F.lit(4))).when(copy, F.least(base, F.lit(1))).otherwise(base)
+    return F.when(none, 0).otherwise(base + F.when(has(city), 4).otherwise(0))

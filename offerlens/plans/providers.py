@@ -203,14 +203,27 @@ def q126_label_units(t, spark):
     return rows.select("p_partkey", got["unit"].alias("unit"), got["quantity"].alias("quantity"), evidence.currency_near(F.col("label"), symbols).alias("currency"))
 
 
-SCORES = [("https://a.example/prices/botox", 4), ("https://a.example/services", 2), ("https://a.example/treatments/botox-rome", 6), ("https://a.example/menu.pdf", 3), ("https://a.example/blog/prices", 1), ("https://a.example/book/prices", 2), ("https://a.example/", 0)]
+SCORES = ["/prices/botox", "/services", "/treatments/botox-rome", "/menu.pdf", "/blog/pricing", "/book/pricing", "/", "/booking", "/fees", "/prices.jpg", "/paris/prices", "/peels/prices", "/rome/paris/menu", "/special-offers/prices"]
 
 
-@query("WITH k(kind, score) AS (" + values([(k, r[1]) for k, r in enumerate(SCORES)]) + f") SELECT p_partkey, score FROM part JOIN k ON kind = p_partkey % {len(SCORES)}")
+@query(r"""
+WITH k(kind, path) AS (""" + values(list(enumerate(SCORES))) + r"""),
+u AS (SELECT page_id, string_split(url, '?')[1] AS base, path FROM pages JOIN k ON kind = page_id % """ + str(len(SCORES)) + r"""),
+p AS (SELECT page_id, lower(regexp_extract(string_split(base, '#')[1], '^[a-zA-Z]+://[^/?#]*(.*)$', 1) || path) AS p FROM u),
+w AS (SELECT *, regexp_split_to_array(p, '[^a-z0-9]+') AS t, string_split(regexp_replace(p, '\.[a-z]+$', ''), '/') AS s FROM p),
+b AS (SELECT *, CASE WHEN list_has_any(t, ['prices', 'pricing']) THEN 3 WHEN list_contains(t, 'services') THEN 2 WHEN list_has_any(t, ['treatments', 'en']) THEN 1 ELSE 0 END AS k, list_contains(t, 'botox') AS own,
+  list_has_any(s, ['deals', 'offers', 'promotions', 'special-offers']) AS offer, list_has_any(s, ['appointment', 'book', 'booking', 'book-now', 'book-online']) AS book FROM w),
+c AS (SELECT *, greatest(k, CASE WHEN ends_with(p, '.pdf') THEN 3 ELSE 0 END) + CAST(own AS INTEGER) AS n FROM b)
+SELECT page_id, CAST(CASE WHEN p LIKE '%.jpg' OR (list_contains(t, 'paris') AND NOT list_contains(t, 'rome')) OR (list_contains(t, 'peels') AND NOT own) THEN 0 ELSE
+  CASE WHEN list_has_any(s, ['fees', 'price-list', 'pricelist', 'prices', 'tariff']) AND NOT offer AND NOT book THEN greatest(n, 5) WHEN book THEN greatest(n, 4) WHEN offer OR list_has_any(s, ['article', 'blog', 'faq', 'guide', 'guides', 'news']) THEN least(n, 1) ELSE n END
+  + CASE WHEN list_contains(t, 'rome') THEN 4 ELSE 0 END END AS INTEGER) AS score FROM c""")
 def q127_url_score(t, spark):
-    """The score of urls by their words, with caps and the city."""
-    rows = kinds(t, spark, [r[:1] for r in SCORES], "url string")
-    return rows.select("p_partkey", evidence.url_score(F.col("url"), ["botox"], ["prices", "pricing"], ["services"], ["treatments"], ["rome"]).alias("score"))
+    """The score of the pages' urls, each with one of some paths behind it: zeros, floors, caps and the city."""
+    table = spark.createDataFrame(list(enumerate(SCORES)), "kind int, path string")
+    base = F.regexp_replace("url", r"[?#].*$", "")
+    rows = t("pages").select("page_id", base.alias("base"), F.pmod("page_id", F.lit(len(SCORES))).cast("int").alias("kind")).join(F.broadcast(table), "kind")  # a row a kind
+    score = evidence.url_score(F.concat("base", "path"), ["botox"], ["prices", "pricing"], ["services"], ["treatments", "en"], ["rome"], ["paris"], ["peels"])
+    return rows.select("page_id", score.alias("score"))
 
 
 @query("""

@@ -111,10 +111,15 @@ def q08_upsert_coalesce(t, spark):
     return resolve.coalesce_upsert(old, patch, ["c_custkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""
+SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_totalprice > 150000)
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY)""")
 def q09_anti_known(t, spark):
-    """What is not known yet."""
-    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """What is neither known (an open order of over 150,000) nor blocked (an order in the last 30 days)."""
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_totalprice", "o_orderdate")
+    last = o.agg(F.max("o_orderdate").alias("last"))
+    known, blocked = o.filter((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 150000)), o.join(F.broadcast(last), F.col("o_orderdate") > F.col("last") - F.expr("INTERVAL 30 DAYS"))  # one row
+    return t("customer").join(known, "c_custkey", "left_anti").join(blocked, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")

@@ -13,14 +13,13 @@ NOW = "timestamp_ntz'2024-01-31 00:00:00'"
 
 
 @query("""
-WITH x AS (SELECT p_partkey, CAST(p_retailprice AS BIGINT) * 10 AS a FROM part),
-l AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN 'now ' || a WHEN 1 THEN 'now ' || format('{:,}', a) WHEN 2 THEN 'now ' || replace(format('{:,}', a), ',', '.') WHEN 3 THEN 'now 7' || a ELSE 'on request' END AS label FROM x)
-SELECT p_partkey, p_partkey % 5 IN (0, 1, 2) AS locked FROM l""")
+SELECT p_partkey, p_partkey % 6 IN (0, 1, 2, 5) AS locked FROM part""")
 def q46_evidence_lock(t, spark):
-    """C4: an amount counts only if its source writes it, plainly or grouped, and not inside a longer number."""
-    a, k = F.floor(F.col("p_retailprice").cast("long") * 10), F.col("p_partkey") % 5
-    grouped = F.format_number(a, 0)
-    label = F.when(k == 0, F.concat(F.lit("now "), a.cast("string"))).when(k == 1, F.concat(F.lit("now "), grouped)).when(k == 2, F.concat(F.lit("now "), F.translate(grouped, ",", "."))).when(k == 3, F.concat(F.lit("now 7"), a.cast("string"))).otherwise("on request")
+    """C4: an amount counts only if its source writes it, cents and all, plainly or grouped, and not inside a longer number."""
+    a, k = F.round(F.col("p_retailprice") * 10 + 0.07, 2), F.col("p_partkey") % 6
+    plain, grouped = F.format_string("%.2f", a), F.format_number(a, 2)
+    now = lambda x: F.concat(F.lit("now "), x)
+    label = F.when(k == 0, now(plain)).when(k == 1, now(grouped)).when(k == 2, now(F.translate(grouped, ",.", ".,"))).when(k == 3, F.concat(F.lit("now 7"), plain)).when(k == 4, now(F.floor(a).cast("string"))).otherwise(F.concat(F.translate(plain, ".", ","), F.lit(" EUR")))
     return t("part").select("p_partkey", evidence.literally_in(label, a).alias("locked"))
 
 
@@ -179,10 +178,10 @@ def q60_one_per_category(t, spark):
 
 
 @query("""
-WITH a AS (SELECT lower(p_name) AS alias, p_brand FROM part) SELECT alias, min(p_brand) AS owner FROM a GROUP BY alias HAVING count(DISTINCT p_brand) = 1""")
+WITH a AS (SELECT lower(p_name) || ' ' || p_size || ' ' || lower(p_type) AS alias, p_brand FROM part) SELECT alias, min(p_brand) AS owner FROM a GROUP BY alias HAVING count(DISTINCT p_brand) = 1""")
 def q61_alias_inversion(t, spark):
     """An alias that one owner alone has; tested as min = max."""
-    return t("part").groupBy(F.lower("p_name").alias("alias")).agg(F.min("p_brand").alias("owner"), F.max("p_brand").alias("last")).filter("owner = last").select("alias", "owner")
+    return t("part").groupBy(F.concat_ws(" ", F.lower("p_name"), "p_size", F.lower("p_type")).alias("alias")).agg(F.min("p_brand").alias("owner"), F.max("p_brand").alias("last")).filter("owner = last").select("alias", "owner")
 
 
 @query("""

@@ -9,6 +9,7 @@ from offerlens.functions import matching, sanity, text
 from offerlens.operators import rank, resolve
 from offerlens.plans.catalog import query
 
+LATE_RULES = [("other_technique", r"\bhair\b", r"\bstrip\b", "")]
 FAMILY_RULES = [("hair_adjunct", r"\bhair\b", r"\b(?:prp|minoxidil)\b", r"\btransplant\b"), ("partial_treatment", r"\bnose\b", r"\btip only\b", r"\bprimary\b")]
 #: price text, text around, label, url, method, requested, amount (None: the row's own, written for {a}), upper amount, currency, expected reason.
 KINDS = [
@@ -30,7 +31,7 @@ KINDS = [
     ("€{a}", "Peel €{a}", "Peel", "https://rose.example/blog/peels", "text", "peel", None, None, "EUR", "not_owned_price"),
     ("€{a}", "our price for a peel: €{a}", "Peel", "https://rose.example/blog/peels", "text", "peel", None, None, "EUR", None),
     ("€{a}", "theme preview €{a}", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", "theme_placeholder"),
-    ("from $399.99", "Peel from $399.99", "Peel", "https://rose.example/x", "table", "peel", 399.99, None, "USD", "theme_placeholder"),
+    ("from $399.95", "Peel from $399.95", "Peel", "https://rose.example/x", "table", "peel", 399.95, None, "USD", "theme_placeholder"),
     ("${a}", "Peel ${a}", "Peel", "https://rose.example.uk/x", "table", "peel", None, None, "USD", "tld_currency_mismatch"),
     ("+44 20 7946 0958", "Call +44 20 7946 0958", "Peel", "https://rose.example/x", "text", "peel", 7946.0, None, "GBP", "phone_number"),
     ("₺50000000", "Peel ₺50000000", "Peel", "https://rose.example/x", "table", "peel", 50000000.0, None, "TRY", "implausible_digits"),
@@ -53,6 +54,17 @@ KINDS = [
     ("€{a}", "elsewhere €{a}", "Peel", "https://rose.example/x", "text", "peel", None, None, "EUR", "competitor_quote"),
     ("€{a} per graft", "€{a} per graft", "Hair", "https://rose.example/x", "table", "hair", None, None, "EUR", "implausible_per_unit"),
     ("€9999", "Peel €9999", "Peel", "https://rose.example/x", "table", "peel", 9999.0, None, "EUR", "implausible_amount"),
+    ("€{a}", "flights for 2 people €{a}", "Stay", "https://rose.example/x", "table", "peel", None, None, "EUR", "travel_cost_not_procedure"),
+    ("€{a}.50", "hotel | Peel €{a}.50", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", None),
+    ("€{a}", "date:future", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", "future"), ("€{a}", "date:missing", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", "missing"),
+    ("€{a}", "date:ambiguous", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", "ambiguous"), ("€{a}", "date:invalid", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", "invalid"),
+    ("€{a}", "currency:viewer", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", "currency_provenance"),
+    ("€{a}", "patients ask: peel €{a}", "Peel", "https://rose.example/questions/7", "table", "peel", None, None, "EUR", "medical_question"),
+    ("€{a}", "Peel €{a}", "Peel", "https://www.cliniclist.example/x", "table", "peel", None, None, "EUR", "directory_or_agency_price"),
+    ("€{a}", "our price: peel €{a}", "Peel", "https://rose.example/price-in-rome", "table", "peel", None, None, "EUR", "market_information"),
+    ("€9000", "2 grafts for €9000", "Hair", "https://rose.example/x", "table", "hair", 9000.0, None, "EUR", "effective_per_graft"),
+    ("€{a}", "hair transplant by strip €{a}", "Hair", "https://rose.example/x", "table", "hair", None, None, "EUR", "other_technique"),
+    ("€{a}", "usually €{a}, our price", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", None), ("€{a}", "usually €{a}", "Peel", "https://rose.example/x", "table", "peel", None, None, "EUR", "market_average"),
 ]
 
 
@@ -70,27 +82,31 @@ def kinds_offer(t, spark):
     amount = F.coalesce("fixed", "own")
     filled = lambda c: F.replace(F.col(c), F.lit("{a}"), F.col("own").cast("long").cast("string"))
     rows = rows.select("p_partkey", amount.alias("amount"), filled("price").alias("price"), filled("text").alias("text"), "label", "url", "method", "requested", "upper", "currency")
-    offer = sanity.Offer(F.col("amount"), F.col("price"), F.col("text"), F.col("label"), F.col("currency"), F.col("url"), F.col("method"), F.col("upper"), F.col("requested"), F.lit("Rose"), F.lit(""), in_band=~F.col("amount").between(9000, 10000))
+    rows = rows.withColumn("found", sanity.places(F.col("price"), F.col("text")))
+    offer = sanity.Offer(F.col("amount"), F.col("price"), F.col("text"), F.col("label"), F.col("currency"), F.col("url"), F.col("method"), F.col("upper"), F.col("requested"), F.lit("Rose"), F.lit(""), in_band=~F.col("amount").between(9000, 10000), date_failure=F.nullif(F.regexp_extract("text", r"^date:(\w+)$", 1), F.lit("")), currency_failure=F.nullif(F.regexp_extract("text", r"^currency:(\w+)$", 1), F.lit("")), found=F.col("found"))
     return rows, offer
 
 
+POLICY = sanity.Policy(family_rules=FAMILY_RULES, late_rules=LATE_RULES, directory_hosts=["cliniclist.example"], dummies=[399.95])
+
+
 @query("WITH k(kind, reason) AS (" + values([(k, r[-1]) for k, r in enumerate(KINDS)]) + f") SELECT p_partkey, reason FROM part JOIN k ON kind = p_partkey % {len(KINDS)}")
 def q88_sanity_cascade(t, spark):
-    """The ordered cascade of reasons over texts of 41 kinds."""
+    """The ordered cascade of reasons over texts of 55 kinds."""
     rows, offer = kinds_offer(t, spark)
-    return rows.select("p_partkey", sanity.reject_reason(offer, F.col("requested") == "filler", family_rules=FAMILY_RULES).alias("reason"))
+    return rows.select("p_partkey", sanity.reject_reason(offer, F.col("requested") == "filler", POLICY).alias("reason"))
 
 
 @query("WITH k(kind, reason) AS (" + values([(k, r[-1]) for k, r in enumerate(KINDS)]) + f""")
-SELECT p_partkey, reason IS NOT NULL AND reason NOT IN ('missing_price_semantics', 'no_price_semantics') AS reselect FROM part JOIN k ON kind = p_partkey % {len(KINDS)}""")
+SELECT p_partkey, reason IS NOT NULL AND reason NOT IN ('missing_price_semantics', 'no_price_semantics', 'missing', 'ambiguous', 'invalid', 'future', 'currency_provenance') AS reselect FROM part JOIN k ON kind = p_partkey % {len(KINDS)}""")
 def q89_reselect(t, spark):
     """Stored prices that must be chosen anew."""
     rows, offer = kinds_offer(t, spark)
-    return rows.select("p_partkey", sanity.needs_reselect(offer, F.col("requested") == "filler", family_rules=FAMILY_RULES).alias("reselect"))
+    return rows.select("p_partkey", sanity.needs_reselect(offer, F.col("requested") == "filler", POLICY).alias("reselect"))
 
 
 CONTEXTS = [
-    ("https://a.example/x", "these prices are only averages", "", "explicit_non_owned_prices", False), ("https://a.example/x", "this is not a clinic", "", "non_clinic_booking_platform", False),
+    ("https://a.example/x", "these prices are examples", "", "explicit_non_owned_prices", False), ("https://a.example/x", "this is not a clinic", "", "non_clinic_booking_platform", False),
     ("https://a.example/cost-of-peels-in-rome", "peels", "", "country_cost_guide", False), ("https://a.example/x", "compared to europe", "", "foreign_price_comparison", False),
     ("https://a.example/x", "compared with others", "", "comparison_article", False), ("https://a.example/x", "on average 90", "", "market_average", False),
     ("https://a.example/blog/x", "peels", "", "blog", False), ("https://a.example/blog/x", "at our clinic", "", "blog", True), ("https://a.example/price-list", "peels", "", "official_price_list", True),
@@ -180,14 +196,14 @@ def q94_tolerance_binding(t, spark):
 
 @query(r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$|/+$', '') AS u FROM pages),
-l AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'x.' || u ELSE u END AS u FROM a WHERE page_id % 2 = 0),
+l AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'x.' || u ELSE u END AS u FROM a),
 e AS (SELECT l.page_id, l.u, min(a.page_id) AS m FROM l LEFT JOIN a ON a.u = l.u GROUP BY ALL),
 s AS (SELECT right(u, 24) AS s, min(page_id) AS m FROM a WHERE length(u) >= 24 GROUP BY 1)
 SELECT e.page_id, coalesce(e.m, s.m) AS matched, CASE WHEN e.m IS NOT NULL THEN 'url' WHEN s.m IS NOT NULL THEN 'suffix' END AS how FROM e LEFT JOIN s ON e.m IS NULL AND length(e.u) >= 24 AND right(e.u, 24) = s.s""")
 def q95_url_match(t, spark):
-    """Venues by normalised url, else by its last 24 characters, the first of equals. Half of the pages are looked up among all."""
+    """Venues by normalised url, else by its last 24 characters, the first of equals. Every third page is looked up under another host."""
     url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", r"://(?:www\.)?", "://x.")).otherwise(F.col("url"))
-    return resolve.url_match(t("pages").filter("page_id % 2 = 0").select("page_id", url.alias("url")), t("pages").select(F.col("page_id").alias("other"), "url"), "page_id", "other").select("page_id", "matched", "how")
+    return resolve.url_match(t("pages").select("page_id", url.alias("url")), t("pages").select(F.col("page_id").alias("other"), "url"), "page_id", "other").select("page_id", "matched", "how")
 
 
 @query("""

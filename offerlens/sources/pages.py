@@ -250,9 +250,10 @@ def assembled(pages: DataFrame, title: str | None = None) -> DataFrame:
     once = F.row_number().over(Window.partitionBy("page_id", F.lower("label"), "amount", "method").orderBy("ord"))
     rows = extract(pages).filter(F.col("amount") > 0).withColumn("_n", once).filter("_n = 1").drop("_n")
     rows = rows.withColumn("raw_evidence", shrunk(F.col("raw"), F.col("label"), F.col("price_text"))).withColumn("context", sanity.page_context(F.col("url"), F.col("raw"), F.lit(title or "")))
+    rows = rows.withColumn("_found", sanity.places(F.col("price_text"), F.col("raw_evidence")))
     none = F.lit(None).cast("double")
-    offer = sanity.Offer(F.col("amount"), F.col("price_text"), F.col("raw_evidence"), F.col("label"), F.col("currency"), F.col("url"), F.col("method"), none, F.lit(title or ""), F.lit(""), F.col("raw"))
-    return rows.withColumn("reject_reason", sanity.reject_reason(offer, F.lit(False))).withColumn("evidence_hash", hash_id(24, F.col("url"), F.col("label"), F.col("price_text"))).drop("raw")
+    offer = sanity.Offer(F.col("amount"), F.col("price_text"), F.col("raw_evidence"), F.col("label"), F.col("currency"), F.col("url"), F.col("method"), none, F.lit(title or ""), F.lit(""), F.col("raw"), found=F.col("_found"))
+    return rows.withColumn("reject_reason", sanity.reject_reason(offer, F.lit(False))).withColumn("evidence_hash", hash_id(24, F.col("url"), F.col("label"), F.col("price_text"))).drop("raw", "_found")
 
 
 def evidence(pages: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ def value(spark, column):
 
 @pytest.mark.parametrize(
     "source,amount,found",
-    [("costs 1,250 in all", 1250, True), ("costs 1.250 EUR", 1250, True), ("1 250", 1250, True), ("11,250", 1250, False), ("1,250,000", 1250, False), ("12500", 1250, False), ("", 1250, False), (None, 1250, False), ("call 1250", None, False)],
+    [("costs 1,250 in all", 1250, True), ("costs 1.250 EUR", 1250, True), ("1 250", 1250, True), ("11,250", 1250, False), ("1,250,000", 1250, False), ("12500", 1250, False), ("", 1250, False), (None, 1250, False), ("call 1250", None, False), ("peel €99.50", 99.5, True), ("€1,299.50", 1299.5, True), ("129,50 €", 129.5, True), ("peel 99.5", 99.5, True), ("€99.99", 99.5, False), ("1250.00", 1250, True), ("1250.50", 1250, False), ("7,05", 7.05, True), ("7.5", 7.05, False)],
 )
 def test_literally_in(spark, source, amount, found):
-    assert value(spark, evidence.literally_in(F.lit(source).cast("string"), F.lit(amount).cast("long"))) is found
+    assert value(spark, evidence.literally_in(F.lit(source).cast("string"), F.lit(amount).cast("double"))) is found
 
 
 @pytest.mark.parametrize(

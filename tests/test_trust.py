@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.functions import evidence, identity, matching, sanity
+from offerlens.functions import evidence, identity, matching, occurrences, sanity
 from offerlens.operators import resolve
 from offerlens.sources import pages
 
@@ -36,9 +36,9 @@ def test_the_first_reason_wins_in_the_stated_order(spark):
     assert value(spark, sanity.reject_reason(o, F.lit(True))) == holds[0]
 
 
-@pytest.mark.parametrize(("source", "amount", "found"), [("€1,250", 1250.0, True), ("1.250 EUR", 1250.0, True), ("€ 11250", 1250.0, False), ("1250 minutes", 1250.0, False), ("eur 1250.00", 1250.0, True), ("", 5.0, False)])
+@pytest.mark.parametrize(("source", "amount", "found"), [("€1,250", 1250.0, True), ("1.250 EUR", 1250.0, True), ("€ 11250", 1250.0, False), ("1250 minutes", 1250.0, False), ("eur 1250.00", 1250.0, True), ("", 5.0, False), ("€99.99", 99.5, False), ("€99.50", 99.5, True), ("129,50 €", 129.5, True), ("€1,299.50", 1299.5, True)])
 def test_amount_beside_a_currency(spark, source, amount, found):
-    assert value(spark, sanity.has_currency(sanity.low(text(source)), text(amount, "double"))) is found
+    assert value(spark, sanity.has_currency(occurrences.of_amount(occurrences.occurrences(text(source)), text(amount, "double")))) is found
 
 
 @pytest.mark.parametrize(("price", "amount", "hint"), [("£5,000 - £8,000", 5000.0, 8000.0), ("90", 90.0, 90.0), ("100-50", 100.0, 100.0), (None, 7.0, 7.0)])
