@@ -30,9 +30,9 @@ def rows_in(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\n|]", " | "), "\t\r ", "   ")
 
 
-def occurrences(text: Column) -> Column:
+def occurrences(text: Column, number: str = NUMBER) -> Column:
     t = rows_in(text)
-    numbers, gaps = F.regexp_extract_all(t, F.lit(f"({NUMBER})"), 1), F.split(t, NUMBER, -1)
+    numbers, gaps = F.regexp_extract_all(t, F.lit(f"({number})"), 1), F.split(t, number, -1)
     last = F.size(numbers) - 1
     words = lambda x: F.filter(F.split(x, " +"), lambda w: w != "")
 

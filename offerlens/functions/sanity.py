@@ -211,12 +211,12 @@ def is_medical_question(url: Column, text: Column, hosts: Sequence[str] = (), cu
 
 
 def scope_reason(found: Column, text: Column, label: Column, amount: Column, cues=CUES) -> Column:
-    """Why a number in the row belongs to something else than the treatment: read in the words before and behind each of its places.
-    found: the occurrences of the amount."""
+    """Why a number in the row belongs to something else than the treatment: read in the words before and behind each of its places,
+    and in a label that begins with it. found: the occurrences of the amount."""
     return first_reason([
         ("market_comparison_table", says(text, "comparison", cues)),
         ("product_not_procedure", says(low(label), "product", cues) | cue_before(found, "product", 10, cues)),
-        ("travel_cost_not_procedure", cue_before(found, "travel", 10, cues)),
+        ("travel_cost_not_procedure", says(F.regexp_extract(low(label), r"^\s*(\S+(?:\s+\S+)?)", 1), "travel", cues) | cue_before(found, "travel", 10, cues)),
         ("calendar_year_not_price", looks_like_calendar_question(found, amount, cues)),
     ])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import rules, text
 from offerlens.operators import rank, resolve
-from offerlens.plans import extraction, providers, serving, trust  # noqa: F401  they register their queries
+from offerlens.plans import extraction, prices, providers, serving, trust  # noqa: F401  they register their queries
 from offerlens.plans.catalog import documentation, oracle_sql, queries, query  # noqa: F401
 from offerlens.streaming import jobs
 

@@ -217,13 +217,16 @@ def page_rows(html: str) -> Iterator[tuple[str, str, str, str]]:
                     yield "list" if kind == "li" else "text", label, m[0], f"{heading} {cells[0]}".strip()
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """EVIDENCE of all pages; null pages have none."""
+def extract(pages: DataFrame, keep: bool = False) -> DataFrame:
+    """EVIDENCE of all pages; null pages have none. keep: each page has a row of its own before them, too: ord -1, method `page`, and the
+    price text `read` unless the page is blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if keep:
+                    rows.append((key, url, -1, "page", "", "read" if html.strip() else "", ""))
                 rows += [(key, url, n, *x) for n, x in enumerate(page_rows(html))]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4), strict=True)], [c.split()[0] for c in RAW.split(", ")])
@@ -242,13 +245,13 @@ def shrunk(raw, label, price, most: int = SPAN):
     return F.trim(F.substring(raw, start, F.lit(most)))
 
 
-def assembled(pages: DataFrame, title: str | None = None) -> DataFrame:
+def assembled(pages: DataFrame, title: str | None = None, keep: bool = False) -> DataFrame:
     """Evidence rows of pages with raw_evidence (the shrunk span), context, reject_reason (of scope, then ownership, then sanity; null for
     a good row) and a hash; a (page, label, amount, method) once, the first staying."""
     from offerlens.functions import sanity
 
     once = F.row_number().over(Window.partitionBy("page_id", F.lower("label"), "amount", "method").orderBy("ord"))
-    rows = extract(pages).filter(F.col("amount") > 0).withColumn("_n", once).filter("_n = 1").drop("_n")
+    rows = extract(pages, keep).filter((F.col("amount") > 0) | (F.col("method") == "page")).withColumn("_n", once).filter("_n = 1").drop("_n")
     rows = rows.withColumn("raw_evidence", shrunk(F.col("raw"), F.col("label"), F.col("price_text"))).withColumn("context", sanity.page_context(F.col("url"), F.col("raw"), F.lit(title or "")))
     rows = rows.withColumn("_found", sanity.places(F.col("price_text"), F.col("raw_evidence")))
     none = F.lit(None).cast("double")
