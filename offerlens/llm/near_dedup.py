@@ -61,7 +61,7 @@ NO_ID = (1 << 63) - 1
 F32 = np.float32
 
 SEGMENT = "segment long, nodes array<binary>, copies array<int>, lengths array<int>, texts binary"
-SIGNED = "node binary, band int, bucket long, sketch array<smallint>, text binary, frequencies binary"
+SIGNED = "node binary, band int, bucket long, sketch array<smallint>, frequencies binary"
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -117,6 +117,16 @@ def texts_of_segment(lengths: list[int], texts: bytes) -> list[str]:
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def single_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text), each text compressed by itself, of (nodes, lengths, texts) of segments."""
+    squeeze, stretch = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own, lengths, texts = (batch.column(c)[k].as_py() for c in range(3))
+            raw, edges = stretch.decompress(texts), np.cumsum([0, *lengths]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([squeeze.compress(raw[a:b]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["node", "text"])
+
+
 def segment_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`shingle_counts` of any number of texts, in chunks of bounded size."""
     parts = []
@@ -224,10 +234,10 @@ class Sampler:
 
 
 def signer(documents: int):
-    """mapInArrow function over (nodes, lengths, texts, answers) of segments to SIGNED: a row a band, and one of band -1 with sketch, text and frequencies."""
+    """mapInArrow function over (nodes, lengths, texts, answers) of segments to SIGNED: a row a band, and one of band -1 with sketch and frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, names, squeeze = Sampler(), [c.split()[0] for c in SIGNED.split(", ")], zstandard.ZstdCompressor(level=3)
+        sampler, names = Sampler(), [c.split()[0] for c in SIGNED.split(", ")]
         for batch in batches:
             for row in range(batch.num_rows):
                 nodes_, lengths, texts, answers = (batch.column(c)[row].as_py() for c in range(4))
@@ -246,12 +256,12 @@ def signer(documents: int):
                     keys = pa.array([nodes_[k] for k in which.tolist()], pa.binary())
                     rows = keys.take(pa.array(np.repeat(np.arange(n), BANDS)))
                     band = np.tile(np.arange(BANDS, dtype=np.int32), n)
-                    nothing = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int16()), pa.binary(), pa.binary())]
+                    nothing = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int16()), pa.binary())]
                     yield pa.RecordBatch.from_arrays([rows, pa.array(band), pa.array(sampler.bands(samples).ravel()), *nothing], names)
                     # the sketch has 16 bits of each sample
                     sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SAMPLES), pa.array((samples >> U64(48)).astype(np.uint16).view(np.int16).ravel()))
                     held = [squeezed(frequency[edges[k] : edges[k + 1]]) for k in which.tolist()]
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int64)), sketch, pa.array([squeeze.compress(texts[k].encode("utf-8", "surrogatepass")) for k in which.tolist()], pa.binary()), pa.array(held, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int64)), sketch, pa.array(held, pa.binary())], names)
         trim()
 
     return run
@@ -373,7 +383,7 @@ def links(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame, D
     forget()
     answered = segments.join(answers, "segment").select("nodes", "lengths", "texts", "answers")
     signed = durable(answered.mapInArrow(signer(documents), SIGNED))
-    forget(segments, answers)
+    forget(answers)
     signatures = durable(signed.filter("band >= 0").select("node", "band", "bucket").distinct())
     lead = [F.min("node").alias("l1"), F.max("node").alias("l2"), F.min_by("node", F.xxhash64("node")).alias("l3")]
     buckets = durable(signatures.groupBy("band", "bucket").agg(F.count("*").alias("n"), *lead).filter("n > 1"))
@@ -389,9 +399,11 @@ def links(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame, D
     pairs = durable(found[0].unionByName(found[1]).unionByName(found[2]).distinct())
     # one copy of each node that is in a bucket with others; always by a shuffle of both sides: the wanted ones grow with the corpus
     wanted = members.select("node").distinct()
-    own = signed.filter("band < 0").select("node", "sketch", "text", "frequencies").join(wanted.hint("merge"), "node")
-    texts = durable(own.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text"), F.first("frequencies").alias("frequencies")))
-    forget(signed)
+    own = signed.filter("band < 0").select("node", "sketch", "frequencies").join(wanted.hint("merge"), "node").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("frequencies").alias("frequencies"))
+    read = segments.select("nodes", "lengths", "texts").mapInArrow(single_texts, "node binary, text binary").join(wanted.hint("merge"), "node").groupBy("node").agg(F.first("text").alias("text"))
+    forget()
+    texts = durable(own.join(read, "node"))
+    forget(segments, signed)
     edges = verified(pairs, texts, documents)
     roots = components(edges)
     # what a large bucket still has between components
