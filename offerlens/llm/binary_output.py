@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import durable, portions, text_column
+from offerlens.llm.common import durable, group_of_row, portions, text_column
 from offerlens.llm.packing import CAPACITY, END_ID, cut
 from offerlens.llm.tokens import encoder, tokenizer_path
 
@@ -158,7 +158,7 @@ def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = C
         groups = max(1, -(-sums["pieces"] // group_size))
         parts = F.transform("pieces", lambda k, i: F.struct(F.element_at("doc_ids", i + 1).alias("doc_id"), k.alias("piece"), (4 * F.element_at("cu_seqlens", i + 1)).alias("a"), (4 * F.element_at("cu_seqlens", i + 2)).alias("b")))
         pieces = rest.select("ids", F.explode(parts).alias("p")).select("p.doc_id", "p.piece", F.substring("ids", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")).alias("ids"))
-        dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))  # over a written table: the same for each attempt of a task
+        dealt = pieces.withColumn("_group", group_of_row(groups).cast("long"))
         placed = durable(dealt.repartitionById(groups, F.col("_group").cast("int")).mapInArrow(again, SEQUENCES + ", _group long"))  # a task a group
         got = placed.agg(F.count("*").alias("bins"), (F.max("sequence_id") + 1).alias("span")).first()
         if got["bins"] >= sums["bins"]:  # nothing saved: the bins stay as they were

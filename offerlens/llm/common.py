@@ -76,6 +76,13 @@ def partitions_for(df: DataFrame, least: int = 8) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def group_of_row(groups: int):
+    """A number of a group for each row of a written table, dealt evenly whatever the partitions: rows of a partition in turn, each partition
+    from another group on. Reading the table again gives the same numbers."""
+    row = F.monotonically_increasing_id()  # the partition's number times 2**33, plus the row's
+    return F.pmod(row.bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright(row, 33) * 1_000_003, F.lit(groups)).cast("int")
+
+
 def trim() -> None:
     """Gives the worker's free memory back to the system: workers live on from stage to stage, and so would what it keeps."""
     pa.default_memory_pool().release_unused()

@@ -9,8 +9,8 @@ other underfull bins, or are exchanged one for one or two for one against smalle
 looked at, every accepted step raises the sum of squared fills, and it goes on until bins are empty or nothing fits.
 
 Rounds. Bins that stay underfull go back, and their pieces are dealt anew into fewer groups. That ends when one group is left,
-when the underfull bins are as few as their tokens allow, or when a round over all of them saves no bin (then they stay as they
-were): there is no limit to the rounds.
+when the underfull bins are as few as their tokens allow, when a round over all of them saves no bin (then they stay as they
+were), or when it saves fewer than one in LEAST_GAIN, so that less than that share of the bins is given away for a bounded number of passes.
 
 Cases. Null and empty texts are just the end id; a very long text is cut into whole sequences. Repeated rows are packed each for
 itself. A null doc_id stays null. An empty table gives no sequences. Columns beyond doc_id and text are ignored, whatever their names.
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import durable, portions, text_column
+from offerlens.llm.common import durable, group_of_row, portions, text_column
 from offerlens.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces a task packs at once.
-GROUP = 6000
+#: Pieces a task packs at once; a round that saves fewer than one underfull bin in LEAST_GAIN is the last.
+GROUP, LEAST_GAIN = 6000, 10_000
 
 #: Stands for a null doc_id until the result.
 NO_ID = (1 << 63) - 1
@@ -218,16 +218,17 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = G
     n = rest.count()
     while n:
         groups = max(1, -(-n // group_size))
-        dealt = rest.select(*columns, F.pmod(row, F.lit(groups)).alias("_group"))
+        dealt = rest.select(*columns, group_of_row(groups).cast("long").alias("_group"))
         placed = durable(dealt.repartitionById(groups, F.col("_group").cast("int")).mapInPandas(run, PLACED))  # a task a group
         of_bin, under = F.col("offset") == 0, F.col("underfull")
         sums = placed.agg(F.count_if(of_bin).alias("bins"), F.count_if(of_bin & under).alias("under"), F.count_if(under).alias("pieces"), F.sum(F.when(under, F.col("length"))).alias("tokens"), (F.max("bin") + 1).alias("span")).first()
         if before is not None and sums["bins"] >= before[1]:  # nothing saved: the last round's bins stay
             done.append(before[0])
             break
+        little = before is not None and (before[1] - sums["bins"]) * LEAST_GAIN < before[1]
         named = placed.select(*columns, (first_free + F.col("_group") * sums["span"] + F.col("bin")).alias("sequence_id"), "offset", "underfull")
         first_free += groups * sums["span"]
-        if groups == 1 or sums["under"] <= -(-(sums["tokens"] or 0) // capacity):  # one group, or as few bins as can be
+        if little or groups == 1 or sums["under"] <= -(-(sums["tokens"] or 0) // capacity):  # one group, or as few bins as can be
             done.append(named.drop("underfull"))
             break
         done.append(named.filter("not underfull").drop("underfull"))

@@ -516,6 +516,25 @@ def test_near_classes_of_a_table(spark):
     assert all(len(r) == 1 for r in whole.values())  # no class holds texts that no chain of links joins
 
 
+@pytest.mark.parametrize("groups", [64, 96, 7])
+def test_rows_are_dealt_evenly_over_groups(spark, groups):
+    """Many partitions of a few rows fill all groups alike, for powers of two, too."""
+    from offerlens.llm.common import group_of_row
+
+    rows = spark.range(0, 3000, 1, 600).select(group_of_row(groups).alias("g")).groupBy("g").count().collect()
+    sizes = [r["count"] for r in rows]
+    assert len(rows) == groups and max(sizes) <= 1.35 * 3000 / groups and min(sizes) >= 0.65 * 3000 / groups
+
+
+def test_many_groups_pack_as_one(spark):
+    """Packed in many groups from many tiny partitions, the sequences are within a fiftieth of one group's."""
+    rng = np.random.default_rng(8)
+    pieces = [(k, 0, 0, int(n), 0) for k, n in enumerate(rng.integers(20, 1500, 1200))]
+    table = durable(spark.createDataFrame(pieces, packing.PIECES).repartition(200))
+    bins = [packing.pack_pieces(table, group_size=g).select("sequence_id").distinct().count() for g in (300, 6000)]
+    assert bins[0] <= 1.02 * bins[1], bins
+
+
 def test_packed_sequences(odd):
     ids = {}
     for r in binary_output.packed_sequences(odd).collect():
