@@ -55,7 +55,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors. The folder goes with the application."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._durable = path
     return out

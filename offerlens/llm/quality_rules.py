@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import BLANKS, U64, HashArray, Words, chunks, durable, mix, portions, text_column, window_hashes
+from offerlens.llm.common import BLANKS, U64, HashArray, Words, chunks, durable, forget, mix, portions, text_column, window_hashes
 
 #: Code points of a gram, and bits of one; a gram is two longs: `lo` has its last three code points, `hi` those before.
 ORDER, BITS, LOW = 5, 21, 3
@@ -184,6 +184,7 @@ def fit_model(source: DataFrame, copies: DataFrame, broadcast_copies: int = BROA
         counted = rows.join(copies.hint("merge"), "row", "left_anti").mapInArrow(gram_counter(), GRAMS)
     grams = {ORDER: durable(counted.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))}
     mask = lambda k: F.lit((1 << (BITS * k)) - 1)
+    forget()
     for k in range(ORDER - 1, 0, -1):  # of the shorter gram that is left without the first code point: after how many code points it comes
         suffix = [F.col("hi").bitwiseAND(mask(max(k - LOW, 0))).alias("hi"), F.col("lo").bitwiseAND(mask(min(k, LOW))).alias("lo")]
         grams[k] = grams[k + 1].groupBy("lang", *suffix).agg(F.count("*").alias("n"))
@@ -315,6 +316,7 @@ def judge_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, m
     source = numbered(docs)
     copies = copied_rows(source)
     model = durable(fit_model(source, copies, broadcast_copies).mapInArrow(hash_grams, "hash long, n long, log_p double").repartitionByRange("hash").sortWithinPartitions("hash"))
+    forget()
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = durable(log_perplexities(source, model, most).withColumn("base_failed", failed))
     distinct = scored.join(copies, "row", "left_anti")
