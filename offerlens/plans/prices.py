@@ -10,6 +10,7 @@ from offerlens.functions.text import haversine_km, host
 from offerlens.operators import prices
 from offerlens.plans.catalog import query
 from offerlens.plans.trust import values
+from offerlens.streaming import jobs, keyed
 
 FAMILIES = ["ring", "bolt", "gear", "plate", "widget"]
 REQUESTS = [("en", "ring"), ("en", "bolt"), ("en", "plate"), ("fr", "gear"), ("de", "plate"), ("es", "widget")]
@@ -191,3 +192,48 @@ def q140_ranked_match(t, spark):
         ("text", c("line"), c("r_line"), None),
     ]
     return prices.ranked_match(left, right, "c_custkey", "s_suppkey", steps)
+
+
+@query("""
+WITH e AS (SELECT user_id AS job, epoch_us(ts) // 1000 AS t, event_id AS seq, event_type = 'purchase' AND event_id % 50 = 0 AS finish, CASE WHEN event_id % 13 > 0 THEN 'p' || event_id % 47 END AS provider FROM events),
+s AS (SELECT job, min(t) AS started, min(CASE WHEN finish THEN {'t': t, 's': seq} END) AS fin FROM e GROUP BY 1),
+o AS (SELECT job, provider, min({'t': t, 's': seq}) AS came, any_value(started) AS started FROM e JOIN s USING (job) WHERE NOT finish AND provider IS NOT NULL AND (fin IS NULL OR {'t': t, 's': seq} < fin) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY came, provider) AS k FROM o),
+g AS (SELECT job, count(*) AS n, min(CASE WHEN k = 1 THEN came.t - started END) AS first_ms, min(CASE WHEN k = 6 THEN came.t - started END) AS sixth_ms, string_agg(provider, ',' ORDER BY k) FILTER (WHERE k <= 30) AS shown FROM r GROUP BY 1)
+SELECT s.job, coalesce(n, 0) AS n, first_ms, sixth_ms, fin IS NOT NULL AS done, coalesce(shown, '') AS shown FROM s LEFT JOIN g USING (job)""")
+def q141_partial_results(t, spark):
+    """A job's snapshot: its distinct providers in order of arrival, capped, with the first and the sixth latency; the stream gives the same."""
+    finish = (F.col("event_type") == "purchase") & (F.col("event_id") % 50 == 0)
+    provider = F.when(F.col("event_id") % 13 > 0, F.concat(F.lit("p"), F.col("event_id") % 47))
+    events = t("events").select(F.col("user_id").alias("job"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("seq"), F.when(finish, "finish").otherwise("row").alias("action"), provider.alias("provider"))
+    return keyed.partial_results_batch(events).withColumn("shown", F.concat_ws(",", "shown"))
+
+
+@query("""
+WITH e AS (SELECT user_id AS client, epoch_us(ts) // 1000 AS t, event_id AS seq, event_id % 3 = 0 AS f, event_type AS market, event_id // 7 % 40 AS fs, event_id % 11 AS ds, event_id % 2 AS shown FROM events),
+a AS (SELECT *, max(CASE WHEN f THEN fs END) OVER (PARTITION BY client ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e),
+b AS (SELECT *, f AND coalesce(fs > top, true) AS taken FROM a),
+c AS (SELECT *, last_value(CASE WHEN taken THEN market END IGNORE NULLS) OVER (PARTITION BY client ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM b),
+d AS (SELECT *, coalesce(NOT f AND fs = top AND market = front, false) AS fits FROM c),
+g AS (SELECT *, coalesce(max(CASE WHEN fits THEN ds END) OVER (PARTITION BY client, top ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM d)
+SELECT client, t AS ts_ms, CASE WHEN f THEN 'focus' ELSE 'display' END AS action, market, CASE WHEN f THEN taken ELSE fits AND ds > seen END AS accepted,
+  CASE WHEN (f AND taken) OR (NOT f AND fits AND ds > seen) THEN NULL WHEN f THEN 'stale_focus' WHEN top IS NULL THEN 'unknown_client' WHEN fits THEN 'stale_display' ELSE 'stale_focus' END AS reason, NOT f AND fits AND ds > seen AND shown > 0 AS ready FROM g""")
+def q142_display_acknowledgement(t, spark):
+    """L4: display reports count for the client's current focus alone, in rising order; the stream gives the same."""
+    e = F.col("event_id")
+    events = t("events").select(F.col("user_id").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), e.alias("seq"), F.when(e % 3 == 0, "focus").otherwise("display").alias("action"), F.col("event_type").alias("market"), (F.floor(e / 7) % 40).alias("focus_seq"), (e % 11).alias("display_seq"), (e % 2).alias("shown"))
+    return keyed.acknowledged_batch(events)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, 1 + o_orderkey % 3 AS version, o_orderstatus = 'P' AS deleted, o_totalprice AS price FROM orders),
+c AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS version, l_returnflag = 'R' AS deleted, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC, deleted DESC, price DESC) AS r FROM c),
+m AS (SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL OR n.version <= o.version THEN {'v': o.version, 'd': o.deleted, 'p': o.price} ELSE {'v': n.version, 'd': n.deleted, 'p': n.price} END AS x FROM o FULL JOIN (SELECT * FROM n WHERE r = 1) n ON o.k = n.k)
+SELECT k, x.v AS version, x.d AS deleted, round(x.p, 2) AS price FROM m""")
+def q143_mirror(t, spark):
+    """A mirror after changes that also delete: the greatest version of a key wins, stale writers are refused, tombstones stay."""
+    k = F.col("o_orderkey")
+    old = t("orders").select(k.alias("k"), (1 + k % 3).cast("long").alias("version"), (F.col("o_orderstatus") == "P").alias("deleted"), F.col("o_totalprice").alias("price"))
+    changes = t("lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("version"), (F.col("l_returnflag") == "R").alias("deleted")).agg(F.max("l_extendedprice").alias("price"))
+    return jobs.merge_versions(old, changes, ["k"]).withColumn("price", F.round("price", 2))

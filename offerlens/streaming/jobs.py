@@ -171,6 +171,45 @@ def upsert_batches(path: str, keys: list[str], buckets: int = 64):
     return write
 
 
+def merge_versions(old: DataFrame | None, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """old after changes, both with `version` and `deleted`: of each key the row of the greatest version, of equal versions the old one, so that
+    a stale or repeated writer changes nothing. Deleted rows stay as tombstones: a late change of an older version can't bring them back."""
+    rest = [c for c in changes.columns if c not in keys]
+    changes = changes.withColumns({"deleted": F.coalesce("deleted", F.lit(False)), "_new": F.lit(1)})
+    both = changes if old is None else old.select(*changes.columns[:-1], F.lit(0).alias("_new")).unionByName(changes)
+    # of several changes of one version in a batch the greatest row, whatever their order
+    ranked = F.struct("version", (-F.col("_new")).alias("_old_first"), *(F.col(c) for c in rest if c != "version"))
+    return both.filter("version is not null").groupBy(*keys).agg(F.max(ranked).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def refused(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The changes that merge_versions refuses: their version is no greater than the stored one."""
+    stored = old.select(*keys, F.col("version").alias("_stored"))
+    return changes.join(stored, keys).filter(F.col("version") <= F.col("_stored")).drop("_stored")
+
+
+def mirror_batches(path: str, keys: list[str], buckets: int = 64):
+    """A foreachBatch sink that also deletes: rows (keys, version, deleted, ...) by merge_versions, in buckets as in `upsert_batches`.
+
+    A replayed batch, a late one and batches in another order leave the same table; `read_mirrored` shows what isn't deleted."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]  # `buckets` numbers at most
+        if not touched:
+            return
+        table = merge_versions(read_upserted(batch.sparkSession, path, number, touched), batch, keys)
+        table.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        _forget_versions(batch.sparkSession, path, number, touched)
+
+    return write
+
+
+def read_mirrored(spark: SparkSession, path: str) -> DataFrame | None:
+    got = read_upserted(spark, path)
+    return got.filter("not deleted").drop("deleted") if got is not None else None
+
+
 def _versions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     """(version, bucket) of all folders of the table whose version is complete."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
