@@ -170,3 +170,39 @@ def ranked_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         found = met if found is None else found.unionByName(met)
     best = found.groupBy(left_id).agg(F.min("_m").alias("_m"))
     return left.join(best, left_id, "left").select(left_id, F.col("_m.id").alias("matched"), F.col("_m.name").alias("step"))
+
+
+def venue_matches(venues: DataFrame, places: DataFrame, venue: str, place: str, generic: Sequence[str], metres: float = 450) -> DataFrame:
+    """Each venue with its strongest place: matched and strength (strong: the packed name and a phone, a spot or an address; weak_name_only: the name;
+    name_mismatch without any). Both sides have city, name, phone, lat, lon, address.
+
+    Never all pairs of a city: a venue meets places by keys, (city, name) with the last digits of the phone, with one of the nine cells of
+    a spot's neighbourhood, or with two words of the address; by the name alone it meets the least id of a key only."""
+    from offerlens.functions.evidence import phone_key
+    from offerlens.functions.identity import same_place
+    from offerlens.functions.text import name_key, packed_name
+
+    joined = lambda *parts: F.when(F.forall(F.array(*parts), lambda x: x.isNotNull() & (x != "")), F.concat_ws("|", *parts))
+    cell = metres / 100_000.0  # degrees of latitude, a little more than the distance; of longitude it is less, so that cells are wider by the cosine
+    wide = F.cos(F.radians(F.least(F.abs(F.col("lat")), F.lit(85.0))) + F.radians(F.lit(1.0)))
+
+    def keyed(d: DataFrame, spread: bool) -> DataFrame:
+        key = joined(F.col("city").cast("string"), packed_name(F.coalesce("name", F.lit("")), list(generic)))
+        words = F.array_distinct(F.filter(F.split(name_key(F.coalesce("address", F.lit(""))), " "), lambda w: F.length(w) >= 3))
+        pairs = F.flatten(F.transform(words, lambda a: F.transform(F.filter(words, lambda b: a < b), lambda b: F.concat_ws(" ", a, b))))
+        at = lambda c, size: F.floor(F.col(c) / size).cast("long")
+        band = at("lat", cell)
+        around = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.concat_ws("|", (band + i).cast("string"), (at("lon", cell / F.greatest(F.round(wide, 1), F.lit(0.1))) + j).cast("string")))))
+        own = F.array(F.concat_ws("|", band.cast("string"), at("lon", cell / F.greatest(F.round(wide, 1), F.lit(0.1))).cast("string")))
+        return d.withColumns({"_key": key, "_phone": joined(key, phone_key(F.col("phone"))), "_cells": F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), around if spread else own), "_pairs": pairs})
+
+    v, p = keyed(venues, True), keyed(places, False)
+    hit = lambda rank, d, name: d.select(venue, F.struct(F.lit(rank).alias("rank"), F.col(place).alias("id"), F.lit(name).alias("name")).alias("_m"))
+    least = lambda d, *keys: d.groupBy(*keys).agg(F.min(place).alias(place))
+    phone = hit(0, v.select(venue, "_phone").filter("_phone is not null").join(least(p.filter("_phone is not null"), "_phone"), "_phone"), "strong")
+    spot = v.select(venue, "_key", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), F.explode("_cells").alias("_cell")).join(least(p.select(place, "_key", "lat", "lon", F.explode("_cells").alias("_cell")), "_key", "_cell", "lat", "lon"), ["_key", "_cell"])
+    spot = hit(1, spot.filter(same_place(F.col("v_lat"), F.col("v_lon"), F.col("lat"), F.col("lon"), metres)), "strong")
+    address = hit(2, v.select(venue, "_key", F.explode("_pairs").alias("_pair")).join(least(p.select(place, "_key", F.explode("_pairs").alias("_pair")), "_key", "_pair"), ["_key", "_pair"]), "strong")
+    name = hit(3, v.select(venue, "_key").join(least(p.filter("_key is not null"), "_key"), "_key"), "weak_name_only")
+    best = phone.unionByName(spot).unionByName(address).unionByName(name).groupBy(venue).agg(F.min("_m").alias("_m"))
+    return venues.select(venue).join(best, venue, "left").select(venue, F.col("_m.id").alias("matched"), F.coalesce("_m.name", F.lit("name_mismatch")).alias("strength"))

@@ -42,6 +42,18 @@ def fair_rotation(df: DataFrame, exposure: str, key: str, seed: int, k: int) ->
     return df.orderBy(exposure, F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
 
 
+def rotated(df: DataFrame, market: list[str], key: str, seed: int, k: int) -> DataFrame:
+    """df (exposure, sibling) with shown, k rows a market, and the exposure behind it: the state that the next run takes in.
+
+    The least shown come first, then those that a sibling tab doesn't show, equals by a digest of seed and key that any engine gives alike. Only k
+    rows a market are ranked whole: the others are cut in the tasks before a market's rows meet, and come back by a join."""
+    draw = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")).cast("binary"))
+    order = Window.partitionBy(*market).orderBy("exposure", "sibling", draw, key)
+    chosen = df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).select(*market, key, F.lit(True).alias("_shown"))
+    shown = F.coalesce("_shown", F.lit(False))
+    return df.join(chosen, [*market, key], "left").withColumn("shown", shown).withColumn("exposure", F.col("exposure") + F.col("shown").cast("long")).drop("_shown")
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], value: str, better) -> DataFrame:
     """Per key, the running best over rows in order, where better(best, row) may depend on the best so far. Groups are bounded
     lists (a provider's or a page's evidence), folded natively."""

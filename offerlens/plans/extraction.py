@@ -23,6 +23,8 @@ PAGES = [
     ("<p>Opening hours 9-17</p>", []),
     ("<h2>Peels</h2><p>Light: £{a}</p><p>light: £{a}</p>", [("text", "Light", 0, "GBP")]),
     ("<table><tr><th>Service</th><th>Price</th></tr><tr><td>Brows</td><td>{a} TRY</td></tr></table><p>€{a}</p>", [("table", "Brows", 0, "TRY")]),
+    ("<table><tr><th>Service</th><th>Prices by country</th></tr><tr><td>Lips</td><td>€{a}</td></tr></table><ul><li>Peel - €{a}</li></ul>", [("list", "Peel", 0, "EUR")]),
+    ("<section><div><h3>Bring a friend</h3><p>Peel for both: €99</p></div><p>Peel: €{a}</p></section>", [("text", "Peel", 0, "EUR")]),
 ]
 PAGE_ROWS = [(k, n, *r) for k, (_, rows) in enumerate(PAGES) for n, r in enumerate(rows)]
 
@@ -37,7 +39,7 @@ def kind_pages(t, spark, templates, url="https://rose.example/prices"):
 @query("WITH k(kind, ord, method, label, more, currency) AS (" + values(PAGE_ROWS) + f""")
 SELECT p_partkey AS page_id, CAST(ord AS INTEGER) AS ord, method, label, CAST(p_size + 100 + more AS DOUBLE) AS amount, currency FROM part JOIN k ON kind = p_partkey % {len(PAGES)}""")
 def q40_page_evidence(t, spark):
-    """JSON-LD, currency tables, tables, shop products, cards, lists and paragraphs of pages of nine kinds."""
+    """JSON-LD, currency tables, tables, shop products, cards, lists and paragraphs of pages of eleven kinds; comparison tables and companion offers go."""
     return page_source.evidence(kind_pages(t, spark, [h for h, _ in PAGES])).select("page_id", "ord", "method", "label", "amount", "currency")
 
 

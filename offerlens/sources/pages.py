@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from offerlens.functions.cues import CUES, pattern
 from offerlens.functions.text import hash_id, numbers_in
 
 EVIDENCE = "page_id long, url string, ord int, method string, label string, price_text string, raw string, amount double, currency string"
@@ -26,6 +27,15 @@ PRICE = re.compile(r"(?:[$€£₺¥]\s?\d[\d.,\s]*\d|[$€£₺¥]\s?\d|\d[\d.,
 CODES = {"$": "USD", "€": "EUR", "£": "GBP", "₺": "TRY", "¥": "JPY", "usd": "USD", "eur": "EUR", "euro": "EUR", "gbp": "GBP", "try": "TRY", "tl": "TRY"}
 #: Longest span of text that an evidence keeps.
 SPAN = 240
+#: Elements that go as a whole for what they hold, and the longest text of one that goes for a companion offer.
+WHOLE, SMALL_PART = {"table", "section", "article", "div", "ul", "dl"}, 400
+
+
+def python_cue(name: str) -> re.Pattern:
+    return re.compile(pattern(CUES[name]).replace(r"[\p{L}]", r"[^\W\d_]").replace(r"[\p{L}\d]", r"[^\W_]"))
+
+
+COMPARISON, COMPETITOR, COMPANION = map(python_cue, ("comparison", "competitor", "companion"))
 #: Elements without an end tag.
 VOID = {"br", "img", "input", "meta", "link", "hr", "source", "wbr"}
 
@@ -33,6 +43,9 @@ VOID = {"br", "img", "input", "meta", "link", "hr", "source", "wbr"}
 class Blocks(HTMLParser):
     """Rows of tables, items of lists, headings and paragraphs, without the page's frame; JSON-LD and product texts; product cards.
 
+    What an element holds is known at its end: a table that compares countries or clinics, and a small part that offers a companion
+    something, lose all their rows then, whatever element they began in.
+
     A card is an element whose class has the word `product`; inside, the first heading names it and what stands in an element whose
     class has the word `price` is its price, but for struck-out text."""
 
@@ -47,7 +60,7 @@ class Blocks(HTMLParser):
         names = set((a.get("class") or "").lower().replace("_", "-").replace("-", " ").split())
         if tag not in VOID:
             role = "card" if "product" in names and self.card is None else "price" if "price" in names and self.card is not None else "name" if tag in ("h1", "h2", "h3", "h4") and self.card is not None else ""
-            self.open.append((tag, role))
+            self.open.append((tag, role, len(self.blocks)))
             if role == "card":
                 self.card = {"name": "", "price": ""}
         kind = a.get("type") or ""
@@ -66,9 +79,11 @@ class Blocks(HTMLParser):
                 self.cells = []
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
+        if any(t == tag for t, _, _ in self.open):
             while True:  # elements left open end with the one around them
-                t, role = self.open.pop()
+                t, role, start = self.open.pop()
+                if t in WHOLE:
+                    self.drop(t, start)
                 if role == "card":
                     self.cards.append(self.card)
                     self.card = None
@@ -95,10 +110,17 @@ class Blocks(HTMLParser):
         elif not self.skip and not self.struck:
             self.text.append(data)
             if self.card is not None:
-                role = next((r for _, r in reversed(self.open) if r), "")
+                role = next((r for _, r, _ in reversed(self.open) if r), "")
                 if role in ("name", "price"):
                     self.card[role] = f"{self.card[role]} {data.strip()}".strip()
 
+    def drop(self, tag: str, start: int) -> None:
+        """Forgets the rows since `start`, where an element begins that just ended, if they are no own prices."""
+        text = " ".join(" ".join(cells) for _, cells in self.blocks[start:]).lower()
+        compares = tag == "table" and (COMPARISON.search(text) or COMPETITOR.search(text))
+        if compares or (len(text) <= SMALL_PART and COMPANION.search(text)):
+            del self.blocks[start:]
+
     def take(self) -> str:
         out, self.text = " ".join(" ".join(self.text).split()), []
         return out

@@ -133,3 +133,51 @@ def test_witness_of_a_page(spark):
     no, yes = F.lit(False), F.lit(True)
     names = [value(spark, evidence.relation(h, F.lit("ring"), no, no, part, witness)) for h in has for part, witness in ((no, no), (yes, no), (yes, yes))]
     assert names == ["ambiguous", "ambiguous", "variant", "exact", "variant", "variant", "different", "different", "different", "bundle", "bundle", "bundle"]
+
+
+def test_venue_matches_equal_a_nested_loop(spark):
+    """Phones, spots across cell borders, addresses and names, by brute force over all pairs; no pairs of a city in the plan."""
+    import random
+
+    from offerlens.functions import identity
+
+    rnd = random.Random(4)
+    make = lambda n: [(k, rnd.choice(["x", "y", None]), rnd.choice(["Rose Clinic", "The Rose", "Lily", "", None]), rnd.choice(["+1 555 123 45 67", "1234", "+44 20 7946 0958", None]), rnd.choice([None, 40 + rnd.random() * 0.02]), 20 + rnd.random() * 0.02, rnd.choice(["Main Street 5", "Street Main", "High Road", None])) for k in range(n)]
+    schema = "{0} long, city string, name string, phone string, lat double, lon double, address string"
+    v, p = spark.createDataFrame(make(60), schema.format("v")), spark.createDataFrame(make(90), schema.format("p"))
+    got = prices.venue_matches(v, p, "v", "p", identity.GENERIC)
+    assert "NestedLoop" not in physical(got) and "Cartesian" not in physical(got)
+    c = F.col
+    both = v.crossJoin(p.select("p", *(F.col(x).alias(f"q_{x}") for x in ("city", "name", "phone", "lat", "lon", "address"))))
+    same = (c("city") == c("q_city")) & (prices_packed(c("name")) == prices_packed(c("q_name"))) & (prices_packed(c("name")) != "")
+    near = identity.same_place(c("lat"), c("lon"), c("q_lat"), c("q_lon"))
+    words = lambda x: F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    address = F.size(F.array_intersect(words(c("address")), words(c("q_address")))) >= 2
+    rank = F.when(evidence.phone_key(c("phone")) == evidence.phone_key(c("q_phone")), 0).when(near, 1).when(address, 2).otherwise(3)
+    want = {r["v"]: r["m"] for r in both.filter(same).groupBy("v").agg(F.min(F.struct(rank.alias("r"), "p")).alias("m")).collect()}
+    rows = got.collect()
+    assert len(rows) == 60
+    for r in rows:
+        m = want.get(r["v"])
+        assert (r["matched"], r["strength"]) == ((m["p"], "weak_name_only" if m["r"] == 3 else "strong") if m else (None, "name_mismatch"))
+    assert {m["r"] for m in want.values()} == {0, 1, 2, 3}
+
+
+def prices_packed(c):
+    from offerlens.functions import identity, text
+
+    return text.packed_name(F.coalesce(c, F.lit("")), list(identity.GENERIC))
+
+
+def test_rotation_shows_all_alike(spark):
+    """Runs that read the exposures of the run before show every row about as often; a sibling's rows wait."""
+    from offerlens.operators import rank
+
+    rows = spark.createDataFrame([("m", k, 0, False) for k in range(10)] + [("n", k, 0, k < 2) for k in range(3)], "market string, k long, exposure long, sibling boolean")
+    shown = []
+    for run in range(5):
+        rows = spark.createDataFrame(rank.rotated(rows, ["market"], "k", run, 2).collect(), "market string, k long, exposure long, sibling boolean, shown boolean")
+        shown.append({r["k"] for r in rows.filter("market = 'n' and shown").collect()})
+        rows = rows.drop("shown")
+    assert {r["exposure"] for r in rows.filter("market = 'm'").collect()} == {1}
+    assert 2 in shown[0] and len(shown[0]) == 2
