@@ -153,3 +153,36 @@ def sitemap_locations(xml: Column, own_host: Column) -> Column:
     own = bare(own_host)
     fits = lambda h: (h != "") & ((h == own) | h.endswith(F.concat(F.lit("."), own)) | own.endswith(F.concat(F.lit("."), h)))
     return F.array_distinct(F.filter(found, lambda u: fits(of(u))))
+
+
+RULES = "array<struct<allow:boolean,path:string>>"
+
+
+def robots_rules(text: Column, agent: str) -> Column:
+    """The rules of a robots file for an agent: of all groups that name it, else of those for `*`; an array of (allow, path). Lines of user agents in
+    a row open one group; comments, other lines and rules without a path count for nothing; a null file has no rules."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n|\r"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    parts = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+    none = F.array().cast(RULES)
+    start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("own"), F.lit(False).alias("star"), F.lit(False).alias("named"), none.alias("mine"), none.alias("all"))
+
+    def step(a: Column, x: Column) -> Column:
+        names, rule = x["key"] == "user-agent", x["key"].isin("allow", "disallow") & (x["value"] != "")
+        is_own, is_star = F.lower(x["value"]) == agent.lower(), x["value"] == "*"
+        one = F.array(F.struct((x["key"] == "allow").alias("allow"), x["value"].alias("path"))).cast(RULES)
+        return F.struct(
+            F.when(names, F.lit(True)).when(x["key"].isin("allow", "disallow"), F.lit(False)).otherwise(a["open"]).alias("open"),
+            F.when(names, (a["open"] & a["own"]) | is_own).otherwise(a["own"]).alias("own"), F.when(names, (a["open"] & a["star"]) | is_star).otherwise(a["star"]).alias("star"), (a["named"] | (names & is_own)).alias("named"),
+            F.when(rule & a["own"], F.concat(a["mine"], one)).otherwise(a["mine"]).alias("mine"), F.when(rule & a["star"], F.concat(a["all"], one)).otherwise(a["all"]).alias("all"),
+        )
+
+    end = F.aggregate(parts, start, step)
+    return F.when(end["named"], end["mine"]).otherwise(end["all"])
+
+
+def robots_allow(rules: Column, path: Column) -> Column:
+    """Whether a path may be read: the longest rule that fits decides, an allowing one among equals; without any it may. A star fits any text, a
+    dollar at the end the path's end."""
+    pattern = lambda p: F.concat(F.lit(r"^\Q"), F.replace(F.regexp_replace(p, r"\$$", ""), F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E"), F.when(p.endswith("$"), "$").otherwise(""))
+    fits = F.filter(rules, lambda r: F.rlike(path, pattern(r["path"])))
+    return F.coalesce(F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"))))["allow"], F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerlens.functions import evidence, sanity
+from offerlens.functions import evidence, identity, sanity
 from offerlens.functions.occurrences import occurrences
 from offerlens.functions.text import haversine_km, host
 from offerlens.operators import prices
@@ -237,3 +237,20 @@ def q143_mirror(t, spark):
     old = t("orders").select(k.alias("k"), (1 + k % 3).cast("long").alias("version"), (F.col("o_orderstatus") == "P").alias("deleted"), F.col("o_totalprice").alias("price"))
     changes = t("lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("version"), (F.col("l_returnflag") == "R").alias("deleted")).agg(F.max("l_extendedprice").alias("price"))
     return jobs.merge_versions(old, changes, ["k"]).withColumn("price", F.round("price", 2))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages),
+k AS (SELECT *, length(host) % 4 AS k FROM u)
+SELECT page_id, CASE k WHEN 0 THEN NOT (starts_with(path, '/fr/') OR starts_with(path, '/en/')) OR starts_with(path, '/en/1') WHEN 1 THEN NOT (starts_with(path, '/') AND ends_with(path, '.html')) OR starts_with(path, '/de/') AND length(path) > 999
+  WHEN 2 THEN NOT starts_with(path, '/es/') ELSE true END AS allowed FROM k""")
+def q144_robots(t, spark):
+    """Whether robots rules let a page be read: groups of agents, the longest rule, stars and ends."""
+    files = [
+        "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nDisallow: /en/ # most\nAllow: /en/1\nDisallow:\nSitemap: https://x.example/s.xml",
+        "User-agent: *\nDisallow: /*.html$\n", "User-agent: Bot\nUser-agent: other\nDisallow: /es/\nUser-agent: *\nDisallow: /", "Disallow: /",
+    ]
+    host, path = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1), F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]+(/[^?#]*)", 1)
+    rows = t("pages").select("page_id", path.alias("path"), F.element_at(F.array(*map(F.lit, files)), (F.length(host) % 4 + 1).cast("int")).alias("robots"))
+    rows = rows.withColumn("rules", identity.robots_rules(F.col("robots"), "bot"))
+    return rows.select("page_id", identity.robots_allow(F.col("rules"), F.col("path")).alias("allowed"))

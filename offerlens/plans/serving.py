@@ -337,7 +337,7 @@ def q77_mojibake(t, spark):
 WITH x AS (SELECT page_id, 'Home | ' || regexp_extract(html, '<title>([^<]*)</title>', 1) || ' - Reviews' AS title, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^(www|m|blog)\.', '') AS host FROM pages)
 SELECT page_id, coalesce(list_filter(list_transform(string_split_regex(title, '\s+[|\-–]\s+'), lambda p: trim(p)), lambda p: p <> '' AND lower(p) NOT IN ('home', 'reviews'))[1], string_split(host, '.')[1]) AS lead FROM x""")
 def q78_search_lead(t, spark):
-    """A provider's name from a page's title, else from its host."""
+    """A provider's name from a page's title, else from its host."""
     title = F.concat(F.lit("Home | "), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" - Reviews"))
     return t("pages").select("page_id", evidence.lead_name(title, F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)), ["home", "reviews"]).alias("lead"))
 

@@ -101,3 +101,11 @@ def test_cards_left_open_and_broken_json():
 
 def test_menu_date_of_nothing(spark):
     assert value(spark, pages.menu_date(text(None), text("x"))) is None and value(spark, pages.menu_date(text("no date"), text("no"))) is None
+
+
+ROBOTS = "# x\nUser-Agent: A\nuser-agent: b\nDisallow: /p\nCrawl-delay: 5\nAllow: /p/q\n\nUser-agent: *\nDisallow: /*.pdf$\nDisallow:\n"
+
+
+@pytest.mark.parametrize(("file", "agent", "path", "allowed"), [(ROBOTS, "a", "/p/x", False), (ROBOTS, "b", "/p/q/1", True), (ROBOTS, "c", "/p/x", True), (ROBOTS, "c", "/d/x.pdf", False), (ROBOTS, "c", "/x.pdf.html", True), (ROBOTS, "a", "/x.pdf", True), (None, "a", "/", True), ("", "a", "/", True), ("Disallow: /", "a", "/", True), ("user-agent: a\ndisallow: /x\nallow: /x", "a", "/x", True), (ROBOTS, "a", None, True)])
+def test_robots(spark, file, agent, path, allowed):
+    assert value(spark, identity.robots_allow(identity.robots_rules(text(file), agent), text(path))) is allowed
