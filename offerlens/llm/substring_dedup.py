@@ -19,7 +19,9 @@ A window is removed if a document with a smaller doc_id has the same words anywh
 Windows are judged on the input, not on what is left.
 
 Cases. Null, empty and short texts (fewer words than a window) lose nothing. A null doc_id counts as larger than all others.
-Rows with the same doc_id are one document: they lose nothing to each other. An empty table gives an empty result.
+Rows with the same doc_id are one document: they lose nothing to each other. A very long text is read whole, in one task, and its windows
+travel like all others. Repeated rows are judged each for itself. An empty table gives an empty result. Columns beyond doc_id and text
+are ignored by `remove_repeats` and kept by `dedup_documents`, whatever their names.
 """
 
 from __future__ import annotations
