@@ -254,3 +254,30 @@ def q144_robots(t, spark):
     rows = t("pages").select("page_id", path.alias("path"), F.element_at(F.array(*map(F.lit, files)), (F.length(host) % 4 + 1).cast("int")).alias("robots"))
     rows = rows.withColumn("rules", identity.robots_rules(F.col("robots"), "bot"))
     return rows.select("page_id", identity.robots_allow(F.col("rules"), F.col("path")).alias("allowed"))
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type, value FROM events),
+s AS (SELECT user_id, user_id % 8 AS k, count_if(event_type = 'view') AS venues, count_if(event_type = 'click' AND value > 40) AS services, count_if(event_type = 'purchase' AND value > 45) AS prices, count_if(event_type = 'error' AND value > 30) AS providers, max(t) AS last FROM e GROUP BY 1),
+n AS (SELECT *, max(last) OVER () + 600000 AS now FROM s),
+f AS (SELECT *, CASE WHEN prices > 0 AND providers > 0 THEN 'complete' WHEN venues > 0 OR services > 0 THEN 'partial' ELSE 'empty' END AS ended FROM n),
+x AS (SELECT *, CASE k WHEN 0 THEN NULL WHEN 1 THEN 'running' WHEN 2 THEN 'empty' WHEN 3 THEN 'failed' WHEN 4 THEN 'complete' ELSE ended END AS status FROM f),
+r AS (SELECT *, CASE WHEN status IS NULL THEN 'missing' WHEN status = 'running' THEN CASE WHEN now - last < 2700000 THEN 'already_running' ELSE 'stale_running' END
+  WHEN status = 'complete' AND NOT (prices > 0 AND providers > 0) THEN CASE WHEN now - last < 1800000 THEN 'empty_cooldown' ELSE 'complete_but_empty' END
+  WHEN status = 'complete' THEN CASE WHEN now - last < 604800000 THEN 'ttl_fresh' ELSE 'ttl_expired' END
+  WHEN status IN ('empty', 'partial') THEN status || CASE WHEN now - last < 1800000 THEN '_cooldown' ELSE '_retry' END ELSE status END AS reason FROM x),
+d AS (SELECT *, CASE WHEN k = 7 THEN 'failed' WHEN k IN (3, 6) THEN 'failed' WHEN prices <= 0 AND venues <= 0 THEN 'thin' WHEN prices <= 0 THEN 'partial' WHEN venues < 15 OR prices < 4 THEN 'partial' ELSE 'complete' END AS finished FROM r)
+SELECT user_id, ended, reason, reason NOT IN ('already_running', 'empty_cooldown', 'partial_cooldown', 'ttl_fresh') AS start, finished, CAST(CASE WHEN k = 3 THEN 21600000 WHEN k = 6 THEN 1800000 WHEN finished = 'thin' THEN 86400000 END AS INTEGER) AS retry_ms FROM d""")
+def q145_import_cycle(t, spark):
+    """How a market's import and discovery end, and whether the next import starts, from states that events leave."""
+    e = t("events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "event_type", "value")
+    of = lambda kind, least: F.count_if((F.col("event_type") == kind) & (F.col("value") > least))
+    s = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("venues"), of("click", 40).alias("services"), of("purchase", 45).alias("prices"), of("error", 30).alias("providers"), F.max("t").alias("last"))
+    s = s.withColumn("now", F.lit(e.agg(F.max("t")).first()[0]).cast("long") + 600_000)  # one number
+    k = F.col("user_id") % 8
+    ended = jobs.import_status(F.col("venues"), F.col("services"), F.col("prices"), F.col("providers"))
+    status = F.when(k == 0, None).when(k == 1, "running").when(k == 2, "empty").when(k == 3, "failed").when(k == 4, "complete").otherwise(ended)
+    s = s.withColumns({"ended": ended, "status": status})
+    next_import = jobs.import_decision(F.col("now"), F.col("status"), F.col("last"), F.col("last"), F.col("prices"), F.col("providers"))
+    done = jobs.discovery_finished(k != 7, F.col("venues") < 15, F.col("venues"), F.col("prices"), F.when(k == 3, "quota").when(k == 6, "timeout"))
+    return s.select("user_id", "ended", next_import["reason"].alias("reason"), next_import["start"].alias("start"), done["status"].alias("finished"), done["retry_ms"].alias("retry_ms"))

@@ -40,6 +40,36 @@ def discovery_decision(now: Column, resolved: Column, verified: Column, candidat
     return {"reason": reason, "start": ~reason.isin(*(name for name, _, start in rules if not start))}
 
 
+def import_status(venues: Column, services: Column, prices: Column, providers: Column) -> Column:
+    """How an import ends: complete with providers and prices, partial with venues or services alone, else empty."""
+    some = lambda c: F.coalesce(c > 0, F.lit(False))
+    return F.when(some(providers) & some(prices), "complete").when(some(venues) | some(services), "partial").otherwise("empty")
+
+
+def import_decision(now: Column, status: Column, started: Column, completed: Column, prices: Column, providers: Column, ttl_ms: int = 7 * 86_400_000, empty_ms: int = 1_800_000, running_ms: int = 2_700_000) -> dict[str, Column]:
+    """reason and start of a market's next import, from its last state; status is null without one. A running import is left alone for running_ms. A
+    useful one is fresh for ttl_ms, one that brought nothing (also a complete one without prices), or only a part, rests empty_ms."""
+    since = lambda t, ms: F.coalesce(now - t < ms, F.lit(False))
+    useful = F.coalesce((prices > 0) & (providers > 0), F.lit(False))
+    rests, ended = since(completed, empty_ms), status == "complete"
+    rules = [
+        ("missing", status.isNull(), True), ("already_running", (status == "running") & since(started, running_ms), False), ("stale_running", status == "running", True),
+        ("empty_cooldown", (ended & ~useful & rests) | ((status == "empty") & rests), False), ("partial_cooldown", (status == "partial") & rests, False), ("complete_but_empty", ended & ~useful, True),
+        ("ttl_fresh", ended & since(completed, ttl_ms), False), ("ttl_expired", ended, True), ("empty_retry", status == "empty", True), ("partial_retry", status == "partial", True),
+    ]
+    reason = F.coalesce(first_reason([(name, p) for name, p, _ in rules]), status)
+    return {"reason": reason, "start": ~reason.isin(*(name for name, _, start in rules if not start))}
+
+
+def discovery_finished(resolved: Column, thin: Column, candidates: Column, verified: Column, failure: Column, goal: int = 4, quota_ms: int = 21_600_000, failed_ms: int = 1_800_000, thin_ms: int = 86_400_000) -> dict[str, Column]:
+    """status and retry_ms (how long to wait; null: no wait) of a discovery that ended. Candidates alone never complete a market: without a verified row
+    it is partial, without candidates too it is thin; below the goal, or thin in candidates, it stays partial."""
+    c, v = F.coalesce(candidates, F.lit(0)), F.coalesce(verified, F.lit(0))
+    failed = failure.isNotNull() & F.coalesce(resolved, F.lit(False))
+    status = F.when(~F.coalesce(resolved, F.lit(False)) | failed, "failed").when((v <= 0) & (c <= 0), "thin").when(v <= 0, "partial").when(F.coalesce(thin, F.lit(False)) | (v < goal), "partial").otherwise("complete")
+    return {"status": status, "retry_ms": F.when(failed & (failure == "quota"), quota_ms).when(failed, failed_ms).when(status == "thin", thin_ms)}
+
+
 def retry_blocked(now: Column, permanent: Column, retry_after: Column, lease_until: Column) -> Column:
     return F.coalesce(permanent.isNotNull() | (retry_after > now) | (lease_until > now), F.lit(False))
 
