@@ -87,3 +87,14 @@ def test_replay_streams_a_hot_market(spark):
     got = jobs.replay(events)
     assert got.filter("accepted").count() == 25_000
     assert got.agg(F.max("written")).first()[0] == 24_998
+
+
+@pytest.mark.parametrize(
+    "status,started,completed,prices,providers,reason,start",
+    [(None, None, None, None, None, "missing", True), ("running", 99, None, 0, 0, "already_running", False), ("running", None, None, 0, 0, "stale_running", True), ("complete", None, 99, 0, 5, "empty_cooldown", False), ("complete", None, None, None, None, "complete_but_empty", True),
+     ("complete", None, 99, 1, 1, "ttl_fresh", False), ("complete", None, -10**10, 1, 1, "ttl_expired", True), ("empty", None, 99, 0, 0, "empty_cooldown", False), ("partial", None, -10**10, 0, 0, "partial_retry", True), ("failed", None, None, 0, 0, "failed", True)],
+)
+def test_import_decision(spark, status, started, completed, prices, providers, reason, start):
+    long = lambda x: F.lit(x).cast("long")
+    got = jobs.import_decision(long(100), F.lit(status).cast("string"), long(started), long(completed), long(prices), long(providers))
+    assert (value(spark, got["reason"]), value(spark, got["start"])) == (reason, start)
