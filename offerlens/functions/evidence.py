@@ -106,7 +106,8 @@ def mojibake_repaired(text: Column) -> Column:
 
 def lead_name(title: Column, host: Column, generic: Sequence[str]) -> Column:
     """A provider's name from a search hit: the first part of the title that isn't generic, else the brand label of the host."""
-    parts = F.filter(F.transform(F.split(title, r"\s+[|\-–]\s+"), F.trim), lambda p: (p != "") & ~F.lower(p).isin(*generic))
+    trimmed = lambda p: F.trim(p)  # noqa: E731  trim itself would take the place as the characters to trim
+    parts = F.filter(F.transform(F.split(title, r"\s+[|\-–]\s+"), trimmed), lambda p: (p != "") & ~F.lower(p).isin(*generic))
     brand = F.element_at(F.split(F.regexp_replace(host, r"^(?:www|m|blog)\.", ""), r"\."), 1)
     return F.coalesce(F.get(parts, F.lit(0)), brand)
 
