@@ -43,15 +43,28 @@ def identity_reason(name: Column, host_class: Column, provider: Column, brands:
 
 def same_name(a: Column, b: Column, generic: Sequence[str] = GENERIC, least: int = 8) -> Column:
     """Packed names are equal, or the shorter one, of `least` characters or more, is in the longer."""
-    p, q = packed_name(F.coalesce(a, F.lit("")), list(generic)), packed_name(F.coalesce(b, F.lit("")), list(generic))
+    return same_packed(packed_name(F.coalesce(a, F.lit("")), list(generic)), packed_name(F.coalesce(b, F.lit("")), list(generic)), least)
+
+
+def same_packed(p: Column, q: Column, least: int = 8) -> Column:
+    """same_name of names that are packed already."""
     short, long = F.when(F.length(p) <= F.length(q), p).otherwise(q), F.when(F.length(p) <= F.length(q), q).otherwise(p)
     return (p != "") & (q != "") & ((p == q) | ((F.length(short) >= least) & F.contains(long, short)))
 
 
 def address_overlap(a: Column, b: Column) -> Column:
     """At least two words of three letters or more of the first address are in the second, or its only one."""
-    words = F.filter(F.split(name_key(F.coalesce(a, F.lit(""))), " "), lambda w: F.length(w) >= 3)
-    hits = F.size(F.filter(words, lambda w: F.contains(name_key(F.coalesce(b, F.lit(""))), w)))
+    return words_overlap(address_words(a), name_key(F.coalesce(b, F.lit(""))))
+
+
+def address_words(address: Column) -> Column:
+    """Words of three letters or more."""
+    return F.filter(F.split(name_key(F.coalesce(address, F.lit(""))), " "), lambda w: F.length(w) >= 3)
+
+
+def words_overlap(words: Column, key: Column) -> Column:
+    """address_overlap of the first address's words and the second one's name_key."""
+    hits = F.size(F.filter(words, lambda w: F.contains(key, w)))
     return (F.size(words) > 0) & (hits >= F.least(F.lit(2), F.size(words)))
 
 
@@ -61,7 +74,7 @@ def same_place(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, metre
 
 def match_strength(name: Column, near: Column, address: Column, phone: Column) -> Column:
     """strong: the name and one more sign; weak: the name alone; else the name differs."""
-    more = F.coalesce(near, F.lit(False)) | F.coalesce(address, F.lit(False)) | F.coalesce(phone, F.lit(False))
+    more = F.coalesce(phone, F.lit(False)) | F.coalesce(near, F.lit(False)) | F.coalesce(address, F.lit(False))  # the cheapest first
     return F.when(~F.coalesce(name, F.lit(False)), "name_mismatch").when(more, "strong").otherwise("weak_name_only")
 
 

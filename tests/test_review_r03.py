@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from offerlens.functions import evidence
+from offerlens.functions import evidence, identity
+from offerlens.operators import prices
+from offerlens.plans import registry
+from tests.conftest import SMALL
 
 
 def one(spark, column):
@@ -13,3 +16,26 @@ def test_lead_name_keeps_digits_at_the_ends(spark):
     """Parts are trimmed of blanks, not of their place's digit."""
     for title, want in (("Home | Clinic 1 - Reviews", "Clinic 1"), ("1st Rose", "1st Rose"), ("Home | 10101", "10101"), ("0 - Reviews", "0"), ("  Rose 0  ", "Rose 0")):
         assert one(spark, evidence.lead_name(F.lit(title), F.lit("rose.example"), ["home", "reviews"])) == want
+
+
+def test_venue_pairs_are_all_pairs_of_a_city(spark):
+    """As many rows as the cities have pairs, copies and mismatches among them, each as by the columns of both rows."""
+    import random
+
+    rnd = random.Random(5)
+    make = lambda n: [(k, rnd.choice(["x", "y", None]), rnd.choice(["Rose Clinic", "The Rose", "Lily Garden", "Lily Garden West", "", None]), rnd.choice(["+1 555 123 45 67", "1234", None]), rnd.choice([None, 40 + rnd.random() * 0.02]), 20.0, rnd.choice(["Main Street 5", "Street Main", "High Road", None])) for k in range(n)]
+    schema = "{0} long, city string, name string, phone string, lat double, lon double, address string"
+    v, p = (spark.createDataFrame(rows + [(1000 + k, *rows[0][1:]) for k in range(20)], schema.format(c)) for c, rows in (("v", make(50)), ("p", make(60))))
+    got = prices.venue_pairs(v, p, "v", "p", identity.GENERIC)
+    q = p.select("p", "city", *(F.col(x).alias(f"q_{x}") for x in ("name", "phone", "lat", "lon", "address")))
+    c = F.col
+    strength = identity.match_strength(identity.same_name(c("name"), c("q_name")), identity.same_place(c("lat"), c("lon"), c("q_lat"), c("q_lon")), identity.address_overlap(c("address"), c("q_address")), evidence.phone_key(c("phone")) == evidence.phone_key(c("q_phone")))
+    want = sorted(map(tuple, v.join(q, "city").select("v", "p", strength.alias("strength")).collect()))
+    assert sorted(map(tuple, got.collect())) == want and {x[2] for x in want} == {"strong", "weak_name_only", "name_mismatch"}
+
+
+def test_venue_match_query_keeps_every_pair(spark):
+    """q113 has a row for each pair of its cities, not one a venue."""
+    s, c = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("supplier", "customer"))
+    pairs = s.join(c, F.col("s_suppkey") % 40 == F.col("c_custkey") % 40).count()
+    assert registry.queries()["q113_venue_match"](spark, SMALL).count() == pairs > s.count()
