@@ -188,7 +188,7 @@ def q140_ranked_match(t, spark):
     steps = [
         ("country_city", both(c("country"), c("city")), both(c("r_country"), c("r_city")), None),
         ("region", both(c("region"), c("country") % 5), both(c("r_region"), c("r_country") % 5), None),
-        ("distance", F.floor(c("lat") * 100), F.floor(c("r_lat") * 100), haversine_km(c("lat"), F.lit(0.0), c("r_lat"), F.lit(0.0)) <= 1),
+        ("distance", F.floor(c("lat") * 100), F.floor(c("r_lat") * 100), (haversine_km(c("lat"), F.lit(0.0), c("r_lat"), F.lit(0.0)) <= 1, ["lat"], ["r_lat"])),
         ("text", c("line"), c("r_line"), None),
     ]
     return prices.ranked_match(left, right, "c_custkey", "s_suppkey", steps)

@@ -39,3 +39,39 @@ def test_venue_match_query_keeps_every_pair(spark):
     s, c = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("supplier", "customer"))
     pairs = s.join(c, F.col("s_suppkey") % 40 == F.col("c_custkey") % 40).count()
     assert registry.queries()["q113_venue_match"](spark, SMALL).count() == pairs > s.count()
+
+
+def most_joined(df):
+    """Rows that the largest join of the run plan put out."""
+    df.collect()
+
+    def walk(node):
+        name, inner = node.nodeName(), []
+        if name == "AdaptiveSparkPlan":
+            inner = [node.executedPlan()]
+        elif "QueryStage" in name:
+            inner = [node.plan()]
+        else:
+            inner = [node.children().apply(k) for k in range(node.children().size())]
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in name and node.metrics().contains("numOutputRows") else 0
+        return max([own, *map(walk, inner)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_ranked_match_by_distance_makes_no_pairs_of_a_cell(spark, tmp_path):
+    """q140 on tables of which many rows share a cell: no join puts out more rows than the left side has."""
+    for t, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        rows = spark.read.parquet(f"{SMALL}/{t}.parquet")
+        rows.crossJoin(spark.range(40)).withColumn(key, F.col(key) + 1_000_000 * F.col("id")).drop("id").write.parquet(f"{tmp_path}/{t}.parquet")
+    n = spark.read.parquet(f"{tmp_path}/customer.parquet").count()
+    assert most_joined(registry.queries()["q140_ranked_match"](spark, str(tmp_path))) <= n
+
+
+def test_ranked_match_with_tested_columns_equals_the_plain_test(spark):
+    """A test with its columns named gives what it gives over all rows of a key; null values of them match nothing."""
+    left = spark.createDataFrame([(k, k % 3 or None, None if k % 5 == 0 else k % 7 * 1.0) for k in range(60)], "l long, k long, x double")
+    right = spark.createDataFrame([(k, k % 3, None if k % 4 == 0 else k % 11 * 1.0) for k in range(50)], "r long, rk long, y double")
+    test = F.abs(F.col("x") - F.col("y")) <= 0.5
+    plain, cut = (sorted(map(tuple, prices.ranked_match(left, right, "l", "r", [("near", F.col("k"), F.col("rk"), t), ("key", F.col("k"), F.col("rk"), None)]).collect())) for t in (test, (test, ["x"], ["y"])))
+    assert cut == plain and {r[2] for r in cut} == {"near", "key", None}
