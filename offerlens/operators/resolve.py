@@ -95,10 +95,13 @@ def overlay(base: DataFrame, extra: DataFrame, keys: list[str], columns: list[st
 def overlay_first(base: DataFrame, extra: DataFrame, id_column: str, keys: str, order: str, useful: Column, columns: list[str]) -> DataFrame:
     """base with the columns of the first useful extra row (by `order`) that shares any of its keys; what is null there stays as it is.
 
-    Both sides' keys are exploded and joined; a base row without such a row stays."""
+    Both sides' keys are exploded. Of the extra rows of a key only the first can be wanted, which a partial aggregate finds before the join, so
+    that a hot key makes no pairs; a base row without such a row stays."""
     asked = base.select(F.col(id_column).alias("_id"), F.explode(keys).alias("_key"))
-    filed = extra.filter(F.coalesce(useful, F.lit(False))).select(F.explode(keys).alias("_key"), F.col(order).alias("_order"), *(F.col(c).alias(f"_{c}") for c in columns))
-    first = asked.join(filed, "_key").groupBy("_id").agg(F.min_by(F.struct(*(f"_{c}" for c in columns)), "_order").alias("_r"))
+    value = F.struct(*(F.col(c).alias(f"_{c}") for c in columns))
+    filed = extra.filter(F.coalesce(useful, F.lit(False))).select(F.explode(keys).alias("_key"), F.col(order).alias("_order"), value.alias("_r"))
+    filed = filed.groupBy("_key").agg(F.min_by("_r", "_order").alias("_r"), F.min("_order").alias("_order"))
+    first = asked.join(filed, "_key").groupBy("_id").agg(F.min_by("_r", "_order").alias("_r"))
     kept = [c for c in base.columns if c not in columns]
     return base.join(first, base[id_column] == first["_id"], "left").select(*kept, *(F.coalesce(f"_r._{c}", c).alias(c) for c in columns))
 

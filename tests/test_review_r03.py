@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from offerlens.functions import evidence, identity
-from offerlens.operators import prices
+from offerlens.operators import prices, resolve
 from offerlens.plans import registry
 from tests.conftest import SMALL
 
@@ -75,3 +75,13 @@ def test_ranked_match_with_tested_columns_equals_the_plain_test(spark):
     test = F.abs(F.col("x") - F.col("y")) <= 0.5
     plain, cut = (sorted(map(tuple, prices.ranked_match(left, right, "l", "r", [("near", F.col("k"), F.col("rk"), t), ("key", F.col("k"), F.col("rk"), None)]).collect())) for t in (test, (test, ["x"], ["y"])))
     assert cut == plain and {r[2] for r in cut} == {"near", "key", None}
+
+
+def test_overlay_of_a_hot_key_makes_no_pairs(spark):
+    """Many rows of both sides share keys: no join puts out more rows than the base has keys, and the first useful row wins."""
+    base = spark.range(300).select(F.col("id").alias("b"), F.lit(None).cast("string").alias("name"), F.array(F.lit("a"), F.concat(F.lit("k"), F.col("id") % 3)).alias("keys"))
+    extra = spark.range(400).select(F.col("id").alias("ord"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("n"), "id")).alias("name"), F.when(F.col("id") < 390, F.array(F.concat(F.lit("k"), F.col("id") % 2))).otherwise(F.array(F.lit("a"))).alias("keys"), (F.col("id") > 4).alias("good"))
+    got = resolve.overlay_first(base, extra, "b", "keys", "ord", F.col("good"), ["name"])
+    assert most_joined(got) <= 600
+    want = {0: None, 1: "n5", 2: None}  # k0: row 6 without a name; k1: row 5; k2: no row, so a's row 390 without a name
+    assert all(r["name"] == want[r["b"] % 3] for r in got.collect())
