@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlens.functions.text import locale_number
+from offerlens.functions.text import bare_number, let, number_of_bare
 
 BEFORE, BEHIND = 24, 8
 SYMBOLS = "$€£₺¥₩"
@@ -31,21 +31,36 @@ def rows_in(text: Column) -> Column:
 
 
 def occurrences(text: Column, number: str = NUMBER) -> Column:
-    t = rows_in(text)
-    numbers, gaps = F.regexp_extract_all(t, F.lit(f"({number})"), 1), F.split(t, number, -1)
-    last = F.size(numbers) - 1
+    """Numbers and gaps of a text are found once, and each gap is cut once to the words at its ends that a number can reach, so that the work
+    grows with the text and not with its square."""
     words = lambda x: F.filter(F.split(x, " +"), lambda w: w != "")
+    cut = lambda w, n, ends: F.when(F.size(w) > n + 2, ends(w, n + 2))  # noqa: E731  a first or last one may be empty, where a number joins a word
 
-    def one(i: Column) -> Column:
+    def ends(gap: Column) -> Column:
+        """The gap as it stands behind other numbers (its last words) and before them (its first words)."""
+        tail = lambda w: cut(w, BEFORE, lambda w, n: F.concat(F.lit(" "), F.array_join(F.slice(w, -n, n), " ")))
+        head = lambda w: cut(w, BEHIND, lambda w, n: F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(" ")))
+        return let(F.split(gap, " +"), lambda w: F.struct(F.coalesce(tail(w), gap).alias("tail"), F.coalesce(head(w), gap).alias("head")))
+
+    def one(numbers: Column, gaps: Column, last: Column, i: Column) -> Column:
         first, final = F.greatest(i - BEFORE, F.lit(0)), F.least(i + BEHIND, last)
-        before = F.concat_ws("", F.transform(F.sequence(first, i), lambda k: F.when(k < i, F.concat(F.get(gaps, k), F.get(numbers, k))).otherwise(F.get(gaps, i))))
-        behind = F.concat_ws("", F.transform(F.sequence(i, final), lambda k: F.concat(F.when(k == i, F.lit("")).otherwise(F.get(numbers, k)), F.get(gaps, k + 1))))
-        left, right = words(before), words(behind)
-        left = F.when(F.size(left) > BEFORE, F.slice(left, -BEFORE, BEFORE)).otherwise(left)
-        money = F.coalesce(F.nullif(F.regexp_extract(before, rf"({MONEY})\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(behind, rf"^\s*({MONEY})", 1), F.lit("")))
-        return F.struct(i.alias("ord"), F.get(numbers, i).alias("raw"), locale_number(F.get(numbers, i)).alias("amount"), money.alias("currency"), F.concat_ws(" ", left).alias("before"), F.concat_ws(" ", F.slice(right, 1, BEHIND)).alias("behind"))
+        before = F.concat_ws("", F.transform(F.sequence(first, i), lambda k: F.when(k < i, F.concat(F.get(gaps, k)["tail"], F.get(numbers, k))).otherwise(F.get(gaps, i)["tail"])))
+        behind = F.concat_ws("", F.transform(F.sequence(i, final), lambda k: F.concat(F.when(k == i, F.lit("")).otherwise(F.get(numbers, k)), F.get(gaps, k + 1)["head"])))
+
+        def found(x: Column) -> Column:
+            left = let(words(x["before"]), lambda w: F.concat_ws(" ", F.when(F.size(w) > BEFORE, F.slice(w, -BEFORE, BEFORE)).otherwise(w)))
+            money = F.coalesce(F.nullif(F.regexp_extract(x["before"], rf"({MONEY})\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(x["behind"], rf"^\s*({MONEY})", 1), F.lit("")))
+            amount = let(bare_number(F.get(numbers, i)), number_of_bare)
+            return F.struct(i.alias("ord"), F.get(numbers, i).alias("raw"), amount.alias("amount"), money.alias("currency"), left.alias("before"), F.concat_ws(" ", F.slice(words(x["behind"]), 1, BEHIND)).alias("behind"))
+
+        return let(F.struct(before.alias("before"), behind.alias("behind")), found)
+
+    def every(p: Column) -> Column:
+        last = F.size(p["numbers"]) - 1
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: one(p["numbers"], p["gaps"], last, i))).otherwise(F.array().cast(TYPE))
 
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast(TYPE))
+    parts = lambda t: F.struct(F.regexp_extract_all(t, F.lit(f"({number})"), 1).alias("numbers"), F.transform(F.split(t, number, -1), lambda g: ends(g)).alias("gaps"))
+    return let(rows_in(text), lambda t: let(parts(t), every))
 
 
 TYPE = "array<struct<ord:int,raw:string,amount:double,currency:string,before:string,behind:string>>"
@@ -60,7 +75,7 @@ def last_words(o: Column, n: int) -> Column:
     """The n words right before a number, in its row and behind the last other price: its own currency left out."""
     own = F.regexp_replace(o["before"], rf"{MONEY}\s*$", "")
     words = F.filter(F.split(F.regexp_extract(own, rf"[^|{SYMBOLS}]*$", 0), " +"), lambda w: w != "")
-    return F.concat_ws(" ", F.when(F.size(words) > n, F.slice(words, -n, n)).otherwise(words))
+    return let(words, lambda w: F.concat_ws(" ", F.when(F.size(w) > n, F.slice(w, -n, n)).otherwise(w)))
 
 
 def next_words(o: Column, n: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it: inside of lambdas Spark shares no common parts."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower case without Latin marks; Turkish capital I with dot first, sharp s as ss."""
     lowered = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
@@ -55,7 +61,15 @@ def packed_name(text: Column, generic: list[str]) -> Column:
 def locale_number(text: Column) -> Column:
     """A number with either separator convention. With both marks the last one is the decimal mark. A mark that stands alone
     groups if three digits, or a multiple, follow its last place; else it is the decimal mark. Two decimal marks are no number."""
-    bare = F.regexp_replace(F.trim(text), r"[\s\u00a0'’]", "")
+    return number_of_bare(bare_number(text))
+
+
+def bare_number(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"[\s\u00a0'’]", "")
+
+
+def number_of_bare(bare: Column) -> Column:
+    """locale_number of what bare_number left."""
     comma, dot = F.length(bare) - F.instr(F.reverse(bare), ","), F.length(bare) - F.instr(F.reverse(bare), ".")
     has_comma, has_dot = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
     grouped = bare.rlike(r"[.,](?:\d{3})+$")

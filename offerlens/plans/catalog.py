@@ -11,6 +11,11 @@ _SQL: dict[str, str] = {}
 _DOC: dict[str, str] = {}
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt evenly by key before work that is heavy against their bytes, by which alone Spark cuts its input into tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def query(sql: str | None = None):
     def register(f):
         name = f.__name__

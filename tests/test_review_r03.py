@@ -1,8 +1,10 @@
 """What the review of round 3 found: results that differed, and steps whose cost grew faster than their input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import evidence, identity
+from offerlens.functions.occurrences import occurrences
 from offerlens.operators import prices, resolve
 from offerlens.plans import registry
 from tests.conftest import SMALL
@@ -85,3 +87,23 @@ def test_overlay_of_a_hot_key_makes_no_pairs(spark):
     assert most_joined(got) <= 600
     want = {0: None, 1: "n5", 2: None}  # k0: row 6 without a name; k1: row 5; k2: no row, so a's row 390 without a name
     assert all(r["name"] == want[r["b"] % 3] for r in got.collect())
+
+
+def test_numbers_of_a_text_are_found_once(spark):
+    """The expression looks for numbers and splits gaps once, not once a place where they are used; long gaps change no words."""
+    df = spark.createDataFrame([("one two " * 40 + "5x " + "three " * 60 + "€7 y\n" + "z  " * 30 + "8",), ("9" + "a b " * 40 + "c10d",)], "t string").select(occurrences(F.col("t")).alias("o"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    rows = [[(o["raw"], o["before"].split(), o["behind"].split(), o["currency"]) for o in r["o"]] for r in df.collect()]
+    words = ("one two " * 40).split()
+    assert rows[0][0] == ("5", words[-24:], ["x"] + ["three"] * 7, None)
+    assert rows[0][1] == ("7", (["three"] * 60)[-23:] + ["€"], ["y", "|"] + ["z"] * 6, "€")
+    assert rows[0][2] == ("8", ["z"] * 24, [], None)
+    assert rows[1][0] == ("9", [], "a b a b a b a b".split(), None) and rows[1][1] == ("10", [*("a b " * 40).split()[-23:], "c"], ["d"], None)
+
+
+@pytest.mark.parametrize("name", ["q137_scope_windows", "q88_sanity_cascade", "q89_reselect", "q92_pool_decision", "q101_assembled_evidence"])
+def test_heavy_work_is_dealt_evenly(spark, name):
+    """A small file is one task of the scan; the rules run in as many as there are shuffle partitions."""
+    plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [p_partkey" in plan
