@@ -8,7 +8,7 @@ from offerlens.functions import evidence, identity, sanity
 from offerlens.functions.occurrences import occurrences
 from offerlens.functions.text import haversine_km, host
 from offerlens.operators import prices
-from offerlens.plans.catalog import query
+from offerlens.plans.catalog import dealt, query
 from offerlens.plans.trust import values
 from offerlens.streaming import jobs, keyed
 
@@ -123,7 +123,7 @@ def q137_scope_windows(t, spark):
     filler = F.array_join(F.array_repeat(F.lit("so"), (F.col("p_size") % 15).cast("int")), " ")
     price = F.concat(F.lit("€"), F.format_number("p_retailprice", 2))
     text = F.concat_ws(" ", F.lit("now"), price, F.lit("|"), cue, F.when(F.col("p_size") % 3 == 0, "|").otherwise("x"), F.lit("for 2 people"), filler, price)
-    rows = t("part").select("p_partkey", "p_retailprice", text.alias("text")).withColumn("found", occurrences(F.col("text")))
+    rows = dealt(t("part"), "p_partkey").select("p_partkey", "p_retailprice", text.alias("text")).withColumn("found", occurrences(F.col("text")))
     from offerlens.functions.occurrences import of_amount
 
     found = of_amount(F.col("found"), F.round("p_retailprice", 2))
