@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import matching, sanity, text
 from offerlens.operators import rank, resolve
-from offerlens.plans.catalog import query
+from offerlens.plans.catalog import dealt, query
 
 LATE_RULES = [("other_technique", r"\bhair\b", r"\bstrip\b", "")]
 FAMILY_RULES = [("hair_adjunct", r"\bhair\b", r"\b(?:prp|minoxidil)\b", r"\btransplant\b"), ("partial_treatment", r"\bnose\b", r"\btip only\b", r"\bprimary\b")]
@@ -78,7 +78,7 @@ def kinds_offer(t, spark):
     """part rows with the texts of their kind, and their columns as an Offer."""
     names = "price, text, label, url, method, requested, fixed, upper, currency, expected"
     table = spark.createDataFrame([(k, *r) for k, r in enumerate(KINDS)], "kind int, " + ", ".join(f"{n} {'double' if n in ('fixed', 'upper') else 'string'}" for n in names.split(", ")))
-    rows = t("part").select("p_partkey", F.pmod("p_partkey", F.lit(len(KINDS))).cast("int").alias("kind"), (F.col("p_size") * 10 + 200).cast("double").alias("own")).join(F.broadcast(table), "kind")  # a row a kind
+    rows = dealt(t("part"), "p_partkey").select("p_partkey", F.pmod("p_partkey", F.lit(len(KINDS))).cast("int").alias("kind"), (F.col("p_size") * 10 + 200).cast("double").alias("own")).join(F.broadcast(table), "kind")  # a row a kind
     amount = F.coalesce("fixed", "own")
     filled = lambda c: F.replace(F.col(c), F.lit("{a}"), F.col("own").cast("long").cast("string"))
     rows = rows.select("p_partkey", amount.alias("amount"), filled("price").alias("price"), filled("text").alias("text"), "label", "url", "method", "requested", "upper", "currency")
@@ -141,7 +141,7 @@ LABELS = [
 
 def labelled(t, spark):
     table = spark.createDataFrame([(k, *r[:2]) for k, r in enumerate(LABELS)], "kind int, label string, requested string")
-    return t("part").select("p_partkey", F.pmod("p_partkey", F.lit(len(LABELS))).cast("int").alias("kind")).join(F.broadcast(table), "kind")  # a row a kind
+    return dealt(t("part"), "p_partkey").select("p_partkey", F.pmod("p_partkey", F.lit(len(LABELS))).cast("int").alias("kind")).join(F.broadcast(table), "kind")  # a row a kind
 
 
 @query("WITH k(kind, family, canonical, confidence, reject) AS (" + values([(k, *r[2:6]) for k, r in enumerate(LABELS)]) + f") SELECT p_partkey, family, canonical, CAST(confidence AS DOUBLE) AS confidence, reject FROM part JOIN k ON kind = p_partkey % {len(LABELS)}")
