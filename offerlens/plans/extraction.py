@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerlens.functions import text
-from offerlens.plans.catalog import query
+from offerlens.plans.catalog import dealt, query
 from offerlens.plans.trust import values
 from offerlens.sources import curated
 from offerlens.sources import pages as page_source
@@ -32,7 +32,7 @@ PAGE_ROWS = [(k, n, *r) for k, (_, rows) in enumerate(PAGES) for n, r in enumera
 def kind_pages(t, spark, templates, url="https://rose.example/prices"):
     """A page for each part, by kind."""
     table = spark.createDataFrame(list(enumerate(templates)), "kind int, html string")
-    rows = t("part").select("p_partkey", (F.col("p_size") + 100).cast("string").alias("a"), F.pmod("p_partkey", F.lit(len(templates))).cast("int").alias("kind"))
+    rows = dealt(t("part"), "p_partkey").select("p_partkey", (F.col("p_size") + 100).cast("string").alias("a"), F.pmod("p_partkey", F.lit(len(templates))).cast("int").alias("kind"))
     return rows.join(F.broadcast(table), "kind").select(F.col("p_partkey").alias("page_id"), F.lit(url).alias("url"), F.replace("html", F.lit("{a}"), F.col("a")).alias("html"))  # a row a kind
 
 
