@@ -239,12 +239,16 @@ def page_rows(html: str) -> Iterator[tuple[str, str, str, str]]:
                     yield "list" if kind == "li" else "text", label, m[0], f"{heading} {cells[0]}".strip()
 
 
+#: Pages that are held as Python texts with their rows at a time.
+PAGES = 64
+
+
 def extract(pages: DataFrame, keep: bool = False) -> DataFrame:
     """EVIDENCE of all pages; null pages have none. keep: each page has a row of its own before them, too: ord -1, method `page`, and the
     price text `read` unless the page is blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, PAGES) for whole in batches for k in range(0, whole.num_rows, PAGES)):
             rows = []
             for key, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if keep:
