@@ -144,7 +144,7 @@ SELECT k.doc_id, CAST(k.amount AS DOUBLE) AS amount, label, h.doc_id IS NOT NULL
 def q138_shared_block(t, spark):
     """C4: claims of a label (the first words of a text) and an amount (each plain number in it), locked only where one line holds both."""
     d = t("documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("blocks"))
-    amounts, words = prices.block_index(d, "doc_id", F.col("blocks"), number=r"\d+(?:[.,]\d+)*", plain=r"[1-9]\d{0,5}")
+    amounts, words = prices.block_index(d, "doc_id", F.col("blocks"), number=r"\d+(?:[.,]\d+)*", plain=r"[1-9]\d{0,5}", beside=True)
     label = F.array_join(F.slice(F.split(F.lower(F.get("blocks", F.lit(0))), " "), 1, 2), " ")
     claims = amounts.select("doc_id", "cents").distinct().join(d.select("doc_id", label.alias("label")), "doc_id").select(F.concat_ws(":", "doc_id", "cents").alias("claim"), "doc_id", (F.col("cents") / 100).alias("amount"), "label")
     return prices.lock_claims(claims, amounts, words, "doc_id", "claim").select("doc_id", "amount", "label", "locked")
