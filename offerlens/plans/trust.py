@@ -156,10 +156,12 @@ SELECT p_partkey, subtype, subtype = 'hair' OR subtype = 'mixed' AS fits_hair, p
 def q92_pool_decision(t, spark):
     """Subtypes of labels, and the pool a service goes to or why it goes to none."""
     match = matching.label_match(F.col("label"), F.col("requested"), VOCABULARY, COMPETING, TOGETHER)
-    kind = matching.subtype(F.col("label"), SUBTYPES, GENERIC)
+    # as columns of their own: the decision names them many times, and would work each out as often
+    rows = labelled(t, spark).select("p_partkey", "label", F.struct(*(c.alias(n) for n, c in match.items())).alias("match"), matching.subtype(F.col("label"), SUBTYPES, GENERIC).alias("kind"))
+    match, kind = {n: F.col(f"match.{n}") for n in match}, F.col("kind")
     laser = F.when(match["family"] == "laser", kind)  # other families have no subtypes
     pool = matching.pool_decision(F.col("label"), match, F.coalesce(laser, F.lit("-")), POOLS, F.lit(True))
-    return labelled(t, spark).select("p_partkey", kind.alias("subtype"), matching.subtype_fits(kind, F.lit("hair")).alias("fits_hair"), *(c.alias(n) for n, c in pool.items()))
+    return rows.select("p_partkey", kind.alias("subtype"), matching.subtype_fits(kind, F.lit("hair")).alias("fits_hair"), *(c.alias(n) for n, c in pool.items()))
 
 
 @query("""

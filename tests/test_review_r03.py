@@ -102,8 +102,35 @@ def test_numbers_of_a_text_are_found_once(spark):
     assert rows[1][0] == ("9", [], "a b a b a b a b".split(), None) and rows[1][1] == ("10", [*("a b " * 40).split()[-23:], "c"], ["d"], None)
 
 
-@pytest.mark.parametrize("name", ["q137_scope_windows", "q88_sanity_cascade", "q89_reselect", "q92_pool_decision", "q101_assembled_evidence"])
+@pytest.mark.parametrize("name", ["q137_scope_windows", "q88_sanity_cascade", "q89_reselect", "q92_pool_decision", "q101_assembled_evidence", "q107_curated_winners"])
 def test_heavy_work_is_dealt_evenly(spark, name):
     """A small file is one task of the scan; the rules run in as many as there are shuffle partitions."""
     plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [p_partkey" in plan
+
+
+def test_words_beside_numbers_lock_as_all_words_do(spark):
+    """Words of blocks without a number are left out, since they lock no claim."""
+    pages = spark.createDataFrame([(1, ["Light peel", "Massage light 90", "Peel 120 or 90", "words without numbers"]), (2, []), (3, None)], "page long, blocks array<string>")
+    claims = spark.createDataFrame([("a", 1, "Light peel", 90.0), ("b", 1, "Massage", 120.0), ("c", 1, "Peel", 120.0), ("d", 2, "Peel", 90.0)], "claim string, page long, label string, amount double")
+    amounts, words = prices.block_index(pages, "page", F.col("blocks"))
+    _, beside = prices.block_index(pages, "page", F.col("blocks"), beside=True)
+    locked = [{r["claim"]: r["locked"] for r in prices.lock_claims(claims, amounts, w, "page", "claim").collect()} for w in (words, beside)]
+    assert locked[0] == locked[1] == dict(a=True, b=False, c=True, d=False)
+    assert {r["block"] for r in beside.collect()} == {1, 2}
+
+
+def test_pages_are_parsed_in_slices(spark):
+    """A partition of more pages than are held at a time has the same rows for each page."""
+    from offerlens.sources import pages
+
+    rows = spark.range(0, pages.PAGES * 2 + 3, 1, 1).select(F.col("id").alias("page_id"), F.lit("https://a.example").alias("url"), F.lit("<ul><li>Peel - €90</li></ul>").alias("html"))
+    got = pages.extract(rows, keep=True).groupBy("page_id").agg(F.count("*").alias("n")).collect()
+    assert len(got) == pages.PAGES * 2 + 3 and {r["n"] for r in got} == {2}
+
+
+def test_pool_decision_works_labels_out_once(spark):
+    """The decision names columns of the match; the patterns stand in the plan as often as the match alone names them."""
+    plan = registry.queries()["q92_pool_decision"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    alone = registry.queries()["q91_label_match"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lip (?:filler") <= alone.count("lip (?:filler")
