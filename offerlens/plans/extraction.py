@@ -115,7 +115,7 @@ def price_files(t):
     place = F.struct(F.lit("1 Road").alias("address"), F.col("p_brand").alias("city"), F.lit(None).cast("string").alias("country"), F.when(F.col("p_size") % 2 == 0, "ca").alias("country_code"), F.lit("").alias("zip"))
     rating = F.when(F.col("p_size") % 3 == 0, F.struct(F.lit(4.5).alias("value"), F.lit(10).cast("long").alias("review_count")))
     clinic = F.struct(F.concat(F.lit("Rose "), F.col("p_partkey")).alias("name"), F.lit("https://www.rose.example").alias("website"), F.lit(None).cast("string").alias("phone"), place.alias("location"), rating.alias("rating"), F.array(F.lit("x")).alias("source_urls"), services.alias("procedures"))
-    return t("part").select(F.lit("2024-01-01").alias("checked_at"), F.lit("market").alias("market"), F.lit("CAD").alias("currency_default"), F.array(clinic).alias("clinics"))
+    return dealt(t("part"), "p_partkey").select(F.lit("2024-01-01").alias("checked_at"), F.lit("market").alias("market"), F.lit("CAD").alias("currency_default"), F.array(clinic).alias("clinics"))
 
 
 @query("""
