@@ -13,7 +13,9 @@ _DOC: dict[str, str] = {}
 
 def dealt(rows: DataFrame, key: str) -> DataFrame:
     """rows dealt evenly by key before work that is heavy against their bytes, by which alone Spark cuts its input into tasks."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    spark = rows.sparkSession
+    few = 4 * spark.sparkContext.defaultParallelism  # a task's start costs as much as thousands of rows where rules are many
+    return rows.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), few), key)
 
 
 def query(sql: str | None = None):
